@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, quality_rules, token_counts, toxicity, url_filters
+import corpus_pipeline
+from tidemark.llm import byte_bpe, exact_dedup, lm_scoring, packing, quality_rules, secret_scans, token_counts, toxicity, url_filters
+from tidemark.llm.jaccard_join import JaccardJoin
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +29,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lm_scoring.scored(_documents(spark, sf_dir), _fold(5) != 1)
+    return rows.select("doc_id", (_fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_documents(spark, sf_dir))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return JaccardJoin(size=3, percent=90).joined(_documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(_documents(spark, sf_dir))
 
@@ -47,8 +62,21 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.coded(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scans.fit(secret_scans.labelled_findings(spark))
+    return secret_scans.scanned(_documents(spark, sf_dir), forest)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_url_filters, op6_exact_dedup, op7_quality_rules, op8_token_counts, op9_byte_bpe)
-}
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_lm_scoring, op3_url_filters, op4_packing, op5_jaccard_join, op6_exact_dedup,
+        op7_quality_rules, op8_token_counts, op9_byte_bpe, op10_secret_scans, pipeline,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
