@@ -171,8 +171,8 @@ def _held(spark: SparkSession, d: str) -> DataFrame:
     return top.select("ticker", "y", (F.col("v") / F.sum("v").over(whole("y"))).alias("weight"))
 
 
-@query(f"""WITH {V.EDGES}, both AS (SELECT supplier AS ticker, customer AS other, weight FROM edges UNION ALL SELECT customer, supplier, weight FROM edges)
-SELECT b.ticker, round(sum(b.weight * s.s_acctbal) / sum(b.weight), 6) AS neighbours FROM both b JOIN supplier s ON b.other = s.s_suppkey GROUP BY 1""")
+@query(f"""WITH {V.EDGES}, sides AS (SELECT supplier AS ticker, customer AS other, weight FROM edges UNION ALL SELECT customer, supplier, weight FROM edges)
+SELECT b.ticker, round(sum(b.weight * s.s_acctbal) / sum(b.weight), 6) AS neighbours FROM sides b JOIN supplier s ON b.other = s.s_suppkey GROUP BY 1""")
 def j10_graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
     both = R.both_ways(V.edges(spark, d))
     signal = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("other"), "s_acctbal")
@@ -220,8 +220,8 @@ def ag04_group_mean(spark: SparkSession, d: str) -> DataFrame:
     return V.security(spark, d).select("ticker", "sector", six(F.col("equity") - F.avg("equity").over(whole("sector"))).alias("above_sector"))
 
 
-@query(f"""WITH {V.BARS}, top AS (SELECT ticker FROM bars GROUP BY 1 ORDER BY ticker LIMIT 8), r AS (
-SELECT ticker, date, ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY date) AS r FROM bars WHERE ticker IN (SELECT ticker FROM top)),
+@query(f"""WITH {V.BARS}, r AS (
+SELECT ticker, date, ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY date) AS r FROM bars WHERE ticker <= 8),
 f AS (SELECT * FROM r WHERE r IS NOT NULL)
 SELECT a.ticker AS t1, b.ticker AS t2, count(*) AS days, round(covar_samp(a.r, b.r), 8) AS cov, round(corr(a.r, b.r), 6) AS corr FROM f a JOIN f b ON a.date = b.date AND a.ticker <= b.ticker GROUP BY 1, 2""")
 def m02_covariance(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +247,7 @@ def ag16_return_histogram(spark: SparkSession, d: str) -> DataFrame:
     return V.returns(spark, d).where("ret IS NOT NULL").groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {V.RETS} SELECT date, count_if(ret > 0) AS inflow, count_if(ret < 0) AS outflow, count_if(ret IS NULL) AS fresh FROM rets GROUP BY 1""")
+@query(f"""WITH {V.RETS} SELECT date, count(*) FILTER (ret > 0) AS inflow, count(*) FILTER (ret < 0) AS outflow, count(*) FILTER (ret IS NULL) AS fresh FROM rets GROUP BY 1""")
 def ag17_conditional_counts(spark: SparkSession, d: str) -> DataFrame:
     return V.returns(spark, d).groupBy("date").agg(F.count_if(F.col("ret") > 0).alias("inflow"), F.count_if(F.col("ret") < 0).alias("outflow"), F.count_if(F.col("ret").isNull()).alias("fresh"))
 
