@@ -1,8 +1,8 @@
 """N-gram Jaccard join: exact links between texts as a join in the metric space of word-shingle sets.
 
-A text is its set of shingles, known by 58-bit hashes under a global order, rare
-ones first (frequency classes are counted over all texts in a table of fixed size;
-the order affects speed alone). Texts with equal sets are one class, so copies
+A text is its set of shingles, known by 57-bit hashes under a global order, those
+with the rarest words first (word counts over all texts are held by class in a table
+of fixed size; the order affects speed alone). Texts with equal sets are one class, so copies
 never meet again.
 
 * Pivots and Voronoi regions. The pivots of the first level are single shingles in
@@ -30,6 +30,7 @@ rows. Other columns are never read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -42,54 +43,71 @@ from tidemark.llm.components import components
 from tidemark.llm.words import joined, mixed, slices, texts, words
 from tidemark.shared import checkpointed, dropped, written
 
-#: Buckets of the frequency table (4 MB), rounds of set pivots, rows from which a region is split again.
-BUCKETS, ROUNDS, LARGE = 1 << 20, 4, 48
-_CUTS = 64
+#: Buckets of the word table (4 MB), its cuts, rounds of set pivots, rows from which a region is split again, buckets of the sets.
+BUCKETS, _CUTS, ROUNDS, LARGE, SET_BUCKETS = 1 << 22, 64, 4, 48, 64
+_SHIFT = np.uint64(42)
 
 
-def shingles(part: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of a slice of texts (with repeats), and the text of each."""
+def shingles(part: pa.Array, size: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a slice of texts as ordered 63-bit numbers (with repeats), and the text of each.
+
+    The first six bits are the class of the shingle's rarest word, so that numeric order is rare first.
+    """
     w = words(part)
     h, doc = w.hashes, w.doc
     if not len(h):
         return h, doc
-    ends = np.cumsum(w.counts)
-    rolled = mixed(h)
+    rare = table[(h >> _SHIFT).astype(np.int64)]
+    rolled, least = mixed(h), rare
     full = np.ones(len(h), bool)
     for k in range(1, size):  # a shingle begins at each word that has size - 1 more in its text
-        rolled = joined(rolled, np.append(h[k:], np.zeros(k, np.uint64)), k)
+        rolled = joined(rolled, np.append(h[k:], np.zeros(min(k, len(h)), np.uint64)), k)
+        least = np.minimum(least, np.append(rare[k:], np.full(min(k, len(h)), 63, np.uint8)))
         full[max(0, len(h) - k) :] = False
         full[: len(h) - k] &= doc[: len(h) - k] == doc[k:]
-    out, owner = rolled[full], doc[full]
+    out, least, owner = rolled[full], least[full], doc[full]
     short = np.flatnonzero((w.counts > 0) & (w.counts < size))
     if len(short):
-        whole = [int(blake2b(h[ends[d] - w.counts[d] : ends[d]].tobytes(), digest_size=8).hexdigest(), 16) for d in short]
-        out, owner = np.append(out, np.array(whole, np.uint64)), np.append(owner, short)
+        ends = np.cumsum(w.counts)
+        spans = [slice(ends[d] - w.counts[d], ends[d]) for d in short]
+        whole = np.array([int.from_bytes(blake2b(h[x].tobytes(), digest_size=8).digest(), "little") for x in spans], np.uint64)
+        out, owner = np.append(out, whole), np.append(owner, short)
+        least = np.append(least, np.array([rare[x].min() for x in spans], np.uint8))
         order = np.argsort(owner, kind="stable")
-        out, owner = out[order], owner[order]
-    return out, owner
+        out, least, owner = out[order], least[order], owner[order]
+    return least.astype(np.uint64) << np.uint64(57) | out >> np.uint64(7), owner
 
 
-def frequencies(docs: DataFrame, size: int) -> np.ndarray:
-    """How many bits the number of shingles in each of BUCKETS has: summed over all texts, always 1 MB."""
+def word_classes(docs: DataFrame) -> np.ndarray:
+    """How many bits the count of words in each of BUCKETS has, over all texts: a table of fixed size.
+
+    1 says that a bucket's word occurs once in all texts (0 that none does). Tasks send the
+    buckets they met, in cuts; a task's counts above 255 count as 255, which keeps the order coarse, never wrong.
+    """
+    each = BUCKETS // _CUTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.int32)
         for batch in batches:
             for _, part in slices(texts(batch.column("text"))):
-                counts += np.bincount((shingles(part, size)[0] >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
-        for k, cut in enumerate(np.split(counts, _CUTS)):
-            if cut.any():
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([cut.astype(np.uint32).tobytes()], pa.binary())], ["cut", "counts"])
+                at, n = np.unique((words(part).hashes >> _SHIFT).astype(np.int64), return_counts=True)
+                counts[at] += n.astype(np.int32)
+        for k in range(_CUTS):
+            at = np.flatnonzero(counts[k * each : (k + 1) * each])
+            if len(at):
+                n = np.minimum(counts[k * each + at], 255).astype(np.uint8)
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["cut", "at", "n"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
+        total = np.zeros(each, np.int64)
+        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True):
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint8)
         return pa.table({"cut": pa.array([table.column("cut")[0].as_py()], pa.int32()), "bits": pa.array([np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(run, "cut int, counts binary").groupBy("cut").applyInArrow(add, "cut int, bits binary").toArrow()
+    rows = docs.select("text").mapInArrow(run, "cut int, at binary, n binary").groupBy("cut").applyInArrow(add, "cut int, bits binary").toArrow()
     out = np.zeros(BUCKETS, np.uint8)
     for k, bits in zip(rows.column("cut").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        out[k * (BUCKETS // _CUTS) : (k + 1) * (BUCKETS // _CUTS)] = np.frombuffer(bits, np.uint8)
+        out[k * each : (k + 1) * each] = np.frombuffer(bits, np.uint8)
     return out
 
 
@@ -97,11 +115,9 @@ def _sets(docs: DataFrame, size: int, order, window, whole: bool) -> DataFrame:
     """doc_id, n, sig (digest of the set; null for none) and the first shingles in order (all if ``whole``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = order.value
         for batch in batches:
             for at, part in slices(texts(batch.column("text"))):
-                h, doc = shingles(part, size)
-                ranked = table[(h >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(57) | h & np.uint64((1 << 57) - 1)
+                ranked, doc = shingles(part, size, order.value)
                 cut = np.searchsorted(doc, np.arange(len(part) + 1))
                 n, sigs, kept = np.zeros(len(part), np.int64), [], []
                 for k in range(len(part)):
@@ -135,32 +151,34 @@ class JaccardJoin:
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
     def classes(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Every row's doc_id, n_shingles and sig; and sig with component_id for each class, both written."""
+        """Every row's doc_id, n and sig; and sig with component_id for each class, both written."""
         spark = docs.sparkSession
-        order = spark.sparkContext.broadcast(frequencies(docs, self.size))
+        order = spark.sparkContext.broadcast(word_classes(docs))
         rows = written(_sets(docs, self.size, order, self._window(), False), "jaccard-rows")
         held = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("own").alias("own"))
         held = written(held.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
 
         regions = self._regions(held)
-        comps = checkpointed(regions.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
-        measured = checkpointed(spark.createDataFrame([], "a long, b long, both long"))
         sets = self._needed_sets(docs, held, regions, order)
-        sizes = held.select("cid", "n")
+        comps = checkpointed(regions.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
+        measured = checkpointed(spark.createDataFrame([], "cid long, pivot long, both long, sum long"))
+        left = regions
         for step in range(ROUNDS):
-            pairs = self._pivot_pairs(regions, comps, measured, step)
-            found = self._measured(pairs, sets, sizes)
+            left = self._open(left, comps)
+            found = self._measured(self._pivot_pairs(left, measured, step), spark.table(sets))
             if found.isEmpty():
                 break
             comps = self._merged(comps, found)
-            measured = checkpointed(measured.union(found.select("a", "b", "both")))
-        found = self._measured(self._rest(regions, held, comps, measured, sizes), sets, sizes)
+            measured = checkpointed(measured.union(found.select("cid", "pivot", "both", "sum")))
+        left = self._open(left, comps)
+        found = self._measured(self._rest(left, held, measured), spark.table(sets))
         comps = self._merged(comps, found)
         named = held.select("cid", "sig", "rep").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
         out = written(named.join(ids, "comp").select("sig", "component_id"), "jaccard-components")
-        for table in (regions, sets, held):
-            dropped(table)
+        spark.sql(f"DROP TABLE {sets}")
+        dropped(regions)
+        dropped(held)
         return rows, out
 
     def joined(self, docs: DataFrame) -> DataFrame:
@@ -170,78 +188,93 @@ class JaccardJoin:
         return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
     def _regions(self, held: DataFrame) -> DataFrame:
-        """h, cid, n: the windows of each class, where another class has the same pivot."""
+        """h, cid, n: the windows of each class, where another class has the same pivot.
+
+        A pivot with a word that occurs once in all texts (class 1) is no other text's.
+        """
         # the last of own, if there is one more, serves regions that are split again
-        inside = F.expr(f"slice(own, 1, cast(n - (n * {self.percent} + 99) div 100 + 1 as int))")
+        inside = F.expr(f"filter(slice(own, 1, cast(n - (n * {self.percent} + 99) div 100 + 1 as int)), x -> x >= {2 << 57})")
         windows = held.select("cid", F.col("n").cast("int").alias("n"), F.explode(inside).alias("h"))
         shared = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
         return written(windows.join(shared, "h"), "jaccard-regions")
 
-    def _needed_sets(self, docs: DataFrame, held: DataFrame, regions: DataFrame, order) -> DataFrame:
-        """cid and whole set of the classes that share a region, from one text each."""
+    def _needed_sets(self, docs: DataFrame, held: DataFrame, regions: DataFrame, order) -> str:
+        """A table of cid and whole set of the classes that share a region, from one text each, bucketed by cid.
+
+        Each round joins pairs to it; only the pairs are shuffled.
+        """
         need = held.select("cid", "sig", "rep").join(regions.select("cid").distinct(), "cid", "left_semi")
-        ids = need.select(F.col("rep")).distinct()
+        ids = need.select("rep").distinct()
         some = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         sets = _sets(some, self.size, order, None, True).where("n > 0").select("sig", "own")
-        return written(sets.join(need.select("sig", "cid"), "sig").dropDuplicates(["cid"]).select("cid", "own"), "jaccard-sets")
+        name = f"jaccard_sets_{uuid.uuid4().hex}"
+        one = sets.join(need.select("sig", "cid"), "sig").select("cid", "own").repartition(SET_BUCKETS, "cid").dropDuplicates(["cid"])
+        one.write.bucketBy(SET_BUCKETS, "cid").sortBy("cid").saveAsTable(name)
+        return name
 
-    def _pivot_pairs(self, regions: DataFrame, comps: DataFrame, measured: DataFrame, step: int) -> DataFrame:
-        """a, b: classes of each region and the region's pivot of this round, if of another component and not yet measured."""
-        rows = regions.join(comps, "cid")
+    @staticmethod
+    def _open(regions: DataFrame, comps: DataFrame) -> DataFrame:
+        """h, cid, n, comp: regions that hold more than one component."""
+        rows = regions.select("h", "cid", "n").join(comps, "cid")
+        left = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+        return checkpointed(rows.join(left, "h"))
+
+    def _pivot_pairs(self, rows: DataFrame, measured: DataFrame, step: int) -> DataFrame:
+        """cid, pivot: classes of each region and its pivot of this round, if of another component and not yet measured."""
         draw = F.struct(F.xxhash64("comp", F.lit(step)).alias("x"), F.col("comp").alias("pc"), F.xxhash64("cid", F.lit(step)).alias("y"), F.col("cid").alias("pivot"), F.col("n").alias("pn"))
-        drawn = rows.groupBy("h").agg(F.max(draw).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "p.*")
-        pairs = rows.join(drawn, "h").where((F.col("comp") != F.col("pc")) & self._sizes_fit(F.col("n"), F.col("pn")))
-        pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-        return pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
-
-    def _measured(self, pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-        """a, b, both (shingles of both), and linked, of each pair."""
-        first = sets.select(F.col("cid").alias("a"), F.col("own").alias("x"))
-        second = sets.select(F.col("cid").alias("b"), F.col("own").alias("y"))
-        found = pairs.join(first, "a").join(second, "b")
+        drawn = rows.groupBy("h").agg(F.max(draw).alias("p")).select("h", "p.*")
+        pairs = rows.join(drawn, "h").where((F.col("comp") != F.col("pc")) & self._sizes_fit(F.col("n"), F.col("pn"))).select("cid", "pivot")
+        return self._new(pairs, measured)
+
+    @staticmethod
+    def _new(pairs: DataFrame, measured: DataFrame) -> DataFrame:
+        """Distinct pairs not yet measured either way round."""
+        known = measured.select("cid", "pivot").union(measured.select("pivot", "cid"))
+        return pairs.distinct().join(known, ["cid", "pivot"], "left_anti")
+
+    def _measured(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """cid, pivot, both (shingles of both), sum (of sizes) and linked, of each pair."""
+        pairs = checkpointed(pairs)
+        pivots = sets.join(pairs.select(F.col("pivot").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("pivot"), F.col("own").alias("y"))
+        found = pairs.join(sets.select("cid", F.col("own").alias("x")), "cid").join(pivots, "pivot")
         both = F.size(F.array_intersect("x", "y")).cast("long")
-        found = found.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+        found = found.select("cid", "pivot", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
         return checkpointed(found.withColumn("linked", 100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))))
 
     @staticmethod
     def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
         """comps after the links of ``found``: the graph of components is contracted."""
-        links = found.where("linked").select("a", "b")
-        edges = links.join(comps.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("cid").alias("b"), F.col("comp").alias("cb")), "b")
-        labels = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        labels = labels.select("node", F.col("comp").alias("merged"))
+        links = found.where("linked").select("cid", "pivot")
+        edges = links.join(comps.select("cid", F.col("comp").alias("a")), "cid").join(comps.select(F.col("cid").alias("pivot"), F.col("comp").alias("b")), "pivot")
+        labels = components(edges.select("a", "b")).select("node", F.col("comp").alias("merged"))
         return checkpointed(comps.join(labels, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("merged", "comp").alias("comp")))
 
-    def _rest(self, regions: DataFrame, held: DataFrame, comps: DataFrame, measured: DataFrame, sizes: DataFrame) -> DataFrame:
-        """a, b: what neither components, sizes nor distances to a common pivot decide."""
-        rows = regions.join(comps, "cid")
-        open_ = rows.groupBy("h").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "k")
-        rows = checkpointed(rows.join(open_, "h"))
-        small = rows.where(F.col("k") <= LARGE).select(F.col("h"), F.lit(0).cast("long").alias("h2"), "cid", "n", "comp")
+    def _rest(self, rows: DataFrame, held: DataFrame, measured: DataFrame) -> DataFrame:
+        """cid, pivot: what neither components, sizes nor distances to a common pivot decide."""
+        many = rows.groupBy("h").agg(F.count("*").alias("k"))
+        rows = rows.join(many, "h")
+        small = rows.where(F.col("k") <= LARGE).select("h", F.lit(0).cast("long").alias("h2"), "cid", "n", "comp")
         # the second pivot two sets share comes after the first in the order, in windows one longer
         large = rows.where(F.col("k") > LARGE).join(held.select("cid", "own"), "cid")
         large = large.select("h", F.explode(F.filter("own", lambda x: x > F.col("h"))).alias("h2"), "cid", "n", "comp")
         rows = small.union(large)
-        left = rows.select("h", "h2", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-        right = rows.select("h", "h2", F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-        pairs = left.join(right, (left["h"] == right["h"]) & (left["h2"] == right["h2"]) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & self._sizes_fit(F.col("an"), F.col("bn")))
-        pairs = pairs.select("a", "b").distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
-        return self._apart(pairs, measured, sizes)
+        left = rows.select("h", "h2", "cid", "n", "comp")
+        right = rows.select("h", "h2", F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
+        apart = (F.col("cid") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & self._sizes_fit(F.col("n"), F.col("pn"))
+        pairs = left.join(right, (left["h"] == right["h"]) & (left["h2"] == right["h2"]) & apart).select("cid", "pivot")
+        return self._within(self._new(pairs, measured), measured)
 
-    def _apart(self, pairs: DataFrame, measured: DataFrame, sizes: DataFrame) -> DataFrame:
-        """Pairs without those that a common pivot p holds apart: |d(a, p) - d(b, p)| > r.
+    def _within(self, pairs: DataFrame, measured: DataFrame) -> DataFrame:
+        """Pairs without those that a common pivot p holds apart: |d(x, p) - d(y, p)| > r.
 
         Each class names the pivot it was measured against last; pairs that name the same are tested.
         """
-        n = sizes.select(F.col("cid").alias("a"), F.col("n").alias("na"))
-        m = sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb"))
-        known = measured.join(n, "a").join(m, "b").withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
-        known = known.select(F.col("a").alias("cid"), F.col("b").alias("p"), "d").union(known.select(F.col("b"), F.col("a"), "d"))
-        named = known.groupBy("cid").agg(F.max(F.struct("p", "d")).alias("p"))
-        r = 1 - self.percent / 100 + 1e-9
-        out = pairs.join(named.select(F.col("cid").alias("a"), F.col("p").alias("pa")), "a", "left").join(named.select(F.col("cid").alias("b"), F.col("p").alias("pb")), "b", "left")
-        apart = (F.col("pa.p") == F.col("pb.p")) & (F.abs(F.col("pa.d") - F.col("pb.d")) > r)
-        return out.where(~F.coalesce(apart, F.lit(False))).select("a", "b")
+        d = (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("d")
+        known = measured.select("cid", F.col("pivot").alias("p"), d).union(measured.select("pivot", "cid", d))
+        named = known.groupBy("cid").agg(F.max(F.struct("p", "d")).alias("to"))
+        out = pairs.join(named, "cid", "left").join(named.select(F.col("cid").alias("pivot"), F.col("to").alias("other")), "pivot", "left")
+        apart = (F.col("to.p") == F.col("other.p")) & (F.abs(F.col("to.d") - F.col("other.d")) > 1 - self.percent / 100 + 1e-9)
+        return out.where(~F.coalesce(apart, F.lit(False))).select("cid", "pivot")
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
