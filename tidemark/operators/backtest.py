@@ -1,11 +1,157 @@
-"""Backtest measures as windows and aggregates."""
+"""Backtest measures as windows and aggregates; sequential engines as grouped folds over small states."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.exprs import norm_cdf, norm_ppf, ratio
+from tidemark.functions.windows import whole
+
 
 def index_level(market: DataFrame, ret: str) -> DataFrame:
     """date, level: a series compounded. One row a day, so one ordered window over the calendar is small whatever the bars."""
     return market.select("date", F.exp(F.sum(F.ln(1 + F.col(ret))).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))).alias("level"))
+
+
+def performance(rows: DataFrame, key: str, order: str, ret: str, periods: float, rate: float = 0.0) -> DataFrame:
+    """key, n, total, annual, vol, sharpe, max_drawdown, hit_rate of a return series of each key."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    growth = rows.select(key, order, ret, F.exp(F.sum(F.ln(1 + F.col(ret))).over(w)).alias("g"))
+    growth = growth.withColumn("dd", F.col("g") / F.greatest(F.max("g").over(w), F.lit(1.0)) - 1)
+    out = growth.groupBy(key).agg(
+        F.count("*").alias("n"), (F.max_by("g", order) - 1).alias("total"), F.stddev_samp(ret).alias("sd"), F.avg(ret).alias("mean"),
+        F.least(F.min("dd"), F.lit(0.0)).alias("max_drawdown"), F.avg((F.col(ret) > 0).cast("double")).alias("hit_rate"),
+    )
+    return out.select(
+        key, "n", "total", (F.pow(1 + F.col("total"), periods / F.col("n")) - 1).alias("annual"), (F.col("sd") * periods**0.5).alias("vol"),
+        ratio((F.col("mean") - rate / periods) * periods**0.5, F.col("sd")).alias("sharpe"), "max_drawdown", "hit_rate",
+    )
+
+
+def against_benchmark(rows: DataFrame, key: str, ret: str, bench: str, periods: int = 252, least: int = 20) -> DataFrame:
+    """key, beta, alpha, tracking_error, information_ratio of aligned returns, with ``least`` of them at least."""
+    active = F.col(ret) - F.col(bench)
+    out = rows.groupBy(key).agg(
+        F.count("*").alias("n"), ratio(F.covar_samp(ret, bench), F.var_samp(bench)).alias("beta"), F.avg(ret).alias("r"), F.avg(bench).alias("b"),
+        F.stddev_samp(active).alias("te"), F.avg(active).alias("a"),
+    ).where(F.col("n") >= least)
+    return out.select(
+        key, "beta", ((F.col("r") - F.col("beta") * F.col("b")) * periods).alias("alpha"), (F.col("te") * periods**0.5).alias("tracking_error"),
+        ratio(F.col("a") * periods**0.5, F.col("te")).alias("information_ratio"),
+    )
+
+
+def sharpe_statistics(rows: DataFrame, key: str, ret: str, trials: int = 10, target: float = 0.0) -> DataFrame:
+    """key, sharpe, psr, dsr: the probability that the true ratio exceeds a target, and the best of ``trials`` by luck."""
+    s = rows.groupBy(key).agg(F.count(ret).alias("n"), ratio(F.avg(ret), F.stddev_samp(ret)).alias("sr"), F.skewness(ret).alias("skew"), (F.kurtosis(ret) + 3).alias("kurt"))
+    spread = F.sqrt((1 - F.col("skew") * F.col("sr") + (F.col("kurt") - 1) / 4 * F.col("sr") * F.col("sr")) / (F.col("n") - 1))
+    euler = 0.5772156649015329
+    luck = F.lit(0.0) if trials <= 1 else spread * ((1 - euler) * norm_ppf(F.lit(1 - 1 / trials)) + euler * norm_ppf(F.lit(1 - 1 / (trials * 2.718281828459045))))
+    return s.select(key, F.col("sr").alias("sharpe"), norm_cdf((F.col("sr") - target) / spread).alias("psr"), norm_cdf((F.col("sr") - luck) / spread).alias("dsr"))
+
+
+def purged_folds(rows: DataFrame, key: str, k: int = 5, embargo: float = 0.01, horizon: int = 20) -> DataFrame:
+    """key, date, fold, role: each row in each fold as test, train, purged (its label reaches into the test) or embargoed."""
+    w = Window.partitionBy(key).orderBy("date")
+    placed = rows.select(key, "date", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(whole(key)).alias("n"))
+    folds = placed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    lo, hi = F.floor(F.col("n") * F.col("fold") / k), F.floor(F.col("n") * (F.col("fold") + 1) / k)
+    role = (
+        F.when((F.col("i") >= lo) & (F.col("i") < hi), "test").when((F.col("i") < lo) & (F.col("i") + horizon > lo), "purged")
+        .when((F.col("i") >= hi) & (F.col("i") < hi + F.floor(F.col("n") * embargo)), "embargo").otherwise("train")
+    )
+    return folds.select(key, "date", "fold", role.alias("role"))
+
+
+def dca(rows: DataFrame, key: str, order: str, ret: str, each: float, first: float) -> DataFrame:
+    """key, order, paid, worth: v = (v + c)(1 + r) in closed form, v_t = G_t (first + sum of c / G before)."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    g = rows.select(key, order, ret, F.exp(F.sum(F.ln(1 + F.col(ret))).over(w)).alias("g"))
+    before = F.col("g") / (1 + F.col(ret))
+    return g.select(key, order, (first + each * F.count("*").over(w)).alias("paid"), (F.col("g") * (first + F.sum(each / before).over(w))).alias("worth"))
+
+
+def scenarios(rows: DataFrame, gross: Column, turnover: Column, bps: list[int]) -> DataFrame:
+    """Each row once for each cost in basis points, with net: gross less twice the turnover's cost."""
+    cases = F.explode(F.array(*[F.lit(b) for b in bps])).alias("bps")
+    return rows.select("*", cases).withColumn("net", gross - turnover * 2 * F.col("bps") / 10000)
+
+
+def selected(panel: DataFrame, by: str, score: str, n: int = 20, cap: float = 0.05, sector_cap: float = 0.30) -> DataFrame:
+    """by, ticker, sector, weight: the best of each date, at most a sector's share of places, equal and capped weights."""
+    places = max(1, int(sector_cap * n))
+    w = Window.partitionBy(by, "sector").orderBy(F.desc(score), "ticker")
+    fits = panel.withColumn("_s", F.row_number().over(w)).where(F.col("_s") <= places)
+    top = fits.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), "ticker"))).where(F.col("_k") <= n)
+    weight = F.least(F.lit(cap), 1 / F.count("*").over(whole(by)))
+    held = top.select(by, "ticker", "sector", weight.alias("weight"))
+    return held.withColumn("weight", F.col("weight") / F.sum("weight").over(whole(by)))
+
+
+def greedy(panel: DataFrame, by: str, n: int = 20, sector_cap: float = 0.30) -> DataFrame:
+    """by, ticker, weight: names still among the best 2n stay first, then the best, under a sector cap.
+
+    Each date depends on the one before, so dates are folded in order; candidates (2n a date) are chosen in Spark first.
+    """
+    w = Window.partitionBy(by).orderBy(F.desc("score"), "ticker")
+    few = panel.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 2 * n).withColumn("run", F.lit(0))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        held: set = set()
+        out = []
+        for at, day in rows.sort_values([by, "k"]).groupby(by, sort=True):
+            room: dict = {}
+            picked = []
+            for row in sorted(day.itertuples(), key=lambda r: (r.ticker not in held, r.k)):
+                if len(picked) < n and room.get(row.sector, 0) < max(1, int(sector_cap * n)):
+                    picked.append(row.ticker)
+                    room[row.sector] = room.get(row.sector, 0) + 1
+            held = set(picked)
+            out += [(at, t, 1 / len(picked)) for t in picked]
+        return pd.DataFrame(out, columns=[by, "ticker", "weight"])
+
+    return few.groupBy("run").applyInPandas(fold, f"{by} date, ticker long, weight double")
+
+
+def bootstrap_sharpe(rows: DataFrame, key: str, ret: str, periods: float, draws: int = 500, seed: int = 42) -> DataFrame:
+    """key, low, high: a seeded bootstrap's 95 % range of the annual ratio; a key is a series of a return a period."""
+
+    def draw(part: pd.DataFrame) -> pd.DataFrame:
+        r = part.sort_values("date")[ret].to_numpy()
+        rng = np.random.default_rng(seed)
+        some = r[rng.integers(0, len(r), (draws, len(r)))]
+        sd = some.std(axis=1)
+        s = np.where(sd > 0, some.mean(axis=1) / np.where(sd > 0, sd, 1), 0) * periods**0.5
+        low, high = np.percentile(s, [2.5, 97.5])
+        return pd.DataFrame({key: [part[key].iloc[0]], "low": [low], "high": [high]})
+
+    return rows.select(key, "date", ret).groupBy(key).applyInPandas(draw, f"{key} long, low double, high double")
+
+
+def run_orders(bars: DataFrame, strategy: Callable[[pd.Series, dict], float], cash: float = 100_000.0, slip_bps: float = 5.0, fee: float = 1.0, share: float = 0.1) -> DataFrame:
+    """ticker, date, cash, shares, equity: an event loop of each ticker's strategy, a day at a time.
+
+    ``strategy`` gets a bar and the state and says how many shares to hold; fills are at most ``share`` of the day's
+    volume, slipped and charged; what the cash can't buy is left.
+    """
+
+    def loop(part: pd.DataFrame) -> pd.DataFrame:
+        state = {"cash": cash, "shares": 0.0}
+        out = []
+        for _, bar in part.sort_values("date").iterrows():
+            wanted = strategy(bar, state) - state["shares"]
+            fill = float(np.clip(wanted, -share * bar["volume"], share * bar["volume"]))
+            price = bar["close"] * (1 + np.sign(fill) * slip_bps / 1e4)
+            fill = max(-state["shares"], min(fill, max(0.0, (state["cash"] - fee) / price)))
+            if abs(fill) > 1e-9:
+                state["cash"] -= fill * price + fee
+                state["shares"] += fill
+            out.append((bar["ticker"], bar["date"], state["cash"], state["shares"], state["cash"] + state["shares"] * bar["close"]))
+        return pd.DataFrame(out, columns=["ticker", "date", "cash", "shares", "equity"])
+
+    return bars.select("ticker", "date", "close", "volume").groupBy("ticker").applyInPandas(loop, "ticker long, date date, cash double, shares double, equity double")

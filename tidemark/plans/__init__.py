@@ -1,6 +1,6 @@
 """Registered queries and the SQL that their rows are held against."""
 
-from tidemark.plans import factors, relational  # noqa: F401
+from tidemark.plans import factors, quality, relational, valuation, xsec  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

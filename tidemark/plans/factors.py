@@ -227,9 +227,9 @@ def f28_money_flow(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {V.RETS}, {_FLOWS} SELECT ticker, date, CASE WHEN mfi < 20 THEN 'oversold' WHEN mfi > 80 THEN 'overbought' ELSE 'neutral' END AS class,
-CASE WHEN obv_slope > 0.01 THEN 'rising' WHEN obv_slope < -0.01 THEN 'falling' ELSE 'flat' END AS trend FROM mfi WHERE date >= DATE '2001-06-01'""")
+CASE WHEN obv_slope > 0.01 THEN 'rising' WHEN obv_slope < -0.01 THEN 'falling' ELSE 'flat' END AS trend FROM mfi""")
 def h08_flow_classes(spark: SparkSession, d: str) -> DataFrame:
-    rows = _flow_rows(spark, d).where("date >= '2001-06-01'")
+    rows = _flow_rows(spark, d)
     kind = F.when(F.col("mfi") < 20, "oversold").when(F.col("mfi") > 80, "overbought").otherwise("neutral")
     trend = F.when(F.col("obv_slope") > 0.01, "rising").when(F.col("obv_slope") < -0.01, "falling").otherwise("flat")
     return rows.select("ticker", "date", kind.alias("class"), trend.alias("trend"))
@@ -317,9 +317,8 @@ def f42_supply_chain_momentum(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {V.RETS}, v AS (SELECT *, CASE WHEN count(ret) OVER {_n(20)} >= 20 THEN stddev_samp(ret) OVER {_n(20)} END AS vol, row_number() OVER ({_W}) AS k FROM rets),
-h AS (SELECT a.ticker, a.date, a.close, a.vol, b.date AS bd, b.close AS bc, b.k - a.k AS ahead FROM v a JOIN v b ON a.ticker = b.ticker AND b.k BETWEEN a.k + 1 AND a.k + 20 WHERE a.vol IS NOT NULL AND a.ticker <= 20)
+h AS (SELECT a.ticker, a.date, a.close, a.vol, b.date AS bd, b.close AS bc, b.k - a.k AS ahead FROM v a JOIN v b ON a.ticker = b.ticker AND b.k BETWEEN a.k + 1 AND a.k + 20 WHERE a.vol IS NOT NULL)
 SELECT ticker, date, CAST(coalesce(sign(arg_min(bc, ahead) FILTER (abs(bc / close - 1) >= 2 * vol) - any_value(close)), 0) AS INTEGER) AS label,
 arg_min(bd, ahead) FILTER (abs(bc / close - 1) >= 2 * vol) AS touched, round(coalesce(arg_min(bc, ahead) FILTER (abs(bc / close - 1) >= 2 * vol), arg_max(bc, ahead)) / any_value(close) - 1, 6) AS ret FROM h GROUP BY 1, 2""")
 def l01_triple_barrier(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of the tickers up to 20: a universe, not a cut of the data read."""
-    return A.triple_barrier(V.returns(spark, d).where("ticker <= 20")).withColumn("ret", six(F.col("ret")))
+    return A.triple_barrier(V.returns(spark, d)).withColumn("ret", six(F.col("ret")))
