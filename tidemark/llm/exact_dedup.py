@@ -21,6 +21,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.shared import checkpointed, fitting
+
 HOT_SHARE = 0.001
 BUCKETS = 64
 
@@ -81,18 +83,22 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of equal texts.
 
-    A group whose ids are all null, or in which the doc_id that stays is repeated, keeps each such row's first.
+    Only the groups of two rows or more are looked up: they are broadcast where they are few, and
+    joined by shuffle otherwise. Repeated rows of the doc_id that stays are told apart by their place.
     """
     columns = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", "text")
     index = DigestIndex(docs.sparkSession)
     index.add(docs)
-    stay = index.rows().select("keep_id", "digest")
-    # only the rows that stay are looked for, one a digest: no key of this join repeats but for repeated rows
-    rows = held.withColumn("digest", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    found = rows.join(stay, (rows["digest"] == stay["digest"]) & rows["doc_id"].eqNullSafe(stay["keep_id"]), "left_semi")
-    return found.groupBy("doc_id", "digest").agg(F.first("row").alias("row")).select("row.*") if _repeats(found) else found.select("row.*")
-
-
-def _repeats(found: DataFrame) -> bool:
-    return found.select("doc_id", "digest").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count() > 0
+    groups = fitting(checkpointed(index.rows().where("group_size > 1").select(F.col("digest").alias("of"), "keep_id")))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("digest"))
+    found = held.join(groups, F.col("digest") == F.col("of"), "left")
+    stay = found.where(F.col("of").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # of rows repeated under the doc_id that stays the first place stays
+    places = digests(docs).withColumn("place", F.monotonically_increasing_id()).join(groups, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    again = checkpointed(places.groupBy("digest").agg(F.count("*").alias("k"), F.min("place").alias("first")).where("k > 1"))
+    if again.isEmpty():
+        return stay.select("row.*")
+    numbered = held.withColumn("place", F.monotonically_increasing_id()).join(groups, F.col("digest") == F.col("of"), "left")
+    numbered = numbered.join(fitting(again.select(F.col("digest").alias("twice"), "first")), F.col("digest") == F.col("twice"), "left")
+    one = F.col("of").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("twice").isNull() | (F.col("place") == F.col("first")))
+    return numbered.where(one).select("row.*")

@@ -11,10 +11,11 @@ never meet again.
   ``n - ceil((1 - r) n)`` of its n shingles, so its region is that of one of the
   first ``n - ceil((1 - r) n) + 1`` pivots: the set is replicated to those windows
   and to no other. Regions of one class end here.
-* In a region the pivots are sets. In each round one is drawn, all others of the
-  region are measured against it, and those within r join its component. Sets of
-  one component need no more comparison, nor do pairs whose sizes (distances to
-  the empty set) or whose distances to a pivot differ by too much to be within r.
+* Small regions join pair by pair. In a large one the pivots are sets: in each round
+  one is drawn, all others of the region are measured against it, and those within r
+  join its component. Sets of one component need no more comparison, nor do pairs
+  whose sizes (distances to the empty set), whose windows (the part of the symmetric
+  difference that both show) or whose distances to a pivot hold them apart by over r.
 * Regions that stay large are split again by the second pivot that two sets share
   (their windows grow by one), and what remains is compared pair by pair.
 
@@ -41,10 +42,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.words import joined, mixed, slices, texts, words
-from tidemark.shared import checkpointed, dropped, written
+from tidemark.shared import checkpointed, dropped, fitting, written
 
-#: Buckets of the word table (4 MB), its cuts, rounds of set pivots, rows from which a region is split again, buckets of the sets.
-BUCKETS, _CUTS, ROUNDS, LARGE, SET_BUCKETS = 1 << 22, 64, 4, 48, 64
+#: Buckets of the word table (4 MB) and its cuts; the most classes of a small region, rounds of set pivots in the
+#: others, rows from which they are split again; buckets of the table of sets.
+BUCKETS, _CUTS, SMALL, ROUNDS, LARGE, SET_BUCKETS = 1 << 22, 64, 12, 3, 48, 64
 _SHIFT = np.uint64(42)
 
 
@@ -111,8 +113,8 @@ def word_classes(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, size: int, order, window, whole: bool) -> DataFrame:
-    """doc_id, n, sig (digest of the set; null for none) and the first shingles in order (all if ``whole``)."""
+def _sets(docs: DataFrame, keys: list[str], size: int, order, window) -> DataFrame:
+    """keys, n, sig (digest of the set; null for none) and the first shingles in order, as many as window says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,16 +126,16 @@ def _sets(docs: DataFrame, size: int, order, window, whole: bool) -> DataFrame:
                     own = np.unique(ranked[cut[k] : cut[k + 1]])
                     n[k] = len(own)
                     sigs.append(blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                    kept.append(own if whole else own[: window(len(own))])
+                    kept.append(own[: window(len(own))])
                 ends = np.append(0, np.cumsum([len(x) for x in kept]))
                 flat = np.concatenate(kept).astype(np.int64) if kept else np.zeros(0, np.int64)
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(at, len(part)), pa.array(n), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    ["doc_id", "n", "sig", "own"],
+                    [*(batch.column(k).slice(at, len(part)) for k in keys), pa.array(n), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                    [*keys, "n", "sig", "own"],
                 )
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, sig binary, own array<long>")
+    kinds = "".join(f"{k} {docs.schema[k].dataType.simpleString()}, " for k in keys)
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}n long, sig binary, own array<long>")
 
 
 class JaccardJoin:
@@ -154,31 +156,35 @@ class JaccardJoin:
         """Every row's doc_id, n and sig; and sig with component_id for each class, both written."""
         spark = docs.sparkSession
         order = spark.sparkContext.broadcast(word_classes(docs))
-        rows = written(_sets(docs, self.size, order, self._window(), False), "jaccard-rows")
-        held = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("own").alias("own"))
-        held = written(held.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
+        numbered = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+        rows = written(_sets(numbered, ["doc_id", "rid"], self.size, order, self._window()), "jaccard-rows")
+        reps = written(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("cid")), "jaccard-classes")
+        held = rows.join(fitting(reps.select("cid")), F.col("rid") == F.col("cid")).select("cid", F.col("n").cast("int").alias("n"), "own")
 
         regions = self._regions(held)
-        sets = self._needed_sets(docs, held, regions, order)
+        close = checkpointed(self._apart(self._small_pairs(regions), held))
+        sets = self._needed_sets(docs, rows, close, regions, order)
         comps = checkpointed(regions.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
-        measured = checkpointed(spark.createDataFrame([], "cid long, pivot long, both long, sum long"))
-        left = regions
+        measured = self._measured(close, spark.table(sets))
+        comps = self._merged(comps, measured)
+        left = regions.where(F.col("k") > SMALL).select("h", "cid", "n")
         for step in range(ROUNDS):
             left = self._open(left, comps)
-            found = self._measured(self._pivot_pairs(left, measured, step), spark.table(sets))
+            found = self._measured(self._apart(self._pivot_pairs(left, measured, step), held), spark.table(sets))
             if found.isEmpty():
                 break
             comps = self._merged(comps, found)
-            measured = checkpointed(measured.union(found.select("cid", "pivot", "both", "sum")))
+            measured = checkpointed(measured.union(found))
         left = self._open(left, comps)
-        found = self._measured(self._rest(left, held, measured), spark.table(sets))
-        comps = self._merged(comps, found)
-        named = held.select("cid", "sig", "rep").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        if not left.isEmpty():
+            pairs = self._within(self._rest(left, held, measured), measured)
+            comps = self._merged(comps, self._measured(self._apart(pairs, held), spark.table(sets)))
+        named = reps.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
         out = written(named.join(ids, "comp").select("sig", "component_id"), "jaccard-components")
         spark.sql(f"DROP TABLE {sets}")
         dropped(regions)
-        dropped(held)
+        dropped(reps)
         return rows, out
 
     def joined(self, docs: DataFrame) -> DataFrame:
@@ -188,27 +194,54 @@ class JaccardJoin:
         return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
     def _regions(self, held: DataFrame) -> DataFrame:
-        """h, cid, n: the windows of each class, where another class has the same pivot.
+        """h, cid, n, k: the windows of each class, where k > 1 classes have the same pivot.
 
         A pivot with a word that occurs once in all texts (class 1) is no other text's.
         """
         # the last of own, if there is one more, serves regions that are split again
         inside = F.expr(f"filter(slice(own, 1, cast(n - (n * {self.percent} + 99) div 100 + 1 as int)), x -> x >= {2 << 57})")
-        windows = held.select("cid", F.col("n").cast("int").alias("n"), F.explode(inside).alias("h"))
-        shared = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+        windows = held.select("cid", "n", F.explode(inside).alias("h"))
+        shared = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
         return written(windows.join(shared, "h"), "jaccard-regions")
 
-    def _needed_sets(self, docs: DataFrame, held: DataFrame, regions: DataFrame, order) -> str:
-        """A table of cid and whole set of the classes that share a region, from one text each, bucketed by cid.
+    def _small_pairs(self, regions: DataFrame) -> DataFrame:
+        """cid, pivot: the pairs of regions of SMALL classes at most, by size."""
+        rows = regions.where(F.col("k") <= SMALL).select("h", "cid", "n")
+        other = rows.select("h", F.col("cid").alias("pivot"), F.col("n").alias("pn"))
+        return rows.join(other, "h").where((F.col("cid") < F.col("pivot")) & self._sizes_fit(F.col("n"), F.col("pn"))).select("cid", "pivot").distinct()
+
+    def _apart(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """Pairs less those whose windows differ by more than sets within r can.
+
+        Up to the lesser of the windows' ends both sets are known; what only one holds there belongs to the
+        symmetric difference, which for sets within r is at most r / (2 - r) of the sum of sizes.
+        """
+        pairs = checkpointed(pairs)
+        first = held.select("cid", F.col("n").alias("nx"), F.col("own").alias("x"))
+        second = held.select(F.col("cid").alias("pivot"), F.col("n").alias("ny"), F.col("own").alias("y"))
+        some = pairs.select("pivot").distinct()
+        rows = first.join(fitting(pairs), "cid").join(second.join(fitting(checkpointed(some)), "pivot", "left_semi"), "pivot")
+        whole = lambda own, n: F.size(own) == n  # noqa: E731  a set that ends within its window is known to the end
+        end = F.least(F.when(~whole("x", F.col("nx")), F.element_at("x", -1)), F.when(~whole("y", F.col("ny")), F.element_at("y", -1)))
+        known = lambda own: F.when(F.col("end").isNull(), F.col(own)).otherwise(F.filter(own, lambda v: v <= F.col("end")))
+        rows = rows.withColumn("end", end).withColumns({"x": known("x"), "y": known("y")})
+        differ = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
+        # 100 both >= percent (sum - both), both = (sum - difference) / 2
+        fits = 100 * (F.col("nx") + F.col("ny") - differ) >= self.percent * (F.col("nx") + F.col("ny") + differ)
+        return rows.where(fits).select("cid", "pivot")
+
+    def _needed_sets(self, docs: DataFrame, rows: DataFrame, close: DataFrame, regions: DataFrame, order) -> str:
+        """A table of cid and whole set of the classes whose pairs may be measured, from one text each, bucketed by cid.
 
         Each round joins pairs to it; only the pairs are shuffled.
         """
-        need = held.select("cid", "sig", "rep").join(regions.select("cid").distinct(), "cid", "left_semi")
-        ids = need.select("rep").distinct()
-        some = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-        sets = _sets(some, self.size, order, None, True).where("n > 0").select("sig", "own")
+        need = close.select("cid").union(close.select("pivot")).union(regions.where(F.col("k") > SMALL).select("cid")).distinct()
+        need = checkpointed(rows.select("rid", "doc_id", "sig").join(need, F.col("rid") == F.col("cid")).select("cid", "sig", F.col("doc_id").alias("rep")))
+        ids = checkpointed(need.select("rep").distinct())
+        some = docs.select("doc_id", "text").join(fitting(ids), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        sets = _sets(some, [], self.size, order, lambda n: n).where("n > 0").select("sig", "own")
         name = f"jaccard_sets_{uuid.uuid4().hex}"
-        one = sets.join(need.select("sig", "cid"), "sig").select("cid", "own").repartition(SET_BUCKETS, "cid").dropDuplicates(["cid"])
+        one = sets.join(fitting(need.select("sig", "cid")), "sig").select("cid", "own").repartition(SET_BUCKETS, "cid").dropDuplicates(["cid"])
         one.write.bucketBy(SET_BUCKETS, "cid").sortBy("cid").saveAsTable(name)
         return name
 
@@ -250,7 +283,7 @@ class JaccardJoin:
         return checkpointed(comps.join(labels, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("merged", "comp").alias("comp")))
 
     def _rest(self, rows: DataFrame, held: DataFrame, measured: DataFrame) -> DataFrame:
-        """cid, pivot: what neither components, sizes nor distances to a common pivot decide."""
+        """cid, pivot: what neither components nor sizes decide."""
         many = rows.groupBy("h").agg(F.count("*").alias("k"))
         rows = rows.join(many, "h")
         small = rows.where(F.col("k") <= LARGE).select("h", F.lit(0).cast("long").alias("h2"), "cid", "n", "comp")
@@ -262,7 +295,7 @@ class JaccardJoin:
         right = rows.select("h", "h2", F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
         apart = (F.col("cid") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & self._sizes_fit(F.col("n"), F.col("pn"))
         pairs = left.join(right, (left["h"] == right["h"]) & (left["h2"] == right["h2"]) & apart).select("cid", "pivot")
-        return self._within(self._new(pairs, measured), measured)
+        return self._new(pairs, measured)
 
     def _within(self, pairs: DataFrame, measured: DataFrame) -> DataFrame:
         """Pairs without those that a common pivot p holds apart: |d(x, p) - d(y, p)| > r.
@@ -284,6 +317,6 @@ def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
     """
     columns = docs.columns
     found = JaccardJoin(size, percent).joined(docs)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
+    gone = fitting(checkpointed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id")
-    return held.join(gone, held["doc_id"] == gone["gone"], "left_anti").select("row.*")
+    return held.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("row.*")
