@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,3 +45,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, in files that all executors share and Spark cleans up."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows of a few numbers each that may be broadcast: some 50 MB at most.
+MOST_BROADCAST = 1_000_000
+
+
+def fitting(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, a written or checkpointed table of short rows, to be broadcast if it has ``most`` rows at most; else joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
