@@ -1,26 +1,28 @@
 """N-gram Jaccard join: exact links between texts as a join in the metric space of word-shingle sets.
 
-A text is its set of shingles, known by 57-bit hashes under a global order, those
-with the rarest words first (word counts over all texts are held by class in a table
-of fixed size; the order affects speed alone). Texts with equal sets are one class, so copies
-never meet again.
+A text is its set of shingles, known by 51-bit hashes under a global order: rare shingles
+first, of equally rare ones those with the rarest words (counts of shingles and of words over
+all texts are held by class in tables of fixed size; the order affects speed alone). Texts with
+equal sets are one class, so copies never meet again.
 
 * Pivots and Voronoi regions. The pivots of the first level are single shingles in
   the global order; a set lies in the region of the first pivot it holds. Jaccard
   distance d is a metric, and a set within r of this one lacks at most
   ``n - ceil((1 - r) n)`` of its n shingles, so its region is that of one of the
   first ``n - ceil((1 - r) n) + 1`` pivots: the set is replicated to those windows
-  and to no other. Regions of one class end here.
+  and to no other. Regions of one class end here. Of a pair only its first common pivot
+  counts: what both hold before it is in the symmetric difference.
 * Small regions join pair by pair. In a large one the pivots are sets: in each round
-  one is drawn, all others of the region are measured against it, and those within r
-  join its component. Sets of one component need no more comparison, nor do pairs
+  one is drawn (first the set whose rarest shingle is the most frequent: an original has
+  no shingles of its own, its edited copies have), all others of the region are measured
+  against it, and those within r join its component. Sets of one component need no more comparison, nor do pairs
   whose sizes (distances to the empty set), whose windows (the part of the symmetric
   difference that both show) or whose distances to a pivot hold them apart by over r.
 * Regions that stay large are split again by the second pivot that two sets share
   (their windows grow by one), and what remains is compared pair by pair.
 
 Nothing is dropped or capped, so components are exact (up to hash collisions of
-about n^2 / 2^58 within a text). Groups of near copies are measured against a few
+about n^2 / 2^52 within a text). Groups of near copies are measured against a few
 pivots rather than each other.
 
 Nulls: a null or empty text has no shingles and links with nothing; a null doc_id
@@ -41,25 +43,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.words import joined, mixed, slices, texts, words
+from tidemark.llm.words import Words, joined, mixed, slices, texts, words
 from tidemark.shared import checkpointed, dropped, fitting, written
 
-#: Buckets of the word table (4 MB) and its cuts; the most classes of a small region, rounds of set pivots in the
-#: others, rows from which they are split again; buckets of the table of sets.
-BUCKETS, _CUTS, SMALL, ROUNDS, LARGE, SET_BUCKETS = 1 << 22, 64, 12, 3, 48, 64
-_SHIFT = np.uint64(42)
+#: Buckets of the tables of words and of shingles (2 and 8 MB); the most classes of a small region, rounds of set
+#: pivots in the others, rows from which they are split again; buckets of the table of sets.
+WORD_BITS, SHINGLE_BITS, SMALL, ROUNDS, LARGE, SET_BUCKETS = 21, 23, 12, 3, 48, 64
+#: Buckets sent together, and the place of the word class in an ordered shingle.
+_CUT, _WORD_AT = 1 << 16, 51
 
 
-def shingles(part: pa.Array, size: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of a slice of texts as ordered 63-bit numbers (with repeats), and the text of each.
+def _word_bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
-    The first six bits are the class of the shingle's rarest word, so that numeric order is rare first.
-    """
-    w = words(part)
+
+def _shingle_bucket(h: np.ndarray) -> np.ndarray:
+    """Shingles' buckets come after those of words."""
+    return (h >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64) + (1 << WORD_BITS)
+
+
+def _hashed(w: Words, size: int, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of a slice of texts (with repeats), the least of ``rare`` among each one's words, and its text."""
     h, doc = w.hashes, w.doc
-    if not len(h):
-        return h, doc
-    rare = table[(h >> _SHIFT).astype(np.int64)]
     rolled, least = mixed(h), rare
     full = np.ones(len(h), bool)
     for k in range(1, size):  # a shingle begins at each word that has size - 1 more in its text
@@ -77,39 +82,71 @@ def shingles(part: pa.Array, size: int, table: np.ndarray) -> tuple[np.ndarray,
         least = np.append(least, np.array([rare[x].min() for x in spans], np.uint8))
         order = np.argsort(owner, kind="stable")
         out, least, owner = out[order], least[order], owner[order]
-    return least.astype(np.uint64) << np.uint64(57) | out >> np.uint64(7), owner
+    return out, least, owner
 
 
-def word_classes(docs: DataFrame) -> np.ndarray:
-    """How many bits the count of words in each of BUCKETS has, over all texts: a table of fixed size.
+def shingles(part: pa.Array, size: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a slice of texts as ordered 63-bit numbers (with repeats), and the text of each.
 
-    1 says that a bucket's word occurs once in all texts (0 that none does). Tasks send the
-    buckets they met, in cuts; a task's counts above 255 count as 255, which keeps the order coarse, never wrong.
+    The first six bits are the shingle's class, the next six that of its rarest word: numeric order is rare first.
     """
-    each = BUCKETS // _CUTS
+    w = words(part)
+    if not len(w.hashes):
+        return w.hashes, w.doc
+    out, least, owner = _hashed(w, size, table[_word_bucket(w.hashes)])
+    own = table[_shingle_bucket(out)].astype(np.uint64)
+    return own << np.uint64(57) | least.astype(np.uint64) << np.uint64(_WORD_AT) | out >> np.uint64(64 - _WORD_AT), owner
+
+
+def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
+    """How many bits the counts of words and of shingles have, by bucket, over all texts: a table of fixed size.
+
+    1 says that a bucket's word or shingle occurs once in all texts (0 that none does). Tasks send the
+    buckets they met, in cuts, which are added up by groups of tasks first; a task's counts above 255 count
+    as 255, which keeps the order coarse, never wrong.
+    """
+    buckets = (1 << WORD_BITS) + (1 << SHINGLE_BITS)
+    groups = 1 + int(docs.rdd.getNumPartitions() ** 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int32)
+        counts = np.zeros(buckets, np.uint16)
+        group = 0
         for batch in batches:
+            if batch.num_rows:
+                group = int(batch.column("task")[0].as_py()) % groups
             for _, part in slices(texts(batch.column("text"))):
-                at, n = np.unique((words(part).hashes >> _SHIFT).astype(np.int64), return_counts=True)
-                counts[at] += n.astype(np.int32)
-        for k in range(_CUTS):
-            at = np.flatnonzero(counts[k * each : (k + 1) * each])
+                w = words(part)
+                if len(w.hashes):
+                    out, _, _ = _hashed(w, size, np.zeros(len(w.hashes), np.uint8))
+                    for met in (_word_bucket(w.hashes), _shingle_bucket(out)):
+                        at, n = np.unique(met, return_counts=True)
+                        counts[at] = np.minimum(counts[at] + n, 255)
+        for k in range(buckets // _CUT):
+            at = np.flatnonzero(counts[k * _CUT : (k + 1) * _CUT])
             if len(at):
-                n = np.minimum(counts[k * each + at], 255).astype(np.uint8)
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["cut", "at", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(each, np.int64)
-        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint8)
-        return pa.table({"cut": pa.array([table.column("cut")[0].as_py()], pa.int32()), "bits": pa.array([np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(run, "cut int, at binary, n binary").groupBy("cut").applyInArrow(add, "cut int, bits binary").toArrow()
-    out = np.zeros(BUCKETS, np.uint8)
-    for k, bits in zip(rows.column("cut").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        out[k * each : (k + 1) * each] = np.frombuffer(bits, np.uint8)
+                n = counts[k * _CUT + at].astype(np.uint32)
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["cut", "task", "at", "n"])
+
+    def summed(table: pa.Table) -> np.ndarray:
+        total = np.zeros(_CUT, np.uint32)
+        for at, n in zip(table.column("at"), table.column("n"), strict=True):
+            total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint32)
+        return np.minimum(total, 1 << 30)
+
+    def some(table: pa.Table) -> pa.Table:
+        total = summed(table)
+        at = np.flatnonzero(total)
+        return pa.table({"cut": table.column("cut").slice(0, 1), "at": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([total[at].tobytes()], pa.binary())})
+
+    def classes(table: pa.Table) -> pa.Table:
+        bits = np.ceil(np.log2(summed(table).astype(np.float64) + 1)).astype(np.uint8)
+        return pa.table({"cut": table.column("cut").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    met = docs.select("text", F.spark_partition_id().alias("task")).mapInArrow(run, "cut int, task int, at binary, n binary")
+    rows = met.groupBy("cut", "task").applyInArrow(some, "cut int, at binary, n binary").groupBy("cut").applyInArrow(classes, "cut int, bits binary").toArrow()
+    out = np.zeros(buckets, np.uint8)
+    for k, bits in zip(rows.column("cut").to_pylist(), rows.column("bits"), strict=True):
+        out[k * _CUT : (k + 1) * _CUT] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out
 
 
@@ -155,7 +192,7 @@ class JaccardJoin:
     def classes(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Every row's doc_id, n and sig; and sig with component_id for each class, both written."""
         spark = docs.sparkSession
-        order = spark.sparkContext.broadcast(word_classes(docs))
+        order = spark.sparkContext.broadcast(frequency_classes(docs, self.size))
         numbered = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
         rows = written(_sets(numbered, ["doc_id", "rid"], self.size, order, self._window()), "jaccard-rows")
         reps = written(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("cid")), "jaccard-classes")
@@ -164,10 +201,11 @@ class JaccardJoin:
         regions = self._regions(held)
         close = checkpointed(self._apart(self._small_pairs(regions), held))
         sets = self._needed_sets(docs, rows, close, regions, order)
+        order.destroy()
         comps = checkpointed(regions.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
         measured = self._measured(close, spark.table(sets))
         comps = self._merged(comps, measured)
-        left = regions.where(F.col("k") > SMALL).select("h", "cid", "n")
+        left = regions.where(F.col("k") > SMALL).drop("k")
         for step in range(ROUNDS):
             left = self._open(left, comps)
             found = self._measured(self._apart(self._pivot_pairs(left, measured, step), held), spark.table(sets))
@@ -193,22 +231,31 @@ class JaccardJoin:
         named = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(classes, "sig", "left")
         return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
+    def _fit(self, n: Column, m: Column, apart: Column) -> Column:
+        """Whether sets of n and m shingles with ``apart`` known in their symmetric difference may be within r."""
+        return self._sizes_fit(n, m) & (100 * (n + m - apart) >= self.percent * (n + m + apart))
+
     def _regions(self, held: DataFrame) -> DataFrame:
-        """h, cid, n, k: the windows of each class, where k > 1 classes have the same pivot.
+        """h, cid, n, p (shingles before h), f (the first), k: the windows of each class, where k > 1 classes have the same pivot.
 
-        A pivot with a word that occurs once in all texts (class 1) is no other text's.
+        A pivot that occurs once in all texts (class 1), or with a word that does, is no other text's.
         """
         # the last of own, if there is one more, serves regions that are split again
-        inside = F.expr(f"filter(slice(own, 1, cast(n - (n * {self.percent} + 99) div 100 + 1 as int)), x -> x >= {2 << 57})")
-        windows = held.select("cid", "n", F.explode(inside).alias("h"))
+        window = F.expr(f"slice(own, 1, cast(n - (n * {self.percent} + 99) div 100 + 1 as int))")
+        windows = held.select("cid", "n", F.col("own")[0].alias("f"), F.posexplode(window).alias("p", "h")).where(self._shown(F.col("h")))
         shared = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-        return written(windows.join(shared, "h"), "jaccard-regions")
+        return written(windows.join(shared, "h").select("h", "cid", "n", "p", "f", "k"), "jaccard-regions")
+
+    @staticmethod
+    def _shown(h: Column) -> Column:
+        return (h >= F.lit(2 << 57)) & (F.shiftright(h, _WORD_AT).bitwiseAND(F.lit(63)) > 1)
 
     def _small_pairs(self, regions: DataFrame) -> DataFrame:
-        """cid, pivot: the pairs of regions of SMALL classes at most, by size."""
-        rows = regions.where(F.col("k") <= SMALL).select("h", "cid", "n")
-        other = rows.select("h", F.col("cid").alias("pivot"), F.col("n").alias("pn"))
-        return rows.join(other, "h").where((F.col("cid") < F.col("pivot")) & self._sizes_fit(F.col("n"), F.col("pn"))).select("cid", "pivot").distinct()
+        """cid, pivot: the pairs of regions of SMALL classes at most, by sizes and places."""
+        rows = regions.where(F.col("k") <= SMALL).select("h", "cid", "n", "p")
+        other = rows.select("h", F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("p").alias("pp"))
+        fit = self._fit(F.col("n"), F.col("pn"), F.col("p") + F.col("pp"))
+        return rows.join(other, "h").where((F.col("cid") < F.col("pivot")) & fit).select("cid", "pivot").distinct()
 
     def _apart(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
         """Pairs less those whose windows differ by more than sets within r can.
@@ -247,16 +294,18 @@ class JaccardJoin:
 
     @staticmethod
     def _open(regions: DataFrame, comps: DataFrame) -> DataFrame:
-        """h, cid, n, comp: regions that hold more than one component."""
-        rows = regions.select("h", "cid", "n").join(comps, "cid")
+        """h, cid, n, p, f, comp: regions that hold more than one component."""
+        rows = regions.select("h", "cid", "n", "p", "f").join(comps, "cid")
         left = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
         return checkpointed(rows.join(left, "h"))
 
     def _pivot_pairs(self, rows: DataFrame, measured: DataFrame, step: int) -> DataFrame:
         """cid, pivot: classes of each region and its pivot of this round, if of another component and not yet measured."""
-        draw = F.struct(F.xxhash64("comp", F.lit(step)).alias("x"), F.col("comp").alias("pc"), F.xxhash64("cid", F.lit(step)).alias("y"), F.col("cid").alias("pivot"), F.col("n").alias("pn"))
-        drawn = rows.groupBy("h").agg(F.max(draw).alias("p")).select("h", "p.*")
-        pairs = rows.join(drawn, "h").where((F.col("comp") != F.col("pc")) & self._sizes_fit(F.col("n"), F.col("pn"))).select("cid", "pivot")
+        first = F.col("f") if step == 0 else F.xxhash64("comp", F.lit(step))
+        draw = F.struct(first.alias("x"), F.col("comp").alias("pc"), F.xxhash64("cid", F.lit(step)).alias("y"), F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("p").alias("pp"))
+        drawn = rows.groupBy("h").agg(F.max(draw).alias("drawn")).select("h", "drawn.*")
+        fit = self._fit(F.col("n"), F.col("pn"), F.col("p") + F.col("pp"))
+        pairs = rows.join(drawn, "h").where((F.col("comp") != F.col("pc")) & fit).select("cid", "pivot")
         return self._new(pairs, measured)
 
     @staticmethod
@@ -283,18 +332,18 @@ class JaccardJoin:
         return checkpointed(comps.join(labels, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("merged", "comp").alias("comp")))
 
     def _rest(self, rows: DataFrame, held: DataFrame, measured: DataFrame) -> DataFrame:
-        """cid, pivot: what neither components nor sizes decide."""
+        """cid, pivot: what neither components nor sizes and places decide."""
         many = rows.groupBy("h").agg(F.count("*").alias("k"))
         rows = rows.join(many, "h")
-        small = rows.where(F.col("k") <= LARGE).select("h", F.lit(0).cast("long").alias("h2"), "cid", "n", "comp")
-        # the second pivot two sets share comes after the first in the order, in windows one longer
+        small = rows.where(F.col("k") <= LARGE).select("h", F.lit(0).cast("long").alias("h2"), "cid", "n", "p", "comp")
+        # the second pivot two sets share comes after the first in the order, in windows one longer; of what
+        # comes before it both hold the first alone
         large = rows.where(F.col("k") > LARGE).join(held.select("cid", "own"), "cid")
-        large = large.select("h", F.explode(F.filter("own", lambda x: x > F.col("h"))).alias("h2"), "cid", "n", "comp")
-        rows = small.union(large)
-        left = rows.select("h", "h2", "cid", "n", "comp")
-        right = rows.select("h", "h2", F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-        apart = (F.col("cid") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & self._sizes_fit(F.col("n"), F.col("pn"))
-        pairs = left.join(right, (left["h"] == right["h"]) & (left["h2"] == right["h2"]) & apart).select("cid", "pivot")
+        large = large.select("h", F.posexplode("own").alias("p", "h2"), "cid", "n", "comp").where((F.col("h2") > F.col("h")) & self._shown(F.col("h2")))
+        rows = small.union(large.select("h", "h2", "cid", "n", F.col("p") - 1, "comp"))
+        right = rows.select("h", "h2", F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("p").alias("pp"), F.col("comp").alias("pc"))
+        apart = (F.col("cid") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & self._fit(F.col("n"), F.col("pn"), F.col("p") + F.col("pp"))
+        pairs = rows.join(right, ["h", "h2"]).where(apart).select("cid", "pivot")
         return self._new(pairs, measured)
 
     def _within(self, pairs: DataFrame, measured: DataFrame) -> DataFrame:
