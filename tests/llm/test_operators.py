@@ -1,0 +1,334 @@
+"""The numbered operators against brute force, the public libraries, or held-out accuracy, over awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import byte_bpe, exact_dedup, lm_scoring, packing, quality_rules, queries, secret_scans, token_counts, toxicity, url_filters
+from tidemark.llm.components import components
+from tidemark.llm.jaccard_join import JaccardJoin, without_near_copies
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {k: k + 32 for k in range(65, 91)}
+#: Nulls, empty and very long texts, ties, repeats, and characters outside ASCII.
+AWKWARD = [
+    (1, "A tale of two cities it was the best of times"), (2, "a TALE of two cities it was the best of times"), (3, "A tale of two cities it was the best of times"),
+    (3, "A tale of two cities it was the best of times"), (None, "A tale of two cities it was the best of times"), (4, None), (5, ""), (6, "   \t\n "), (7, "one two"), (8, "one two"),
+    (9, "word " * 30_000), (10, "Ünïcödé ΣΑΣ İ naïve façade 日本語 テスト 🙂🙂 ﬁ   x"), (11, "<|endoftext|> it's 12345 they'll <|startoftext|>"), (12, "x" * 50_000),
+    (13, "\n".join(["same line here"] * 5)), (14, "aaa aaaa aaaaa aaaaaa " * 3), (15, "  line sep\x85next\x1fend"),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Rows with extra columns whose names clash with those the operators make."""
+    rows = [(i, t, "en", ("a", "b", None)[k % 3], len(t or ""), k, "x", 0.5, 1) for k, (i, t) in enumerate(AWKWARD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n long, host string, score double, key int")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def fold(doc_id, of):
+    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % of
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+# --- 1: toxicity
+
+
+def test_toxicity_ranks_held_out_documents(spark):
+    got = {r.doc_id: r for r in queries.op1_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    assert all(r.held_out == (fold(i, 4) == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for i, r in got.items())
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [(got[i].score, y) for i, y in labels.items() if i in got and got[i].held_out and y is not None]
+    good, bad = [s for s, y in held if not y], [s for s, y in held if y]
+    auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert auc > 0.85, auc
+
+
+def test_toxicity_of_awkward_rows(spark, awkward):
+    labels = spark.createDataFrame([(1, 0, 1), (2, None, None), (None, 0, 1), (7, 0, 0), (8, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(awkward, labels, F.lit(True))
+    assert toxicity.scored(awkward, model).count() == len(AWKWARD)
+    none = toxicity.fit(awkward, labels.where("false"), F.lit(True))
+    assert {r.score for r in toxicity.scored(awkward, none).collect()} == {0.0}
+    assert toxicity.clean(awkward, none).columns == awkward.columns
+    assert toxicity.scored(awkward.where("false"), none).count() == 0
+
+
+# --- 2: language model
+
+
+def test_base_score_and_counts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: words(r.text) for r in docs.collect()}
+    counts = Counter(itertools.chain.from_iterable([*w, None] for i, w in texts.items() if fold(i, 5) != 1))
+    n, v = sum(counts.values()), len(counts)
+    for r in queries.op2_lm_scoring(spark, SF).collect():
+        own = [*texts[r.doc_id], None]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(r.doc_id, 5) == 1, len(own), sum(counts[t] > 0 for t in own), n)
+        assert math.isclose(r.base_score, sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in own), rel_tol=1e-9)
+        assert r.score <= 0
+
+
+def test_language_model_of_awkward_rows(awkward):
+    assert lm_scoring.scored(awkward, F.col("doc_id") != 7).count() == len(AWKWARD)
+    nothing = lm_scoring.scored(awkward, F.lit(False)).collect()
+    assert len(nothing) == len(AWKWARD) and all(r.n_known == 0 and r.train_tokens == 0 for r in nothing)
+    assert lm_scoring.scored(awkward.where("false"), F.lit(True)).count() == 0
+
+
+# --- 3: urls
+
+
+def test_rules_win_by_length(spark):
+    pages = [("http://A.Example.NET/en/x?q", "allow"), ("http://example.net/fr/x", "block"), ("https://example.com/de/1", "block"), ("http://notexample.com/de/1", None), ("http://x.org/fr/", "allow"),
+             ("no scheme", None), (None, None), ("http://net", None), ("http://net/", "block"), ("http://a.net#/en/", None), ("://", None)]
+    rows = [(k, u, v) for k, (u, v) in enumerate(pages)]
+    got = {r.page_id: r for r in url_filters.judged(spark.createDataFrame(rows, "page_id long, url string, verdict string")).collect()}
+    assert len(got) == len(pages)
+    for k, _, v in rows:
+        assert (got[k].rule is not None) == (v is not None), got[k]
+        assert v is None or got[k].verdict == v
+    assert (got[0].host, got[0].path, got[0].rule) == ("a.example.net", "/en/x", "example.net/en/")
+    assert (got[9].host, got[9].path) == ("a.net", "") and (got[5].host, got[6].path) == ("", "")
+
+
+def test_templates_of_a_rejected_branch(spark):
+    rules = [("bad.example", "/ads/1", "block"), ("bad.example", "/news/", "allow")]
+    rows = [(k, f"http://bad.example/ads/{k}/x.html") for k in range(100, 200)] + [(k, f"http://bad.example/news/{k}") for k in range(200, 300)] + [(k, f"http://bad.example/ads/{k}/x.html") for k in range(300, 320)]
+    got = url_filters.judged(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert {r.verdict for r in got if r.page_id >= 300} == {"block"}
+    assert {r.verdict for r in got if 200 <= r.page_id < 300} == {"allow"}
+
+
+# --- 4: packing
+
+
+def padding(ends, lengths, counts):
+    return sum(c * (min(e for e in ends if e >= x) - x) for x, c in zip(lengths, counts, strict=True))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_boundaries_are_optimal(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.sort(rng.choice(np.arange(1, 60), rng.integers(1, 11), replace=False))
+    counts = rng.integers(1, 30, len(lengths))
+    for buckets in (1, 2, 3, 4):
+        ends = packing.boundaries(lengths, counts, buckets)
+        best = min(padding([*c, lengths[-1]], lengths, counts) for k in range(min(buckets, len(lengths))) for c in itertools.combinations(lengths[:-1], k))
+        assert len(ends) <= buckets and padding(ends, lengths, counts) == best
+
+
+def test_batches_keep_the_budget(documents, awkward):
+    for docs in (documents, awkward):
+        got = packing.packed(docs).collect()
+        assert len(got) == docs.count()
+        for rows in itertools.groupby(sorted(got, key=lambda r: r.batch), lambda r: r.batch):
+            rows = list(rows[1])
+            assert len({r.bucket for r in rows}) == 1 and sorted(r.place for r in rows) == list(range(len(rows)))
+            assert len(rows) == 1 or len(rows) * rows[0].bucket_length <= packing.BUDGET
+        assert sorted(r.n_tokens for r in got) == sorted(len(words(r.text)) for r in docs.collect())
+    assert packing.packed(awkward.where("false")).count() == 0
+
+
+# --- 5: Jaccard join
+
+
+def by_brute_force(rows, size, percent):
+    """n_shingles and component_id of each row in order."""
+    sets = []
+    for _, text in rows:
+        w = words(text)
+        sets.append({tuple(w)} if 0 < len(w) < size else {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            parent[root(b)] = root(a)
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            ids[root(k)] = min(ids.get(root(k), i), i)
+    return Counter((i, len(sets[k]), ids.get(root(k), i)) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_join_against_brute_force(documents, awkward, size, percent):
+    for docs in (documents, awkward):
+        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        got = Counter(tuple(r) for r in JaccardJoin(size, percent).joined(docs).select("doc_id", "n_shingles", "component_id").collect())
+        assert got == by_brute_force(rows, size, percent)
+
+
+def test_join_of_large_regions(spark):
+    """Edited copies of one text, and texts that share a passage: regions beyond SMALL and LARGE."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(0, " ".join(passage))]
+    for k in range(1, 90):
+        w = list(passage)
+        for at in rng.choice(60, rng.integers(1, 4), replace=False):
+            w[at] = f"w{rng.integers(6)}"
+        rows.append((k, " ".join(w)))
+    rows += [(k, " ".join(passage[:30] + [f"q{rng.integers(40)}" for _ in range(4)])) for k in range(90, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, percent in ((3, 90), (5, 80), (3, 70)):
+        got = Counter(tuple(r) for r in JaccardJoin(size, percent).joined(docs).select("doc_id", "n_shingles", "component_id").collect())
+        assert got == by_brute_force(rows, size, percent)
+
+
+def test_one_of_each_group_stays(awkward):
+    kept = without_near_copies(awkward)
+    assert kept.columns == awkward.columns
+    ids = sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is not None, x))
+    assert ids == [None, 1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14, 15]
+    assert without_near_copies(awkward.where("false")).count() == 0
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[k] == 0 for k in range(41)) and all(got[k] == 100 for k in range(100, 160))
+
+
+# --- 6: exact dedup
+
+
+def test_exact_dedup(documents, awkward):
+    for docs in (documents, awkward):
+        rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(t, []).append(i)
+        want = Counter()
+        for i, t in rows:
+            keep = max((x for x in groups[t] if x is not None), default=None)
+            want[(i, keep, len(groups[t]), i is not None and i == keep, hashlib.sha256(t.encode()).hexdigest())] += 1
+        got = Counter(tuple(r) for r in exact_dedup.deduplicated(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
+        assert got == want
+        assert exact_dedup.without_copies(docs).count() == len(groups)
+    assert exact_dedup.deduplicated(awkward.where("false")).count() == 0
+
+
+def test_index_takes_batches(spark, awkward):
+    index = exact_dedup.DigestIndex(spark)
+    index.add(awkward.where("doc_id <= 8"))
+    index.add(awkward)
+    assert index.rows().count() == len({t or "" for _, t in AWKWARD})
+    first = {r.digest: r.keep_id for r in index.rows().collect()}
+    assert first[hashlib.sha256(AWKWARD[0][1].encode()).digest()] == 3
+    index.drop()
+
+
+# --- 7: quality rules
+
+
+def base_counts(text):
+    text = text or ""
+    w = WORD.findall(text)
+    windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    twice = Counter(windows)
+    inside = {k + j for k, x in enumerate(windows) if twice[x] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside)
+
+
+def test_quality_counts_and_verdicts(documents, awkward):
+    for docs in (documents, awkward):
+        got = Counter(tuple(r) for r in quality_rules.judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
+        want = Counter()
+        for r in docs.collect():
+            c = base_counts(r.text)
+            want[(r.doc_id, *c, c[0] < 50 or 100 * c[4] > 50 * c[0])] += 1
+        assert got == want
+    assert quality_rules.judged(awkward.where("false")).count() == 0
+
+
+def test_host_verdicts_shrink(spark):
+    rows = [("good", k >= 95) for k in range(100)] + [("bad", k >= 5) for k in range(100)] + [("small", True)]
+    got = {r.host: r for r in quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
+    assert got["bad"].host_rejected and not got["good"].host_rejected
+    assert got["small"].host_rate < 1 and got["good"].host_rate > 0.05
+
+
+# --- 8 and 9: tokens
+
+
+def test_token_counts_as_the_library(documents, awkward):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    for docs in (documents, awkward):
+        rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+        sizes = [len(e.ids) for e in library.encode_batch([t for _, t in rows], add_special_tokens=False)]
+        want = Counter((i, len(t.encode()), n, n > 2048) for (i, t), n in zip(rows, sizes, strict=True))
+        assert Counter(tuple(r) for r in token_counts.counted(docs, path).collect()) == want
+    assert token_counts.counted(awkward.where("false"), path).count() == 0
+
+
+def test_byte_bpe_as_the_library(documents, awkward):
+    import base64
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for docs in (documents, awkward.where("doc_id <> 12")):
+        want = Counter()
+        for r in docs.collect():
+            ids = library.encode_ordinary(r.text or "")
+            want[(r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())] += 1
+        assert Counter(tuple(r) for r in byte_bpe.coded(docs, path, public_tokenizers.PATTERN).collect()) == want
+    assert byte_bpe.coded(awkward.where("false"), path, public_tokenizers.PATTERN).count() == 0
+
+
+# --- 10: secrets
+
+
+def test_forest_on_held_out_findings(spark):
+    findings = secret_scans.labelled_findings(spark, 3000)
+    forest = secret_scans.fit(findings.where("pmod(hash(text), 4) <> 0"))
+    held = findings.where("pmod(hash(text), 4) = 0").collect()
+    judge = secret_scans._judge(forest)
+    right = np.mean([(judge(r.text, [(r.start, r.end)])[0] >= secret_scans.CUT) == bool(r.secret) for r in held])
+    assert right > 0.93, right
+
+
+def test_secrets_of_awkward_rows(spark, awkward):
+    forest = secret_scans.fit(secret_scans.labelled_findings(spark, 800))
+    docs = awkward.union(awkward.limit(1).withColumn("doc_id", F.lit(99).cast("long")).withColumn("text", F.lit("set api_key = 'ghp_a8Kd02mXq71LzPwYt5RbN3cVfHs9EuJg64Ti' now")))
+    found = secret_scans.scanned(docs, forest).where("secret").collect()
+    assert [r.doc_id for r in found] == [99]
+    clean = secret_scans.redacted(docs, forest)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    row = clean.where("doc_id = 99").first()
+    assert "ghp_" not in row.text and row.n_chars == len(row.text)
+    assert secret_scans.fit(secret_scans.labelled_findings(spark, 0)) == []
+    assert secret_scans.scanned(docs.where("false"), forest).count() == 0
