@@ -1,0 +1,23 @@
+"""The numbered queries that SQL can express, against DuckDB."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import duckdb
+import pytest
+
+from tidemark.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(columns) == sorted(got.columns)
+    assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want.fetchall())

@@ -79,4 +79,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others learn, draw or follow a vocabulary: tests hold them against brute force or the public libraries.
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+        SELECT d.doc_id, g.keep_id, g.group_size, coalesce(d.doc_id = g.keep_id, false) AS kept, sha256(d.t) AS text_sha256
+        FROM d JOIN g ON d.t = g.t
+    """,
+    "op7_quality_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+        t AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        words AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM t),
+        windows AS (SELECT r, i, a, lead(a) OVER p AS b, lead(a, 2) OVER p AS c FROM words WINDOW p AS (PARTITION BY r ORDER BY i)),
+        twice AS (SELECT r, i FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+        inside AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) AS v(j) GROUP BY r),
+        counts AS (
+            SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+            FROM t LEFT JOIN inside ON t.r = inside.r
+        ),
+        failing AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+        hosts AS (SELECT source, count(*) AS docs, sum(CAST(base_failed AS BIGINT)) AS failures FROM failing GROUP BY source),
+        moments AS (SELECT avg(failures / docs) AS m, var_pop(failures / docs) AS v FROM hosts),
+        prior AS (SELECT m, least(greatest(coalesce(m * (1 - m) / nullif(v, 0) - 1, 1e6), 1.0), 1e6) AS s FROM moments),
+        verdicts AS (SELECT source, (failures + m * s) / (docs + s) >= 0.6 AS rejected FROM hosts, prior)
+        SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
+        FROM failing f LEFT JOIN verdicts h ON f.source IS NOT DISTINCT FROM h.source
+    """,
+}
