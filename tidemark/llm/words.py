@@ -72,7 +72,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, pa.Array]]:
     """The column in runs of whole texts of about ``most`` bytes; a longer text is a run of its own."""
     _, offsets = raw(column)
     at, n = 0, len(column)
