@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, lm_scoring, packing, quality_rules, queries, secret_scans, token_counts, toxicity, url_filters
+from tidemark.llm import byte_bpe, exact_dedup, jaccard_join, lm_scoring, packing, quality_rules, queries, secret_scans, token_counts, toxicity, url_filters
 from tidemark.llm.components import components
 from tidemark.llm.jaccard_join import JaccardJoin, without_near_copies
 
@@ -184,6 +184,30 @@ def test_join_against_brute_force(documents, awkward, size, percent):
         assert got == by_brute_force(rows, size, percent)
 
 
+@pytest.mark.parametrize(("low", "high"), [(3, 7), (1, 9)])
+def test_join_of_regions_around_a_pivot(spark, monkeypatch, low, high):
+    """Copies of one text with edits near the bound, many of them in common: what set pivots leave is joined by differences."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "LARGE", 4)
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    reached = []
+    own = JaccardJoin._recentred
+    monkeypatch.setattr(JaccardJoin, "_recentred", lambda *a: reached.append(own(*a)) or reached[-1])
+    rng = np.random.default_rng(low)
+    rows = []
+    for k in range(240):
+        w = [f"p{x}" for x in range(120)]
+        for x in rng.choice(12, rng.integers(0, 3), replace=False) * 9:
+            w[x] = f"v{x}"
+        for x in rng.choice(120, rng.integers(low, high), replace=False):
+            w[x] = f"w{rng.integers(100_000)}" if rng.random() < 0.5 else f"v{x}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in JaccardJoin(3, 80).joined(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == by_brute_force(rows, 3, 80)
+    assert reached
+
+
 def test_join_of_large_regions(spark):
     """Edited copies of one text, and texts that share a passage: regions beyond SMALL and LARGE."""
     rng = np.random.default_rng(3)

@@ -18,8 +18,9 @@ equal sets are one class, so copies never meet again.
   against it, and those within r join its component. Sets of one component need no more comparison, nor do pairs
   whose sizes (distances to the empty set), whose windows (the part of the symmetric
   difference that both show) or whose distances to a pivot hold them apart by over r.
-* Regions that stay large are split again by the second pivot that two sets share
-  (their windows grow by one), and what remains is compared pair by pair.
+* In regions that stay large each set is known by its difference from a pivot, and
+  sets join again by the rarest shingles of those differences; what remains in the
+  others is compared pair by pair.
 
 Nothing is dropped or capped, so components are exact (up to hash collisions of
 about n^2 / 2^52 within a text). Groups of near copies are measured against a few
@@ -215,7 +216,8 @@ class JaccardJoin:
             measured = checkpointed(measured.union(found))
         left = self._open(left, comps)
         if not left.isEmpty():
-            pairs = self._within(self._rest(left, held, measured), measured)
+            comps, pairs = self._recentred(left, comps, spark.table(sets), measured)
+            pairs = pairs.union(self._within(self._rest(left, measured), measured)).distinct()
             comps = self._merged(comps, self._measured(self._apart(pairs, held), spark.table(sets)))
         named = reps.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -331,20 +333,47 @@ class JaccardJoin:
         labels = components(edges.select("a", "b")).select("node", F.col("comp").alias("merged"))
         return checkpointed(comps.join(labels, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("merged", "comp").alias("comp")))
 
-    def _rest(self, rows: DataFrame, held: DataFrame, measured: DataFrame) -> DataFrame:
-        """cid, pivot: what neither components nor sizes and places decide."""
-        many = rows.groupBy("h").agg(F.count("*").alias("k"))
-        rows = rows.join(many, "h")
-        small = rows.where(F.col("k") <= LARGE).select("h", F.lit(0).cast("long").alias("h2"), "cid", "n", "p", "comp")
-        # the second pivot two sets share comes after the first in the order, in windows one longer; of what
-        # comes before it both hold the first alone
-        large = rows.where(F.col("k") > LARGE).join(held.select("cid", "own"), "cid")
-        large = large.select("h", F.posexplode("own").alias("p", "h2"), "cid", "n", "comp").where((F.col("h2") > F.col("h")) & self._shown(F.col("h2")))
-        rows = small.union(large.select("h", "h2", "cid", "n", F.col("p") - 1, "comp"))
-        right = rows.select("h", "h2", F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("p").alias("pp"), F.col("comp").alias("pc"))
+    def _recentred(self, rows: DataFrame, comps: DataFrame, sets: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """comps after the links of large regions with a pivot of each; and their pairs (cid, pivot) that are still to be measured.
+
+        A set is known by its difference from the pivot: ``x ^ y`` is the difference of those differences, d_x + d_y - 2 o
+        where they share o shingles. If o is 0 and x and y are within r, both are within r of the pivot, hence in its
+        component; any other pair shares a shingle of its differences. Sets of the pivot's component pair with sets
+        outside alone, whose d is ``far`` at least, and d_y >= d_x - |x ^ y|: so o has a lower bound, and only the rarest
+        shingles of a difference that such a bound leaves are joined, with a check of what can follow them.
+        """
+        many = rows.groupBy("h").agg(F.count("*").alias("k"), F.max(F.struct("f", "cid")).alias("drawn")).where(F.col("k") > LARGE)
+        groups = checkpointed(rows.join(many.select("h", F.col("drawn.cid").alias("pivot")), "h").select("cid", "pivot").distinct())
+        pivots = sets.join(groups.select(F.col("pivot").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("pivot"), F.col("own").alias("y"))
+        found = groups.join(sets.select("cid", F.col("own").alias("x")), "cid").join(pivots, "pivot")
+        found = found.select("cid", "pivot", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), F.array_except("x", "y").alias("more"), F.array_except("y", "x").alias("less"))
+        both, total = F.col("n") - F.size("more"), F.col("n") + F.col("m")
+        found = found.select("cid", "pivot", "n", both.alias("both"), total.alias("sum"), (F.size("more") + F.size("less")).cast("long").alias("d"), F.concat(F.filter("more", self._shown), "less").alias("e"))
+        found = checkpointed(found.withColumn("linked", 100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))))
+        comps = self._merged(comps, found.where("cid <> pivot"))
+
+        group = found.groupBy("pivot").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("far"), F.max("n").alias("most")).where("far is not null")
+        rows = found.join(group, "pivot").join(comps, "cid")
+        rows = rows.withColumn("t", F.expr(f"(n + least(most, n * 100 div {self.percent})) * {100 - self.percent} div {100 + self.percent}"))
+        rows = rows.withColumn("need", F.greatest(F.lit(1), F.expr("if(linked, (d + far - t + 1) div 2, d - t)"))).select("pivot", "cid", "n", "d", "need", "comp", "e")
+        each = checkpointed(rows.select("pivot", "cid", "n", "d", "need", "comp", F.explode("e").alias("e")))
+        often = each.groupBy("pivot", "e").agg(F.count("*").alias("k")).where("k > 1")
+        ranked = each.join(often, ["pivot", "e"]).groupBy("pivot", "cid", "n", "d", "need", "comp").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("own"))
+        ranked = ranked.withColumn("s", F.size("own")).where("s >= need").withColumn("own", F.expr("slice(own, 1, cast(s - need + 1 as int))"))
+        ranked = checkpointed(ranked.select("pivot", "cid", "n", "d", "comp", "s", F.posexplode("own").alias("p", "o")).select("pivot", "cid", "n", "d", "comp", (F.col("s") - F.col("p")).alias("rest"), "o.e"))
+        x, y = ranked.alias("x"), ranked.alias("y")
+        apart = F.col("x.d") + F.col("y.d") - 2 * F.least("x.rest", "y.rest")
+        on = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp"))
+        pairs = x.join(y, on & self._fit(F.col("x.n"), F.col("y.n"), apart)).select("x.cid", F.col("y.cid").alias("pivot"))
+        return comps, self._new(pairs, measured)
+
+    def _rest(self, rows: DataFrame, measured: DataFrame) -> DataFrame:
+        """cid, pivot: what neither components nor sizes and places decide in regions of LARGE classes at most."""
+        many = rows.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") <= LARGE)
+        rows = rows.join(many.select("h"), "h").select("h", "cid", "n", "p", "comp")
+        right = rows.select("h", F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("p").alias("pp"), F.col("comp").alias("pc"))
         apart = (F.col("cid") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & self._fit(F.col("n"), F.col("pn"), F.col("p") + F.col("pp"))
-        pairs = rows.join(right, ["h", "h2"]).where(apart).select("cid", "pivot")
-        return self._new(pairs, measured)
+        return self._new(rows.join(right, "h").where(apart).select("cid", "pivot"), measured)
 
     def _within(self, pairs: DataFrame, measured: DataFrame) -> DataFrame:
         """Pairs without those that a common pivot p holds apart: |d(x, p) - d(y, p)| > r.
