@@ -48,7 +48,7 @@ from tidemark.llm.words import Words, joined, mixed, slices, texts, words
 from tidemark.shared import checkpointed, dropped, fitting, written
 
 #: Buckets of the tables of words and of shingles (2 and 8 MB); the most classes of a small region, rounds of set
-#: pivots in the others, rows from which they are split again; buckets of the table of sets.
+#: pivots in the others, rows beyond which they join by differences from a pivot; buckets of the table of sets.
 WORD_BITS, SHINGLE_BITS, SMALL, ROUNDS, LARGE, SET_BUCKETS = 21, 23, 12, 3, 48, 64
 #: Buckets sent together, and the place of the word class in an ordered shingle.
 _CUT, _WORD_AT = 1 << 16, 51
@@ -184,7 +184,7 @@ class JaccardJoin:
 
     def _window(self):
         percent = self.percent
-        # the shingles of the window: n - ceil(percent n / 100) + 1, one more for regions split again
+        # the shingles of the window: n - ceil(percent n / 100) + 1, one more that tells pairs apart in _apart
         return lambda n: min(n, n - -(-percent * n // 100) + 2)
 
     def _sizes_fit(self, n: Column, m: Column) -> Column:
@@ -242,7 +242,7 @@ class JaccardJoin:
 
         A pivot that occurs once in all texts (class 1), or with a word that does, is no other text's.
         """
-        # the last of own, if there is one more, serves regions that are split again
+        # the last of own, if there is one more, serves _apart alone
         window = F.expr(f"slice(own, 1, cast(n - (n * {self.percent} + 99) div 100 + 1 as int))")
         windows = held.select("cid", "n", F.col("own")[0].alias("f"), F.posexplode(window).alias("p", "h")).where(self._shown(F.col("h")))
         shared = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
