@@ -233,6 +233,16 @@ def test_one_of_each_group_stays(awkward):
     assert without_near_copies(awkward.where("false")).count() == 0
 
 
+def test_near_copies_go_by_row_not_by_doc_id(spark):
+    """A doc_id with a near copy and a unique text, one with two near-equal texts, and one that leads two components."""
+    a, b, c, d, own = ([f"{x}{k}" for k in range(60)] for x in "abcdu")
+    near = lambda w: " ".join([*w[:-1], "edited"])
+    rows = [(1, " ".join(a)), (2, near(a)), (2, " ".join(own)), (3, " ".join(b)), (3, near(b)), (3, near(b)),
+            (5, " ".join(c)), (5, " ".join(d)), (6, near(c)), (7, near(d)), (None, near(a))]
+    got = Counter((r.doc_id, r.text.split()[0]) for r in without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, "a0"), (2, "u0"), (3, "b0"), (5, "c0"), (5, "d0"), (None, "a0")])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -190,11 +190,15 @@ class JaccardJoin:
     def _sizes_fit(self, n: Column, m: Column) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
-    def classes(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Every row's doc_id, n and sig; and sig with component_id for each class, both written."""
+    def classes(self, docs: DataFrame, rid: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        """Every row's doc_id, rid, n and sig; and sig with comp and component_id for each class, both written.
+
+        ``rid`` numbers the rows of ``docs`` (by their place unless given). Where doc_ids repeat, components
+        may have a component_id in common, never a comp.
+        """
         spark = docs.sparkSession
         order = spark.sparkContext.broadcast(frequency_classes(docs, self.size))
-        numbered = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+        numbered = docs.select("doc_id", "text", (F.monotonically_increasing_id() if rid is None else rid).alias("rid"))
         rows = written(_sets(numbered, ["doc_id", "rid"], self.size, order, self._window()), "jaccard-rows")
         reps = written(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("cid")), "jaccard-classes")
         held = rows.join(fitting(reps.select("cid")), F.col("rid") == F.col("cid")).select("cid", F.col("n").cast("int").alias("n"), "own")
@@ -221,7 +225,7 @@ class JaccardJoin:
             comps = self._merged(comps, self._measured(self._apart(pairs, held), spark.table(sets)))
         named = reps.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        out = written(named.join(ids, "comp").select("sig", "component_id"), "jaccard-components")
+        out = written(named.join(ids, "comp").select("sig", "comp", "component_id"), "jaccard-components")
         spark.sql(f"DROP TABLE {sets}")
         dropped(regions)
         dropped(reps)
@@ -389,12 +393,18 @@ class JaccardJoin:
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, less those in a component of which a smaller doc_id stays.
+    """The rows of ``docs``, all columns, one of each component: of those with its smallest doc_id one row.
 
-    Rows without a doc_id stay, and so do repeated rows of the doc_id that stays.
+    Rows are decided one by one, whatever other texts their doc_id has. Rows without a doc_id stay.
     """
-    columns = docs.columns
-    found = JaccardJoin(size, percent).joined(docs)
-    gone = fitting(checkpointed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id")
-    return held.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("row.*")
+    # rows are known by their place in a written table, as doc_ids and texts may repeat
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = written(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("place")), "jaccard-docs")
+    rows, classes = JaccardJoin(size, percent).classes(held.select("row.doc_id", "row.text", "place"), F.col("place"))
+    named = rows.where("doc_id is not null")
+    firsts = named.groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("at"), F.count("*").alias("k"))
+    firsts = firsts.join(classes.select("sig", "comp"), "sig")
+    stay = firsts.groupBy("comp").agg(F.min(F.struct("at.doc_id", "sig", "at.rid")).alias("first"), F.sum("k").alias("k")).where("k > 1")
+    some = fitting(checkpointed(classes.select("sig", "comp").join(stay, "comp").select("sig", F.col("first.rid").alias("stays"))))
+    gone = fitting(checkpointed(named.join(some, "sig").where("rid <> stays").select(F.col("rid").alias("gone"))))
+    return held.join(gone, F.col("place") == F.col("gone"), "left_anti").select("row.*")
