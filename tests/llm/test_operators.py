@@ -119,6 +119,25 @@ def test_templates_of_a_rejected_branch(spark):
     assert {r.verdict for r in got if 200 <= r.page_id < 300} == {"allow"}
 
 
+def test_unruled_urls_follow_the_labels_next_to_them(spark):
+    def verdicts(urls, rules=None):
+        got = url_filters.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+        assert len(got) == len(urls)
+        return {r.host + r.path: r.verdict for r in got if r.rule is None}
+
+    # the production rules: of a host, of a host with few labels by its domain, and of hosts without labels
+    urls = [f"http://m.casino-win.example.com/de/{k}" for k in range(40)] + [f"http://good.example.org/fr/{k}" for k in range(40)]
+    urls += ["http://m.casino-win.example.com/en/7", "http://few.example.com/de/1", "http://few.example.com/es/1", "http://good.example.org/en/7", "http://else.where/en/7", "http://10.0.0.1:80/x", "http://a.b/" + "x/" * 40, "none", "http://"]
+    got = verdicts(urls)
+    assert {k for k, v in got.items() if v == "block"} == {"m.casino-win.example.com/en/7", "few.example.com/es/1"}
+    assert len(got) == 7  # the two urls without a host have one key
+
+    # inside a host: unlabelled siblings of a blocked and of an allowed branch, and a branch beside both
+    urls = [f"http://mixed.example/{top}/x/{k}" for top in "ab" for k in range(50)] + [f"http://mixed.example/{top}/y/page" for top in "abc"]
+    got = verdicts(urls, [("mixed.example", "/a/x/", "block"), ("mixed.example", "/b/x/", "allow")])
+    assert got == {"mixed.example/a/y/page": "block", "mixed.example/b/y/page": "allow", "mixed.example/c/y/page": "allow"}
+
+
 # --- 4: packing
 
 
