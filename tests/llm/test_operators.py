@@ -95,6 +95,21 @@ def test_language_model_of_awkward_rows(awkward):
     assert lm_scoring.scored(awkward.where("false"), F.lit(True)).count() == 0
 
 
+def test_language_model_keeps_all_ngrams_at_any_size(spark, documents, awkward, monkeypatch):
+    """Pairs and words seen once are known, and a filter that isn't broadcast gives the same scores."""
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "one two three four"), (3, "alpha beta gamma delta")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.scored(docs, F.lit(True)).collect()}
+    # 15 tokens, 9 words; a pair seen once after a word seen once has share 1
+    p = [0.1 * k + 0.9 * c / 20 for k, c in ((1 / 3, 1.5), (1, 1.5), (1, 1.5), (1, 1.5), (1, 3.5))]
+    assert math.isclose(got[3], sum(map(math.log10, p)), rel_tol=1e-9)
+    before = [Counter((r.doc_id, round(r.score, 9)) for r in lm_scoring.scored(d, F.col("doc_id") % 5 != 1).collect()) for d in (documents, awkward)]
+    monkeypatch.setattr(lm_scoring, "MAX_BITS", 1 << 10)
+    monkeypatch.setattr(lm_scoring, "_CHUNK", 1 << 19)
+    after = [Counter((r.doc_id, round(r.score, 9)) for r in lm_scoring.scored(d, F.col("doc_id") % 5 != 1).collect()) for d in (documents, awkward)]
+    assert before == after
+    assert lm_scoring.scored(awkward.where("false"), F.lit(True)).count() == 0
+
+
 # --- 3: urls
 
 

@@ -2,16 +2,16 @@
 
 Counting: every task sums its words and word pairs as sorted hash arrays, cut into
 blocks by hash; one shuffle of such arrays adds the blocks up, whatever key is hot.
-Pairs seen once are not kept, words all are.
+All words and pairs are kept.
 
-The filter: an n-gram of quantised log count q is inserted with all levels from the
-least that any has up to q; a count is read back by probing level after level until
-one misses. Blocks of the filter are
-built where their n-grams lie; the driver only strings them together. Its size follows
-the corpus up to ``MAX_BITS``, the bound of what is broadcast: where that is too small
-for the false-positive rate that ``PROBES`` hashes give, the least count of a pair is
-raised until it fits, by the global histogram of counts, which is how n-gram models are
-pruned. Scores are Jelinek-Mercer mixtures of pair and word frequencies, both probed.
+The filter: an n-gram of quantised log count q is inserted with all levels from 1 up to
+q; a count is read back by probing level after level until one misses. Nothing is
+pruned: the filter grows with the corpus, at the false-positive rate that ``PROBES``
+hashes give. Its blocks are built where their n-grams lie. Up to ``MAX_BITS`` the driver
+strings them together and broadcasts them. A larger filter never leaves its blocks: texts
+are dealt into chunks, the distinct n-grams of a chunk are sent to their blocks, and the
+levels come back to the chunk's texts; scores are the same either way. Scores are
+Jelinek-Mercer mixtures of pair and word frequencies, both probed.
 
 The base needs exact counts of all words. Those of the most frequent (at most ``HOT``,
 12 bytes each) are broadcast; a text's other words are joined to the count table by
@@ -26,7 +26,7 @@ probability 1. Other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,13 +37,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import joined, mixed, slices, texts, words
 from tidemark.shared import dropped, written
 
-#: Words whose exact counts are broadcast at most; bits of the filter at most; hash probes a level; the pairs' share.
+#: Words whose exact counts are broadcast at most; bits of a broadcast filter at most; hash probes a level; the pairs' share.
 HOT, MAX_BITS, PROBES, SHARE = 200_000, 1 << 29, 8, 0.1
 #: Ratio of neighbouring quantised counts.
 RATIO = 2**0.5
 _END, _START = np.uint64(0x1D8AF066E7D1E11B), np.uint64(0x5851F42D4C957F2D)
 _WORD = np.uint64(0xA24BAED4963EE407)
 _FLUSH = 3 << 20
+#: Bytes of the texts of a chunk, but for longer texts.
+_CHUNK = 16 << 20
 LEVELS = 128
 
 
@@ -87,7 +89,7 @@ def _partial(keys: np.ndarray, counts: np.ndarray, order: int, shift: int) -> pa
 
 
 def ngram_counts(docs: DataFrame, blocks: int) -> DataFrame:
-    """block, order, keys, counts, kept (n-grams with counts of 2 or more), total: all words, and pairs seen twice or more."""
+    """block, order, keys, counts, total, different, shown (n-grams of each level): all words and pairs."""
     shift = 64 - (blocks.bit_length() - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +122,6 @@ def ngram_counts(docs: DataFrame, blocks: int) -> DataFrame:
             starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             keys, counts = keys[starts], np.add.reduceat(counts, starts)
             total, different = int(counts.sum()), len(keys)
-            if order == 2:
-                keys, counts = keys[counts > 1], counts[counts > 1]
             shown = np.bincount(level(counts), minlength=LEVELS + 1).tolist()
             out.append((table.column("block")[0].as_py(), order, keys.tobytes(), counts.tobytes(), total, different, shown))
         kinds = pa.schema([("block", pa.int64()), ("order", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("different", pa.int64()), ("shown", pa.list_(pa.int64()))])
@@ -132,17 +132,16 @@ def ngram_counts(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 class Filter(NamedTuple):
-    """``bits`` in blocks by a key's first bits; n-grams below ``least`` (by order) were not inserted."""
+    """``bits`` in blocks by a key's first bits."""
 
     bits: np.ndarray
     blocks: int
-    least: tuple[int, int]
 
-    def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """The quantised count of each key: levels are probed from the least until one misses; 0 if that misses."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The quantised count of each key: levels are probed from 1 until one misses; 0 if that misses."""
         out = np.zeros(len(keys), np.int64)
         at = np.arange(len(keys))
-        for q in range(self.least[order - 1], LEVELS + 1):
+        for q in range(1, LEVELS + 1):
             for k in range(PROBES):
                 if not len(at):
                     return out
@@ -160,44 +159,93 @@ def _place(keys: np.ndarray, q: int, k: int, size: int, blocks: int) -> np.ndarr
     return base + (mixed(keys + np.uint64(q * 0x9E3779B97F4A7C15 + k * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) & np.uint64(each - 1)).astype(np.int64)
 
 
-def fit_filter(table: DataFrame, blocks: int) -> tuple[Filter, int, int, np.ndarray]:
-    """The filter, N, V and how many words have each quantised count; from :func:`ngram_counts`."""
+def measured(table: DataFrame, blocks: int) -> tuple[int, int, int, np.ndarray]:
+    """Bits of the filter, N, V and how many words have each quantised count; from :func:`ngram_counts`."""
     rows = table.select("order", "total", "different", F.posexplode("shown").alias("q", "n"))
     rows = rows.groupBy("order", "q").agg(F.sum("n").alias("n")).toArrow().to_pylist()
     sums = {r["order"]: r for r in table.groupBy("order").agg(F.sum("total").alias("total"), F.sum("different").alias("different")).toArrow().to_pylist()}
     shown = np.zeros((3, LEVELS + 1), np.int64)
     for r in rows:
         shown[r["order"], r["q"]] = r["n"]
-    levels = np.arange(LEVELS + 1)
-    # words seen once are known by missing; the least level of either order rises until all inserted levels fit
-    least = [int(level(np.array([2]))[0])] * 2
+    need = int((shown * np.arange(LEVELS + 1)).sum()) * PROBES / np.log(2)
+    size = max(64 * 8 * blocks, 1 << int(np.ceil(np.log2(max(need, 1)))))
+    n, v = (int(sums[1][k]) if 1 in sums else 0 for k in ("total", "different"))
+    return size, n, v, shown[1]
 
-    def need() -> float:
-        return sum(int((shown[o] * (levels - least[o - 1] + 1))[least[o - 1] :].sum()) for o in (1, 2)) * PROBES / np.log(2)
 
-    while need() > MAX_BITS:
-        least[int(least[1] > least[0] + 2) - 1] += 1
-    size = max(64 * 8 * blocks, 1 << int(np.ceil(np.log2(max(need(), 1)))))
-    size = min(size, max(MAX_BITS, 64 * 8 * blocks))
-    n, v = (int(sums[1][k]) if 1 in sums else 0 for k in ("total", "different"))
+def _block(held: list[tuple[bytes, bytes]], size: int) -> Filter:
+    """The filter of ``size`` bits of one block, from keys and counts of its n-grams."""
+    part = np.zeros(size, bool)
+    for keys, counts in held:
+        keys, q = np.frombuffer(keys, np.uint64), level(np.frombuffer(counts, np.int64))
+        for j in range(1, int(q.max(initial=0)) + 1):
+            for k in range(PROBES):
+                part[_place(keys[q >= j], j, k, size, 1)] = True
+    return Filter(np.packbits(part, bitorder="little"), 1)
+
+
+def strung(table: DataFrame, blocks: int, size: int) -> Filter:
+    """The filter as a whole."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, order, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "order", "keys", "counts")), strict=True):
-                keys, q = np.frombuffer(keys, np.uint64), level(np.frombuffer(counts, np.int64))
-                keys, q = keys[q >= least[order - 1]], q[q >= least[order - 1]]
-                part = np.zeros(size // blocks, bool)
-                for j in range(least[order - 1], int(q.max(initial=0)) + 1):
-                    for k in range(PROBES):
-                        part[_place(keys[q >= j], j, k, size, blocks) - block * (size // blocks)] = True
-                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], ["block", "part"])
+            for block, *held in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "counts")), strict=True):
+                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([_block([held], size // blocks).bits.tobytes()], pa.binary())], ["block", "part"])
 
     bits = np.zeros(size // 8, np.uint8)
-    built = table.select("block", "order", "keys", "counts").mapInArrow(build, "block long, part binary").toArrow()
+    built = table.select("block", "keys", "counts").mapInArrow(build, "block long, part binary").toArrow()
     for block, part in zip(built.column("block").to_pylist(), built.column("part"), strict=True):
         at = block * (size // blocks // 8)
         bits[at : at + size // blocks // 8] |= np.frombuffer(part.as_buffer(), np.uint8)
-    return Filter(bits, blocks, tuple(least)), n, v, shown[1]
+    return Filter(bits, blocks)
+
+
+def chunked(numbered: DataFrame, most: int) -> DataFrame:
+    """Rows with the chunk of about ``most`` bytes of texts that each is dealt to, written."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = 0, most
+        for batch in batches:
+            for at, part in slices(texts(batch.column("text"))):
+                if size >= most:
+                    chunk, size = batch.column("rid")[at].as_py(), 0
+                size += part.nbytes
+                some = batch.slice(at, len(part))
+                yield pa.record_batch([*some.columns, pa.array(np.full(len(part), chunk))], [*some.schema.names, "chunk"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema)
+    return written(numbered.mapInArrow(deal, f"{kinds}, chunk long"), "lm-texts")
+
+
+def _asked(column: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """Different words (1) and pairs (2) of a chunk's texts, sorted."""
+    held: dict[int, list[np.ndarray]] = {1: [], 2: []}
+    for _, part in slices(texts(column)):
+        h, doc = tokens(part)
+        held[1].append(np.unique(mixed(h ^ _WORD)))
+        held[2].append(np.unique(pairs(h, doc)[1]))
+    return {order: np.unique(np.concatenate(some)) for order, some in held.items()}
+
+
+def answers(dealt: DataFrame, table: DataFrame, blocks: int, size: int) -> DataFrame:
+    """chunk, order, block, levels (a byte for each key in turn) of the n-grams of each chunk."""
+    shift = 64 - (blocks.bit_length() - 1)
+
+    def ask(chunk: pa.Table) -> pa.Table:
+        n = [_partial(keys, np.zeros(0, np.uint32), order, shift) for order, keys in _asked(chunk.column("text")).items()]
+        out = pa.Table.from_batches(n).select(["block", "order", "keys"])
+        return out.append_column("chunk", pa.array(np.full(len(out), chunk.column("chunk")[0].as_py())))
+
+    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({"chunk": pa.array([], pa.int64()), "order": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "levels": pa.array([], pa.binary())})
+        bloom = _block(list(zip(counted.column("keys").to_pylist(), counted.column("counts").to_pylist(), strict=True)), size // blocks)
+        found = [bloom.levels(np.frombuffer(keys.as_buffer(), np.uint64)).astype(np.uint8).tobytes() for keys in asked.column("keys")]
+        return asked.select(["chunk", "order", "block"]).append_column("levels", pa.array(found, pa.binary()))
+
+    # all columns, so that Spark deals the texts out once for this and for the scores
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "block long, order int, keys binary, chunk long")
+    return asked.groupBy("block").cogroup(table.select("block", "keys", "counts").groupBy("block")).applyInArrow(answer, "chunk long, order int, block long, levels binary")
 
 
 def _word_rows(table: DataFrame) -> DataFrame:
@@ -216,7 +264,8 @@ def scored(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
     spark = docs.sparkSession
     blocks = 1 << max(4, (16 * docs.rdd.getNumPartitions() - 1).bit_length())
     table = written(ngram_counts(docs.where(learn), blocks), "lm-counts")
-    bloom, n, v, shown = fit_filter(table, blocks)
+    size, n, v, shown = measured(table, blocks)
+    bloom = strung(table, blocks, size) if size <= MAX_BITS else None
     counts = _word_rows(table)
     # the lowest quantised count from which no more than HOT words have it
     many = np.cumsum(shown[::-1])[::-1]
@@ -228,50 +277,68 @@ def scored(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
     total = n + 0.5 * (v + 1)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    def batch_scores(batch: pa.RecordBatch | pa.Table, levels: Callable[[np.ndarray, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, often, _ = sent.value
+        ids, rids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch.column("doc_id"), batch.column("rid")))
+        for at, part in slices(texts(batch.column("text"))):
+            h, doc = tokens(part)
+            before, pair = pairs(h, doc)
+            word = mixed(h ^ _WORD)
+            different, of = np.unique(word, return_inverse=True)
+            known = np.zeros(len(different))
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, different), len(keys) - 1)
+                known = np.where(keys[place] == different, often[place], 0.0)
+            c = known[of]
+            base = np.bincount(doc[c > 0], np.log10((c[c > 0] + 0.5) / total), len(part)).astype(np.float64)
+            sure = np.bincount(doc[c > 0], minlength=len(part))
+            # the model: words' and pairs' counts as the filter has them
+            q = levels(different, 1)
+            words_count = count_of(q)
+            single = (words_count[of] + 0.5) / total
+            history = np.append(0, of[:-1]) if len(of) else of
+            begins = before == _START
+            context = np.where(begins, 0.0, words_count[history])
+            both = (context > 0) & (q[of] > 0)
+            at_start = np.flatnonzero(begins & (q[of] > 0))
+            seen = np.zeros(len(h))
+            ask = np.append(np.flatnonzero(both), at_start)
+            seen[ask] = count_of(levels(pair[ask], 2))
+            context[begins] = context_start(levels) if len(h) else 0.0
+            seen = np.minimum(seen, np.minimum(context, words_count[of]))  # no pair is more frequent than its words
+            p = np.where(context > 0, share * seen / np.maximum(context, 1) + (1 - share) * single, single)
+            model = np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(part)).astype(np.float64)
+            # words not broadcast go to the join, summed by text
+            cold = np.flatnonzero(c == 0)
+            key, times = np.unique(np.stack([doc[cold].astype(np.uint64), word[cold]]), axis=1, return_counts=True) if len(cold) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
+            cut = pa.array(np.searchsorted(key[0].astype(np.int64), np.arange(len(part) + 1)), pa.int32())
+            size = np.bincount(doc, minlength=len(part))
+            yield pa.record_batch(
+                [ids.slice(at, len(part)), rids.slice(at, len(part)), pa.array(size), pa.array(sure), pa.array(base), pa.array(model),
+                 pa.ListArray.from_arrays(cut, pa.array(key[1].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(times))],
+                ["doc_id", "rid", "n_tokens", "sure", "base", "score", "cold", "times"],
+            )
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, often, bloom = sent.value
         for batch in batches:
-            for at, part in slices(texts(batch.column("text"))):
-                h, doc = tokens(part)
-                before, pair = pairs(h, doc)
-                word = mixed(h ^ _WORD)
-                different, of = np.unique(word, return_inverse=True)
-                known = np.zeros(len(different))
-                if len(keys):
-                    place = np.minimum(np.searchsorted(keys, different), len(keys) - 1)
-                    known = np.where(keys[place] == different, often[place], 0.0)
-                c = known[of]
-                base = np.bincount(doc[c > 0], np.log10((c[c > 0] + 0.5) / total), len(part)).astype(np.float64)
-                sure = np.bincount(doc[c > 0], minlength=len(part))
-                # the model: words' and pairs' counts as the filter has them
-                q = bloom.levels(different, 1)
-                words_count = count_of(q)
-                single = (words_count[of] + 0.5) / total
-                history = np.append(0, of[:-1]) if len(of) else of
-                begins = before == _START
-                context = np.where(begins, 0.0, words_count[history])
-                both = (context > 0) & (q[of] > 0)
-                at_start = np.flatnonzero(begins & (q[of] > 0))
-                seen = np.zeros(len(h))
-                ask = np.append(np.flatnonzero(both), at_start)
-                seen[ask] = count_of(bloom.levels(pair[ask], 2))
-                context[begins] = context_start(bloom)
-                seen = np.minimum(seen, np.minimum(context, words_count[of]))  # no pair is more frequent than its words
-                p = np.where(context > 0, share * seen / np.maximum(context, 1) + (1 - share) * single, single)
-                model = np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(part)).astype(np.float64)
-                # words not broadcast go to the join, summed by text
-                cold = np.flatnonzero(c == 0)
-                key, times = np.unique(np.stack([doc[cold].astype(np.uint64), word[cold]]), axis=1, return_counts=True) if len(cold) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-                cut = pa.array(np.searchsorted(key[0].astype(np.int64), np.arange(len(part) + 1)), pa.int32())
-                size = np.bincount(doc, minlength=len(part))
-                yield pa.record_batch(
-                    [batch.column("doc_id").slice(at, len(part)), batch.column("rid").slice(at, len(part)), pa.array(size), pa.array(sure), pa.array(base), pa.array(model),
-                     pa.ListArray.from_arrays(cut, pa.array(key[1].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(times))],
-                    ["doc_id", "rid", "n_tokens", "sure", "base", "score", "cold", "times"],
-                )
-
-    texts_ = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
-    rows = written(texts_.mapInArrow(score, f"doc_id {id_type}, rid long, n_tokens long, sure long, base double, score double, cold array<long>, times array<long>"), "lm-rows")
+            yield from batch_scores(batch, lambda asked, _: sent.value[2].levels(asked))
+
+    def chunk_scores(chunk: pa.Table, answered: pa.Table) -> pa.Table:
+        distinct = _asked(chunk.column("text"))
+        answered = answered.sort_by([("order", "ascending"), ("block", "ascending")])
+        got = np.frombuffer(b"".join(answered.column("levels").to_pylist()), np.uint8).astype(np.int64)
+        found = dict(zip(distinct, np.split(got, [len(distinct[1])]), strict=True))
+        return pa.Table.from_batches(list(batch_scores(chunk, lambda asked, order: found[order][np.searchsorted(distinct[order], asked)])))
+
+    kinds = f"doc_id {id_type}, rid long, n_tokens long, sure long, base double, score double, cold array<long>, times array<long>"
+    numbered = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    if bloom is not None:
+        rows = written(numbered.mapInArrow(score, kinds), "lm-rows")
+    else:
+        spark._jvm.System.gc()  # Spark's cleaner removes the shuffle of the counts, which are written
+        dealt = chunked(numbered, _CHUNK)
+        rows = written(dealt.groupBy("chunk").cogroup(answers(dealt, table, blocks, size).groupBy("chunk")).applyInArrow(chunk_scores, kinds), "lm-rows")
+        dropped(dealt)
     cold = rows.select("rid", F.explode(F.arrays_zip("cold", "times")).alias("c")).select("rid", F.col("c.cold").alias("key"), F.col("c.times").alias("times"))
     found = cold.join(counts.where(F.col("n") < int(np.ceil(RATIO ** (least - 1) - 1e-6))), "key", "left")
     found = found.groupBy("rid").agg(
@@ -284,6 +351,6 @@ def scored(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
     )
 
 
-def context_start(bloom: Filter) -> float:
+def context_start(levels: Callable[[np.ndarray, int], np.ndarray]) -> float:
     """The number of texts learnt, as the filter has it: each has one end."""
-    return float(count_of(bloom.levels(mixed(np.array([_END]) ^ _WORD), 1))[0])
+    return float(count_of(levels(mixed(np.array([_END]) ^ _WORD), 1))[0])
