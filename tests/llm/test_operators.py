@@ -73,6 +73,15 @@ def test_toxicity_of_awkward_rows(spark, awkward):
     assert toxicity.scored(awkward.where("false"), none).count() == 0
 
 
+def test_toxicity_learns_one_row_of_a_present_doc_id(spark):
+    rows = [(k, f"{'vile' if k % 2 else 'kind'} text number {k}") for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1000)], "doc_id long, toxic int")
+    once, often = (spark.createDataFrame(rows + [(7, rows[7][1])] * n, "doc_id long, text string") for n in (0, 300))
+    (at, weight), (again, same) = (toxicity.fit(d, labels, F.lit(True), max_train=40) for d in (once, often))
+    assert len(at) > 1
+    assert dict(zip(at, weight, strict=True)) == dict(zip(again, same, strict=True))
+
+
 # --- 2: language model
 
 

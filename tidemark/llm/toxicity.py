@@ -69,11 +69,13 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int = 4,
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_train: int = MAX_TRAIN, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and weights of the features that L1 left; the last is the bias under number ``2**bits``.
 
-    ``learn`` is a condition on doc_id. ``labels`` has doc_id and toxic.
+    ``learn`` is a condition on doc_id. ``labels`` has doc_id and toxic. Labels are drawn of doc_ids that ``docs`` has;
+    of one that repeats a single row is learnt, that with the least hash of its text.
     """
     sample = (
         labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn)
         .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
 
@@ -99,6 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_train: int = MAX_
     rows = (
         docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
         .join(F.broadcast(sample), "doc_id")
+        .groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .mapInArrow(featured, f"doc_id {id_type}, toxic int, x array<int>")
         .withColumns({"order": F.xxhash64("doc_id"), "model": F.lit(0)})
     )
