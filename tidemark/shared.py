@@ -34,9 +34,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
+    """``df`` as a table of the shared folder in buckets sorted by ``by``: joins on it don't shuffle it."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    df.write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._tidemark_path, out._tidemark_table = path, table
+    return out
+
+
 def dropped(df: DataFrame) -> None:
-    """Remove a table made by :func:`written` that nothing reads any more."""
+    """Remove a table made by :func:`written` or :func:`bucketed` that nothing reads any more."""
     spark = df.sparkSession
+    if table := getattr(df, "_tidemark_table", None):
+        spark.sql(f"DROP TABLE {table}")
     path = spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -47,8 +59,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows of a few numbers each that may be broadcast: some 50 MB at most.
-MOST_BROADCAST = 1_000_000
+#: Rows of a few numbers each that may be broadcast: some 10 MB at most.
+MOST_BROADCAST = 250_000
 
 
 def fitting(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
