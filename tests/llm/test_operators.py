@@ -228,14 +228,13 @@ def test_join_against_brute_force(documents, awkward, size, percent):
 
 
 @pytest.mark.parametrize(("low", "high"), [(3, 7), (1, 9)])
-def test_join_of_regions_around_a_pivot(spark, monkeypatch, low, high):
-    """Copies of one text with edits near the bound, many of them in common: what set pivots leave is joined by differences."""
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
-    monkeypatch.setattr(jaccard_join, "LARGE", 4)
+def test_join_of_cells_and_their_regions(spark, monkeypatch, low, high):
+    """Copies of one text with edits near the bound, many of them in common: cells are joined by the differences from their pivots."""
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "DEPTH", 2)
     reached = []
-    own = JaccardJoin._recentred
-    monkeypatch.setattr(JaccardJoin, "_recentred", lambda *a: reached.append(own(*a)) or reached[-1])
+    own = JaccardJoin._parts
+    monkeypatch.setattr(JaccardJoin, "_parts", lambda *a: reached.append(own(*a)) or reached[-1])
     rng = np.random.default_rng(low)
     rows = []
     for k in range(240):
@@ -248,7 +247,30 @@ def test_join_of_regions_around_a_pivot(spark, monkeypatch, low, high):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter(tuple(r) for r in JaccardJoin(3, 80).joined(docs).select("doc_id", "n_shingles", "component_id").collect())
     assert got == by_brute_force(rows, 3, 80)
-    assert reached
+    assert len(reached) == 2
+
+
+def test_join_of_several_pivots(spark, monkeypatch):
+    """Groups of copies around centres that share half of a frequent text: regions with several Voronoi cells and sets between them."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    cells = []
+    own = JaccardJoin._cells
+    monkeypatch.setattr(JaccardJoin, "_cells", lambda *a: cells.append(own(*a)) or cells[-1])
+    rng = np.random.default_rng(5)
+    centres = [[f"p{x}" if x < 60 else f"c{c}x{x}" for x in range(100)] for c in range(5)]
+    rows = []
+    for k in range(150):
+        w = list(centres[k % 5])
+        other = centres[(k + 1) % 5]
+        cut = 100 - int(rng.integers(0, 40))
+        w[cut:] = other[cut:]
+        for x in rng.choice(100, rng.integers(0, 3), replace=False):
+            w[x] = f"w{rng.integers(9)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in JaccardJoin(2, 80).joined(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == by_brute_force(rows, 2, 80)
+    assert cells[0].where("NOT home").count() > 0
 
 
 def test_join_of_large_regions(spark):

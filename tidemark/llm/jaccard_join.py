@@ -3,24 +3,24 @@
 A text is its set of shingles, known by 51-bit hashes under a global order: rare shingles
 first, of equally rare ones those with the rarest words (counts of shingles and of words over
 all texts are held by class in tables of fixed size; the order affects speed alone). Texts with
-equal sets are one class, so copies never meet again.
-
-* Pivots and Voronoi regions. The pivots of the first level are single shingles in
-  the global order; a set lies in the region of the first pivot it holds. Jaccard
-  distance d is a metric, and a set within r of this one lacks at most
-  ``n - ceil((1 - r) n)`` of its n shingles, so its region is that of one of the
-  first ``n - ceil((1 - r) n) + 1`` pivots: the set is replicated to those windows
-  and to no other. Regions of one class end here. Of a pair only its first common pivot
-  counts: what both hold before it is in the symmetric difference.
-* Small regions join pair by pair. In a large one the pivots are sets: in each round
-  one is drawn (first the set whose rarest shingle is the most frequent: an original has
-  no shingles of its own, its edited copies have), all others of the region are measured
-  against it, and those within r join its component. Sets of one component need no more comparison, nor do pairs
-  whose sizes (distances to the empty set), whose windows (the part of the symmetric
-  difference that both show) or whose distances to a pivot hold them apart by over r.
-* In regions that stay large each set is known by its difference from a pivot, and
-  sets join again by the rarest shingles of those differences; what remains in the
-  others is compared pair by pair.
+equal sets are one class, so copies never meet again. r is the greatest distance of linked sets.
+
+* Regions. Most sets are at distance 1 from each other, where no pivot tells them apart. A set
+  within r of one with n shingles lacks at most ``n - ceil((1 - r) n)`` of them, so two such
+  sets have one of the first ``n - ceil((1 - r) n) + 1`` of each in common. Sets that show the
+  same such shingle are a region; sets that share none are over r apart. Regions of one class
+  end here, those of ``SMALL`` classes at most are joined pair by pair.
+* Pivots and Voronoi cells. In a larger region sets are drawn as pivots: one (the set whose
+  rarest shingle is the most frequent: an original has no shingles of its own, its edited copies
+  have), and up to three more of those over 2r from the first. Each set of the region is measured
+  against all its pivots, and is at home in the cell of the nearest. By the triangle inequality
+  a set within r of one at home in a cell is at most 2r farther from that cell's pivot than from
+  its own: such boundary sets are replicated to the cell. So of two sets within r one is at home in a
+  cell that holds both. Sets within r of the same pivot are linked through it and need not meet.
+* Recursion. In a cell a set is known by its difference from the pivot, and the differences are
+  sets again: those that share one of their rarest elements, as many as the distances from the
+  pivot leave open, are the regions of the next level, with pivots of their own. After ``DEPTH``
+  levels what is left is compared pair by pair.
 
 Nothing is dropped or capped, so components are exact (up to hash collisions of
 about n^2 / 2^52 within a text). Groups of near copies are measured against a few
@@ -34,8 +34,8 @@ rows. Other columns are never read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -45,11 +45,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.words import Words, joined, mixed, slices, texts, words
-from tidemark.shared import checkpointed, dropped, fitting, written
+from tidemark.shared import bucketed, checkpointed, dropped, fitting, written
 
-#: Buckets of the tables of words and of shingles (2 and 8 MB); the most classes of a small region, rounds of set
-#: pivots in the others, rows beyond which they join by differences from a pivot; buckets of the table of sets.
-WORD_BITS, SHINGLE_BITS, SMALL, ROUNDS, LARGE, SET_BUCKETS = 21, 23, 12, 3, 48, 64
+#: Buckets of the tables of words and of shingles (2 and 8 MB); the most classes of a small region, pivots of a larger
+#: one, levels of regions; buckets of the table of sets, shingles of pivots' sets that are broadcast at most (8 MB).
+WORD_BITS, SHINGLE_BITS, SMALL, PIVOTS, DEPTH, SET_BUCKETS, MOST_SHINGLES = 21, 23, 8, 4, 4, 64, 1_000_000
 #: Buckets sent together, and the place of the word class in an ordered shingle.
 _CUT, _WORD_AT = 1 << 16, 51
 
@@ -196,8 +196,7 @@ class JaccardJoin:
         ``rid`` numbers the rows of ``docs`` (by their place unless given). Where doc_ids repeat, components
         may have a component_id in common, never a comp.
         """
-        spark = docs.sparkSession
-        order = spark.sparkContext.broadcast(frequency_classes(docs, self.size))
+        order = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, self.size))
         numbered = docs.select("doc_id", "text", (F.monotonically_increasing_id() if rid is None else rid).alias("rid"))
         rows = written(_sets(numbered, ["doc_id", "rid"], self.size, order, self._window()), "jaccard-rows")
         reps = written(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("cid")), "jaccard-classes")
@@ -205,30 +204,26 @@ class JaccardJoin:
 
         regions = self._regions(held)
         close = checkpointed(self._apart(self._small_pairs(regions), held))
-        sets = self._needed_sets(docs, rows, close, regions, order)
+        large = regions.where(F.col("k") > SMALL).select(F.col("h").alias("key"), "cid", "f")
+        sets = self._needed_sets(docs, rows, close.select("cid").union(close.select("pivot")).union(large.select("cid")), order)
         order.destroy()
-        comps = checkpointed(regions.select("cid").distinct().select("cid", F.col("cid").alias("comp")))
-        measured = self._measured(close, spark.table(sets))
-        comps = self._merged(comps, measured)
-        left = regions.where(F.col("k") > SMALL).drop("k")
-        for step in range(ROUNDS):
-            left = self._open(left, comps)
-            found = self._measured(self._apart(self._pivot_pairs(left, measured, step), held), spark.table(sets))
-            if found.isEmpty():
+        links, pairs = [], [close]
+        for level in range(DEPTH):
+            if large.isEmpty():
                 break
-            comps = self._merged(comps, found)
-            measured = checkpointed(measured.union(found))
-        left = self._open(left, comps)
-        if not left.isEmpty():
-            comps, pairs = self._recentred(left, comps, spark.table(sets), measured)
-            pairs = pairs.union(self._within(self._rest(left, measured), measured)).distinct()
-            comps = self._merged(comps, self._measured(self._apart(pairs, held), spark.table(sets)))
-        named = reps.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+            measured = self._against_pivots(large, sets)
+            links.append(measured.where("linked AND cid <> pivot").select("cid", "pivot"))
+            parts = self._parts(self._cells(large, measured), measured)
+            pairs.append(self._part_pairs(parts, last=level == DEPTH - 1))
+            large = parts.where(F.col("k") > SMALL).select("key", "cid", F.xxhash64("cid", F.lit(level)).alias("f"))
+        pairs = pairs[0] if len(pairs) == 1 else self._unlinked(_union(pairs).distinct(), _union(links))
+        links.append(self._measured(pairs, sets, whole=False).where("linked").select("cid", "pivot"))
+        labels = components(_union(links).toDF("a", "b"))
+        named = reps.join(labels, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cid"))
         ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
         out = written(named.join(ids, "comp").select("sig", "comp", "component_id"), "jaccard-components")
-        spark.sql(f"DROP TABLE {sets}")
-        dropped(regions)
-        dropped(reps)
+        for table in (sets, regions, reps):
+            dropped(table)
         return rows, out
 
     def joined(self, docs: DataFrame) -> DataFrame:
@@ -242,15 +237,18 @@ class JaccardJoin:
         return self._sizes_fit(n, m) & (100 * (n + m - apart) >= self.percent * (n + m + apart))
 
     def _regions(self, held: DataFrame) -> DataFrame:
-        """h, cid, n, p (shingles before h), f (the first), k: the windows of each class, where k > 1 classes have the same pivot.
+        """h, cid, n, p (shingles before h), f (the first), k: the windows of each class, where k > 1 classes show the same shingle.
 
-        A pivot that occurs once in all texts (class 1), or with a word that does, is no other text's.
+        A shingle that occurs once in all texts (class 1), or with a word that does, is no other text's.
         """
         # the last of own, if there is one more, serves _apart alone
         window = F.expr(f"slice(own, 1, cast(n - (n * {self.percent} + 99) div 100 + 1 as int))")
         windows = held.select("cid", "n", F.col("own")[0].alias("f"), F.posexplode(window).alias("p", "h")).where(self._shown(F.col("h")))
-        shared = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-        return written(windows.join(shared, "h").select("h", "cid", "n", "p", "f", "k"), "jaccard-regions")
+        # written, so that the join below reads two exchanges and Spark splits a shingle that very many classes show
+        shared = written(windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-shared")
+        out = written(windows.join(shared, "h").select("h", "cid", "n", "p", "f", "k"), "jaccard-regions")
+        dropped(shared)
+        return out
 
     @staticmethod
     def _shown(h: Column) -> Column:
@@ -283,113 +281,110 @@ class JaccardJoin:
         fits = 100 * (F.col("nx") + F.col("ny") - differ) >= self.percent * (F.col("nx") + F.col("ny") + differ)
         return rows.where(fits).select("cid", "pivot")
 
-    def _needed_sets(self, docs: DataFrame, rows: DataFrame, close: DataFrame, regions: DataFrame, order) -> str:
-        """A table of cid and whole set of the classes whose pairs may be measured, from one text each, bucketed by cid.
+    def _needed_sets(self, docs: DataFrame, rows: DataFrame, need: DataFrame, order) -> DataFrame:
+        """cid and own, the whole set, of the classes that may be measured, from one text each: a table bucketed by cid.
 
-        Each round joins pairs to it; only the pairs are shuffled.
+        Pairs are joined to it; only the pairs are shuffled.
         """
-        need = close.select("cid").union(close.select("pivot")).union(regions.where(F.col("k") > SMALL).select("cid")).distinct()
-        need = checkpointed(rows.select("rid", "doc_id", "sig").join(need, F.col("rid") == F.col("cid")).select("cid", "sig", F.col("doc_id").alias("rep")))
+        need = checkpointed(rows.select("rid", "doc_id", "sig").join(need.distinct(), F.col("rid") == F.col("cid")).select("cid", "sig", F.col("doc_id").alias("rep")))
         ids = checkpointed(need.select("rep").distinct())
         some = docs.select("doc_id", "text").join(fitting(ids), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         sets = _sets(some, [], self.size, order, lambda n: n).where("n > 0").select("sig", "own")
-        name = f"jaccard_sets_{uuid.uuid4().hex}"
         one = sets.join(fitting(need.select("sig", "cid")), "sig").select("cid", "own").repartition(SET_BUCKETS, "cid").dropDuplicates(["cid"])
-        one.write.bucketBy(SET_BUCKETS, "cid").sortBy("cid").saveAsTable(name)
-        return name
+        return bucketed(one, "jaccard_sets", SET_BUCKETS, "cid")
 
-    @staticmethod
-    def _open(regions: DataFrame, comps: DataFrame) -> DataFrame:
-        """h, cid, n, p, f, comp: regions that hold more than one component."""
-        rows = regions.select("h", "cid", "n", "p", "f").join(comps, "cid")
-        left = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-        return checkpointed(rows.join(left, "h"))
-
-    def _pivot_pairs(self, rows: DataFrame, measured: DataFrame, step: int) -> DataFrame:
-        """cid, pivot: classes of each region and its pivot of this round, if of another component and not yet measured."""
-        first = F.col("f") if step == 0 else F.xxhash64("comp", F.lit(step))
-        draw = F.struct(first.alias("x"), F.col("comp").alias("pc"), F.xxhash64("cid", F.lit(step)).alias("y"), F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("p").alias("pp"))
-        drawn = rows.groupBy("h").agg(F.max(draw).alias("drawn")).select("h", "drawn.*")
-        fit = self._fit(F.col("n"), F.col("pn"), F.col("p") + F.col("pp"))
-        pairs = rows.join(drawn, "h").where((F.col("comp") != F.col("pc")) & fit).select("cid", "pivot")
-        return self._new(pairs, measured)
+    def _measured(self, pairs: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
+        """cid, pivot, n, m, both (shingles of both) and linked, of distinct pairs; ``whole``: and e, the difference of the two, and d, its size.
 
-    @staticmethod
-    def _new(pairs: DataFrame, measured: DataFrame) -> DataFrame:
-        """Distinct pairs not yet measured either way round."""
-        known = measured.select("cid", "pivot").union(measured.select("pivot", "cid"))
-        return pairs.distinct().join(known, ["cid", "pivot"], "left_anti")
-
-    def _measured(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """cid, pivot, both (shingles of both), sum (of sizes) and linked, of each pair."""
+        e is without the shingles that no other text can have. Written, so that e is only read where it is needed.
+        """
         pairs = checkpointed(pairs)
-        pivots = sets.join(pairs.select(F.col("pivot").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("pivot"), F.col("own").alias("y"))
-        found = pairs.join(sets.select("cid", F.col("own").alias("x")), "cid").join(pivots, "pivot")
-        both = F.size(F.array_intersect("x", "y")).cast("long")
-        found = found.select("cid", "pivot", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
-        return checkpointed(found.withColumn("linked", 100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))))
+        pivots = written(sets.join(fitting(checkpointed(pairs.select("pivot").distinct())), F.col("cid") == F.col("pivot"), "left_semi").select(F.col("cid").alias("pivot"), F.col("own").alias("y")), "jaccard-pivots")
+        small = pivots.agg(F.coalesce(F.sum(F.size("y")), F.lit(0))).first()[0] <= MOST_SHINGLES
+        found = pairs.join(sets.select("cid", F.col("own").alias("x")), "cid").join(F.broadcast(pivots) if small else pivots, "pivot")
+        found = found.select("cid", "pivot", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), F.size(F.array_intersect("x", "y")).cast("long").alias("both"), *["x", "y"] * whole)
+        found = found.withColumn("linked", 100 * F.col("both") >= self.percent * (F.col("n") + F.col("m") - F.col("both")))
+        if whole:
+            e = F.concat(F.filter(F.array_except("x", "y"), self._shown), F.array_except("y", "x"))
+            found = found.withColumns({"d": F.col("n") + F.col("m") - 2 * F.col("both"), "e": e}).drop("x", "y")
+        out = written(found, "jaccard-measured")
+        dropped(pivots)
+        return out
 
     @staticmethod
-    def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
-        """comps after the links of ``found``: the graph of components is contracted."""
-        links = found.where("linked").select("cid", "pivot")
-        edges = links.join(comps.select("cid", F.col("comp").alias("a")), "cid").join(comps.select(F.col("cid").alias("pivot"), F.col("comp").alias("b")), "pivot")
-        labels = components(edges.select("a", "b")).select("node", F.col("comp").alias("merged"))
-        return checkpointed(comps.join(labels, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("merged", "comp").alias("comp")))
-
-    def _recentred(self, rows: DataFrame, comps: DataFrame, sets: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """comps after the links of large regions with a pivot of each; and their pairs (cid, pivot) that are still to be measured.
-
-        A set is known by its difference from the pivot: ``x ^ y`` is the difference of those differences, d_x + d_y - 2 o
-        where they share o shingles. If o is 0 and x and y are within r, both are within r of the pivot, hence in its
-        component; any other pair shares a shingle of its differences. Sets of the pivot's component pair with sets
-        outside alone, whose d is ``far`` at least, and d_y >= d_x - |x ^ y|: so o has a lower bound, and only the rarest
-        shingles of a difference that such a bound leaves are joined, with a check of what can follow them.
+    def _distance() -> Column:
+        return 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
+
+    def _against_pivots(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """What _measured says of each class and each pivot of its regions (key, cid, f), the pivots themselves among them."""
+        r = 1 - self.percent / 100
+        drawn = checkpointed(rows.groupBy("key").agg(F.max(F.struct("f", "cid")).alias("x")).select("key", F.col("x.cid").alias("pivot")))
+        first = self._measured(rows.join(drawn, "key").select("cid", "pivot").distinct(), sets, whole=True)
+        beyond = first.where(self._distance() > 2 * r).select("cid", "pivot")
+        beyond = checkpointed(rows.select("key", "cid").join(drawn, "key").join(beyond, ["cid", "pivot"]).select("key", "cid"))
+        if beyond.isEmpty():
+            return first
+        draws = [F.max(F.struct(F.xxhash64("cid", F.lit(k)).alias("x"), "cid"))["cid"] for k in range(1, PIVOTS)]
+        more = beyond.groupBy("key").agg(F.array_distinct(F.array(*draws)).alias("pivots")).select("key", F.explode("pivots").alias("pivot"))
+        pairs = rows.join(checkpointed(more), "key").select("cid", "pivot").distinct().join(first.select("cid", "pivot"), ["cid", "pivot"], "left_anti")
+        out = first.unionByName(self._measured(pairs, sets, whole=True))
+        out._pivots = drawn.union(more)
+        return out
+
+    def _cells(self, rows: DataFrame, measured: DataFrame) -> DataFrame:
+        """pivot, cid, home: the classes of each pivot's cell, at home there or within the window of 2r."""
+        d = measured.select("cid", "pivot", self._distance().alias("away"))
+        if (pivots := getattr(measured, "_pivots", None)) is None:
+            return d.select("pivot", "cid", F.lit(True).alias("home"))
+        # one row for each class of a region: its distances from all pivots there
+        at = rows.select("key", "cid").join(checkpointed(pivots), "key").join(d, ["cid", "pivot"])
+        at = at.groupBy("key", "cid").agg(F.min("away").alias("least"), F.collect_set(F.struct("pivot", "away")).alias("all"))
+        at = at.select("cid", "least", F.explode("all").alias("to")).where(F.col("to.away") <= F.col("least") + 2 * (1 - self.percent / 100) + 1e-9)
+        return at.groupBy(F.col("to.pivot").alias("pivot"), "cid").agg(F.max(F.col("to.away") == F.col("least")).alias("home"))
+
+    def _parts(self, cells: DataFrame, measured: DataFrame) -> DataFrame:
+        """key, k (classes of the key), pivot, cid, n, d, home, linked, rest: the regions of differences in each cell.
+
+        ``x ^ y`` is the difference of the differences from the pivot, d_x + d_y - 2 o where they share o shingles. If
+        o is 0 and x and y are within r, both are within r of the pivot and linked through it; any other pair shares a
+        shingle of its differences. Sets linked to the pivot pair with the others alone, whose d is ``far`` at least, and
+        d_y >= d_x - |x ^ y|: so o has a lower bound, and only the rarest shingles of a difference that such a
+        bound leaves open are shown; ``rest`` is how many can follow in common.
         """
-        many = rows.groupBy("h").agg(F.count("*").alias("k"), F.max(F.struct("f", "cid")).alias("drawn")).where(F.col("k") > LARGE)
-        groups = checkpointed(rows.join(many.select("h", F.col("drawn.cid").alias("pivot")), "h").select("cid", "pivot").distinct())
-        pivots = sets.join(groups.select(F.col("pivot").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("pivot"), F.col("own").alias("y"))
-        found = groups.join(sets.select("cid", F.col("own").alias("x")), "cid").join(pivots, "pivot")
-        found = found.select("cid", "pivot", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), F.array_except("x", "y").alias("more"), F.array_except("y", "x").alias("less"))
-        both, total = F.col("n") - F.size("more"), F.col("n") + F.col("m")
-        found = found.select("cid", "pivot", "n", both.alias("both"), total.alias("sum"), (F.size("more") + F.size("less")).cast("long").alias("d"), F.concat(F.filter("more", self._shown), "less").alias("e"))
-        found = checkpointed(found.withColumn("linked", 100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))))
-        comps = self._merged(comps, found.where("cid <> pivot"))
-
-        group = found.groupBy("pivot").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("far"), F.max("n").alias("most")).where("far is not null")
-        rows = found.join(group, "pivot").join(comps, "cid")
+        rows = checkpointed(measured.select("cid", "pivot", "n", "d", "linked", "e").join(cells, ["cid", "pivot"]))
+        group = rows.groupBy("pivot").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("far"), F.max("n").alias("most")).where("far is not null")
+        rows = rows.join(fitting(checkpointed(group)), "pivot")
         rows = rows.withColumn("t", F.expr(f"(n + least(most, n * 100 div {self.percent})) * {100 - self.percent} div {100 + self.percent}"))
-        rows = rows.withColumn("need", F.greatest(F.lit(1), F.expr("if(linked, (d + far - t + 1) div 2, d - t)"))).select("pivot", "cid", "n", "d", "need", "comp", "e")
-        each = checkpointed(rows.select("pivot", "cid", "n", "d", "need", "comp", F.explode("e").alias("e")))
-        often = each.groupBy("pivot", "e").agg(F.count("*").alias("k")).where("k > 1")
-        ranked = each.join(often, ["pivot", "e"]).groupBy("pivot", "cid", "n", "d", "need", "comp").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("own"))
-        ranked = ranked.withColumn("s", F.size("own")).where("s >= need").withColumn("own", F.expr("slice(own, 1, cast(s - need + 1 as int))"))
-        ranked = checkpointed(ranked.select("pivot", "cid", "n", "d", "comp", "s", F.posexplode("own").alias("p", "o")).select("pivot", "cid", "n", "d", "comp", (F.col("s") - F.col("p")).alias("rest"), "o.e"))
-        x, y = ranked.alias("x"), ranked.alias("y")
+        rows = rows.withColumn("need", F.greatest(F.lit(1), F.expr("if(linked, (d + far - t + 1) div 2, d - t)"))).where("size(e) >= need")
+        each = checkpointed(rows.select("pivot", "cid", "n", "d", "need", "home", "linked", F.explode("e").alias("e")))
+        often = checkpointed(each.groupBy("pivot", "e").agg(F.count("*").alias("k")).where("k > 1"))
+        own = each.join(often, ["pivot", "e"]).groupBy("pivot", "cid", "n", "d", "need", "home", "linked").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("own"))
+        own = own.withColumn("s", F.size("own")).where("s >= need").withColumn("own", F.expr("slice(own, 1, cast(s - need + 1 as int))"))
+        shown = checkpointed(own.select("pivot", "cid", "n", "d", "home", "linked", "s", F.posexplode("own").alias("p", "o")).select(
+            F.xxhash64("pivot", "o.e").alias("key"), "pivot", "cid", "n", "d", "home", "linked", (F.col("s") - F.col("p")).alias("rest")
+        ))
+        sizes = checkpointed(shown.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
+        return checkpointed(shown.join(sizes, "key"))
+
+    def _part_pairs(self, parts: DataFrame, last: bool) -> DataFrame:
+        """cid, pivot: pairs of small regions of differences (of all, on the last level), by sizes and by what can follow."""
+        rows = parts if last else parts.where(F.col("k") <= SMALL)
+        x, y = rows.alias("x"), rows.alias("y")
         apart = F.col("x.d") + F.col("y.d") - 2 * F.least("x.rest", "y.rest")
-        on = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp"))
-        pairs = x.join(y, on & self._fit(F.col("x.n"), F.col("y.n"), apart)).select("x.cid", F.col("y.cid").alias("pivot"))
-        return comps, self._new(pairs, measured)
-
-    def _rest(self, rows: DataFrame, measured: DataFrame) -> DataFrame:
-        """cid, pivot: what neither components nor sizes and places decide in regions of LARGE classes at most."""
-        many = rows.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") <= LARGE)
-        rows = rows.join(many.select("h"), "h").select("h", "cid", "n", "p", "comp")
-        right = rows.select("h", F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("p").alias("pp"), F.col("comp").alias("pc"))
-        apart = (F.col("cid") < F.col("pivot")) & (F.col("comp") != F.col("pc")) & self._fit(F.col("n"), F.col("pn"), F.col("p") + F.col("pp"))
-        return self._new(rows.join(right, "h").where(apart).select("cid", "pivot"), measured)
-
-    def _within(self, pairs: DataFrame, measured: DataFrame) -> DataFrame:
-        """Pairs without those that a common pivot p holds apart: |d(x, p) - d(y, p)| > r.
-
-        Each class names the pivot it was measured against last; pairs that name the same are tested.
-        """
-        d = (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("d")
-        known = measured.select("cid", F.col("pivot").alias("p"), d).union(measured.select("pivot", "cid", d))
-        named = known.groupBy("cid").agg(F.max(F.struct("p", "d")).alias("to"))
-        out = pairs.join(named, "cid", "left").join(named.select(F.col("cid").alias("pivot"), F.col("to").alias("other")), "pivot", "left")
-        apart = (F.col("to.p") == F.col("other.p")) & (F.abs(F.col("to.d") - F.col("other.d")) > 1 - self.percent / 100 + 1e-9)
-        return out.where(~F.coalesce(apart, F.lit(False))).select("cid", "pivot")
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.cid") < F.col("y.cid"))
+        on = on & (F.col("x.home") | F.col("y.home")) & ~(F.col("x.linked") & F.col("y.linked"))
+        return checkpointed(x.join(y, on & self._fit(F.col("x.n"), F.col("y.n"), apart)).select("x.cid", F.col("y.cid").alias("pivot")).distinct())
+
+    @staticmethod
+    def _unlinked(pairs: DataFrame, links: DataFrame) -> DataFrame:
+        """Pairs that aren't linked through a pivot already."""
+        balls = checkpointed(links.union(links.select("pivot", "pivot")).distinct().groupBy("cid").agg(F.collect_set("pivot").alias("balls")))
+        rows = pairs.join(balls, "cid", "left").join(balls.select(F.col("cid").alias("pivot"), F.col("balls").alias("others")), "pivot", "left")
+        return rows.where(~F.coalesce(F.arrays_overlap("balls", "others"), F.lit(False))).select("cid", "pivot")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
