@@ -13,14 +13,17 @@ equal sets are one class, so copies never meet again. r is the greatest distance
 * Pivots and Voronoi cells. In a larger region sets are drawn as pivots: one (the set whose
   rarest shingle is the most frequent: an original has no shingles of its own, its edited copies
   have), and up to three more of those over 2r from the first. Each set of the region is measured
-  against all its pivots, and is at home in the cell of the nearest. By the triangle inequality
-  a set within r of one at home in a cell is at most 2r farther from that cell's pivot than from
-  its own: such boundary sets are replicated to the cell. So of two sets within r one is at home in a
-  cell that holds both. Sets within r of the same pivot are linked through it and need not meet.
+  against all its pivots. The nearest pivot's cell is its home, unless that is over 2r away. By the
+  triangle inequality a set within r of one at home in a cell is at most 2r farther from that cell's pivot
+  than from its own, and at most 3r away: such boundary sets are replicated to the cell. So of
+  two sets within r one is at home in a cell that holds both, or neither is near a pivot.
+  Sets within r of the same pivot are linked through it and need not meet.
 * Recursion. In a cell a set is known by its difference from the pivot, and the differences are
   sets again: those that share one of their rarest elements, as many as the distances from the
-  pivot leave open, are the regions of the next level, with pivots of their own. After ``DEPTH``
-  levels what is left is compared pair by pair.
+  pivot leave open, are the regions of the next level. Sets far from all pivots of a first region
+  share a second shingle of their windows if they are within r: that cuts it into regions of the
+  next level. Those of ``LARGE`` sets at most are joined pair by pair, larger ones have pivots of their own.
+  After ``DEPTH`` levels what is left is compared pair by pair.
 
 Nothing is dropped or capped, so components are exact (up to hash collisions of
 about n^2 / 2^52 within a text). Groups of near copies are measured against a few
@@ -47,9 +50,9 @@ from tidemark.llm.components import components
 from tidemark.llm.words import Words, joined, mixed, slices, texts, words
 from tidemark.shared import bucketed, checkpointed, dropped, fitting, written
 
-#: Buckets of the tables of words and of shingles (2 and 8 MB); the most classes of a small region, pivots of a larger
-#: one, levels of regions; buckets of the table of sets, shingles of pivots' sets that are broadcast at most (8 MB).
-WORD_BITS, SHINGLE_BITS, SMALL, PIVOTS, DEPTH, SET_BUCKETS, MOST_SHINGLES = 21, 23, 8, 4, 4, 64, 1_000_000
+#: Buckets of the tables of words and of shingles (2 and 8 MB); the most classes of a region without pivots on the first
+#: level and on others, pivots of a larger one, levels; buckets of the table of sets, shingles of pivots broadcast at most (8 MB).
+WORD_BITS, SHINGLE_BITS, SMALL, LARGE, PIVOTS, DEPTH, SET_BUCKETS, MOST_SHINGLES = 21, 23, 8, 64, 4, 3, 64, 1_000_000
 #: Buckets sent together, and the place of the word class in an ordered shingle.
 _CUT, _WORD_AT = 1 << 16, 51
 
@@ -180,6 +183,8 @@ class JaccardJoin:
     """Links between texts whose sets of ``size``-word shingles have ``100 * intersection >= percent * union``."""
 
     def __init__(self, size: int = 5, percent: int = 80) -> None:
+        if not 50 < percent <= 100:
+            raise ValueError("percent must be over 50: linked sets of two shingles or more then share two")
         self.size, self.percent = size, percent
 
     def _window(self):
@@ -203,19 +208,23 @@ class JaccardJoin:
         held = rows.join(fitting(reps.select("cid")), F.col("rid") == F.col("cid")).select("cid", F.col("n").cast("int").alias("n"), "own")
 
         regions = self._regions(held)
-        close = checkpointed(self._apart(self._small_pairs(regions), held))
-        large = regions.where(F.col("k") > SMALL).select(F.col("h").alias("key"), "cid", "f")
+        close = checkpointed(self._apart(self._pairs(regions.where(F.col("k") <= SMALL)), held))
+        large = regions.where(F.col("k") > SMALL)
         sets = self._needed_sets(docs, rows, close.select("cid").union(close.select("pivot")).union(large.select("cid")), order)
         order.destroy()
         links, pairs = [], [close]
         for level in range(DEPTH):
             if large.isEmpty():
                 break
-            measured = self._against_pivots(large, sets)
+            measured, pivots = self._against_pivots(large, sets)
             links.append(measured.where("linked AND cid <> pivot").select("cid", "pivot"))
-            parts = self._parts(self._cells(large, measured), measured)
-            pairs.append(self._part_pairs(parts, last=level == DEPTH - 1))
-            large = parts.where(F.col("k") > SMALL).select("key", "cid", F.xxhash64("cid", F.lit(level)).alias("f"))
+            cells, far = self._cells(large, measured, pivots)
+            parts = self._parts(cells, measured)
+            parts = parts.union(self._second(far, held) if level == 0 else far.select(parts.columns))
+            sizes = written(parts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-sizes")
+            parts = written(parts.join(sizes, "key"), "jaccard-parts")
+            pairs.append(self._pairs(parts if level == DEPTH - 1 else parts.where(F.col("k") <= LARGE)))
+            large = parts.where(F.col("k") > LARGE).withColumn("f", F.xxhash64("cid", F.lit(level)))
         pairs = pairs[0] if len(pairs) == 1 else self._unlinked(_union(pairs).distinct(), _union(links))
         links.append(self._measured(pairs, sets, whole=False).where("linked").select("cid", "pivot"))
         labels = components(_union(links).toDF("a", "b"))
@@ -237,16 +246,17 @@ class JaccardJoin:
         return self._sizes_fit(n, m) & (100 * (n + m - apart) >= self.percent * (n + m + apart))
 
     def _regions(self, held: DataFrame) -> DataFrame:
-        """h, cid, n, p (shingles before h), f (the first), k: the windows of each class, where k > 1 classes show the same shingle.
+        """key (a shingle), cid, n, d, rest, home, linked, f (the first shingle), k: the windows of each class, where k > 1 classes show the same.
 
-        A shingle that occurs once in all texts (class 1), or with a word that does, is no other text's.
+        The pivot of the first level is the empty set: d is n, and ``rest`` the shingles from the key on. A shingle that occurs once in all texts (class 1), or with a word that does, is no other text's.
         """
         # the last of own, if there is one more, serves _apart alone
         window = F.expr(f"slice(own, 1, cast(n - (n * {self.percent} + 99) div 100 + 1 as int))")
-        windows = held.select("cid", "n", F.col("own")[0].alias("f"), F.posexplode(window).alias("p", "h")).where(self._shown(F.col("h")))
+        windows = held.select("cid", "n", F.col("own")[0].alias("f"), F.posexplode(window).alias("p", "key")).where(self._shown(F.col("key")))
         # written, so that the join below reads two exchanges and Spark splits a shingle that very many classes show
-        shared = written(windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-shared")
-        out = written(windows.join(shared, "h").select("h", "cid", "n", "p", "f", "k"), "jaccard-regions")
+        shared = written(windows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-shared")
+        rows = windows.join(shared, "key").select("key", "cid", "n", F.col("n").alias("d"), (F.col("n") - F.col("p")).alias("rest"), F.lit(True).alias("home"), F.lit(False).alias("linked"), "f", "k")
+        out = written(rows, "jaccard-regions")
         dropped(shared)
         return out
 
@@ -254,12 +264,12 @@ class JaccardJoin:
     def _shown(h: Column) -> Column:
         return (h >= F.lit(2 << 57)) & (F.shiftright(h, _WORD_AT).bitwiseAND(F.lit(63)) > 1)
 
-    def _small_pairs(self, regions: DataFrame) -> DataFrame:
-        """cid, pivot: the pairs of regions of SMALL classes at most, by sizes and places."""
-        rows = regions.where(F.col("k") <= SMALL).select("h", "cid", "n", "p")
-        other = rows.select("h", F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("p").alias("pp"))
-        fit = self._fit(F.col("n"), F.col("pn"), F.col("p") + F.col("pp"))
-        return rows.join(other, "h").where((F.col("cid") < F.col("pivot")) & fit).select("cid", "pivot").distinct()
+    def _pairs(self, rows: DataFrame) -> DataFrame:
+        """cid, pivot: the pairs of each region, by sizes and by the shingles that can follow the key in both differences."""
+        x, y = rows.alias("x"), rows.alias("y")
+        apart = F.col("x.d") + F.col("y.d") - 2 * F.least("x.rest", "y.rest")
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.home") | F.col("y.home")) & ~(F.col("x.linked") & F.col("y.linked"))
+        return checkpointed(x.join(y, on & self._fit(F.col("x.n"), F.col("y.n"), apart)).select("x.cid", F.col("y.cid").alias("pivot")).distinct())
 
     def _apart(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
         """Pairs less those whose windows differ by more than sets within r can.
@@ -267,7 +277,6 @@ class JaccardJoin:
         Up to the lesser of the windows' ends both sets are known; what only one holds there belongs to the
         symmetric difference, which for sets within r is at most r / (2 - r) of the sum of sizes.
         """
-        pairs = checkpointed(pairs)
         first = held.select("cid", F.col("n").alias("nx"), F.col("own").alias("x"))
         second = held.select(F.col("cid").alias("pivot"), F.col("n").alias("ny"), F.col("own").alias("y"))
         some = pairs.select("pivot").distinct()
@@ -315,35 +324,41 @@ class JaccardJoin:
     def _distance() -> Column:
         return 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
 
-    def _against_pivots(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
-        """What _measured says of each class and each pivot of its regions (key, cid, f), the pivots themselves among them."""
-        r = 1 - self.percent / 100
+    def _against_pivots(self, rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What _measured says of each class and each pivot of its regions, the pivots themselves among them; and key and pivot."""
         drawn = checkpointed(rows.groupBy("key").agg(F.max(F.struct("f", "cid")).alias("x")).select("key", F.col("x.cid").alias("pivot")))
         first = self._measured(rows.join(drawn, "key").select("cid", "pivot").distinct(), sets, whole=True)
-        beyond = first.where(self._distance() > 2 * r).select("cid", "pivot")
-        beyond = checkpointed(rows.select("key", "cid").join(drawn, "key").join(beyond, ["cid", "pivot"]).select("key", "cid"))
-        if beyond.isEmpty():
-            return first
+        beyond = first.where(self._distance() > 2 * self._r()).select("cid", "pivot")
+        beyond = rows.select("key", "cid").join(drawn, "key").join(beyond, ["cid", "pivot"])
         draws = [F.max(F.struct(F.xxhash64("cid", F.lit(k)).alias("x"), "cid"))["cid"] for k in range(1, PIVOTS)]
-        more = beyond.groupBy("key").agg(F.array_distinct(F.array(*draws)).alias("pivots")).select("key", F.explode("pivots").alias("pivot"))
-        pairs = rows.join(checkpointed(more), "key").select("cid", "pivot").distinct().join(first.select("cid", "pivot"), ["cid", "pivot"], "left_anti")
-        out = first.unionByName(self._measured(pairs, sets, whole=True))
-        out._pivots = drawn.union(more)
-        return out
+        more = checkpointed(beyond.groupBy("key").agg(F.array_distinct(F.array(*draws)).alias("pivots")).select("key", F.explode("pivots").alias("pivot")))
+        if more.isEmpty():
+            return first, drawn
+        pairs = rows.join(more, "key").select("cid", "pivot").distinct().join(first.select("cid", "pivot"), ["cid", "pivot"], "left_anti")
+        return first.unionByName(self._measured(pairs, sets, whole=True)), drawn.union(more)
 
-    def _cells(self, rows: DataFrame, measured: DataFrame) -> DataFrame:
-        """pivot, cid, home: the classes of each pivot's cell, at home there or within the window of 2r."""
+    def _r(self) -> float:
+        return 1 - self.percent / 100 + 1e-9
+
+    def _cells(self, rows: DataFrame, measured: DataFrame, pivots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """pivot, cid, home: the classes of each pivot's cell; and the rows of the regions whose class is over 2r from all pivots there."""
         d = measured.select("cid", "pivot", self._distance().alias("away"))
-        if (pivots := getattr(measured, "_pivots", None)) is None:
-            return d.select("pivot", "cid", F.lit(True).alias("home"))
         # one row for each class of a region: its distances from all pivots there
-        at = rows.select("key", "cid").join(checkpointed(pivots), "key").join(d, ["cid", "pivot"])
-        at = at.groupBy("key", "cid").agg(F.min("away").alias("least"), F.collect_set(F.struct("pivot", "away")).alias("all"))
-        at = at.select("cid", "least", F.explode("all").alias("to")).where(F.col("to.away") <= F.col("least") + 2 * (1 - self.percent / 100) + 1e-9)
-        return at.groupBy(F.col("to.pivot").alias("pivot"), "cid").agg(F.max(F.col("to.away") == F.col("least")).alias("home"))
+        at = rows.select("key", "cid").join(pivots, "key").join(d, ["cid", "pivot"])
+        at = checkpointed(at.groupBy("key", "cid").agg(F.min("away").alias("least"), F.collect_set(F.struct("pivot", "away")).alias("all")))
+        away, near = F.col("to.away"), F.col("least") <= 2 * self._r()
+        inside = at.select("cid", "least", F.explode("all").alias("to")).where(away <= F.least(F.col("least") + 2 * self._r(), F.lit(3 * self._r())))
+        cells = inside.groupBy(F.col("to.pivot").alias("pivot"), "cid").agg(F.max((away == F.col("least")) & near).alias("home"))
+        return cells, rows.join(at.where(~near).select("key", "cid"), ["key", "cid"])
+
+    def _second(self, far: DataFrame, held: DataFrame) -> DataFrame:
+        """Rows of first regions cut by the second shingle that sets within r have in common, one beyond the window at most."""
+        own = far.select("key", "cid", "n", "d", "rest").join(held.select("cid", "own"), "cid")
+        own = own.select("key", "cid", "n", "d", "rest", F.posexplode("own").alias("q", "e")).where((F.col("q") > F.col("d") - F.col("rest")) & self._shown(F.col("e")))
+        return own.select(F.xxhash64("key", "e").alias("key"), "cid", "n", "d", (F.col("n") - F.col("q") + 1).alias("rest"), F.lit(True).alias("home"), F.lit(False).alias("linked"))
 
     def _parts(self, cells: DataFrame, measured: DataFrame) -> DataFrame:
-        """key, k (classes of the key), pivot, cid, n, d, home, linked, rest: the regions of differences in each cell.
+        """key (of a pivot and a shingle), cid, n, d, rest, home, linked: the regions of differences in each cell.
 
         ``x ^ y`` is the difference of the differences from the pivot, d_x + d_y - 2 o where they share o shingles. If
         o is 0 and x and y are within r, both are within r of the pivot and linked through it; any other pair shares a
@@ -360,20 +375,9 @@ class JaccardJoin:
         often = checkpointed(each.groupBy("pivot", "e").agg(F.count("*").alias("k")).where("k > 1"))
         own = each.join(often, ["pivot", "e"]).groupBy("pivot", "cid", "n", "d", "need", "home", "linked").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("own"))
         own = own.withColumn("s", F.size("own")).where("s >= need").withColumn("own", F.expr("slice(own, 1, cast(s - need + 1 as int))"))
-        shown = checkpointed(own.select("pivot", "cid", "n", "d", "home", "linked", "s", F.posexplode("own").alias("p", "o")).select(
-            F.xxhash64("pivot", "o.e").alias("key"), "pivot", "cid", "n", "d", "home", "linked", (F.col("s") - F.col("p")).alias("rest")
-        ))
-        sizes = checkpointed(shown.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
-        return checkpointed(shown.join(sizes, "key"))
-
-    def _part_pairs(self, parts: DataFrame, last: bool) -> DataFrame:
-        """cid, pivot: pairs of small regions of differences (of all, on the last level), by sizes and by what can follow."""
-        rows = parts if last else parts.where(F.col("k") <= SMALL)
-        x, y = rows.alias("x"), rows.alias("y")
-        apart = F.col("x.d") + F.col("y.d") - 2 * F.least("x.rest", "y.rest")
-        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.cid") < F.col("y.cid"))
-        on = on & (F.col("x.home") | F.col("y.home")) & ~(F.col("x.linked") & F.col("y.linked"))
-        return checkpointed(x.join(y, on & self._fit(F.col("x.n"), F.col("y.n"), apart)).select("x.cid", F.col("y.cid").alias("pivot")).distinct())
+        return own.select("pivot", "cid", "n", "d", "home", "linked", "s", F.posexplode("own").alias("p", "o")).select(
+            F.xxhash64("pivot", "o.e").alias("key"), "cid", "n", "d", (F.col("s") - F.col("p")).alias("rest"), "home", "linked"
+        )
 
     @staticmethod
     def _unlinked(pairs: DataFrame, links: DataFrame) -> DataFrame:
