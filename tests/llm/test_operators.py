@@ -97,6 +97,28 @@ def test_base_score_and_counts(spark):
         assert r.score <= 0
 
 
+def test_score_against_a_dictionary(spark):
+    """The model's score is that of exact counts, but for their quantisation and the filter's false positives."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    one, two = Counter(), Counter()
+    for r in docs:
+        if fold(r.doc_id, 5) != 1:
+            w = [*words(r.text), None]
+            one.update(w)
+            two.update(zip(["", *w[:-1]], w, strict=True))
+    n, v = sum(one.values()), len(one)
+    rough = lambda c: float(lm_scoring.count_of(lm_scoring.level(np.array([c])))[0]) if c else 0.0
+    wrong = 0
+    for r, got in zip(sorted(docs, key=lambda r: r.doc_id), queries.op2_lm_scoring(spark, SF).orderBy("doc_id").collect(), strict=True):
+        w, want = [*words(r.text), None], 0.0
+        for h, x in zip(["", *w[:-1]], w, strict=True):
+            context, own = rough(one[None] if h == "" else one[h]), rough(one[x])
+            seen = min(rough(two[h, x]), context, own)
+            want += math.log10(min(1.0, (seen + 8 * (own + 0.5) / (n + 0.5 * (v + 1))) / (context + 8)))
+        wrong += not math.isclose(got.score, want, rel_tol=1e-3, abs_tol=1e-3)
+    assert wrong <= len(docs) // 20, wrong
+
+
 def test_language_model_of_awkward_rows(awkward):
     assert lm_scoring.scored(awkward, F.col("doc_id") != 7).count() == len(AWKWARD)
     nothing = lm_scoring.scored(awkward, F.lit(False)).collect()
@@ -108,8 +130,8 @@ def test_language_model_keeps_all_ngrams_at_any_size(spark, documents, awkward,
     """Pairs and words seen once are known, and a filter that isn't broadcast gives the same scores."""
     docs = spark.createDataFrame([(1, "one two three four"), (2, "one two three four"), (3, "alpha beta gamma delta")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in lm_scoring.scored(docs, F.lit(True)).collect()}
-    # 15 tokens, 9 words; a pair seen once after a word seen once has share 1
-    p = [0.1 * k + 0.9 * c / 20 for k, c in ((1 / 3, 1.5), (1, 1.5), (1, 1.5), (1, 1.5), (1, 3.5))]
+    # 15 tokens, 9 words; the start is there three times, all other contexts once
+    p = [(1 + 8 * c / 20) / (h + 8) for h, c in ((3, 1.5), (1, 1.5), (1, 1.5), (1, 1.5), (1, 3.5))]
     assert math.isclose(got[3], sum(map(math.log10, p)), rel_tol=1e-9)
     before = [Counter((r.doc_id, round(r.score, 9)) for r in lm_scoring.scored(d, F.col("doc_id") % 5 != 1).collect()) for d in (documents, awkward)]
     monkeypatch.setattr(lm_scoring, "MAX_BITS", 1 << 10)

@@ -1,17 +1,19 @@
 """Language-model scoring by a log-frequency Bloom filter, beside an exact unigram base.
 
-Counting: every task sums its words and word pairs as sorted hash arrays, cut into
+Words are counted first: every task sums its words as sorted hash arrays, cut into
 blocks by hash; one shuffle of such arrays adds the blocks up, whatever key is hot.
 All words and pairs are kept.
 
 The filter: an n-gram of quantised log count q is inserted with all levels from 1 up to
 q; a count is read back by probing level after level until one misses. Nothing is
 pruned: the filter grows with the corpus, at the false-positive rate that ``PROBES``
-hashes give. Its blocks are built where their n-grams lie. Up to ``MAX_BITS`` the driver
-strings them together and broadcasts them. A larger filter never leaves its blocks: texts
-are dealt into chunks, the distinct n-grams of a chunk are sent to their blocks, and the
-levels come back to the chunk's texts; scores are the same either way. Scores are
-Jelinek-Mercer mixtures of pair and word frequencies, both probed.
+hashes give. Where the tokens learnt bound it by ``MAX_BITS`` the driver strings its
+blocks together and broadcasts them. A larger filter never leaves its blocks: texts
+are dealt into chunks, each chunk sends its distinct n-grams with their counts to the
+blocks, each block adds them up, is built, and answers with the level that its filter
+has for every n-gram sent; the levels come back to the chunk's texts. Scores are the same either
+way but for false positives. Pairs are smoothed by words: ``(c(h, w) + WEIGHT p(w)) / (c(h) + WEIGHT)``,
+all counts probed.
 
 The base needs exact counts of all words. Those of the most frequent (at most ``HOT``,
 12 bytes each) are broadcast; a text's other words are joined to the count table by
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import joined, mixed, slices, texts, words
 from tidemark.shared import dropped, written
 
-#: Words whose exact counts are broadcast at most; bits of a broadcast filter at most; hash probes a level; the pairs' share.
-HOT, MAX_BITS, PROBES, SHARE = 200_000, 1 << 29, 8, 0.1
+#: Words whose exact counts are broadcast at most; bits of a broadcast filter at most; hash probes a level; the words' weight in a pair's count.
+HOT, MAX_BITS, PROBES, WEIGHT = 200_000, 1 << 28, 8, 8.0
 #: Ratio of neighbouring quantised counts.
 RATIO = 2**0.5
 _END, _START = np.uint64(0x1D8AF066E7D1E11B), np.uint64(0x5851F42D4C957F2D)
@@ -88,30 +90,34 @@ def _partial(keys: np.ndarray, counts: np.ndarray, order: int, shift: int) -> pa
     return pa.record_batch(columns, ["block", "order", "keys", "counts"])
 
 
-def ngram_counts(docs: DataFrame, blocks: int) -> DataFrame:
-    """block, order, keys, counts, total, different, shown (n-grams of each level): all words and pairs."""
+def ngram_counts(docs: DataFrame, blocks: int, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """block, order, keys, counts, total, different, shown (n-grams of each level): all words (1), pairs (2) or both."""
     shift = 64 - (blocks.bit_length() - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
+        held: dict[int, list[np.ndarray]] = {order: [] for order in orders}
         n = 0
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for order, some in held.items():
+                yield _partial(*np.unique(np.concatenate(some), return_counts=True), order, shift)
+                some.clear()
+
         for batch in batches:
             for _, part in slices(texts(batch.column("text"))):
                 h, doc = tokens(part)
-                held[0].append(mixed(h ^ _WORD))
-                held[1].append(pairs(h, doc)[1])
+                for order in orders:
+                    held[order].append(mixed(h ^ _WORD) if order == 1 else pairs(h, doc)[1])
                 n += len(h)
                 if n > _FLUSH:
-                    for order in (1, 2):
-                        yield _partial(*np.unique(np.concatenate(held[order - 1]), return_counts=True), order, shift)
-                    held, n = [[], []], 0
+                    yield from sums()
+                    n = 0
         if n:
-            for order in (1, 2):
-                yield _partial(*np.unique(np.concatenate(held[order - 1]), return_counts=True), order, shift)
+            yield from sums()
 
     def add(table: pa.Table) -> pa.Table:
         out = []
-        for order in (1, 2):
+        for order in orders:
             some = table.filter(pa.compute.equal(table.column("order"), order))
             if not some.num_rows:
                 continue
@@ -201,7 +207,7 @@ def strung(table: DataFrame, blocks: int, size: int) -> Filter:
 
 
 def chunked(numbered: DataFrame, most: int) -> DataFrame:
-    """Rows with the chunk of about ``most`` bytes of texts that each is dealt to, written."""
+    """Rows with the chunk of about ``most`` bytes of texts that each is dealt to."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = 0, most
@@ -214,38 +220,51 @@ def chunked(numbered: DataFrame, most: int) -> DataFrame:
                 yield pa.record_batch([*some.columns, pa.array(np.full(len(part), chunk))], [*some.schema.names, "chunk"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema)
-    return written(numbered.mapInArrow(deal, f"{kinds}, chunk long"), "lm-texts")
+    return numbered.mapInArrow(deal, f"{kinds}, chunk long")
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], counts[by]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def _asked(column: pa.ChunkedArray) -> dict[int, np.ndarray]:
-    """Different words (1) and pairs (2) of a chunk's texts, sorted."""
-    held: dict[int, list[np.ndarray]] = {1: [], 2: []}
-    for _, part in slices(texts(column)):
+def _asked(chunk: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Different words (1) and pairs (2) of a chunk's texts, sorted, and how often they occur where ``learn`` holds."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
+    learn = chunk.column("learn").combine_chunks().to_numpy(zero_copy_only=False)
+    for at, part in slices(texts(chunk.column("text"))):
         h, doc = tokens(part)
-        held[1].append(np.unique(mixed(h ^ _WORD)))
-        held[2].append(np.unique(pairs(h, doc)[1]))
-    return {order: np.unique(np.concatenate(some)) for order, some in held.items()}
+        own = learn[at : at + len(part)][doc]
+        for order, keys in ((1, mixed(h ^ _WORD)), (2, pairs(h, doc)[1])):
+            different, of = np.unique(keys, return_inverse=True)
+            held[order].append((different, np.bincount(of[own], minlength=len(different))))
+    return {order: _added(some) for order, some in held.items()}
 
 
-def answers(dealt: DataFrame, table: DataFrame, blocks: int, size: int) -> DataFrame:
-    """chunk, order, block, levels (a byte for each key in turn) of the n-grams of each chunk."""
+def answers(dealt: DataFrame, blocks: int) -> DataFrame:
+    """chunk, order, block, levels (a byte for each key in turn) of the n-grams of each chunk of texts."""
     shift = 64 - (blocks.bit_length() - 1)
 
     def ask(chunk: pa.Table) -> pa.Table:
-        n = [_partial(keys, np.zeros(0, np.uint32), order, shift) for order, keys in _asked(chunk.column("text")).items()]
-        out = pa.Table.from_batches(n).select(["block", "order", "keys"])
+        out = pa.Table.from_batches([_partial(*some, order, shift) for order, some in _asked(chunk).items()])
         return out.append_column("chunk", pa.array(np.full(len(out), chunk.column("chunk")[0].as_py())))
 
-    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int64()), "order": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "levels": pa.array([], pa.binary())})
-        bloom = _block(list(zip(counted.column("keys").to_pylist(), counted.column("counts").to_pylist(), strict=True)), size // blocks)
-        found = [bloom.levels(np.frombuffer(keys.as_buffer(), np.uint64)).astype(np.uint8).tobytes() for keys in asked.column("keys")]
+    def answer(asked: pa.Table) -> pa.Table:
+        rows = [(np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64)) for k, n in zip(asked.column("keys"), asked.column("counts"), strict=True)]
+        keys, counts = _added(rows)
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        need = int(level(counts).sum()) * PROBES / np.log(2)
+        bloom = _block([(keys.tobytes(), counts.tobytes())], max(512, 1 << int(np.ceil(np.log2(max(need, 1))))))
+        found = [bloom.levels(k).astype(np.uint8).tobytes() for k, _ in rows]
         return asked.select(["chunk", "order", "block"]).append_column("levels", pa.array(found, pa.binary()))
 
     # all columns, so that Spark deals the texts out once for this and for the scores
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "block long, order int, keys binary, chunk long")
-    return asked.groupBy("block").cogroup(table.select("block", "keys", "counts").groupBy("block")).applyInArrow(answer, "chunk long, order int, block long, levels binary")
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "block long, order int, keys binary, counts binary, chunk long")
+    return asked.groupBy("block").applyInArrow(answer, "chunk long, order int, block long, levels binary")
 
 
 def _word_rows(table: DataFrame) -> DataFrame:
@@ -259,13 +278,17 @@ def _word_rows(table: DataFrame) -> DataFrame:
     return table.where("order = 1").select("keys", "counts").mapInArrow(rows, "key long, n long")
 
 
-def scored(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
+def scored(docs: DataFrame, learn: Column, weight: float = WEIGHT) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``, learnt where ``learn`` holds."""
     spark = docs.sparkSession
     blocks = 1 << max(4, (16 * docs.rdd.getNumPartitions() - 1).bit_length())
-    table = written(ngram_counts(docs.where(learn), blocks), "lm-counts")
-    size, n, v, shown = measured(table, blocks)
-    bloom = strung(table, blocks, size) if size <= MAX_BITS else None
+    table = written(ngram_counts(docs.where(learn), blocks, (1,)), "lm-words")
+    _, n, v, shown = measured(table, blocks)
+    bloom = None
+    if 3 * n * PROBES / np.log(2) <= MAX_BITS:  # the levels of words, and of pairs, are 1.5 times the tokens at most
+        both = written(ngram_counts(docs.where(learn), blocks), "lm-counts")
+        bloom = strung(both, blocks, measured(both, blocks)[0])
+        dropped(both)
     counts = _word_rows(table)
     # the lowest quantised count from which no more than HOT words have it
     many = np.cumsum(shown[::-1])[::-1]
@@ -306,7 +329,7 @@ def scored(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
             seen[ask] = count_of(levels(pair[ask], 2))
             context[begins] = context_start(levels) if len(h) else 0.0
             seen = np.minimum(seen, np.minimum(context, words_count[of]))  # no pair is more frequent than its words
-            p = np.where(context > 0, share * seen / np.maximum(context, 1) + (1 - share) * single, single)
+            p = (seen + weight * single) / (context + weight)
             model = np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(part)).astype(np.float64)
             # words not broadcast go to the join, summed by text
             cold = np.flatnonzero(c == 0)
@@ -324,21 +347,19 @@ def scored(docs: DataFrame, learn: Column, share: float = SHARE) -> DataFrame:
             yield from batch_scores(batch, lambda asked, _: sent.value[2].levels(asked))
 
     def chunk_scores(chunk: pa.Table, answered: pa.Table) -> pa.Table:
-        distinct = _asked(chunk.column("text"))
+        distinct = {order: keys for order, (keys, _) in _asked(chunk).items()}
         answered = answered.sort_by([("order", "ascending"), ("block", "ascending")])
         got = np.frombuffer(b"".join(answered.column("levels").to_pylist()), np.uint8).astype(np.int64)
         found = dict(zip(distinct, np.split(got, [len(distinct[1])]), strict=True))
         return pa.Table.from_batches(list(batch_scores(chunk, lambda asked, order: found[order][np.searchsorted(distinct[order], asked)])))
 
     kinds = f"doc_id {id_type}, rid long, n_tokens long, sure long, base double, score double, cold array<long>, times array<long>"
-    numbered = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    numbered = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"), F.monotonically_increasing_id().alias("rid"))
     if bloom is not None:
         rows = written(numbered.mapInArrow(score, kinds), "lm-rows")
     else:
-        spark._jvm.System.gc()  # Spark's cleaner removes the shuffle of the counts, which are written
         dealt = chunked(numbered, _CHUNK)
-        rows = written(dealt.groupBy("chunk").cogroup(answers(dealt, table, blocks, size).groupBy("chunk")).applyInArrow(chunk_scores, kinds), "lm-rows")
-        dropped(dealt)
+        rows = written(dealt.groupBy("chunk").cogroup(answers(dealt, blocks).groupBy("chunk")).applyInArrow(chunk_scores, kinds), "lm-rows")
     cold = rows.select("rid", F.explode(F.arrays_zip("cold", "times")).alias("c")).select("rid", F.col("c.cold").alias("key"), F.col("c.times").alias("times"))
     found = cold.join(counts.where(F.col("n") < int(np.ceil(RATIO ** (least - 1) - 1e-6))), "key", "left")
     found = found.groupBy("rid").agg(
