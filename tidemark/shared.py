@@ -49,7 +49,12 @@ def dropped(df: DataFrame) -> None:
     spark = df.sparkSession
     if table := getattr(df, "_tidemark_table", None):
         spark.sql(f"DROP TABLE {table}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
+    removed(spark, df._tidemark_path)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a folder wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
