@@ -363,13 +363,37 @@ def test_exact_dedup(documents, awkward):
 
 
 def test_index_takes_batches(spark, awkward):
-    index = exact_dedup.DigestIndex(spark)
+    """A named index is opened again: known texts keep their verdict and count on, the anti-join merges buckets."""
+    index = exact_dedup.DigestIndex(spark, "digest_index_of_tests")
     index.add(awkward.where("doc_id <= 8"))
+    index = exact_dedup.DigestIndex(spark, "digest_index_of_tests")
     index.add(awkward)
-    assert index.rows().count() == len({t or "" for _, t in AWKWARD})
-    first = {r.digest: r.keep_id for r in index.rows().collect()}
-    assert first[hashlib.sha256(AWKWARD[0][1].encode()).digest()] == 3
+    index.add(awkward.where("doc_id = 3").withColumn("doc_id", F.lit(1000).cast("long")))
+    groups = {r.digest: (r.keep_id, r.group_size) for r in index.groups().collect()}
+    assert len(groups) == len({t or "" for _, t in AWKWARD})
+    text = AWKWARD[0][1]
+    assert groups[hashlib.sha256(text.encode()).digest()] == (3, 3 + 4 + 2)
+    plan = index.rows().join(index.rows().where("first").select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.drop()
+    assert not spark.catalog.tableExists("digest_index_of_tests")
+
+
+def test_batches_from_the_largest_doc_id(spark):
+    """Copies dealt over all batches: the largest doc_id stays, null ones last, and each batch but the first meets known digests."""
+    rows = [(k, f"text {k % 7}") for k in range(300)] + [(None, "text 1"), (None, "text of none"), (None, "text of none"), (299, "text 5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark)
+    got = Counter(tuple(r) for r in exact_dedup.deduplicated(docs, index).select("doc_id", "keep_id", "group_size").collect())
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    assert got == Counter((i, max((x for x in groups[t] if x is not None), default=None), len(groups[t])) for i, t in rows)
+    assert index.rows().where("NOT first").count() >= 2 * 7
     index.drop()
+    kept = exact_dedup.without_copies(docs).collect()
+    assert sorted((r.text, r.doc_id) for r in kept if r.doc_id is not None) == sorted((t, max(x for x in ids if x is not None)) for t, ids in groups.items() if t != "text of none")
+    assert len(kept) == len(groups)
 
 
 # --- 7: quality rules
@@ -397,10 +421,23 @@ def test_quality_counts_and_verdicts(documents, awkward):
 
 
 def test_host_verdicts_shrink(spark):
-    rows = [("good", k >= 95) for k in range(100)] + [("bad", k >= 5) for k in range(100)] + [("small", True)]
+    hosts = [("bad", 100, 60), ("tiny", 1, 1)] + [(f"good{k}", 100, 8 + k % 5) for k in range(30)]
+    rows = [(h, k < f) for h, n, f in hosts for k in range(n)]
     got = {r.host: r for r in quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
-    assert got["bad"].host_rejected and not got["good"].host_rejected
-    assert got["small"].host_rate < 1 and got["good"].host_rate > 0.05
+    assert {h for h, r in got.items() if r.host_rejected} == {"bad"}
+    assert 0.08 < got["tiny"].host_rate < 0.9 and 0.08 <= got["good0"].host_rate < 0.12
+    # hosts that differ by chance alone all lean to the corpus
+    alike = [(f"h{k}", (k * 7 + j) % 10 == 0) for k in range(40) for j in range(30)]
+    got = quality_rules.host_verdicts(spark.createDataFrame(alike, "host string, failed boolean")).collect()
+    assert not any(r.host_rejected for r in got) and max(r.host_rate for r in got) < 0.101
+
+
+def test_verdict_of_a_host_reaches_its_documents(spark, documents):
+    """A host most of whose documents fail takes the others with it; all other documents keep their base verdict."""
+    bad = spark.createDataFrame([(10**6 + k, "short text" if k % 4 else " ".join(f"w{k}x{j}" for j in range(80)), "bad.example") for k in range(80)], "doc_id long, text string, source string")
+    got = quality_rules.judged(documents.select("doc_id", "text", "source").union(bad)).collect()
+    assert all(r.kept == (not r.base_failed and r.doc_id < 10**6) for r in got)
+    assert sum(not r.base_failed and not r.kept for r in got) == 20
 
 
 # --- 8 and 9: tokens

@@ -2,10 +2,10 @@
 
 Each text is counted once (words, symbols, repeated lines, repeated windows of
 three words) and fails or passes the base rules. Failures are summed by host; an
-empirical beta prior, fitted to the hosts' failure rates by moments, shrinks each
-rate, so that small hosts lean to the corpus and large ones to themselves. A host
-whose shrunk rate reaches ``HOST_LIMIT`` is rejected and with it every document
-of it. The counts are written to the shared folder between the two passes, so
+empirical beta prior, fitted to the hosts' failure rates by moments less what
+sampling alone spreads them, shrinks each rate, so that small hosts lean to the corpus and large
+ones to themselves. A host is rejected, and with it every document of it, if its shrunk rate
+less ``SURE`` standard deviations is ``TIMES`` the mean rate of hosts at least. The counts are written to the shared folder between the two passes, so
 that texts are read once.
 
 Nulls: a null text has no words and fails; a null host is a host of its own.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemark.shared import written
 
-#: A host is rejected from this shrunk failure rate on.
-HOST_LIMIT = 0.6
+#: A host is rejected from so many times the mean failure rate on, so many standard deviations of its own rate surely.
+TIMES, SURE = 2.0, 1.645
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -95,30 +95,33 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(rows: DataFrame, times: float = TIMES, sure: float = SURE) -> DataFrame:
     """host, its documents and failures, the shrunk rate and whether it is rejected; from host and failed.
 
-    With mean m and variance v of the hosts' rates the prior is Beta(m s, (1 - m) s),
-    s = m (1 - m) / v - 1, held between 1 and 1e6.
+    With mean m and variance v of the hosts' rates, and w the mean of m (1 - m) / docs, which sampling adds to v,
+    the prior is Beta(m s, (1 - m) s), s = m (1 - m) / (v - w) - 1, held between 1 and 1e6; v - w of 0 or less gives 1e6.
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("docs"), F.sum(F.col("failed").cast("long")).alias("failures"))
     rate = F.col("failures") / F.col("docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
-    strength = F.least(F.greatest(F.coalesce(F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1, F.lit(1e6)), F.lit(1.0)), F.lit(1e6))
-    prior = prior.select("m", strength.alias("s"))
-    shrunk = (F.col("failures") + F.col("m") * F.col("s")) / (F.col("docs") + F.col("s"))
+    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"), F.avg(1 / F.col("docs")).alias("each"))
+    spread = F.col("m") * (1 - F.col("m"))
+    own = F.col("v") - spread * F.col("each")
+    strength = F.when(own > 1e-12, F.least(F.greatest(spread / own - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6))
     # one row of prior: a scalar beside each host
-    return hosts.join(F.broadcast(prior), F.lit(True), "left").select("host", "docs", "failures", shrunk.alias("host_rate"), (shrunk >= limit).alias("host_rejected"))
+    hosts = hosts.join(F.broadcast(prior.select("m", strength.alias("s"))), F.lit(True), "left")
+    hosts = hosts.withColumn("host_rate", (F.col("failures") + F.col("m") * F.col("s")) / (F.col("docs") + F.col("s")))
+    least = F.col("host_rate") - sure * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("docs") + F.col("s") + 1))
+    return hosts.select("host", "docs", "failures", "host_rate", ((F.col("failures") > 0) & (least >= times * F.col("m"))).alias("host_rejected"))
 
 
-def judged(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", times: float = TIMES, sure: float = SURE) -> DataFrame:
     """Every row of ``docs`` with its counts, base_failed, the host's shrunk rate and kept.
 
     Only hosts that are rejected matter to documents, so that side is what is joined;
     a hot host's rows are split by Spark's skew join, or the few hosts broadcast themselves.
     """
     rows = written(counted(docs, host).withColumn("base_failed", base_failed()), "quality")
-    hosts = host_verdicts(rows.select("host", F.col("base_failed").alias("failed")), limit)
+    hosts = host_verdicts(rows.select("host", F.col("base_failed").alias("failed")), times, sure)
     hosts = written(hosts.withColumnRenamed("host", "of"), "hosts")
     return rows.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -102,9 +102,10 @@ ORACLE_SQL: dict[str, str] = {
         ),
         failing AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
         hosts AS (SELECT source, count(*) AS docs, sum(CAST(base_failed AS BIGINT)) AS failures FROM failing GROUP BY source),
-        moments AS (SELECT avg(failures / docs) AS m, var_pop(failures / docs) AS v FROM hosts),
-        prior AS (SELECT m, least(greatest(coalesce(m * (1 - m) / nullif(v, 0) - 1, 1e6), 1.0), 1e6) AS s FROM moments),
-        verdicts AS (SELECT source, (failures + m * s) / (docs + s) >= 0.6 AS rejected FROM hosts, prior)
+        moments AS (SELECT avg(failures / docs) AS m, var_pop(failures / docs) AS v, avg(1 / docs) AS each FROM hosts),
+        prior AS (SELECT m, CASE WHEN v - m * (1 - m) * each > 1e-12 THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * each) - 1, 1.0), 1e6) ELSE 1e6 END AS s FROM moments),
+        shrunk AS (SELECT source, docs, failures, m, s, (failures + m * s) / (docs + s) AS rate FROM hosts, prior),
+        verdicts AS (SELECT source, failures > 0 AND rate - 1.645 * sqrt(rate * (1 - rate) / (docs + s + 1)) >= 2.0 * m AS rejected FROM shrunk)
         SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
         FROM failing f LEFT JOIN verdicts h ON f.source IS NOT DISTINCT FROM h.source
     """,
