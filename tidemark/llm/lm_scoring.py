@@ -256,10 +256,11 @@ def answers(dealt: DataFrame, blocks: int) -> DataFrame:
     def answer(asked: pa.Table) -> pa.Table:
         rows = [(np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64)) for k, n in zip(asked.column("keys"), asked.column("counts"), strict=True)]
         keys, counts = _added(rows)
-        keys, counts = keys[counts > 0], counts[counts > 0]
-        need = int(level(counts).sum()) * PROBES / np.log(2)
-        bloom = _block([(keys.tobytes(), counts.tobytes())], max(512, 1 << int(np.ceil(np.log2(max(need, 1))))))
-        found = [bloom.levels(k).astype(np.uint8).tobytes() for k, _ in rows]
+        learnt = counts > 0
+        need = int(level(counts[learnt]).sum()) * PROBES / np.log(2)
+        bloom = _block([(keys[learnt].tobytes(), counts[learnt].tobytes())], max(512, 1 << int(np.ceil(np.log2(max(need, 1))))))
+        levels = bloom.levels(keys).astype(np.uint8)  # each key is probed once, whoever asked
+        found = [levels[np.searchsorted(keys, k)].tobytes() for k, _ in rows]
         return asked.select(["chunk", "order", "block"]).append_column("levels", pa.array(found, pa.binary()))
 
     # all columns, so that Spark deals the texts out once for this and for the scores
