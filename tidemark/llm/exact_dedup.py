@@ -27,7 +27,7 @@ from pyspark.sql.types import NumericType
 from tidemark.shared import checkpointed, dropped, fitting, removed, shared_dir, written
 
 HOT_SHARE = 0.001
-BUCKETS, BATCHES = 64, 3
+BATCHES = 3
 
 
 def _digest() -> Column:
@@ -40,11 +40,16 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """Digests seen so far, the doc_id that stays and the rows met, as a bucketed table that its name opens again."""
+    """Digests seen so far, the doc_id that stays and the rows met, as a bucketed table that its name opens again.
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = BUCKETS) -> None:
-        self.spark, self.buckets = spark, buckets
+    A new table has as many buckets as the session's shuffles have partitions, so that grouped digests are written as they lie.
+    """
+
+    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None) -> None:
+        self.spark = spark
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
+        held = self.spark.sql(f"DESCRIBE EXTENDED {self.table}").where("col_name = 'Num Buckets'").first() if spark.catalog.tableExists(self.table) else None
+        self.buckets = int(held.data_type) if held else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(self) -> DataFrame:
         """digest, keep_id, n and first: a row when a batch brings a new digest, one when it brings copies of a known one."""
