@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm.bpe import NONE, ByteModel, Numbers, byte_model
-from tidemark.llm.words import texts
+from tidemark.llm.words import each, texts
 
 #: Distinct pre-tokens a task keeps before it starts its table anew, and bytes of text between replays.
 MOST_KEPT = 400_000
@@ -149,7 +149,7 @@ def coded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         from tidemark.llm.words import slices
 
         coder = _Coder(sent.value, pattern)
-        for batch in batches:
+        for batch in each(batches):
             for at, part in slices(texts(batch.column("text")), BLOCK):
                 sizes, ids, back = coder.code(part.to_pylist())
                 yield pa.record_batch([batch.column("doc_id").slice(at, len(part)), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.words import Words, joined, mixed, slices, texts, words
+from tidemark.llm.words import Words, each, joined, mixed, slices, texts, words
 from tidemark.shared import bucketed, checkpointed, dropped, fitting, written
 
 #: Buckets of the tables of words and of shingles (2 and 8 MB); the most classes of a region without pivots on the first
@@ -115,7 +115,7 @@ def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(buckets, np.uint16)
         group = 0
-        for batch in batches:
+        for batch in each(batches):
             if batch.num_rows:
                 group = int(batch.column("task")[0].as_py()) % groups
             for _, part in slices(texts(batch.column("text"))):
@@ -158,7 +158,7 @@ def _sets(docs: DataFrame, keys: list[str], size: int, order, window) -> DataFra
     """keys, n, sig (digest of the set; null for none) and the first shingles in order, as many as window says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in each(batches):
             for at, part in slices(texts(batch.column("text"))):
                 ranked, doc = shingles(part, size, order.value)
                 cut = np.searchsorted(doc, np.arange(len(part) + 1))

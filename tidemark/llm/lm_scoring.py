@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import joined, mixed, slices, texts, words
+from tidemark.llm.words import each, joined, mixed, slices, texts, words
 from tidemark.shared import dropped, written
 
 #: Words whose exact counts are broadcast at most; bits of a broadcast filter at most; hash probes a level; the words' weight in a pair's count.
@@ -103,7 +103,7 @@ def ngram_counts(docs: DataFrame, blocks: int, orders: tuple[int, ...] = (1, 2))
                 yield _partial(*np.unique(np.concatenate(some), return_counts=True), order, shift)
                 some.clear()
 
-        for batch in batches:
+        for batch in each(batches):
             for _, part in slices(texts(batch.column("text"))):
                 h, doc = tokens(part)
                 for order in orders:
@@ -194,7 +194,7 @@ def strung(table: DataFrame, blocks: int, size: int) -> Filter:
     """The filter as a whole."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in each(batches):
             for block, *held in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "counts")), strict=True):
                 yield pa.record_batch([pa.array([block], pa.int64()), pa.array([_block([held], size // blocks).bits.tobytes()], pa.binary())], ["block", "part"])
 
@@ -211,7 +211,7 @@ def chunked(numbered: DataFrame, most: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = 0, most
-        for batch in batches:
+        for batch in each(batches):
             for at, part in slices(texts(batch.column("text"))):
                 if size >= most:
                     chunk, size = batch.column("rid")[at].as_py(), 0
@@ -272,7 +272,7 @@ def _word_rows(table: DataFrame) -> DataFrame:
     """key, n of every word."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in each(batches):
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 yield pa.record_batch([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["key", "n"])
 
@@ -344,7 +344,7 @@ def scored(docs: DataFrame, learn: Column, weight: float = WEIGHT) -> DataFrame:
             )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in each(batches):
             yield from batch_scores(batch, lambda asked, _: sent.value[2].levels(asked))
 
     def chunk_scores(chunk: pa.Table, answered: pa.Table) -> pa.Table:

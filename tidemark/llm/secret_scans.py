@@ -22,10 +22,11 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import texts
+from tidemark.llm.words import each, texts
 
 TREES, DEPTH, MAX_FINDINGS, CUT = 24, 10, 8000, 0.5
 _RUN = re.compile(r"[A-Za-z0-9_\-+/=.~@:%]{16,}")
@@ -40,18 +41,24 @@ _PIECE = re.compile("|".join(sorted(PIECES, key=lambda x: (-len(x), x))))
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Start and end of each candidate, in order and apart."""
-    found = [m.span(1) for m in _NAMED.finditer(text)]
-    taken = set()
-    for a, b in found:
-        taken.update(range(a, b) if b - a < 4096 else (a, b - 1))
+    """Start and end of each candidate, in order and apart. Of a run that holds named values the pieces beside them are candidates of their own."""
+    named = [(m.start(), *m.span(1)) for m in _NAMED.finditer(text)]
+    found = [(a, b) for _, a, b in named]
+    first = 0
     for m in _RUN.finditer(text):
-        a, b = m.span()
-        a += len(m[0]) - len(m[0].lstrip(_LEFT))
-        b -= len(m[0]) - len(m[0].rstrip(_RIGHT))
-        value = text[a:b]
-        if b - a >= 16 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and a not in taken and b - 1 not in taken:
-            found.append((a, b))
+        start, end = m.span()
+        while first < len(named) and named[first][2] <= start:
+            first += 1
+        k = first
+        while start < end:
+            inside = k < len(named) and named[k][0] < end
+            a, b = start, named[k][0] if inside else end
+            start = named[k][2] if inside else end
+            k += 1
+            a += len(text[a:b]) - len(text[a:b].lstrip(_LEFT))
+            b -= len(text[a:b]) - len(text[a:b].rstrip(_RIGHT))
+            if b - a >= 16 and any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b]):
+                found.append((a, b))
     out, end = [], -1
     for a, b in sorted(found):
         b = a + len(text[a:b].rstrip(_RIGHT + "!#*$&)]}|"))
@@ -243,7 +250,7 @@ def scanned(docs: DataFrame, forest: list[Tree]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(sent.value)
-        for batch in batches:
+        for batch in each(batches):
             row, spans, scores = [], [], []
             for k, value in enumerate(texts(batch.column("text"))):
                 text = value.as_py()
@@ -265,24 +272,19 @@ def redacted(docs: DataFrame, forest: list[Tree], mark: str = "<SECRET>") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(sent.value)
-        for batch in batches:
-            out, sizes, changed = batch.column("text").to_pylist(), None, False
-            sizes = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else None
-            for k, text in enumerate(out):
-                if text and (found := candidates(text)):
+        for batch in each(batches):
+            changed: list[str | None] = [None] * batch.num_rows  # only texts with secrets are made anew
+            for k, value in enumerate(batch.column("text")):
+                if (text := value.as_py()) and (found := candidates(text)):
                     gone = [s for s, p in zip(found, judge(text, found), strict=True) if p >= CUT]
                     for a, b in reversed(gone):
                         text = text[:a] + mark + text[b:]
-                    if gone:
-                        out[k], changed = text, True
-                        if sizes is not None:
-                            sizes[k] = len(text)
-            if changed:
-                at = batch.schema.get_field_index("text")
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-                if sizes is not None:
-                    at = batch.schema.get_field_index("n_chars")
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
+                    changed[k] = text if gone else None
+            for name, make in (("text", lambda x: x), ("n_chars", lambda x: None if x is None else len(x))):
+                if name in batch.schema.names and any(x is not None for x in changed):
+                    at = batch.schema.get_field_index(name)
+                    new = pa.array([make(x) for x in changed], batch.schema.field(at).type)
+                    batch = batch.set_column(at, batch.schema.field(at), pc.coalesce(new, batch.column(at)))
             yield batch
 
     return docs.mapInArrow(run, docs.schema)

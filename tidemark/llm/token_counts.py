@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm.bpe import NONE, Numbers, WordEndModel, word_end_model
-from tidemark.llm.words import texts
+from tidemark.llm.words import each, texts
 
 #: The pattern of pre-tokens, as the vocabulary's file states it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -115,7 +115,7 @@ def counted(docs: DataFrame, path: str, limit: int = 2048, rows: int = 500) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter(sent.value)
-        for batch in batches:
+        for batch in each(batches):
             column = texts(batch.column("text"))
             tokens = np.concatenate([np.zeros(0, np.int64), *(counter.counts(column.slice(k, rows).to_pylist()) for k in range(0, len(column), rows))])
             size = np.diff(np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)) if len(column) else np.zeros(0, np.int64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import Words, joined, mixed, slices, texts, words
+from tidemark.llm.words import Words, each, joined, mixed, slices, texts, words
 
 MAX_TRAIN = 12_000
 BITS = 22
@@ -80,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_train: int = MAX_
     )
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in each(batches):
             for at, part in slices(texts(batch.column("text"))):
                 x, doc = features(words(part), bits)
                 key = np.unique(doc << bits | x)
@@ -144,7 +144,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BI
     score = _scorer(docs, model, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in each(batches):
             yield pa.record_batch([batch.column("doc_id"), pa.array(score(batch.column("text")))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -155,7 +155,7 @@ def clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: floa
     score = _scorer(docs, model, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in each(batches):
             yield batch.filter(pa.array(score(batch.column("text")) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,6 +7,7 @@ bytes to themselves. Words are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -64,6 +65,20 @@ def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each one, memory that Arrow and the C library keep for themselves goes back to the system.
+
+    Python workers outlive their tasks and share an executor's memory with its JVM.
+    """
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if give_back is not None:
+            give_back(0)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of ``texts(...)``."""
     n, buffers = len(column), column.buffers()
