@@ -52,7 +52,7 @@ from tidemark.shared import bucketed, checkpointed, dropped, fitting, written
 
 #: Buckets of the tables of words and of shingles (2 and 8 MB); the most classes of a region without pivots on the first
 #: level and on others, pivots of a larger one, levels; buckets of the table of sets, shingles of pivots broadcast at most (8 MB).
-WORD_BITS, SHINGLE_BITS, SMALL, LARGE, PIVOTS, DEPTH, SET_BUCKETS, MOST_SHINGLES = 21, 23, 8, 64, 4, 3, 64, 1_000_000
+WORD_BITS, SHINGLE_BITS, SMALL, LARGE, PIVOTS, DEPTH, SET_BUCKETS, MOST_SHINGLES = 21, 23, 8, 256, 4, 3, 64, 1_000_000
 #: Buckets sent together, and the place of the word class in an ordered shingle.
 _CUT, _WORD_AT = 1 << 16, 51
 
