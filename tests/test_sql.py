@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from datetime import date, datetime
 from decimal import Decimal
 from pathlib import Path
@@ -12,7 +13,7 @@ import pytest
 
 from tidemark.plans import QUERIES, SQL
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: Queries whose results come from solvers, learning or streams, which SQL cannot express.
 WITHOUT_SQL = sorted(QUERIES.keys() - SQL.keys())
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,19 @@ def rank_share(x: Column, *keys: str) -> Column:
     w = Window.partitionBy(*keys).orderBy(x)
     ties = F.count("*").over(Window.partitionBy(*keys, x))
     return (F.rank().over(w) + (ties - 1) / 2) / F.count("*").over(whole(*keys))
+
+
+def rolled(rows: DataFrame, wide: int, **sums: Column) -> DataFrame:
+    """rows with the sum of each expression over a ticker's last ``wide`` rows, as the difference of two running sums.
+
+    Each row is added once, where a frame is summed anew for every row.
+    """
+    running = rows.select("*", *[F.coalesce(F.sum(x).over(so_far()), F.lit(0.0)).alias(f"_{k}") for k, x in sums.items()])
+    before = {k: F.coalesce(F.lag(f"_{k}", wide).over(by_ticker()), F.lit(0.0)) for k in sums}
+    return running.select("*", *[(F.col(f"_{k}") - before[k]).alias(k) for k in sums]).drop(*[f"_{k}" for k in sums])
+
+
+def recent(rows: DataFrame, n: int) -> DataFrame:
+    """The last n rows of each ticker."""
+    latest = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
+    return rows.withColumn("_k", latest).where(F.col("_k") <= n).drop("_k")

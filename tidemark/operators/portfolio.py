@@ -10,7 +10,7 @@ from tidemark.functions.exprs import norm_cdf, ratio
 from tidemark.functions.windows import whole
 
 #: Shares of a day's volume in its 13 half hours.
-PROFILE = (0.14, 0.10, 0.08, 0.07, 0.06, 0.055, 0.05, 0.055, 0.06, 0.07, 0.08, 0.09, 0.09)
+PROFILE = (0.15, 0.10, 0.08, 0.06, 0.05, 0.05, 0.05, 0.05, 0.06, 0.07, 0.08, 0.09, 0.11)
 
 
 def component_var(weights: DataFrame, cov: DataFrame, z: float = 1.6448536269514722) -> DataFrame:
@@ -32,9 +32,9 @@ def put_price(spot: Column, strike: Column, years: Column, rate: float, vol: Col
     return strike * F.exp(-rate * years) * norm_cdf(-d2) - spot * norm_cdf(-d1)
 
 
-def hedge_ratio(vol: Column) -> Column:
-    """The share to hedge at a level of volatility."""
-    return F.when(vol > 0.40, 0.50).when(vol > 0.30, 0.30).when(vol > 0.20, 0.15).otherwise(0.0)
+def hedge_ratio(beta: Column) -> Column:
+    """The share to hedge at a portfolio's beta."""
+    return F.when(beta > 1.2, 1.0).when(beta > 0.8, 0.5).otherwise(0.0)
 
 
 def vwap_schedule(orders: DataFrame) -> DataFrame:

@@ -140,16 +140,27 @@ def companies(fundamentals: DataFrame) -> DataFrame:
 
 
 #: Words that lift and lower a headline.
-LIFT = ("beat", "growth", "record", "strong", "profit", "the", "ing")
-LOWER = ("loss", "miss", "weak", "fall", "lawsuit", "of", "und")
+LIFT = (
+    "beat", "beats", "surge", "surges", "gain", "gains", "profit", "profits", "growth", "grow", "rise", "rises", "rising", "up", "high", "higher", "bullish", "upgrade", "upgraded",
+    "strong", "outperform", "buy", "record", "breakthrough", "innovation", "success", "positive", "boost", "boosted", "jump", "jumps", "soar", "soars", "rally", "optimistic",
+    "confidence", "exceed", "exceeds", "exceeded",
+)
+LOWER = (
+    "miss", "misses", "fall", "falls", "drop", "drops", "loss", "losses", "decline", "declines", "down", "low", "lower", "weak", "bearish", "downgrade", "downgraded", "sell",
+    "underperform", "cut", "cuts", "warning", "concern", "concerns", "risk", "risks", "slump", "crash", "plunge", "plunges", "tumble", "tumbles", "slide", "pessimistic",
+    "disappointing", "disappoints", "layoff", "layoffs",
+)
+
+
+def headline_score(text: Column, lift: tuple[str, ...] = LIFT, lower: tuple[str, ...] = LOWER) -> Column:
+    """(lifting - lowering) of the words that a text holds anywhere, over their number and one."""
+    low = F.lower(F.coalesce(text, F.lit("")))
 
+    def held(words: tuple[str, ...]) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w)))
 
-def headline_score(text: Column) -> Column:
-    """(lifting - lowering) over all, of the words above that a text holds; 0 for none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    up = sum((low.contains(w).cast("int") for w in LIFT), F.lit(0))
-    down = sum((low.contains(w).cast("int") for w in LOWER), F.lit(0))
-    return F.coalesce(ratio(up - down, up + down), F.lit(0.0))
+    up, down = held(lift), held(lower)
+    return (up - down) / (up + down + 1)
 
 
 def sentiment(news: DataFrame, most: int = 10) -> DataFrame:

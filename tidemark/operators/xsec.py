@@ -9,11 +9,12 @@ from tidemark.functions.exprs import ratio
 from tidemark.functions.windows import whole
 from tidemark.operators.relational import winsorised  # noqa: F401 (used and offered here)
 
-#: Weights of the factor groups by market regime.
+#: Weights of the factors by market regime.
 REGIME_WEIGHTS = {
-    "Bull": {"momentum": 0.40, "quality": 0.20, "value": 0.15, "low_vol": 0.25},
-    "Bear": {"momentum": 0.10, "quality": 0.40, "value": 0.20, "low_vol": 0.30},
-    "Transition": {"momentum": 0.25, "quality": 0.25, "value": 0.25, "low_vol": 0.25},
+    "Bull": {"vsm": 0.22, "bab": 0.06, "qmj": 0.15, "upside": 0.15, "pead": 0.12, "sentiment": 0.13, "capital_flow": 0.12, "accruals": 0.05, "ivol": 0.00},
+    "Bear": {"vsm": 0.06, "bab": 0.20, "qmj": 0.28, "upside": 0.12, "pead": 0.10, "sentiment": 0.11, "capital_flow": 0.08, "accruals": 0.05, "ivol": 0.00},
+    "Transition": {"vsm": 0.15, "bab": 0.15, "qmj": 0.20, "upside": 0.15, "pead": 0.10, "sentiment": 0.10, "capital_flow": 0.10, "accruals": 0.05, "ivol": 0.00},
+    "Unknown": {"vsm": 0.18, "bab": 0.12, "qmj": 0.20, "upside": 0.15, "pead": 0.09, "sentiment": 0.11, "capital_flow": 0.10, "accruals": 0.05, "ivol": 0.00},
 }
 #: Width of the quartile range in standard deviations of a normal distribution.
 QUARTILES_WIDE = 1.35

@@ -162,14 +162,16 @@ def p09_component_var(spark: SparkSession, d: str) -> DataFrame:
     return P.component_var(weights, cov).select("ticker", *[six(F.col(c)).alias(c) for c in ("marginal", "component", "share")])
 
 
-@query(f"""WITH {V.RETS}, v AS (SELECT ticker, arg_max(close, date) AS spot, stddev_samp(ret) * sqrt(252) AS vol FROM rets GROUP BY 1), x AS (SELECT *, (ln(1 / 0.9) + (0.042 + vol * vol / 2) * 0.25) / (vol * 0.5) AS d1 FROM v)
+@query(f"""WITH {V.MARKET}, v AS (SELECT ticker, arg_max(close, date) AS spot, stddev_samp(ret) * sqrt(252) AS vol, covar_samp(ret, mkt) / nullif(var_samp(mkt), 0) AS beta FROM rets JOIN market USING (date) WHERE ret IS NOT NULL GROUP BY 1), x AS (SELECT *, (ln(1 / 0.9) + (0.042 + vol * vol / 2) * 0.25) / (vol * 0.5) AS d1 FROM v)
 SELECT ticker, round(0.9 * spot * exp(-0.042 * 0.25) * {cdf_sql('vol * 0.5 - d1')} - spot * {cdf_sql('-d1')}, 4) AS put, round((0.9 * spot * exp(-0.042 * 0.25) * {cdf_sql('vol * 0.5 - d1')} - spot * {cdf_sql('-d1')}) / spot * 40000, 2) AS cost_bps,
-CASE WHEN vol > 0.4 THEN 0.5 WHEN vol > 0.3 THEN 0.3 WHEN vol > 0.2 THEN 0.15 ELSE 0.0 END::DOUBLE AS hedge FROM x""")
+CASE WHEN beta > 1.2 THEN 1.0 WHEN beta > 0.8 THEN 0.5 ELSE 0.0 END::DOUBLE AS hedge FROM x""")
 def p10_tail_hedge(spark: SparkSession, d: str) -> DataFrame:
-    """A three-month put 10 % out of the money."""
-    rows = V.returns(spark, d).groupBy("ticker").agg(F.max_by("close", "date").alias("spot"), (F.stddev_samp("ret") * 252**0.5).alias("vol"))
+    """A three-month put 10 % out of the money, and the share to hedge by beta."""
+    rets = V.returns(spark, d).where("ret IS NOT NULL")
+    beta = F.try_divide(F.covar_samp("ret", "mkt"), F.var_samp("mkt"))
+    rows = rets.join(V.market(rets), "date").groupBy("ticker").agg(F.max_by("close", "date").alias("spot"), (F.stddev_samp("ret") * 252**0.5).alias("vol"), beta.alias("beta"))
     put = P.put_price(F.col("spot"), 0.9 * F.col("spot"), F.lit(0.25), 0.042, F.col("vol"))
-    return rows.select("ticker", F.round(put, 4).alias("put"), F.round(put / F.col("spot") * 40_000, 2).alias("cost_bps"), P.hedge_ratio(F.col("vol")).alias("hedge"))
+    return rows.select("ticker", F.round(put, 4).alias("put"), F.round(put / F.col("spot") * 40_000, 2).alias("cost_bps"), P.hedge_ratio(F.col("beta")).alias("hedge"))
 
 
 _PROFILE = "[" + ", ".join(f"{p / sum(P.PROFILE)!r}" for p in P.PROFILE) + "]::DOUBLE[]"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, ratio, six
-from tidemark.functions.windows import by_ticker, change, filled, last_n, rank_share, rolling, so_far, whole
+from tidemark.functions.windows import by_ticker, change, filled, last_n, rank_share, recent, rolled, rolling, so_far, whole
 from tidemark.operators import factors as A
 from tidemark.operators import relational as R
 from tidemark.plans.registry import query, sixes
@@ -146,9 +146,10 @@ def w22_islands(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {V.MARKET}, j AS (SELECT r.*, mkt FROM rets r JOIN market USING (date) WHERE ret IS NOT NULL)
 SELECT ticker, date, round(CASE WHEN count(*) OVER {_n(252)} >= 126 THEN covar_samp(ret, mkt) OVER {_n(252)} / nullif(var_samp(mkt) OVER {_n(252)}, 0) ELSE 1.0 END, 6) AS beta FROM j""")
 def w27_rolling_beta(spark: SparkSession, d: str) -> DataFrame:
-    w = last_n(252)
-    beta = F.when(F.count("*").over(w) >= 126, ratio(F.covar_samp("ret", "mkt").over(w), F.var_samp("mkt").over(w))).otherwise(1.0)
-    return _with_market(spark, d).select("ticker", "date", six(beta).alias("beta"))
+    ret, mkt = F.col("ret"), F.col("mkt")
+    rows = rolled(_with_market(spark, d), 252, n=F.lit(1.0), r=ret, m=mkt, mm=mkt * mkt, rm=ret * mkt)
+    cov, var = F.col("rm") - F.col("r") * F.col("m") / F.col("n"), F.col("mm") - F.col("m") * F.col("m") / F.col("n")
+    return rows.select("ticker", "date", six(F.when(F.col("n") >= 126, ratio(cov, var)).otherwise(1.0)).alias("beta"))
 
 
 def _with_market(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +188,8 @@ def f01_price_factor_panel(spark: SparkSession, d: str) -> DataFrame:
         "high_mom": A.high_momentum(), "vsm": A.vol_scaled_momentum(), "vsm_target": A.vol_targeted_momentum(), "vsm_total": A.vol_scaled_total(), "mom_diff": A.momentum_difference(),
         "mom_12m": A.momentum_12m(), "mom_6m": A.momentum_6m(), "vol_60d": A.volatility_60d(), "amihud": A.amihud(), "levy": A.levy(),
     }
-    return _last(V.returns(spark, d).select("ticker", "date", *[x.alias(n) for n, x in columns.items()]), *columns)
+    rows = recent(V.returns(spark, d), 253)  # what a last row's factors look back on
+    return _last(rows.select("ticker", "date", *[x.alias(n) for n, x in columns.items()]), *columns)
 
 
 @query(_sql_last(f"""WITH {V.MARKET}, j AS (SELECT r.*, mkt FROM rets r JOIN market USING (date) WHERE ret IS NOT NULL) SELECT ticker, date,
@@ -203,7 +205,8 @@ def f05_market_factor_panel(spark: SparkSession, d: str) -> DataFrame:
         "bab": A.betting_against_beta(), "bab_mixed": A.betting_against_beta(mixed=True),
         "one_less_beta": 1 - ratio(F.covar_samp("ret", "mkt").over(w), F.var_pop("mkt").over(w)), "ivol": A.idiosyncratic_vol(),
     }
-    return _last(_with_market(spark, d).select("ticker", "date", *[x.alias(n) for n, x in columns.items()]), *columns)
+    rows = recent(_with_market(spark, d), 252)
+    return _last(rows.select("ticker", "date", *[x.alias(n) for n, x in columns.items()]), *columns)
 
 
 _FLOWS = f"""t AS (SELECT *, (high + low + close) / 3 AS typical FROM rets), u AS (SELECT *, lag(typical) OVER ({_W}) AS was FROM t),

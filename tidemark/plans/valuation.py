@@ -90,7 +90,7 @@ def _has(words: tuple[str, ...]) -> str:
     return "(" + " + ".join(f"contains(low, '{w}')::INT" for w in words) + ")"
 
 
-_HEAD = f"coalesce(({_has(N.LIFT)} - {_has(N.LOWER)}) / nullif({_has(N.LIFT)} + {_has(N.LOWER)}, 0)::DOUBLE, 0)"
+_HEAD = f"(({_has(N.LIFT)} - {_has(N.LOWER)}) / ({_has(N.LIFT)} + {_has(N.LOWER)} + 1)::DOUBLE)"
 
 
 @query(f"""WITH n AS (SELECT doc_id % 10 + 1 AS ticker, doc_id, lower(coalesce(text, '')) AS low, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id DESC) AS k FROM documents),

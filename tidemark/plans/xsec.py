@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio, six
-from tidemark.functions.windows import last_n, rank_share, whole
+from tidemark.functions.windows import rank_share, rolled, whole
 from tidemark.operators import factors as A
 from tidemark.operators import relational as R
 from tidemark.operators import xsec as X
@@ -26,11 +26,12 @@ panel AS (SELECT as_of, ticker, sector, round(vsm, 8) AS vsm, round(bab, 8) AS b
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """as_of (month end), ticker, sector, vsm, bab, mom: every rebalance date at once, in one pass over the bars."""
     rets = V.returns(spark, d).where("ret IS NOT NULL")
-    rows = rets.join(V.market(rets), "date")
-    w = last_n(252)
-    bab = -ratio(F.covar_samp("ret", "mkt").over(w), F.var_samp("mkt").over(w))
-    rows = rows.select("ticker", "date", A.vol_scaled_total().alias("vsm"), bab.alias("bab"), A.momentum_difference().alias("mom"), F.count("ret").over(w).alias("n"))
-    rows = rows.where("n >= 252 AND mom IS NOT NULL")
+    rows = rets.join(V.market(rets), "date").withColumn("mom", A.momentum_difference())
+    ret, mkt = F.col("ret"), F.col("mkt")
+    rows = rolled(rows, 252, n=F.lit(1.0), r=ret, rr=ret * ret, m=mkt, mm=mkt * mkt, rm=ret * mkt, logs=F.ln(1 + ret))
+    cov, var, own = (F.col(c) - F.col(a) * F.col(b) / F.col("n") for c, a, b in (("rm", "r", "m"), ("mm", "m", "m"), ("rr", "r", "r")))
+    vsm = ratio(F.exp("logs") - 1, F.sqrt(F.greatest(own, F.lit(0.0)) / (F.col("n") - 1) * 252))
+    rows = rows.where("n >= 252 AND mom IS NOT NULL").select("ticker", "date", "mom", vsm.alias("vsm"), (-ratio(cov, var)).alias("bab"))
     last = rows.groupBy(F.last_day("date").alias("as_of"), "ticker").agg(*[F.round(F.max_by(c, "date"), 8).alias(c) for c in ("vsm", "bab", "mom")])
     return last.join(V.security(spark, d).select("ticker", "sector"), "ticker").select("as_of", "ticker", "sector", "vsm", "bab", "mom")
 
@@ -51,9 +52,9 @@ def x_pit_score(spark: SparkSession, d: str) -> DataFrame:
     return X.ranked(z.select("as_of", "ticker", six((F.col("vsm") + F.col("bab") + F.col("mom")) / 3).alias("score")), ["as_of"], "score")
 
 
-@query(f"WITH {_PANEL}, {_WINS} SELECT as_of, ticker, {sixes('vsm', 'bab', 'mom')} FROM wn")
+@query(f"WITH {_PANEL}, {_WINS} SELECT as_of, ticker, vsm, bab, mom FROM wn")
 def x01_winsorised(spark: SparkSession, d: str) -> DataFrame:
-    return X.winsorised(panel(spark, d), ["as_of"], ["vsm", "bab", "mom"]).select("as_of", "ticker", *[six(F.col(c)).alias(c) for c in ("vsm", "bab", "mom")])
+    return X.winsorised(panel(spark, d), ["as_of"], ["vsm", "bab", "mom"]).select("as_of", "ticker", "vsm", "bab", "mom")
 
 
 @query(f"""WITH {_PANEL}, {_CLEAN} SELECT as_of, ticker, {sixes('z_vsm', 'z_bab', 'z_mom')}, round(z_vsm - avg(z_vsm) OVER n, 6) AS z_vsm_neutral, round(z_bab - avg(z_bab) OVER n, 6) AS z_bab_neutral,
@@ -75,22 +76,21 @@ def x04_rank_percentile(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d).select("as_of", "ticker", six(rank_share(F.col("mom"), "as_of")).alias("pct"))
 
 
-_REGIMES = """reg AS (SELECT as_of, CASE WHEN avg(mom) > 0.02 THEN 'Bull' WHEN avg(mom) < -0.02 THEN 'Bear' ELSE 'Transition' END AS regime FROM panel GROUP BY 1),
-wt AS (SELECT * FROM (VALUES ('Bull', 0.40, 0.15, 0.25), ('Bear', 0.10, 0.20, 0.30), ('Transition', 0.25, 0.25, 0.25)) t(regime, wm, wv, wl))"""
+_REGIMES = "reg AS (SELECT as_of, CASE WHEN avg(mom) > 0.02 THEN 'Bull' WHEN avg(mom) < -0.02 THEN 'Bear' WHEN avg(mom) IS NULL THEN 'Unknown' ELSE 'Transition' END AS regime FROM panel GROUP BY 1), wt AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {w['vsm']}, {w['bab']})" for r, w in X.REGIME_WEIGHTS.items()) + ") t(regime, wv, wb))"
 
 
-@query(f"""WITH {_PANEL}, {_CLEAN}, {_REGIMES}, h AS (SELECT z.as_of, ticker, regime, CASE WHEN ticker % 7 = 3 THEN NULL ELSE z_mom END AS m, z_vsm AS v, z_bab AS l FROM z JOIN reg USING (as_of))
-SELECT as_of, ticker, h.regime, round(coalesce((coalesce(m, 0) * wm + v * wv + l * wl) / nullif(CASE WHEN m IS NULL THEN 0 ELSE wm END + wv + wl, 0), 0), 6) AS score FROM h JOIN wt ON h.regime = wt.regime""")
+@query(f"""WITH {_PANEL}, {_CLEAN}, {_REGIMES}, h AS (SELECT z.as_of, ticker, regime, CASE WHEN ticker % 7 = 3 THEN NULL ELSE z_vsm END AS v, z_bab AS b FROM z JOIN reg USING (as_of))
+SELECT as_of, ticker, h.regime, round(coalesce((coalesce(v, 0) * wv + b * wb) / nullif(CASE WHEN v IS NULL THEN 0 ELSE wv END + wb, 0), 0), 6) AS score FROM h JOIN wt ON h.regime = wt.regime""")
 def x13_regime_composite(spark: SparkSession, d: str) -> DataFrame:
-    """Weights by regime, those of missing factors shared out."""
+    """Weights by regime; those of factors that the panel doesn't have, or that are missing, are shared out."""
     rows = panel(spark, d)
     mean = rows.groupBy("as_of").agg(F.avg("mom").alias("mean"))
-    regime = F.when(F.col("mean") > 0.02, "Bull").when(F.col("mean") < -0.02, "Bear").otherwise("Transition")
-    z = X.winsorised(rows, ["as_of"], ["vsm", "bab", "mom"]).select("as_of", "ticker", *[X.z_score(c, "as_of").alias(c) for c in ("vsm", "bab", "mom")])
-    z = z.join(mean.select("as_of", regime.alias("regime")), "as_of").select("as_of", "ticker", "regime", F.when(F.col("ticker") % 7 != 3, F.col("mom")).alias("momentum"), F.col("vsm").alias("value"), F.col("bab").alias("low_vol"))
+    regime = F.when(F.col("mean") > 0.02, "Bull").when(F.col("mean") < -0.02, "Bear").when(F.col("mean").isNull(), "Unknown").otherwise("Transition")
+    z = X.winsorised(rows, ["as_of"], ["vsm", "bab", "mom"]).select("as_of", "ticker", *[X.z_score(c, "as_of").alias(c) for c in ("vsm", "bab")])
+    z = z.join(mean.select("as_of", regime.alias("regime")), "as_of").select("as_of", "ticker", "regime", F.when(F.col("ticker") % 7 != 3, F.col("vsm")).alias("vsm"), "bab")
     score = F.lit(None).cast("double")
     for name, weights in X.REGIME_WEIGHTS.items():
-        score = F.when(F.col("regime") == name, X.weighted({c: weights[c] for c in ("momentum", "value", "low_vol")})).otherwise(score)
+        score = F.when(F.col("regime") == name, X.weighted({c: weights[c] for c in ("vsm", "bab")})).otherwise(score)
     return z.select("as_of", "ticker", "regime", six(score).alias("score"))
 
 
