@@ -120,7 +120,7 @@ def b05_factor_backtest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def b02_greedy_selection(spark: SparkSession, d: str) -> DataFrame:
-    """With memory of the month before; held against a brute-force fold in tests."""
+    """With memory of the month before."""
     return B.greedy(scores(spark, d), "as_of")
 
 
