@@ -273,8 +273,33 @@ def test_join_of_cells_and_their_regions(spark, monkeypatch, low, high):
     assert len(reached) == 2
 
 
-def test_join_of_several_pivots(spark, monkeypatch):
-    """Groups of copies around centres that share half of a frequent text: regions with several Voronoi cells and sets between them."""
+def _centred(rng):
+    """Groups of copies around centres that share half of a frequent text, and copies between two centres."""
+    centres = [[f"p{x}" if x < 60 else f"c{c}x{x}" for x in range(100)] for c in range(12)]
+    for k in range(150):
+        w, other = list(centres[k % 12]), centres[(k + 1) % 12]
+        cut = 100 - int(rng.integers(0, 40))
+        w[cut:] = other[cut:]
+        for x in rng.choice(100, rng.integers(0, 3), replace=False):
+            w[x] = f"w{rng.integers(9)}"
+        yield w
+
+
+def _mosaics(rng):
+    """Texts of frequent sentences, some with a rarer one in common though far apart, and copies of these."""
+    pool = [[f"s{i}x{j}" for j in range(10)] for i in range(24)]
+    made = []
+    for k in range(160):
+        w = [f"r{j}" for j in range(10)] if k % 4 == 0 else []
+        made.append(sum((pool[i] for i in sorted(rng.choice(24, 12, replace=False))), w))
+    yield from made
+    for w in made[::4]:
+        yield [*w[:-2], "changed", w[-1]]
+
+
+@pytest.mark.parametrize(("make", "which"), [(_centred, 0), (_mosaics, 1)])
+def test_join_of_several_pivots(spark, monkeypatch, make, which):
+    """Regions with several Voronoi cells, with sets replicated to other cells (0) and sets far from all pivots (1)."""
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
     cells = []
     own = JaccardJoin._cells
@@ -285,21 +310,11 @@ def test_join_of_several_pivots(spark, monkeypatch):
         return held, far
 
     monkeypatch.setattr(JaccardJoin, "_cells", spied)
-    rng = np.random.default_rng(5)
-    centres = [[f"p{x}" if x < 60 else f"c{c}x{x}" for x in range(100)] for c in range(12)]
-    rows = []
-    for k in range(150):
-        w = list(centres[k % 12])
-        other = centres[(k + 1) % 12]
-        cut = 100 - int(rng.integers(0, 40))
-        w[cut:] = other[cut:]
-        for x in rng.choice(100, rng.integers(0, 3), replace=False):
-            w[x] = f"w{rng.integers(9)}"
-        rows.append((k, " ".join(w)))
+    rows = [(k, " ".join(w)) for k, w in enumerate(make(np.random.default_rng(5)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter(tuple(r) for r in JaccardJoin(2, 80).joined(docs).select("doc_id", "n_shingles", "component_id").collect())
     assert got == by_brute_force(rows, 2, 80)
-    assert min(cells[0]) > 0
+    assert cells[0][which] > 0
 
 
 def test_join_of_large_regions(spark):
