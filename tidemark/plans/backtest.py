@@ -228,7 +228,7 @@ def p17_trade_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def p01_optimisers(spark: SparkSession, d: str) -> DataFrame:
-    """Four optimisers on the 20 most traded tickers' matrix; invariants are tested."""
+    """Four optimisers on the 20 most traded tickers' matrix."""
     weights, cov = universe(spark, d)
     names, c = P.matrix(cov)
     c = c * 252 + 1e-6 * np.eye(len(names))

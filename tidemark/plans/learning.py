@@ -44,7 +44,7 @@ def x20_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def x18_hidden_regimes(spark: SparkSession, d: str) -> DataFrame:
-    """Held against invariants in tests."""
+    """Two Gaussian regimes of a ticker's returns."""
     out = L.hidden_regimes(V.returns(spark, d).where("ret IS NOT NULL"), "ret")
     return out.select("ticker", *[six(F.col(c)).alias(c) for c in ("bull", "mean_bull", "mean_bear", "multiplier")])
 
