@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import six
-from tidemark.plans.registry import query
+from tidemark.plans import backtest  # noqa: F401 (its SQL is read here)
+from tidemark.plans.registry import SQL, query
 from tidemark.plans.xsec import _PANEL, panel
 from tidemark.shared import shared_dir
 from tidemark.sources import lake
@@ -38,7 +39,7 @@ def sc03_partitioned_range(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_PANEL}, r AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY mom DESC, ticker) AS rank FROM panel) SELECT ticker, as_of AS date, round(mom, 6) AS score, CAST(rank AS INTEGER) AS rank, sector FROM r WHERE as_of = (SELECT max(as_of) FROM r) AND rank <= 10""")
 def sc09_latest_signals(spark: SparkSession, d: str) -> DataFrame:
-    """SK03, SK04, SC09, SC11, X17 and S13: signals written with metadata as JSON, the last date's best read again."""
+    """SK03, SC09, X17 and S13: signals written with metadata as JSON, the last date's best read again."""
     path = _path(spark, "signals")
     lake.write_signals(_signals(spark, d), path)
     rows = lake.latest_signals(spark, path, "mom_v1", 10)
@@ -54,7 +55,7 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_PANEL}, r AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY mom DESC, ticker) AS rank FROM panel) SELECT as_of AS date, count(*) AS n, round(avg(mom), 6) AS mean, round(max(CASE WHEN rank = 1 THEN mom END), 6) AS best FROM r WHERE as_of BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' GROUP BY 1""")
 def sc10_signal_history(spark: SparkSession, d: str) -> DataFrame:
-    """SC10, SC12 and SC13."""
+    """SC10."""
     path = _path(spark, "signals")
     lake.write_signals(_signals(spark, d), path)
     rows = lake.signal_history(spark, path, "mom_v1", "1999-01-01", "1999-12-31")
@@ -81,14 +82,14 @@ def sk09_csv_and_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT r_regionkey AS version, substr(md5('{"kind":"momentum","r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}'), 1, 6) AS id FROM region""")
 def sk06_experiment_ids(spark: SparkSession, d: str) -> DataFrame:
-    """SK06, SK07 and S14."""
+    """SK06 and S14."""
     config = V.table(spark, d, "region").select("r_regionkey", "r_name", F.lit("momentum").alias("kind"))
     return lake.experiment_id(config).select(F.col("r_regionkey").alias("version"), "id")
 
 
 @query(None)
 def sk12_file_digests(spark: SparkSession, d: str) -> DataFrame:
-    """SK12 and SC25."""
+    """SK12."""
     return lake.file_digests(spark, f"{d}/nation.parquet")
 
 
@@ -130,3 +131,106 @@ def st_subscriptions(spark: SparkSession, d: str) -> DataFrame:
     """ST3: a tick reaches the clients that subscribe to its symbol, and no other."""
     wanted = spark.createDataFrame([("click", "a"), ("click", "b"), ("purchase", "a")], "symbol string, client string")
     return T.subscribed(V.ticks(spark, d), wanted).groupBy("client", "symbol").agg(F.count("*").alias("ticks"))
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.operators.backtest import selected
+    from tidemark.plans.backtest import scores
+
+    return selected(scores(spark, d), "as_of", "score").select("ticker", F.col("as_of").alias("date"), F.lit("equal_v1").alias("model_name"), six(F.col("weight")).alias("weight"), "sector")
+
+
+@query(f"SELECT ticker, weight, sector FROM ({SQL['b02_selection']}) WHERE as_of = (SELECT max(as_of) FROM ({SQL['b02_selection']}))")
+def sc11_latest_targets(spark: SparkSession, d: str) -> DataFrame:
+    """SK04 and SC11: target weights written by model and date, the last date's read again."""
+    path = _path(spark, "targets")
+    lake.write_targets(_targets(spark, d), path)
+    return lake.latest_targets(spark, path, "equal_v1").select("ticker", "weight", "sector")
+
+
+@query(f"SELECT as_of AS date, count(*) AS n, round(sum(weight), 4) AS weight FROM ({SQL['b02_selection']}) WHERE as_of BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' GROUP BY 1")
+def sc12_target_history(spark: SparkSession, d: str) -> DataFrame:
+    path = _path(spark, "targets")
+    lake.write_targets(_targets(spark, d), path)
+    rows = lake.signal_history(spark, path, "equal_v1", "1999-01-01", "1999-12-31")
+    return rows.groupBy(F.col("date").cast("date").alias("date")).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
+@query(f"WITH {_PANEL} SELECT DISTINCT 'mom_v1' AS model_name, as_of AS date FROM panel")
+def sc13_signal_dates(spark: SparkSession, d: str) -> DataFrame:
+    path = _path(spark, "signals")
+    lake.write_signals(_signals(spark, d), path)
+    return lake.dates(spark, path)
+
+
+@query(f"WITH {_PANEL} SELECT 'mom_v1' AS model_name, count(DISTINCT as_of) AS dates, count(*) AS n, min(as_of) AS first_date, max(as_of) AS last_date, true AS stored FROM panel HAVING count(*) > 0")
+def sc25_store_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """SC25; how many files and bytes a table takes depends on the run, so they are only held to be there."""
+    path = _path(spark, "signals")
+    lake.write_signals(_signals(spark, d), path)
+    rows = lake.statistics(spark, path)
+    return rows.select("model_name", "dates", "n", "first_date", "last_date", ((F.col("files") >= F.col("dates")) & (F.col("bytes") > 0)).alias("stored"))
+
+
+@query(f"""WITH {_PANEL}, c AS (SELECT as_of AS snapshot_date, count(DISTINCT ticker) AS universe_size, sum(mom) AS mom FROM panel WHERE as_of IN (DATE '1998-12-31', DATE '1999-12-31') GROUP BY 1) SELECT snapshot_date, universe_size, 3 AS feature_count, round(mom, 6) AS mom FROM c""")
+def sc14_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """SK05 and SC14: two dates' universe and features as snapshots, listed and read again."""
+    from functools import reduce
+
+    path, rows, days = _path(spark, "snapshots"), panel(spark, d), ("1998-12-31", "1999-12-31")
+    for day in days:
+        lake.write_snapshot(rows.where(F.col("as_of") == day).select("ticker", "mom", "vsm"), path, day, source="panel")
+    read = [lake.read_snapshot(spark, path, day).agg(F.sum("mom").alias("mom")).withColumn("snapshot_date", F.lit(day).cast("date")) for day in days]
+    return lake.snapshots(spark, path).join(reduce(DataFrame.union, read), "snapshot_date").where("universe_size > 0").select("snapshot_date", "universe_size", "feature_count", six(F.col("mom")).alias("mom"))
+
+
+@query(f"""WITH {V.FUNDAMENTALS} SELECT CAST(year(period) AS INTEGER) AS year, count(*) AS n, round(sum(CASE WHEN year(period) = 1997 THEN revenue * 2 ELSE revenue END) / 1000, 2) AS revenue FROM fundamentals GROUP BY 1""")
+def sk02_fundamentals_by_year(spark: SparkSession, d: str) -> DataFrame:
+    """SK02: written by year, one year restated, read again."""
+    path, rows = _path(spark, "fundamentals"), V.fundamentals(spark, d)
+    lake.write_fundamentals(rows, path)
+    lake.write_fundamentals(rows.where(F.year("period") == 1997).withColumn("revenue", F.col("revenue") * 2), path, "overwrite")
+    return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("revenue") / 1000, 2).alias("revenue"))
+
+
+@query("""SELECT 'suppliers' AS name, '1' AS version, count(*) AS n, round(sum(s_acctbal), 2) AS balance FROM supplier UNION ALL SELECT 'suppliers', '2', count(*), round(sum(s_acctbal), 2) FROM supplier WHERE s_acctbal > 0""")
+def sk07_dataset_versions(spark: SparkSession, d: str) -> DataFrame:
+    """SK07: two versions of a dataset, found by the catalogue and read by version."""
+    path, rows = _path(spark, "datasets"), V.table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    lake.write_version(rows, path, "suppliers", "1")
+    lake.write_version(rows.where("s_acctbal > 0"), path, "suppliers", "2")
+    sums = spark.read.parquet(f"{path}/suppliers").groupBy(F.col("version").cast("string").alias("version")).agg(F.round(F.sum("s_acctbal"), 2).alias("balance"))
+    return lake.catalogue(spark, path).join(F.broadcast(sums), "version").select("name", "version", "n", "balance")
+
+
+@query("""SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS version, 'ranker' AS type, '{"region":' || n_regionkey || '}' AS parameters FROM nation WHERE n_regionkey < 3""")
+def sk13_model_registry(spark: SparkSession, d: str) -> DataFrame:
+    """SK13: models registered twice or once, the last version of one type."""
+    path = _path(spark, "models")
+    kind = F.when(F.col("n_regionkey") < 3, "ranker").otherwise("optimiser")
+    parameters = F.to_json(F.struct(F.col("n_regionkey").alias("region")))
+    rows = V.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit(1).alias("version"), kind.alias("type"), parameters.alias("parameters"), "n_nationkey")
+    lake.register_model(rows.drop("n_nationkey"), path)
+    lake.register_model(rows.where("n_nationkey % 2 = 0").withColumn("version", F.lit(2)).drop("n_nationkey"), path)
+    return lake.models(spark, path, "ranker")
+
+
+@query(f"""WITH {V.BARS} SELECT 'bars' AS name, count(*) AS here, count(*) AS there, true AS same FROM bars UNION ALL SELECT 'nation', count(*), count(*), true FROM nation""")
+def h06_moved_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Tables moved into the lake hold as many rows as they came with."""
+    path, bars, nation = _path(spark, "moved"), V.bars(spark, d), V.table(spark, d, "nation")
+    lake.write_bars(bars, f"{path}/bars")
+    nation.write.parquet(f"{path}/nation")
+    both = [("bars", bars), ("nation", nation)]
+    counts = [b.agg(F.count("*").alias("here")).join(spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("there"))).select(F.lit(n).alias("name"), "here", "there") for n, b in both]
+    return counts[0].union(counts[1]).withColumn("same", F.col("here") == F.col("there"))
+
+
+@query(f"""WITH {_PANEL}, {V.EDGES} SELECT name, count(*) AS n, round(sum(mom), 5) AS score FROM panel JOIN (SELECT s_suppkey AS ticker, s_name AS name FROM supplier) USING (ticker) GROUP BY 1""")
+def h07_migrated_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Signals by name instead of number, joined to the securities and written by model and date."""
+    path = _path(spark, "signals")
+    named = _signals(spark, d).join(V.security(spark, d).select("ticker", "name"), "ticker")
+    lake.write_signals(named, path)
+    rows = spark.read.parquet(path).select(F.get_json_object("metadata", "$.name").alias("name"), "score")
+    return rows.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("score"))

@@ -186,21 +186,3 @@ def b21_genetic_search(spark: SparkSession, d: str) -> DataFrame:
     m = V.returns(spark, d).agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s")).first()
     best, fit = L.genetic(spark, lambda p: -(F.pow(p[0] - m["m"], F.lit(2)) + F.pow(p[1] - m["s"], F.lit(2))), [(-0.1, 0.1), (0.0, 0.2)])
     return spark.createDataFrame([(best[0], best[1], fit)], "x double, y double, fitness double")
-
-
-@query(f"""WITH {V.RETS}, l AS (SELECT ticker, close / nullif(CASE WHEN count(close) OVER {_n(130)} >= 130 THEN avg(close) OVER {_n(130)} END, 0) AS rsl, CASE WHEN count(volume) OVER {_n(20)} >= 5 THEN coalesce((volume - avg(volume) OVER {_n(20)}) / nullif(stddev_samp(volume) OVER {_n(20)}, 0), 0) ELSE 0 END AS z,
-close / nullif(lag(close, 125) OVER ({_W}), 0) - 1 AS m6, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM rets), s AS (SELECT ticker, least(1, greatest(-1, (rsl - 1) / 0.2)) AS a, least(1, greatest(-1, z / 3)) AS b, least(1, greatest(-1, m6 / 0.5)) AS c,
-least(1, greatest(0, (rsl - 0.8) / 0.4)) * 100 AS pct FROM l WHERE k = 1), t AS (SELECT *, (0.4*coalesce(a,0) + 0.3*coalesce(b,0) + 0.3*coalesce(c,0)) / nullif(CASE WHEN a IS NULL THEN 0 ELSE 0.4 END + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END + CASE WHEN c IS NULL THEN 0 ELSE 0.3 END, 0) AS score,
-CASE WHEN a IS NULL THEN 0 ELSE 0.4 END + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END + CASE WHEN c IS NULL THEN 0 ELSE 0.3 END AS confidence FROM s)
-SELECT ticker, round(score, 6) AS score, CASE WHEN score > 0.6 THEN 'buy' WHEN score < -0.3 THEN 'sell' ELSE 'hold' END AS signal, round(confidence, 6)::DOUBLE AS confidence, round(pct, 6) AS pct FROM t""")
-def f40_scorecard(spark: SparkSession, d: str) -> DataFrame:
-    """F40 and F41."""
-    from tidemark.functions.exprs import clip, interp
-
-    rows = V.returns(spark, d).select("ticker", "date", A.levy().alias("rsl"), A.volume_structure()[0].alias("z"), A.momentum_6m().alias("m6"))
-    last = R.latest(rows, ["ticker"], "date")
-    parts = {"a": (clip((F.col("rsl") - 1) / 0.2, -1.0, 1.0), 0.4), "b": (clip(F.col("z") / 3, -1.0, 1.0), 0.3), "c": (clip(F.col("m6") / 0.5, -1.0, 1.0), 0.3)}
-    last = last.select("ticker", "rsl", *[x.alias(n) for n, (x, _) in parts.items()])
-    share = sum((F.when(F.col(n).isNotNull(), w).otherwise(0.0) for n, (_, w) in parts.items()), F.lit(0.0))
-    score = F.try_divide(sum((F.coalesce(F.col(n), F.lit(0.0)) * w for n, (_, w) in parts.items()), F.lit(0.0)), share)
-    return last.select("ticker", six(score).alias("score"), F.when(score > 0.6, "buy").when(score < -0.3, "sell").otherwise("hold").alias("signal"), six(share).alias("confidence"), six(interp(F.col("rsl"), 0.8, 1.2)).alias("pct"))

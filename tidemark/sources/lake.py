@@ -58,3 +58,91 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """bytes and sha256 of each file under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+#: Columns that a target must have.
+TARGET = ("ticker", "date", "model_name", "weight")
+
+
+def write_targets(targets: DataFrame, path: str, mode: str = "append") -> None:
+    """Target weights by model and date."""
+    if gone := [c for c in TARGET if c not in targets.columns]:
+        raise ValueError(f"targets lack {', '.join(gone)}")
+    targets.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("model_name", "date").parquet(path)
+
+
+def latest_targets(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """A model's targets of its last date, heaviest first."""
+    rows = spark.read.parquet(path).where(F.col("model_name") == model)
+    return rows.join(F.broadcast(rows.agg(F.max("date").alias("date"))), "date").orderBy(F.desc("weight"), "ticker")
+
+
+def dates(spark: SparkSession, path: str) -> DataFrame:
+    """model_name, date: what a table of signals or targets holds, from its partitions, newest first."""
+    return spark.read.parquet(path).select("model_name", F.col("date").cast("date").alias("date")).distinct().orderBy("model_name", F.desc("date"))
+
+
+def write_fundamentals(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Fundamentals by year of their period; ``overwrite`` replaces the years that are written."""
+    rows = rows.withColumn("year", F.year("period"))
+    rows.repartition("year").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+
+
+def write_snapshot(features: DataFrame, path: str, date: str, **metadata: str) -> None:
+    """The universe and features of a date, with what is known about them as one JSON line beside."""
+    spark, at = features.sparkSession, f"{path.rstrip('/')}/{date}"
+    features.write.mode("overwrite").parquet(f"{at}/features")
+    held = spark.read.schema(features.schema).parquet(f"{at}/features")
+    held.select("ticker").distinct().write.mode("overwrite").parquet(f"{at}/universe")
+    size = held.agg(F.count_distinct("ticker").alias("universe_size"))
+    about = size.select(F.lit(date).alias("snapshot_date"), "universe_size", F.lit(len(features.columns)).alias("feature_count"), *[F.lit(v).alias(k) for k, v in metadata.items()])
+    about.write.mode("overwrite").json(f"{at}/metadata")
+
+
+def read_snapshot(spark: SparkSession, path: str, date: str) -> DataFrame:
+    """The features of a snapshot."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{date}/features")
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """A row a snapshot, newest first."""
+    known = "snapshot_date date, universe_size long, feature_count int"
+    return spark.read.schema(known).json(f"{path.rstrip('/')}/*/metadata").orderBy(F.desc("snapshot_date"))
+
+
+def write_version(rows: DataFrame, path: str, name: str, version: str) -> None:
+    """A dataset's version as a table of its own, and a line about it in the catalogue; a version is never written again."""
+    at = f"{path.rstrip('/')}/{name}/version={version}"
+    rows.write.mode("errorifexists").parquet(at)
+    held = rows.sparkSession.read.schema(rows.schema).parquet(at)
+    entry = held.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(version).alias("version"), "n", F.lit(at).alias("path"))
+    entry.write.mode("append").json(f"{path.rstrip('/')}/_catalogue/{name}")
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """name, version, n, path of each version that was written."""
+    return spark.read.schema("name string, version string, n long, path string").json(f"{path.rstrip('/')}/_catalogue/*")
+
+
+def register_model(models: DataFrame, path: str) -> None:
+    """Add models (name, version, type, parameters) to the registry's lines."""
+    models.write.mode("append").json(path)
+
+
+def models(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Each model's last version, of one type or of all."""
+    rows = spark.read.schema("name string, version int, type string, parameters string").json(path)
+    if kind:
+        rows = rows.where(F.col("type") == kind)
+    return rows.groupBy("name").agg(F.max_by(F.struct("version", "type", "parameters"), "version").alias("r")).select("name", "r.*")
+
+
+def statistics(spark: SparkSession, path: str) -> DataFrame:
+    """model_name, dates, n, first_date, last_date, files, bytes of a table of signals or targets."""
+    rows = spark.read.parquet(path)
+    day = F.col("date").cast("date")
+    held = rows.groupBy("model_name").agg(F.count_distinct(day).alias("dates"), F.count("*").alias("n"), F.min(day).alias("first_date"), F.max(day).alias("last_date"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    model = F.regexp_extract("path", "model_name=([^/]+)", 1)
+    sizes = files.select(model.alias("model_name"), "length").groupBy("model_name").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return held.join(sizes, "model_name", "left")
