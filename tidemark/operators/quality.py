@@ -13,7 +13,12 @@ REQUIRED = ("ticker", "date", "open", "high", "low", "close", "adj_close", "volu
 ACTIONS = {
     "high_lt_low": "drop", "high_lt_open": "drop", "high_lt_close": "drop", "low_gt_open": "drop", "low_gt_close": "drop",
     "price_not_positive": "drop", "volume_not_positive": "drop", "gap_short": "interpolate", "gap_long": "warn",
-    "potential_spike": "warn", "confirmed_spike": "drop", "persistent_move": "warn",
+    "potential_spike": "warn", "confirmed_spike": "drop", "persistent_move": "warn", "missing_column": "drop",
+}
+#: The columns that an issue of a row is about.
+CONCERNS = {
+    "high_lt_low": ("high", "low"), "high_lt_open": ("high", "open"), "high_lt_close": ("high", "close"), "low_gt_open": ("low", "open"), "low_gt_close": ("low", "close"),
+    "price_not_positive": ("open", "high", "low", "close"), "volume_not_positive": ("volume",),
 }
 #: Largest return and deviations from the mean that pass, and the spread where none can be had.
 JUMP, DEVIATIONS, NO_SPREAD = 0.5, 5.0, 0.02
@@ -86,6 +91,56 @@ def repaired(bars: DataFrame, issues: DataFrame) -> DataFrame:
     return bars.join(issues.where("action = 'drop'").select("ticker", "date").distinct(), ["ticker", "date"], "left_anti")
 
 
+def first_stage(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """ticker, issue, n: of the stages structure, rows, gaps and spikes the first that finds anything about a ticker, and no later one.
+
+    A frame without all required columns has one issue and is not looked at further. Gaps are dated by their first day.
+    """
+    if gone := missing_columns(bars):
+        return bars.sparkSession.createDataFrame([(None, f"missing_column:{c}", 1) for c in gone], "ticker long, issue string, n long")
+    stages = [row_issues(bars), gap_issues(bars, calendar).select("ticker", "issue"), spike_issues(bars)]
+    counts = [s.groupBy("ticker", "issue").agg(F.count("*").alias("n")).withColumn("stage", F.lit(k)) for k, s in enumerate(stages)]
+    rows = counts[0].union(counts[1]).union(counts[2])
+    return rows.withColumn("first", F.min("stage").over(whole("ticker"))).where("stage = first").select("ticker", "issue", "n")
+
+
+def filled_in(bars: DataFrame, issues: DataFrame) -> DataFrame:
+    """Bars with every action taken: columns to interpolate lie on the line between their neighbours, volumes to fill take the last one, then rows to drop go.
+
+    Prices that an issue is not about, or that are positive where the issue is that one isn't, stay; so do a ticker's first
+    and last row. A volume is filled where it is null and never interpolated. Faults side by side are bridged together.
+    """
+    taken = issues.groupBy("ticker", "date").agg(F.collect_set(F.struct("action", "issue")).alias("_taken"))
+    rows = bars.join(taken, ["ticker", "date"], "left").withColumn("_drop", F.coalesce(F.exists("_taken", lambda x: x["action"] == "drop"), F.lit(False)))
+    order, back = by_ticker(), F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
+    rows = rows.withColumn("_inner", (F.row_number().over(order) > 1) & (back > 1))
+    out = rows.columns
+    for c in ("open", "high", "low", "close"):
+        about = [i for i, columns in CONCERNS.items() if c in columns and i != "price_not_positive"]
+        of = F.exists("_taken", lambda x: (x["action"] == "interpolate") & (x["issue"].isin(about) | ((x["issue"] == "price_not_positive") & (F.coalesce(F.col(c), F.lit(0.0)) <= 0))))  # noqa: B023
+        rows = rows.withColumn("_was", F.col(c)).withColumn(c, F.when(F.coalesce(of, F.lit(False)) & F.col("_inner") & ~F.col("_drop"), F.lit(None).cast("double")).otherwise(F.col(c)))
+        rows = interpolated(rows, c).withColumn(c, F.coalesce(F.col(c), F.col("_was"))).select(out)
+    wanted = F.coalesce(F.exists("_taken", lambda x: (x["action"] == "ffill") & (x["issue"] == "volume_not_positive")), F.lit(False))
+    rows = rows.withColumn("volume", F.when(wanted & ~F.col("_drop") & F.col("volume").isNull(), F.last("volume", ignorenulls=True).over(so_far())).otherwise(F.col("volume")))
+    return rows.where(~F.col("_drop")).select(bars.columns)
+
+
+def fit_for_store(fetched: DataFrame) -> DataFrame:
+    """ticker, failed: a ticker fails as a whole if a row lacks a price, so that it can't stop the others."""
+    return fetched.groupBy("ticker").agg(F.bool_or(F.least(*[F.col(c).isNotNull().cast("int") for c in ("open", "high", "low", "close")]) == 0).alias("failed"))
+
+
+def caught_up(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``fetched`` to append, and ticker, status, added, dropped: checked as a backfill, repaired, failures kept apart, in one pass for all tickers."""
+    fit = fit_for_store(fetched)
+    sound = fetched.join(fit.where("NOT failed"), "ticker", "left_semi")
+    clean = repaired(sound, with_actions(row_issues(sound).union(spike_issues(sound))))
+    added = clean.groupBy("ticker").agg(F.count("*").alias("added"))
+    rows = fetched.groupBy("ticker").agg(F.count("*").alias("rows")).join(fit, "ticker").join(added, "ticker", "left").na.fill(0, ["added"])
+    dropped = F.when(F.col("failed"), F.lit(0)).otherwise(F.col("rows") - F.col("added"))
+    return clean, rows.select("ticker", F.when(F.col("failed"), "failed").otherwise("updated").alias("status"), "added", dropped.alias("dropped"))
+
+
 def interpolated(rows: DataFrame, value: str) -> DataFrame:
     """Nulls between two values on the line between them by row; before the first and after the last stay null."""
     after = by_ticker().rowsBetween(0, Window.unboundedFollowing)

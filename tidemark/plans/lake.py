@@ -226,7 +226,7 @@ def h06_moved_rows(spark: SparkSession, d: str) -> DataFrame:
     return counts[0].union(counts[1]).withColumn("same", F.col("here") == F.col("there"))
 
 
-@query(f"""WITH {_PANEL}, {V.EDGES} SELECT name, count(*) AS n, round(sum(mom), 5) AS score FROM panel JOIN (SELECT s_suppkey AS ticker, s_name AS name FROM supplier) USING (ticker) GROUP BY 1""")
+@query(f"""WITH {_PANEL} SELECT name, count(*) AS n, round(sum(mom), 5) AS score FROM panel JOIN (SELECT s_suppkey AS ticker, s_name AS name FROM supplier) USING (ticker) GROUP BY 1""")
 def h07_migrated_signals(spark: SparkSession, d: str) -> DataFrame:
     """Signals by name instead of number, joined to the securities and written by model and date."""
     path = _path(spark, "signals")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import six
 from tidemark.functions.windows import by_ticker
 from tidemark.operators import quality as Q
-from tidemark.plans.registry import query
+from tidemark.plans.registry import SQL, query
 from tidemark.sources import views as V
 
 _W = "PARTITION BY ticker ORDER BY date"
@@ -113,3 +115,61 @@ def v14_gap_status(spark: SparkSession, d: str) -> DataFrame:
 def v17_freshness(spark: SparkSession, d: str) -> DataFrame:
     old = F.datediff(F.lit("2001-11-10").cast("date"), F.max("date"))
     return V.bars(spark, d).agg(F.max("date").alias("newest"), old.alias("days_old"), (old <= 7).alias("fresh"))
+
+
+@query(f"""WITH {_FAULTY}, {_ISSUES}, {_SPIKES}, {_GAPS}, st AS (SELECT ticker, issue, count(*) AS n, 0 AS stage FROM issues GROUP BY 1, 2 UNION ALL SELECT ticker, CASE WHEN days <= 3 THEN 'gap_short' ELSE 'gap_long' END, count(*), 1 FROM gaps GROUP BY 1, 2
+UNION ALL SELECT ticker, issue, count(*), 2 FROM spikes GROUP BY 1, 2) SELECT ticker, issue, n FROM st s WHERE stage = (SELECT min(stage) FROM st t WHERE t.ticker = s.ticker)""")
+def v09_fail_fast(spark: SparkSession, d: str) -> DataFrame:
+    """The first stage that finds something about a ticker."""
+    return Q.first_stage(faulty(spark, d), V.bars(spark, d).select("date").distinct())
+
+
+@query("SELECT NULL::BIGINT AS ticker, unnest(['missing_column:adj_close', 'missing_column:volume']) AS issue, 1::BIGINT AS n")
+def v01_missing_columns(spark: SparkSession, d: str) -> DataFrame:
+    """A frame that lacks columns has that as its only issues."""
+    bars = V.bars(spark, d)
+    return Q.first_stage(bars.drop("adj_close", "volume"), bars.select("date").distinct())
+
+
+#: What a lenient policy does: single bad prices and volumes are mended, rows that contradict themselves still go.
+MENDED = {"price_not_positive": "interpolate", "low_gt_close": "interpolate", "volume_not_positive": "ffill"}
+
+
+@query(f"""WITH {_FAULTY.replace('THEN 0.0 ELSE volume END', 'THEN 0.0 WHEN k % 97 = 29 THEN NULL ELSE volume END')}, {_ISSUES}, bad AS (SELECT DISTINCT ticker, date FROM issues WHERE issue NOT IN ('price_not_positive', 'low_gt_close', 'volume_not_positive')),
+m AS (SELECT ticker, date, CASE WHEN close <= 0 THEN coalesce((lag(close) OVER w + lead(close) OVER w) / 2, close) ELSE close END AS close, CASE WHEN close <= 0 THEN coalesce((lag(low) OVER w + lead(low) OVER w) / 2, low) ELSE low END AS low,
+coalesce(volume, lag(volume) OVER w) AS volume FROM faulty WINDOW w AS ({_W})) SELECT ticker, count(*) AS bars, round(sum(close), 4) AS closes, round(sum(low), 4) AS lows, sum(volume) AS volumes FROM m ANTI JOIN bad USING (ticker, date) GROUP BY 1""")
+def v10_mended(spark: SparkSession, d: str) -> DataFrame:
+    """V10 under a policy that interpolates prices and carries volumes on, as a checksum a ticker."""
+    rows = faulty(spark, d).withColumn("volume", F.when(F.col("k") % 97 != 29, F.col("volume")))
+    action = F.coalesce(*[F.when(F.col("issue") == i, a) for i, a in MENDED.items()], F.lit("drop"))
+    fixed = Q.filled_in(rows, Q.row_issues(rows).withColumn("action", action))
+    return fixed.groupBy("ticker").agg(F.count("*").alias("bars"), F.round(F.sum("close"), 4).alias("closes"), F.round(F.sum("low"), 4).alias("lows"), F.sum("volume").alias("volumes"))
+
+
+@query(f"""WITH {_FAULTY}, fetched AS (SELECT * FROM faulty WHERE date >= DATE '2000-01-01' AND ticker % 10 <> 4), {_ISSUES.replace('FROM faulty', 'FROM fetched')}, {_SPIKES.replace('FROM faulty', 'FROM fetched')},
+bad AS (SELECT ticker, date FROM issues UNION SELECT ticker, date FROM spikes WHERE issue = 'confirmed_spike'), a AS (SELECT ticker, count(*) AS added FROM fetched ANTI JOIN bad USING (ticker, date) GROUP BY 1),
+f AS (SELECT ticker, count(*) AS n FROM faulty WHERE date >= DATE '2000-01-01' GROUP BY 1), h AS (SELECT ticker, count(*) AS held FROM bars WHERE date < DATE '2000-01-01' GROUP BY 1)
+SELECT ticker, CASE WHEN ticker % 10 = 4 THEN 'failed' ELSE 'updated' END AS status, coalesce(added, 0) AS added, CASE WHEN ticker % 10 = 4 THEN 0 ELSE n - coalesce(added, 0) END AS dropped, coalesce(held, 0) + coalesce(added, 0) AS stored FROM f LEFT JOIN a USING (ticker) LEFT JOIN h USING (ticker)""")
+def v15_caught_up(spark: SparkSession, d: str) -> DataFrame:
+    """Two years fetched, of which some tickers come without prices; what passes is appended to the stored bars."""
+    from tidemark.shared import shared_dir
+    from tidemark.sources import lake
+
+    store = f"{shared_dir(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
+    lake.write_bars(V.bars(spark, d).where("date < '2000-01-01'"), store)
+    fetched = faulty(spark, d).where("date >= '2000-01-01'").withColumn("close", F.when(F.col("ticker") % 10 != 4, F.col("close"))).drop("k")
+    clean, report = Q.caught_up(fetched)
+    lake.write_bars(clean, store)
+    stored = spark.read.parquet(store).groupBy("ticker").agg(F.count("*").alias("stored"))
+    return report.join(stored, "ticker", "left").na.fill(0, ["stored"])
+
+
+@query(SQL["v08_report"])
+def sk11_validation_reports(spark: SparkSession, d: str) -> DataFrame:
+    """SK11: each ticker's report as a JSON line of the day's folder, read again."""
+    from tidemark.shared import shared_dir
+
+    path = f"{shared_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}/day=2001-11-10"
+    rows = v08_report(spark, d)
+    rows.write.json(path)
+    return spark.read.schema(rows.schema).json(path)
