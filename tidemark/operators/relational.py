@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import whole
-
 #: Days after which a fact is known, by its kind.
 LAGS = {"price": 1, "fundamental": 45, "fundamental_late": 60, "estimate": 1, "news": 0}
 
@@ -136,6 +134,38 @@ def winsorised(rows: DataFrame, by: list[str], columns: list[str], low: float =
     return out.select(*[F.when(F.col(c).isNotNull(), F.greatest(F.col(f"_{c}")[0], F.least(F.col(f"_{c}")[1], F.col(c)))).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
-def share_of(x: Column, *keys: str) -> Column:
-    """x over the sum of its absolute values in its group."""
-    return F.try_divide(F.abs(x), F.sum(F.abs(x)).over(whole(*keys)))
+def last_known(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """key and of each column its last value that isn't null, which may be of different rows."""
+    return rows.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+
+
+def leaks(as_of: str, target: str) -> Column:
+    """Whether a row's facts are of later than the day they are used for."""
+    return F.col(as_of) > F.col(target)
+
+
+def asserted(rows: DataFrame, as_of: str, target: str) -> DataFrame:
+    """rows, and a failing job should one of them look ahead."""
+    message = F.concat(F.lit("facts of "), F.col(as_of).cast("string"), F.lit(" used for "), F.col(target).cast("string"))
+    return rows.where(F.assert_true(~leaks(as_of, target), message).isNull())
+
+
+def needed_from(start: Column, lookback: int = 252) -> tuple[Column, Column]:
+    """The first days from which fundamentals and prices are needed to start a backtest on a day."""
+    return F.date_sub(start, LAGS["fundamental"] + lookback), F.date_sub(start, lookback)
+
+
+def active(flag: str) -> Column:
+    """Whether a row is active; one that doesn't say so is."""
+    return F.coalesce(F.col(flag), F.lit(True))
+
+
+def converted(amounts: DataFrame, rates: DataFrame, amount: str, into: str) -> DataFrame:
+    """amounts (currency) with ``amount`` in the currency ``into`` by rates (currency, per_unit); one without a rate is null."""
+    rows = amounts.join(rates, "currency", "left")
+    return rows.withColumn(amount, F.when(F.col("currency") == into, F.col(amount)).otherwise(F.col(amount) * F.col("per_unit"))).drop("per_unit")
+
+
+def positive_sum(weights: str) -> Column:
+    """The sum of a map's positive values."""
+    return F.aggregate(F.filter(F.map_values(weights), lambda x: x > 0), F.lit(0.0), lambda a, x: a + x)

@@ -186,3 +186,29 @@ def b21_genetic_search(spark: SparkSession, d: str) -> DataFrame:
     m = V.returns(spark, d).agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s")).first()
     best, fit = L.genetic(spark, lambda p: -(F.pow(p[0] - m["m"], F.lit(2)) + F.pow(p[1] - m["s"], F.lit(2))), [(-0.1, 0.1), (0.0, 0.2)])
     return spark.createDataFrame([(best[0], best[1], fit)], "x double, y double, fitness double")
+
+
+_SPANS = (20, 60, 120)
+
+
+@query(f"""WITH {V.RETS}, s AS (SELECT date, lead(ret) OVER ({_W}) AS nxt, close, {', '.join(f"CASE WHEN count(close) OVER {_n(n)} >= {n} THEN avg(close) OVER {_n(n)} END AS s{n}" for n in _SPANS)} FROM rets),
+u AS (SELECT year(date) AS year, unnest([{', '.join(f"{{'n': {n}, 's': s{n}}}" for n in _SPANS)}]) AS x, nxt, close FROM s), y AS (SELECT year, x.n AS lookback, sum(nxt) AS total, count(*) AS n FROM u WHERE close > 1.001 * x.s AND nxt IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT year, lookback, total, n, sum(total) OVER p / sum(n) OVER p AS trained, count(*) OVER p AS years FROM y WINDOW p AS (PARTITION BY lookback ORDER BY year RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY round(trained, 9) DESC, lookback) AS k FROM f WHERE years = 2)
+SELECT CAST(year AS INTEGER) AS year, CAST(lookback AS INTEGER) AS lookback, round(trained, 6) AS trained, round(total / n, 6) AS tested FROM k WHERE k = 1""")
+def b17_walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Each year the lookback that was best over the two years before, and what it gives in the year itself.
+
+    Sums by year and lookback come from one pass over the bars; windows of years are windows over those few rows.
+    """
+    from pyspark.sql import Window
+
+    cases = F.array(*[F.struct(F.lit(n).alias("lookback"), rolling(F.avg, F.col("close"), n).alias("mean")) for n in _SPANS])
+    rows = V.returns(spark, d).select(F.year("date").alias("year"), "close", F.lead("ret").over(by_ticker()).alias("nxt"), cases.alias("cases"))
+    rows = rows.select("year", "close", "nxt", F.explode("cases").alias("c")).where("close > 1.001 * c.mean AND nxt IS NOT NULL")
+    years = rows.groupBy("year", "c.lookback").agg(F.sum("nxt").alias("total"), F.count("*").alias("n"))
+    before = Window.partitionBy("lookback").orderBy("year").rangeBetween(-2, -1)
+    trained = years.select("*", F.try_divide(F.sum("total").over(before), F.sum("n").over(before)).alias("trained"), F.count("*").over(before).alias("years")).where("years = 2")
+    place = F.row_number().over(Window.partitionBy("year").orderBy(F.desc(F.round("trained", 9)), "lookback"))
+    best = trained.withColumn("k", place).where("k = 1")
+    return best.select("year", "lookback", six(F.col("trained")).alias("trained"), six(F.col("total") / F.col("n")).alias("tested"))

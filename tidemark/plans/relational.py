@@ -319,3 +319,101 @@ def u05_keep_last_duplicate(spark: SparkSession, d: str) -> DataFrame:
     li = V.table(spark, d, "lineitem").join(V.table(spark, d, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
     rows = li.select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"), F.col("l_orderkey").alias("seq"), "l_linenumber", "l_partkey", F.col("p_retailprice").alias("price"))
     return R.keep_last(rows, ["ticker", "date"], ["seq", "l_linenumber", "l_partkey"]).select("ticker", "date", "seq", six(F.col("price")).alias("price"))
+
+
+@query(f"""WITH {V.BARS} SELECT ticker, arg_max(open, date) FILTER (WHERE day(date) % 3 <> 0) AS open, arg_max(close, date) FILTER (WHERE day(date) % 5 <> 0) AS close, arg_max(volume, date) FILTER (WHERE volume > 40) AS volume FROM bars GROUP BY 1""")
+def ag02_last_known(spark: SparkSession, d: str) -> DataFrame:
+    """AG02: of columns with holes in different rows the last value of each."""
+    bars = V.bars(spark, d).select(
+        "ticker", "date", F.when(F.day("date") % 3 != 0, F.col("open")).alias("open"), F.when(F.day("date") % 5 != 0, F.col("close")).alias("close"), F.when(F.col("volume") > 40, F.col("volume")).alias("volume")
+    )
+    return R.last_known(bars, "ticker", "date", ["open", "close", "volume"])
+
+
+@query(f"""WITH {V.FUNDAMENTALS}, u AS (SELECT ticker, period + 45 AS as_of, period + CASE WHEN ticker % 2 = 0 THEN 90 ELSE 30 END AS target FROM fundamentals) SELECT ticker, count(*) AS n, count(*) FILTER (WHERE as_of > target) AS leaking, count(*) FILTER (WHERE as_of <= target) AS kept FROM u GROUP BY 1""")
+def pf05_leakage_guard(spark: SparkSession, d: str) -> DataFrame:
+    """PF05 and V18: figures used before they are known are counted; what is kept passes the assertion."""
+    target = F.date_add("period", F.when(F.col("ticker") % 2 == 0, 90).otherwise(30))
+    rows = V.fundamentals(spark, d).select("ticker", F.date_add("period", R.LAGS["fundamental"]).alias("as_of"), target.alias("target"))
+    kept = R.asserted(rows.where(~R.leaks("as_of", "target")), "as_of", "target").groupBy("ticker").agg(F.count("*").alias("kept"))
+    counts = rows.groupBy("ticker").agg(F.count("*").alias("n"), F.count_if(R.leaks("as_of", "target")).alias("leaking"))
+    return counts.join(kept, "ticker", "left").na.fill(0, ["kept"])
+
+
+@query(f"""WITH {V.BARS}, {V.FUNDAMENTALS}, b AS (SELECT ticker, min(date) AS bars_from FROM bars GROUP BY 1), f AS (SELECT ticker, min(period) AS facts_from FROM fundamentals GROUP BY 1)
+SELECT ticker, DATE '1993-06-01' - 297 AS facts_needed, DATE '1993-06-01' - 252 AS prices_needed, bars_from <= DATE '1993-06-01' - 252 AND facts_from <= DATE '1993-06-01' - 297 AS feasible FROM b JOIN f USING (ticker)""")
+def pf06_feasible_start(spark: SparkSession, d: str) -> DataFrame:
+    """PF06: whether a ticker's data reach back far enough for a backtest from a day on."""
+    facts, prices = R.needed_from(F.lit("1993-06-01").cast("date"))
+    bars = V.bars(spark, d).groupBy("ticker").agg(F.min("date").alias("bars_from"))
+    rows = bars.join(V.fundamentals(spark, d).groupBy("ticker").agg(F.min("period").alias("facts_from")), "ticker")
+    return rows.select("ticker", facts.alias("facts_needed"), prices.alias("prices_needed"), ((F.col("bars_from") <= prices) & (F.col("facts_from") <= facts)).alias("feasible"))
+
+
+@query("""SELECT s_suppkey AS ticker, s_name AS name FROM supplier WHERE CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal <= 5000 END IS NOT FALSE""")
+def pf11_active(spark: SparkSession, d: str) -> DataFrame:
+    flagged = V.table(spark, d, "supplier").withColumn("active", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal") <= 5000))
+    return flagged.where(R.active("active")).select(F.col("s_suppkey").alias("ticker"), F.col("s_name").alias("name"))
+
+
+@query("""SELECT event_id, epoch_ms(ts) // 1000 AS epoch, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, date_trunc('second', ts)::TIMESTAMP AS back FROM events""")
+def s12_epoch_and_iso(spark: SparkSession, d: str) -> DataFrame:
+    """Instants as seconds and as ISO-8601 with Z, and read back from that."""
+    rows = V.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return rows.select("event_id", F.unix_timestamp("ts").alias("epoch"), iso.alias("iso"), F.to_timestamp(iso, "yyyy-MM-dd'T'HH:mm:ssX").cast("timestamp_ntz").alias("back"))
+
+
+@query(f"""WITH {V.SECURITY}, g AS (SELECT sector, industry, avg(equity) AS e FROM security GROUP BY 1, 2) SELECT sector, round(sum(CASE WHEN e > 4000 THEN e - 4000 ELSE 0 END), 4) AS positive, count(*) AS n FROM g GROUP BY 1""")
+def s16_positive_weights(spark: SparkSession, d: str) -> DataFrame:
+    """A sector's industries as a map of weights, of which the positive ones are summed. A sector has a bounded number of industries."""
+    means = V.security(spark, d).groupBy("sector", "industry").agg((F.avg("equity") - 4000).alias("e"))
+    maps = means.groupBy("sector").agg(F.map_from_entries(F.collect_list(F.struct("industry", "e"))).alias("weights"))
+    return maps.select("sector", F.round(R.positive_sum("weights"), 4).alias("positive"), F.size("weights").cast("long").alias("n"))
+
+
+@query(f"""WITH {V.BARS}, {V.FUNDAMENTALS}, t AS (SELECT ticker, max(date) AS date FROM bars GROUP BY 1),
+p AS (SELECT t.ticker, (SELECT arg_max(close, b.date) FROM bars b WHERE b.ticker = t.ticker AND b.date <= t.date - 30) AS m1, (SELECT arg_max(close, b.date) FROM bars b WHERE b.ticker = t.ticker AND b.date <= t.date - 365) AS m12,
+(SELECT arg_max(close, b.date) FROM bars b WHERE b.ticker = t.ticker AND b.date <= t.date) AS now_, (SELECT arg_max(struct_pack(e := f.revenue - f.cost, b := f.units), f.period) FROM fundamentals f WHERE f.ticker = t.ticker AND f.period <= t.date) AS f FROM t)
+SELECT ticker, round(m1 / nullif(m12, 0) - 1, 6) AS momentum, round(now_ / nullif(f.e / 1000, 0), 6) AS pe, round(now_ / nullif(f.b, 0), 6) AS pb FROM p""")
+def f44_calendar_factors(spark: SparkSession, d: str) -> DataFrame:
+    """the price 30 days back over that 365 days back, and the last price over the last earnings and book figures, all by as-of joins."""
+    bars, facts = V.bars(spark, d).select("ticker", "date", "close"), V.fundamentals(spark, d)
+    last = bars.groupBy("ticker").agg(F.max("date").alias("end"))
+    asked = last.select("ticker", F.explode(F.array(*[F.struct(F.lit(n).alias("back"), F.date_sub("end", n).alias("date")) for n in (0, 30, 365)])).alias("a")).select("ticker", "a.*")
+    prices = R.as_of(asked, bars, ["ticker"], "date", ["close"], "seen").groupBy("ticker").agg(*[F.max(F.when(F.col("back") == n, F.col("close"))).alias(c) for n, c in ((0, "now"), (30, "m1"), (365, "m12"))])
+    known = R.as_of(last.withColumnRenamed("end", "period"), facts.select("ticker", "period", (F.col("revenue") - F.col("cost")).alias("e"), F.col("units").alias("b")), ["ticker"], "period", ["e", "b"], "seen")
+    rows = prices.join(known, "ticker", "left")
+    return rows.select("ticker", six(F.try_divide(F.col("m1"), F.col("m12")) - 1).alias("momentum"), six(F.try_divide(F.col("now"), F.col("e") / 1000)).alias("pe"), six(F.try_divide(F.col("now").cast("double"), F.col("b").cast("double"))).alias("pb"))
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('EUROPE', 1.1), ('ASIA', 0.01), ('AFRICA', 0.05)) t(currency, per_unit)), a AS (SELECT s_suppkey AS ticker, r_name AS currency, s_acctbal AS amount FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT ticker, currency, round(CASE WHEN currency = 'AMERICA' THEN amount ELSE amount * per_unit END, 4)::DOUBLE AS amount FROM a LEFT JOIN r USING (currency)""")
+def h25_converted(spark: SparkSession, d: str) -> DataFrame:
+    """Balances of each region's currency in that of one."""
+    rates = spark.createDataFrame([("EUROPE", 1.1), ("ASIA", 0.01), ("AFRICA", 0.05)], "currency string, per_unit double")
+    rows = V.security(spark, d).select("ticker", F.col("sector").alias("currency"), F.col("equity").cast("double").alias("amount"))
+    return R.converted(rows, rates, "amount", "AMERICA").withColumn("amount", F.round("amount", 4))
+
+
+@query(f"""WITH {V.FUNDAMENTALS} SELECT ticker, min(period + 45) FILTER (WHERE period + 45 >= DATE '1997-05-20') AS next_report, CAST(min(period + 45) FILTER (WHERE period + 45 >= DATE '1997-05-20') - DATE '1997-05-20' AS INTEGER) AS days_until, CAST(DATE '1997-05-20' - max(period + 45) FILTER (WHERE period + 45 < DATE '1997-05-20') AS INTEGER) AS days_since FROM fundamentals GROUP BY 1""")
+def h34_days_until_report(spark: SparkSession, d: str) -> DataFrame:
+    """Days to a ticker's next report and since its last one."""
+    day, report = F.lit("1997-05-20").cast("date"), F.date_add("period", R.LAGS["fundamental"])
+    rows = V.fundamentals(spark, d).groupBy("ticker").agg(F.min(F.when(report >= day, report)).alias("next_report"), F.max(F.when(report < day, report)).alias("last"))
+    return rows.select("ticker", "next_report", F.datediff("next_report", day).alias("days_until"), F.datediff(day, "last").alias("days_since"))
+
+
+@query(f"""WITH {V.BARS} SELECT ticker, date, round(close, 6) AS close FROM bars WHERE date BETWEEN DATE '1997-06-30' - 180 AND DATE '1997-06-30' + 180""")
+def sc08_window_around(spark: SparkSession, d: str) -> DataFrame:
+    """SC08: all prices within 180 days of a day, as one bounded read."""
+    day = F.lit("1997-06-30").cast("date")
+    return V.bars(spark, d).where(F.col("date").between(F.date_sub(day, 180), F.date_add(day, 180))).select("ticker", "date", six(F.col("close")).alias("close"))
+
+
+@query(f"""WITH {V.BARS}, w AS (SELECT unnest([7, 3, 999999, 1]) AS ticker, unnest([0, 1, 2, 3])::INTEGER AS place), l AS (SELECT ticker, arg_max(close, date) AS close FROM bars GROUP BY 1) SELECT w.ticker::BIGINT AS ticker, place, coalesce(round(close, 6), 0)::DOUBLE AS close FROM w LEFT JOIN l USING (ticker)""")
+def j11_reindexed(spark: SparkSession, d: str) -> DataFrame:
+    """Last prices in the order of a list of tickers, 0 for one that has none."""
+    wanted = spark.createDataFrame([(7, 0), (3, 1), (999999, 2), (1, 3)], "ticker long, place int")
+    last = R.latest(V.bars(spark, d).select("ticker", "date", "close"), ["ticker"], "date")
+    return wanted.join(last, "ticker", "left").select("ticker", "place", F.coalesce(six(F.col("close")), F.lit(0.0)).alias("close"))

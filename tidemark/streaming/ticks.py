@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.shared import shared_dir
@@ -41,8 +41,11 @@ def stream(spark: SparkSession, path: str, schema, watermark: str = "1 day") ->
 
 
 def subscribed(ticks: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Ticks of the symbols that someone subscribes to (symbol, client), once for each client."""
-    return ticks.join(F.broadcast(subscriptions), "symbol")
+    """Ticks of the symbols that someone subscribes to (symbol, client), once for each client.
+
+    Clients are as many as there are: Spark broadcasts them where their size allows.
+    """
+    return ticks.join(subscriptions, "symbol")
 
 
 def drained(out: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
@@ -60,8 +63,3 @@ def drained(out: DataFrame, mode: str = "complete", checkpoint: str | None = Non
     query = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint or f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/rows")
-
-
-def moving(price: Column) -> Column:
-    """A price moved by up to half a percent, as a mock feed does."""
-    return price * (1 + (F.rand(42) - 0.5) * 0.01)
