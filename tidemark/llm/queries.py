@@ -79,8 +79,77 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: The others learn, draw or follow a vocabulary: tests hold them against brute force or the public libraries.
+#: SQL of the same rows, written plainly. The others learn, draw or follow a vocabulary: tests hold them against brute force or the public libraries.
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": r"""
+        WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN coalesce(strpos(url, '://'), 0) > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parsed AS (
+            SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+        ),
+        ruled AS (
+            SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+                array_to_string(list_transform(string_split(path, '/'), lambda s, i: CASE WHEN i > 1 AND regexp_full_match(s, '[^/]*[0-9]{2,}[^/]*|[0-9]|[0-9a-fA-F-]{16,}') THEN '*' ELSE s END), '/') AS form
+            FROM parsed
+        ),
+        urls AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled FROM ruled),
+        seen AS (SELECT host, form, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (WHERE ruled = 'block') AS blocked FROM urls GROUP BY host, form),
+        parts AS (SELECT host, n, unnest(string_split(form, '/')) AS segment, generate_subscripts(string_split(form, '/'), 1) AS place FROM seen),
+        places AS (SELECT host, place FROM (SELECT host, place, segment, sum(n) AS n FROM parts GROUP BY host, place, segment) GROUP BY host, place HAVING sum(n) >= 20 AND count(*) > 0.5 * sum(n)),
+        varied AS (SELECT host, list(place) AS places FROM places GROUP BY host),
+        tree AS (
+            SELECT s.*, CASE WHEN v.places IS NULL THEN form ELSE array_to_string(list_transform(string_split(form, '/'), lambda x, i: CASE WHEN i > 1 AND list_contains(v.places, i) THEN '*' ELSE x END), '/') END AS template
+            FROM seen s LEFT JOIN varied v ON s.host = v.host
+        ),
+        leaves AS (SELECT host, template, sum(labelled) AS labelled, sum(blocked) AS blocked FROM tree GROUP BY host, template),
+        named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare, string_split(template, '/')[2:9] AS segments FROM leaves),
+        split AS (SELECT *, string_split(bare, '.')[-8:] AS names FROM named),
+        hung AS (
+            SELECT host, template, labelled, blocked,
+                list_filter(list_transform(list_reverse(range(1, len(names) + 1)), lambda i: '?' || array_to_string(names[i:], '.')), lambda x: contains(x, '.') AND NOT regexp_matches(bare, '^[0-9.]*$|\[')) || [host]
+                || flatten(list_transform(range(1, len(segments) + 1), lambda i: [
+                    host || '/' || array_to_string(segments[1:i - 1], '/') || '?' || regexp_replace(regexp_replace(segments[i], '\p{L}+', 'a', 'g'), '[0-9]+', '0', 'g'), host || '/' || array_to_string(segments[1:i], '/')]))
+                || [host || template] AS nodes
+            FROM split
+        ),
+        chains AS (SELECT host, template, any_value(labelled) AS labelled, any_value(blocked) AS blocked, node, min(pos) AS pos FROM (SELECT *, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS pos FROM hung) GROUP BY host, template, node),
+        nodes AS (SELECT node, sum(labelled) AS labelled, sum(blocked) AS blocked FROM chains WHERE labelled > 0 GROUP BY node),
+        steps AS (SELECT c.host, c.template, c.node, n.labelled, n.blocked, row_number() OVER (PARTITION BY c.host, c.template ORDER BY c.pos) AS k FROM chains c JOIN nodes n ON c.node = n.node),
+        total AS (SELECT sum(labelled) AS labelled, sum(blocked) AS blocked FROM leaves),
+        fold AS (
+            SELECT host, template, 0::BIGINT AS k, t.labelled::DOUBLE AS labelled, t.blocked::DOUBLE AS blocked, coalesce(t.blocked / nullif(t.labelled, 0), 0)::DOUBLE AS purity FROM leaves, total t
+            UNION ALL
+            SELECT host, template, k, CASE WHEN own THEN nl ELSE labelled END, CASE WHEN own THEN nb ELSE blocked END, CASE WHEN own THEN (nb + 4.0 * purity) / (nl + 4.0) ELSE purity END FROM (
+                SELECT f.host, f.template, s.k, f.labelled, f.blocked, f.purity, s.labelled::DOUBLE AS nl, s.blocked::DOUBLE AS nb, coalesce(f.labelled > s.labelled
+                    AND abs(s.blocked / s.labelled - (f.blocked - s.blocked) / nullif(f.labelled - s.labelled, 0)) > 1.96 * sqrt(f.blocked / f.labelled * (1 - f.blocked / f.labelled) * (1 / s.labelled + 1 / nullif(f.labelled - s.labelled, 0))), false) AS own
+                FROM fold f JOIN steps s ON f.host = s.host AND f.template = s.template AND s.k = f.k + 1)
+        ),
+        verdicts AS (SELECT host, template, arg_max(purity, k) AS purity, max(k) > 0 AND arg_max(purity, k) >= 0.8 AS rejected FROM fold GROUP BY host, template)
+        SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.ruled, CASE WHEN v.rejected THEN 'block' ELSE 'allow' END) AS verdict, t.template, v.purity
+        FROM urls u JOIN tree t ON u.host = t.host AND u.form = t.form JOIN verdicts v ON t.host = v.host AND t.template = v.template
+    """,
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        sets AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS held FROM d
+        ),
+        classes AS (SELECT held, row_number() OVER () AS class, min(doc_id) AS least FROM sets WHERE len(held) > 0 GROUP BY held),
+        shingles AS (SELECT class, len(held) AS n, unnest(held) AS shingle FROM classes),
+        pairs AS (
+            SELECT a.class AS one, b.class AS other FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.class < b.class
+            WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ),
+        links AS (SELECT one, other FROM pairs UNION ALL SELECT other, one FROM pairs),
+        reach AS (SELECT class, class AS met FROM classes UNION SELECT r.class, l.other FROM reach r JOIN links l ON r.met = l.one),
+        components AS (SELECT r.class, min(c.least) AS component_id FROM reach r JOIN classes c ON r.met = c.class GROUP BY r.class)
+        SELECT s.doc_id, CAST(len(s.held) AS BIGINT) AS n_shingles, coalesce(p.component_id, s.doc_id) AS component_id
+        FROM sets s LEFT JOIN classes c ON s.held = c.held LEFT JOIN components p ON c.class = p.class
+    """,
     "op6_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
