@@ -138,7 +138,7 @@ def _trend(bar: pd.Series, state: dict) -> float:
 
 @query(None)
 def b09_event_engine(spark: SparkSession, d: str) -> DataFrame:
-    """B09, B10, P15 and UD5: an event loop a ticker, the last state of each."""
+    """B09, P15 and UD5: an event loop and an account a ticker, the last state of each."""
     runs = B.run_orders(V.bars(spark, d), _trend)
     return R.latest(runs, ["ticker"], "date").select("ticker", "date", *[six(F.col(c)).alias(c) for c in ("cash", "shares", "equity")])
 
@@ -228,7 +228,7 @@ def p17_trade_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def p01_optimisers(spark: SparkSession, d: str) -> DataFrame:
-    """Four optimisers on the 20 most traded tickers' matrix."""
+    """Four optimisers on the 20 most traded tickers' matrix."""
     weights, cov = universe(spark, d)
     names, c = P.matrix(cov)
     c = c * 252 + 1e-6 * np.eye(len(names))

@@ -108,7 +108,7 @@ def st_hourly_bars(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_TB)
 def st_streamed_bars(spark: SparkSession, d: str) -> DataFrame:
-    """ST1, ST2 and ST6: the same bars from a stream of the table's files, drained in complete mode."""
+    """ST1: the same bars from a stream of the table's files, drained in complete mode."""
     schema = V.table(spark, d, "events").schema
     return _rounded(T.drained(T.tumbling(T.stream(spark, f"{d}/events.parquet*", schema))))
 

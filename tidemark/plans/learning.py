@@ -80,7 +80,7 @@ def l06_shape_functions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def l02_meta_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted trees on triple-barrier labels; probabilities beside labels."""
+    """Boosted trees on triple-barrier labels, fitted on the first seven tenths of days and scored on the rest; 40 days between are purged, so no label of one overlaps the other."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -91,8 +91,10 @@ def l02_meta_labels(spark: SparkSession, d: str) -> DataFrame:
     rows = rets.select("ticker", "date", A.momentum_6m().alias("m6"), A.volatility_60d().alias("v60"), A.amihud().alias("illiquid"), A.levy().alias("levy")).na.drop()
     rows = rows.join(A.triple_barrier(rets).select("ticker", "date", (F.col("label") > 0).cast("double").alias("label")), ["ticker", "date"])
     rows = checkpointed(VectorAssembler(inputCols=["m6", "v60", "illiquid", "levy"], outputCol="features").transform(rows).select("ticker", "date", "label", "features"))
-    model = GBTClassifier(maxIter=5, maxDepth=3, seed=42).fit(rows)
-    return model.transform(rows).select("ticker", "date", "label", six(vector_to_array("probability")[1]).alias("p"))
+    first = rows.agg(F.date_from_unix_date(F.percentile_approx(F.unix_date("date"), 0.7)).alias("d")).first()["d"]
+    day = F.lit(first).cast("date")
+    model = GBTClassifier(maxIter=5, maxDepth=3, seed=42).fit(rows.where(F.col("date") < F.date_sub(day, 40)))
+    return model.transform(rows.where(F.col("date") >= day)).select("ticker", "date", "label", six(vector_to_array("probability")[1]).alias("p"))
 
 
 @query(f"""WITH {V.RETS}, m AS (SELECT ticker, avg(ret) AS mu, stddev_samp(ret) AS sd, count(ret) AS n FROM rets GROUP BY 1), h AS (SELECT *, unnest([1, 5, 21]) AS h FROM m WHERE n >= 60)
