@@ -234,3 +234,20 @@ def h07_migrated_signals(spark: SparkSession, d: str) -> DataFrame:
     lake.write_signals(named, path)
     rows = spark.read.parquet(path).select(F.get_json_object("metadata", "$.name").alias("name"), "score")
     return rows.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("score"))
+
+
+@query("""SELECT event_type AS symbol, count(*) AS ticks, round(max(value), 6) AS high, 1 AS failures FROM events GROUP BY 1""")
+def st_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """ST2: a stream's epochs to a callback that counts and to one that fails, which is noted and stops nothing."""
+    path = _path(spark, "fan")
+
+    def count(batch: DataFrame, epoch: int) -> None:
+        batch.groupBy("symbol").agg(F.count("*").alias("ticks"), F.max("price").alias("high")).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    def fail(batch: DataFrame, epoch: int) -> None:
+        raise ValueError("no such client")
+
+    ticks = T.stream(spark, f"{d}/events.parquet*", V.table(spark, d, "events").schema)
+    failed = T.fanned_out(ticks, {"fail": fail, "count": count})
+    rows = spark.read.schema("symbol string, ticks long, high double").parquet(path).groupBy("symbol").agg(F.sum("ticks").alias("ticks"), F.max("high").alias("high"))
+    return rows.select("symbol", "ticks", six(F.col("high")).alias("high"), F.lit(len({name for name, _, _ in failed})).alias("failures"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,25 @@ def drained(out: DataFrame, mode: str = "complete", checkpoint: str | None = Non
     query = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint or f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/rows")
+
+
+def fanned_out(out: DataFrame, callbacks: dict[str, Callable[[DataFrame, int], None]], mode: str = "append", checkpoint: str | None = None) -> list[tuple[str, int, str]]:
+    """Every epoch of a stream to every callback, for all input that is there now; and what failed, as (callback, epoch, error).
+
+    A callback that fails stops neither the others nor the stream. An epoch may be sent again after
+    a restart, so callbacks should write by epoch.
+    """
+    failed: list[tuple[str, int, str]] = []
+
+    def send(batch: DataFrame, epoch: int) -> None:
+        held = batch.persist()
+        for name, call in callbacks.items():
+            try:
+                call(held, epoch)
+            except Exception as e:  # noqa: BLE001 (callbacks are the user's)
+                failed.append((name, epoch, str(e)))
+        held.unpersist()
+
+    at = checkpoint or f"{shared_dir(out.sparkSession).rstrip('/')}/fan-{uuid.uuid4().hex}"
+    out.writeStream.outputMode(mode).foreachBatch(send).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return failed
