@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import byte_bpe, exact_dedup, lm_scoring, packing, quality_rules, secret_scans, token_counts, toxicity, url_filters
+from tidemark.llm import byte_bpe, exact_dedup, lm_scoring, merkle, packing, periodic_runs, quality_rules, secret_scans, sentence_piece, token_counts, toxicity, url_filters
 from tidemark.llm.jaccard_join import JaccardJoin
 
 
@@ -67,6 +67,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scanned(_documents(spark, sf_dir), forest)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_documents(spark, sf_dir))
+
+
+def op12_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_piece.coded(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detected(_documents(spark, sf_dir), loop=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -75,7 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_lm_scoring, op3_url_filters, op4_packing, op5_jaccard_join, op6_exact_dedup,
-        op7_quality_rules, op8_token_counts, op9_byte_bpe, op10_secret_scans, pipeline,
+        op7_quality_rules, op8_token_counts, op9_byte_bpe, op10_secret_scans,
+        op11_merkle_manifest, op12_sentence_piece, op13_periodic_runs, pipeline,
     )
 }
 
@@ -178,4 +191,44 @@ ORACLE_SQL: dict[str, str] = {
         SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
         FROM failing f LEFT JOIN verdicts h ON f.source IS NOT DISTINCT FROM h.source
     """,
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, concat_ws('',
+                    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head, text, replace(text, chr(10), '') AS cut,
+                list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, b:
+                    list_reduce([xor(crc, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, step: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+            FROM documents
+        ),
+        hashed AS (
+            SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) END AS changed FROM d
+        ),
+        places AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM hashed),
+        up AS (
+            SELECT source, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM places GROUP BY source
+            UNION ALL
+            SELECT source, level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM up WHERE len(nodes) > 1
+        ),
+        tops AS (SELECT source, nodes[1] AS top, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM up WHERE len(nodes) = 1),
+        crown AS (
+            SELECT 0 AS level, list(top ORDER BY place) AS nodes FROM tops
+            UNION ALL
+            SELECT level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM crown WHERE len(nodes) > 1
+        ),
+        steps AS (
+            SELECT p.r, u.level, u.nodes, (p.idx // (3 ** u.level)::BIGINT) AS pos FROM places p JOIN up u ON p.source IS NOT DISTINCT FROM u.source WHERE len(u.nodes) > 1
+            UNION ALL
+            SELECT p.r, 1000 + o.level, o.nodes, (t.place // (3 ** o.level)::BIGINT) FROM places p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source, crown o WHERE len(o.nodes) > 1
+        ),
+        sides AS (SELECT r, level, array_to_string(nodes[pos - pos % 3 + 1:pos], '') AS before, array_to_string(nodes[pos + 2:pos - pos % 3 + 3], '') AS behind FROM steps),
+        proofs AS (SELECT r, list(before ORDER BY level) AS lefts, list(behind ORDER BY level) AS rights FROM sides GROUP BY r),
+        done AS (
+            SELECT p.doc_id, p.leaf, t.top AS subroot, (SELECT nodes[1] FROM crown WHERE len(nodes) = 1) AS root,
+                sha256(coalesce(array_to_string(list_transform(range(1, len(lefts) + 1), lambda i: lefts[i] || rights[i]), ''), '')) AS proof_sha256,
+                list_reduce([coalesce(changed, leaf)] || coalesce(list_transform(range(1, len(lefts) + 1), lambda i: lefts[i] || ' ' || rights[i]), []), lambda node, sibs: sha256(split_part(sibs, ' ', 1) || node || split_part(sibs, ' ', 2))) AS folded_root
+            FROM places p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN proofs f ON p.r = f.r
+        )
+        SELECT *, folded_root = root AS verified FROM done
+    """,
 }
