@@ -28,12 +28,14 @@ def duck():
 
 
 def plain(value):
-    """A value as it is compared: numbers to nine digits, times as text."""
+    """A value as it is compared: integers as they are, other numbers to nine digits, times as text."""
     if value is None or isinstance(value, float) and math.isnan(value):
         return None
     if isinstance(value, bool):
         return value
-    if isinstance(value, int | float | Decimal):
+    if isinstance(value, int):
+        return value
+    if isinstance(value, float | Decimal):
         return float(f"{float(value):.9g}") + 0.0
     if isinstance(value, datetime):
         return value.replace(tzinfo=None).isoformat()
@@ -45,7 +47,12 @@ def plain(value):
 
 
 def close(a, b) -> bool:
-    if isinstance(a, float) and isinstance(b, float):
+    """Integers are compared exactly; an integer beside a fraction is compared as one."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, int) and isinstance(b, int):
+        return a == b
+    if isinstance(a, int | float) and isinstance(b, int | float):
         return math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9)
     if isinstance(a, tuple) and isinstance(b, tuple):
         return len(a) == len(b) and all(map(close, a, b))
@@ -53,7 +60,7 @@ def close(a, b) -> bool:
 
 
 def ordered(rows):
-    return sorted((tuple(map(plain, r)) for r in rows), key=lambda r: [(x is None, str(type(x)), f"{x:.5g}" if isinstance(x, float) else str(x)) for x in r])
+    return sorted((tuple(map(plain, r)) for r in rows), key=lambda r: [(x is None, isinstance(x, str), f"{x:.5g}" if isinstance(x, int | float) else str(x)) for x in r])
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import norm_cdf, norm_ppf, ratio
 from tidemark.functions.windows import whole
+from tidemark.operators.engine import days
 
 
 def index_level(market: DataFrame, ret: str) -> DataFrame:
@@ -94,28 +96,37 @@ def selected(panel: DataFrame, by: str, score: str, n: int = 20, cap: float = 0.
 
 
 def greedy(panel: DataFrame, by: str, n: int = 20, sector_cap: float = 0.30) -> DataFrame:
-    """by, ticker, weight: names still among the best 2n stay first, then the best, under a sector cap.
+    """run, by, ticker, weight: names still among the best 2n stay first, then the best, under a sector cap.
 
-    Each date depends on the one before, so dates are folded in order; candidates (2n a date) are chosen in Spark first.
+    Each date depends on the one before, so a run's dates are folded in order, one at a
+    time; candidates (2n a date) are chosen in Spark first. Columns run and n of the
+    panel, where it has them, give several runs, which are dealt out over tasks.
     """
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "ticker")
-    few = panel.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 2 * n).withColumn("run", F.lit(0))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held: set = set()
-        out = []
-        for at, day in rows.sort_values([by, "k"]).groupby(by, sort=True):
+    rows = panel if "run" in panel.columns else panel.withColumns({"run": F.lit(0), "n": F.lit(n)})
+    w = Window.partitionBy("run", by).orderBy(F.desc("score"), "ticker")
+    few = rows.select("run", by, "ticker", "sector", "n", F.row_number().over(w).alias("k")).where(F.col("k") <= 2 * F.col("n"))
+    kinds = {c: few.schema[c].dataType.simpleString() for c in ("run", by, "ticker")}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, set()
+        for (run, date), day, fields in days(batches, "run", by):
+            if run != at:
+                at, held = run, set()
+            most = day["n"][0]
+            places = max(1, int(sector_cap * most))
             room: dict = {}
             picked = []
-            for row in sorted(day.itertuples(), key=lambda r: (r.ticker not in held, r.k)):
-                if len(picked) < n and room.get(row.sector, 0) < max(1, int(sector_cap * n)):
-                    picked.append(row.ticker)
-                    room[row.sector] = room.get(row.sector, 0) + 1
+            for _, _, ticker, sector in sorted((t not in held, k, t, s) for t, k, s in zip(day["ticker"], day["k"], day["sector"], strict=True)):
+                if len(picked) < most and room.get(sector, 0) < places:
+                    picked.append(ticker)
+                    room[sector] = room.get(sector, 0) + 1
             held = set(picked)
-            out += [(at, t, 1 / len(picked)) for t in picked]
-        return pd.DataFrame(out, columns=[by, "ticker", "weight"])
+            size = len(picked)
+            date_type = fields.field(by).type
+            dates = pa.array([date] * size, pa.int32()).cast(date_type) if pa.types.is_date(date_type) else pa.array([date] * size, date_type)
+            yield pa.record_batch([pa.array([run] * size, fields.field("run").type), dates, pa.array(picked, fields.field("ticker").type), pa.array([1 / max(1, size)] * size, pa.float64())], ["run", by, "ticker", "weight"])
 
-    return few.groupBy("run").applyInPandas(fold, f"{by} date, ticker long, weight double")
+    return few.repartition("run").sortWithinPartitions("run", by, "k").mapInArrow(fold, f"run {kinds['run']}, {by} {kinds[by]}, ticker {kinds['ticker']}, weight double")
 
 
 def bootstrap_sharpe(rows: DataFrame, key: str, ret: str, periods: float, draws: int = 500, seed: int = 42) -> DataFrame:
@@ -131,27 +142,3 @@ def bootstrap_sharpe(rows: DataFrame, key: str, ret: str, periods: float, draws:
         return pd.DataFrame({key: [part[key].iloc[0]], "low": [low], "high": [high]})
 
     return rows.select(key, "date", ret).groupBy(key).applyInPandas(draw, f"{key} long, low double, high double")
-
-
-def run_orders(bars: DataFrame, strategy: Callable[[pd.Series, dict], float], cash: float = 100_000.0, slip_bps: float = 5.0, fee: float = 1.0, share: float = 0.1) -> DataFrame:
-    """ticker, date, cash, shares, equity: an event loop of each ticker's strategy, a day at a time.
-
-    ``strategy`` gets a bar and the state and says how many shares to hold; fills are at most ``share`` of the day's
-    volume, slipped and charged; what the cash can't buy is left.
-    """
-
-    def loop(part: pd.DataFrame) -> pd.DataFrame:
-        state = {"cash": cash, "shares": 0.0}
-        out = []
-        for _, bar in part.sort_values("date").iterrows():
-            wanted = strategy(bar, state) - state["shares"]
-            fill = float(np.clip(wanted, -share * bar["volume"], share * bar["volume"]))
-            price = bar["close"] * (1 + np.sign(fill) * slip_bps / 1e4)
-            fill = max(-state["shares"], min(fill, max(0.0, (state["cash"] - fee) / price)))
-            if abs(fill) > 1e-9:
-                state["cash"] -= fill * price + fee
-                state["shares"] += fill
-            out.append((bar["ticker"], bar["date"], state["cash"], state["shares"], state["cash"] + state["shares"] * bar["close"]))
-        return pd.DataFrame(out, columns=["ticker", "date", "cash", "shares", "equity"])
-
-    return bars.select("ticker", "date", "close", "volume").groupBy("ticker").applyInPandas(loop, "ticker long, date date, cash double, shares double, equity double")

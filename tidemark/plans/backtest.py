@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import cdf_sql, ppf_sql, ratio, six
 from tidemark.functions.windows import by_ticker, change, whole
 from tidemark.operators import backtest as B
+from tidemark.operators import engine as E
 from tidemark.operators import portfolio as P
 from tidemark.operators import relational as R
 from tidemark.plans.registry import query, sixes
@@ -120,8 +120,9 @@ def b05_factor_backtest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def b02_greedy_selection(spark: SparkSession, d: str) -> DataFrame:
-    """With memory of the month before."""
-    return B.greedy(scores(spark, d), "as_of")
+    """With memory of the month before: three runs, of 10, 20 and 30 names."""
+    sizes = F.explode(F.array(*[F.lit(n) for n in (10, 20, 30)])).alias("n")
+    return B.greedy(scores(spark, d).select("*", sizes).withColumn("run", F.col("n")), "as_of")
 
 
 @query(None)
@@ -129,18 +130,33 @@ def b07_bootstrap_sharpe(spark: SparkSession, d: str) -> DataFrame:
     return B.bootstrap_sharpe(monthly(spark, d), "ticker", "ret", 12)
 
 
-def _trend(bar: pd.Series, state: dict) -> float:
-    """Hold 100 shares while the close is above its running mean."""
-    state["n"] = state.get("n", 0) + 1
-    state["mean"] = state.get("mean", bar["close"]) + (bar["close"] - state.get("mean", bar["close"])) / state["n"]
-    return 100.0 if bar["close"] > state["mean"] else 0.0
+@query(None)
+def b09_event_engine(spark: SparkSession, d: str) -> DataFrame:
+    """B09, P15 and UD5: an account a sector follows the trends of all its names; every trade that volume and cash let pass."""
+    bars = V.bars(spark, d).join(V.security(spark, d).select("ticker", F.col("sector").alias("run")), "ticker")
+    runs = E.lived(bars.select("run", "date", "ticker", "close", "volume", F.lit(None).cast("double").alias("weight")), E.trending())
+    return E.trades(runs).select("run", "date", "ticker", "side", *[six(F.col(c)).alias(c) for c in ("quantity", "price", "fee")])
+
+
+def _rebalanced(spark: SparkSession, d: str) -> DataFrame:
+    """Three accounts that follow the monthly selection every 30 days, each with its own slippage. Volume sets no limit."""
+    targets = B.selected(scores(spark, d), "as_of", "score").select("ticker", F.col("as_of").alias("date"), F.lit(None).cast("double").alias("close"), "weight")
+    bars = V.bars(spark, d).join(targets.select("ticker").distinct(), "ticker", "left_semi").select("ticker", "date", "close", F.lit(None).cast("double").alias("weight"))
+    costs = F.explode(F.array(*[F.lit(bps) for bps in (0, 10, 20)])).alias("slip_bps")
+    rows = bars.unionByName(targets).select("*", F.lit(None).cast("double").alias("volume"), costs).withColumn("run", F.col("slip_bps"))
+    return E.lived(rows, E.rebalancing(), share=None)
 
 
 @query(None)
-def b09_event_engine(spark: SparkSession, d: str) -> DataFrame:
-    """B09, P15 and UD5: an event loop and an account a ticker, the last state of each."""
-    runs = B.run_orders(V.bars(spark, d), _trend)
-    return R.latest(runs, ["ticker"], "date").select("ticker", "date", *[six(F.col(c)).alias(c) for c in ("cash", "shares", "equity")])
+def b10_rebalanced_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """The daily value of each account, its cash and holdings, marked at the last close."""
+    return _rebalanced(spark, d).select("run", "date", six(F.col("equity")).alias("equity"), six(F.col("cash")).alias("cash"), "n_held", F.size("trades").alias("n_trades"))
+
+
+@query(None)
+def b10_rebalance_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Sales before purchases, with the prices paid and fees."""
+    return E.trades(_rebalanced(spark, d)).select("run", "date", "ticker", "side", *[six(F.col(c)).alias(c) for c in ("quantity", "price", "fee")])
 
 
 _TOP = f"""{V.BARS}, top AS (SELECT ticker FROM bars GROUP BY 1 ORDER BY sum(volume) DESC, ticker LIMIT 20), l AS (SELECT ticker, date, ln(close) - lag(ln(close)) OVER ({_W}) AS r FROM bars WHERE ticker IN (SELECT ticker FROM top)),

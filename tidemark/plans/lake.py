@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import six
-from tidemark.plans import backtest  # noqa: F401 (its SQL is read here)
+from tidemark.plans import backtest, learning  # noqa: F401 (their SQL is read here)
 from tidemark.plans.registry import SQL, query
 from tidemark.plans.xsec import _PANEL, panel
 from tidemark.shared import shared_dir
 from tidemark.sources import lake
 from tidemark.sources import views as V
+from tidemark.streaming import regimes as G
 from tidemark.streaming import ticks as T
 
 
@@ -251,3 +252,31 @@ def st_fan_out(spark: SparkSession, d: str) -> DataFrame:
     failed = T.fanned_out(ticks, {"fail": fail, "count": count})
     rows = spark.read.schema("symbol string, ticks long, high double").parquet(path).groupBy("symbol").agg(F.sum("ticks").alias("ticks"), F.max("high").alias("high"))
     return rows.select("symbol", "ticks", six(F.col("high")).alias("high"), F.lit(len({name for name, _, _ in failed})).alias("failures"))
+
+
+def _regimes(spark: SparkSession, d: str, most: float) -> DataFrame:
+    """Returns by date in two halves: the stream drains the first and stops; started again from its checkpoint it takes the second."""
+    path = _path(spark, "regimes")
+    rows = V.returns(spark, d).where("ret IS NOT NULL").select("ticker", "date", F.col("ret").alias("value"), F.lit(False).alias("reset"))
+    rows.write.parquet(f"{path}/all")
+    rows = spark.read.parquet(f"{path}/all")
+    first, last = rows.agg(F.min("date"), F.max("date")).first()
+    middle = first + (last - first) / 2 if first else None
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/slices/*")
+    for k, part in enumerate((rows.where(F.col("date") <= F.lit(middle)), rows.where(F.col("date") > F.lit(middle)))):
+        part.write.parquet(f"{path}/slices/k={k}")
+        G.kept(G.learnt(stream, most=most), f"{path}/states", f"{path}/checkpoint")
+    states = spark.read.option("basePath", f"{path}/states").schema(f"{G.OUT.format(ticker=rows.schema['ticker'].dataType.simpleString())}, epoch long").parquet(f"{path}/states")
+    return states.groupBy("ticker").agg(*[F.max_by(c, "epoch").alias(c) for c in ("n", "bull", "mean_bull", "mean_bear", "decay", "drifts")])
+
+
+@query(SQL["x19_online_regime"])
+def st_streamed_regimes(spark: SparkSession, d: str) -> DataFrame:
+    """ST6, X19 and X21: the batch fold's rows from a stream that was stopped and started again."""
+    return _regimes(spark, d, float("inf")).select("ticker", *[six(F.col(c)).alias(c) for c in ("bull", "mean_bull", "mean_bear")], six(0.5 + 0.5 * F.col("bull")).alias("multiplier"))
+
+
+@query(None)
+def st_adaptive_regimes(spark: SparkSession, d: str) -> DataFrame:
+    """ST6 and X20: drifts of the errors make learning faster for 20 steps."""
+    return _regimes(spark, d, 0.1).select("ticker", "n", *[six(F.col(c)).alias(c) for c in ("bull", "mean_bull", "mean_bear", "decay")], "drifts")

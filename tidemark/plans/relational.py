@@ -356,7 +356,7 @@ def pf11_active(spark: SparkSession, d: str) -> DataFrame:
     return flagged.where(R.active("active")).select(F.col("s_suppkey").alias("ticker"), F.col("s_name").alias("name"))
 
 
-@query("""SELECT event_id, epoch_ms(ts) // 1000 AS epoch, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, date_trunc('second', ts)::TIMESTAMP AS back FROM events""")
+@query("""SELECT event_id, epoch_us(ts) // 1000000 AS epoch, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, date_trunc('second', ts)::TIMESTAMP AS back FROM events""")
 def s12_epoch_and_iso(spark: SparkSession, d: str) -> DataFrame:
     """Instants as seconds and as ISO-8601 with Z, and read back from that."""
     rows = V.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
