@@ -53,6 +53,50 @@ def shape_functions(rows: DataFrame, y: str, features: list[str], bins: int = 20
     return out.withColumn("prediction", mean + sum((F.col(f"f_{c}") for c in features), F.lit(0.0))), shapes
 
 
+def orthogonalised(rows: DataFrame, y: str, features: list[str], factors: list[str], most: float = 0.05, steps: int = 1000, rate: float = 0.1) -> tuple[DataFrame, dict]:
+    """rows with alpha, a linear score of ``features`` for ``y`` whose correlation with each factor is below ``most``; and its weights and how it was found.
+
+    All sums that the steps need are second moments of the table: one aggregation of some
+    k^2 numbers. From the least-squares weights on what the factors leave of y, each step
+    moves against the correlations that are too large; where steps don't end below
+    ``most`` the weights are projected off the factors. Rows with a null among the columns
+    are left out of the sums and get a null alpha; no rows, or features without variance,
+    give weights of 0.
+    """
+    names = [*features, *factors, y]
+    known = rows.na.drop(subset=names)
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k:]]
+    told = known.agg(*[F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)], *[F.avg(c).alias(f"m{k}") for k, c in enumerate(names)]).first()
+    n, k = len(features), len(factors)
+    cov = np.zeros((len(names), len(names)))
+    for j, (a, b) in enumerate(pairs):
+        cov[names.index(a), names.index(b)] = cov[names.index(b), names.index(a)] = told[f"c{j}"] or 0.0
+    scale = np.where(np.diag(cov) > 1e-24, np.sqrt(np.maximum(np.diag(cov), 1e-24)), 1.0)
+    own = cov / np.outer(scale, scale)  # correlations: steps don't depend on units
+    xx, xf, ff = own[:n, :n], own[:n, n : n + k], own[n : n + k, n : n + k]
+    target = own[:n, -1] - xf @ np.linalg.pinv(ff) @ own[n : n + k, -1]
+    weights = np.linalg.pinv(xx) @ target
+
+    def correlations(w: np.ndarray) -> np.ndarray:
+        size = float(w @ xx @ w)
+        return (xf.T @ w) / np.sqrt(size * np.maximum(np.diag(ff), 1e-12)) if size > 1e-12 else np.zeros(k)
+
+    taken, fallback = 0, False
+    while np.abs(found := correlations(weights)).max(initial=0.0) >= most:
+        if taken == steps:
+            fallback = True
+            weights = weights - np.linalg.pinv(xf.T) @ (xf.T @ weights)
+            break
+        size = np.sqrt(float(weights @ xx @ weights))
+        push = np.where(np.abs(found) >= most, found, 0.0)
+        slope = (xf @ push - (push @ found) * (xx @ weights) / size) / size  # of half the squares of the correlations
+        weights = weights - rate * size * size * slope
+        taken += 1
+    weights = weights / scale[:n] * scale[-1]
+    alpha = sum((F.lit(float(w)) * (F.col(c) - F.lit(float(told[f"m{j}"] or 0.0))) for j, (w, c) in enumerate(zip(weights, features, strict=True))), F.lit(0.0))
+    return rows.withColumn("alpha", alpha), {"weights": dict(zip(features, weights.tolist(), strict=True)), "steps": taken, "fallback": fallback}
+
+
 def hidden_regimes(rows: DataFrame, ret: str, last: int = 252, rounds: int = 30) -> DataFrame:
     """ticker, bull, mean_bull, mean_bear, multiplier: a two-state Gaussian chain fitted to each ticker's last returns.
 

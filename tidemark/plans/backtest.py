@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -240,18 +239,3 @@ def p17_trade_list(spark: SparkSession, d: str) -> DataFrame:
     last = held.join(F.broadcast(held.agg(F.max("as_of").alias("as_of"))), "as_of").where("weight > 0.001")
     px = V.bars(spark, d).groupBy("ticker").agg(F.max_by("close", "date").alias("price"))
     return last.join(px, "ticker").select("ticker", six(F.col("weight")).alias("weight"), six(F.col("price")).alias("price"), F.floor(F.col("weight") * 1_000_000 / F.col("price")).alias("shares"))
-
-
-@query(None)
-def p01_optimisers(spark: SparkSession, d: str) -> DataFrame:
-    """Four optimisers on the 20 most traded tickers' matrix."""
-    weights, cov = universe(spark, d)
-    names, c = P.matrix(cov)
-    c = c * 252 + 1e-6 * np.eye(len(names))
-    mu = 0.05 + 0.3 * np.sqrt(np.diag(c)) * np.linspace(-1, 1, len(names)) if len(names) > 1 else np.full(len(names), 0.05)
-    rows = []
-    hrp, mvo, half = P.hierarchical(c), P.mean_variance(mu, c), P.kelly(mu, c)
-    black = P.black_litterman(c, np.full(len(names), 1 / max(1, len(names))), np.linspace(-1, 1, len(names)))
-    for k, t in enumerate(names):
-        rows.append((int(t), float(hrp[k] / hrp.sum()), float(mvo[k]), float(half[k]), float(black[k])))
-    return spark.createDataFrame(rows, "ticker long, hrp double, mvo double, kelly double, black_litterman double")
