@@ -1,12 +1,9 @@
-"""Learnt signals: regressions by aggregates, shape functions by binned means, regimes and genetic search."""
+"""Learnt signals: regressions by aggregates, shape functions by binned means, drift and orthogonal scores."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio
@@ -97,40 +94,6 @@ def orthogonalised(rows: DataFrame, y: str, features: list[str], factors: list[s
     return rows.withColumn("alpha", alpha), {"weights": dict(zip(features, weights.tolist(), strict=True)), "steps": taken, "fallback": fallback}
 
 
-def hidden_regimes(rows: DataFrame, ret: str, last: int = 252, rounds: int = 30) -> DataFrame:
-    """ticker, bull, mean_bull, mean_bear, multiplier: a two-state Gaussian chain fitted to each ticker's last returns.
-
-    Starts from a split at the median; the bull state is that of the greater mean less half its variance.
-    """
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values("date")[ret].to_numpy()[-last:]
-        low = x <= np.median(x)
-        mean = np.array([x[low].mean(), x[~low].mean() if (~low).any() else x.mean()])
-        var = np.maximum(1e-8, np.array([x[low].var(), x[~low].var() if (~low).any() else x.var()]))
-        trans, start = np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([0.5, 0.5])
-        for _ in range(rounds):
-            dens = np.exp(-((x[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var) + 1e-300
-            fwd, back, scale = np.zeros((len(x), 2)), np.ones((len(x), 2)), np.zeros(len(x))
-            for t in range(len(x)):
-                fwd[t] = dens[t] * (start if t == 0 else fwd[t - 1] @ trans)
-                scale[t] = fwd[t].sum()
-                fwd[t] /= scale[t]
-            for t in range(len(x) - 2, -1, -1):
-                back[t] = trans @ (dens[t + 1] * back[t + 1]) / scale[t + 1]
-            post = fwd * back
-            post /= post.sum(axis=1, keepdims=True)
-            moves = sum(np.outer(fwd[t], dens[t + 1] * back[t + 1]) * trans / scale[t + 1] for t in range(len(x) - 1)) + 1e-12
-            trans, start = moves / moves.sum(axis=1, keepdims=True), post[0]
-            mean = (post * x[:, None]).sum(axis=0) / post.sum(axis=0)
-            var = np.maximum(1e-8, (post * (x[:, None] - mean) ** 2).sum(axis=0) / post.sum(axis=0))
-        bull = int(np.argmax(mean - var / 2))
-        p = float(post[-1, bull])
-        return pd.DataFrame({"ticker": [part["ticker"].iloc[0]], "bull": [p], "mean_bull": [mean[bull]], "mean_bear": [mean[1 - bull]], "multiplier": [1.0 if p > 0.7 else 0.5 if p < 0.3 else 0.75]})
-
-    return rows.select("ticker", "date", ret).groupBy("ticker").applyInPandas(fit, "ticker long, bull double, mean_bull double, mean_bear double, multiplier double")
-
-
 def drift(rows: DataFrame, value: str, window: int = 20, bins: int = 10, most: float = 0.1) -> DataFrame:
     """ticker, kl, drifted: divergence of the newer half of the last values from the older, over equal bins of their range."""
     from pyspark.sql import Window
@@ -144,29 +107,3 @@ def drift(rows: DataFrame, value: str, window: int = 20, bins: int = 10, most: f
     empty = F.lit(0.01 / (window / 2 + 0.1))  # bins without values add p ln 1 = 0
     out = shares.groupBy("ticker").agg(F.sum(p * F.ln(p / q)).alias("kl"), (F.lit(bins) - F.count("*")).alias("rest"))
     return out.select("ticker", (F.col("kl") + 0 * empty * F.col("rest")).alias("kl"), (F.col("kl") > most).alias("drifted"))
-
-
-def genetic(spark: SparkSession, fitness: Callable[[list[Column]], Column], ranges: list[tuple[float, float]], population: int = 40, generations: int = 5, seed: int = 42) -> tuple[list[float], float]:
-    """The best parameters and their fitness: each generation is a DataFrame that is scored in one job.
-
-    Tournaments of three, two-point crossover of half the pairs, Gaussian mutation of a tenth of the range.
-    """
-    rng = np.random.default_rng(seed)
-    lo, hi = np.array(ranges).T
-    people = rng.uniform(lo, hi, (population, len(lo)))
-    best: tuple[list[float], float] = ([], -np.inf)
-    for _ in range(generations):
-        rows = spark.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate(people)], "k int, p array<double>")
-        scored = rows.select("k", fitness([F.get("p", j) for j in range(len(lo))]).alias("fit")).toPandas().sort_values("k")
-        fit = scored["fit"].to_numpy()
-        if fit.max() > best[1]:
-            best = (people[int(fit.argmax())].tolist(), float(fit.max()))
-        picks = rng.integers(0, population, (population, 3))
-        people = people[picks[np.arange(population), fit[picks].argmax(axis=1)]].copy()
-        for k in range(0, population - 1, 2):
-            if rng.random() < 0.5:
-                a, b = sorted(rng.integers(0, len(lo) + 1, 2))
-                people[[k, k + 1], a:b] = people[[k + 1, k], a:b]
-        mutate = rng.random(people.shape) < 0.2
-        people = np.clip(people + mutate * rng.normal(0, 0.1 * (hi - lo), people.shape), lo, hi)
-    return best

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from tidemark.shared import shared_dir
 from tidemark.sources import lake
 from tidemark.sources import views as V
 from tidemark.streaming import regimes as G
+from tidemark.streaming import source
 from tidemark.streaming import ticks as T
 
 
@@ -280,3 +282,21 @@ def st_streamed_regimes(spark: SparkSession, d: str) -> DataFrame:
 def st_adaptive_regimes(spark: SparkSession, d: str) -> DataFrame:
     """ST6 and X20: drifts of the errors make learning faster for 20 steps."""
     return _regimes(spark, d, 0.1).select("ticker", "n", *[six(F.col(c)).alias(c) for c in ("bull", "mean_bull", "mean_bear", "decay")], "drifts")
+
+
+@query(None)
+def st_tick_source(spark: SparkSession, d: str) -> DataFrame:
+    """ST1: a tick source that walks from each ticker's last close, streamed in five batches to five-minute bars."""
+    last = V.bars(spark, d).groupBy("ticker").agg(F.max_by("close", "date").alias("close")).orderBy(F.desc("close"), "ticker").limit(20)
+    prices = json.dumps({str(r["ticker"]): r["close"] for r in last.collect()})
+    spark.dataSource.register(source.TickSource)
+    ticks = spark.readStream.format("tidemark_ticks").options(prices=prices, rows="300", total="1500").load()
+    path = _path(spark, "walks")
+    run = ticks.writeStream.format("parquet").option("path", f"{path}/ticks").option("checkpointLocation", f"{path}/checkpoint").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    rows = spark.read.schema(source.SCHEMA).parquet(f"{path}/ticks")
+    bars = T.tumbling(rows.withColumn("event_id", F.col("step")), "5 minutes").join(rows.groupBy("symbol", F.window("ts", "5 minutes")["start"].alias("start")).agg(F.sum("volume").alias("volume")), ["symbol", "start"])
+    return bars.select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), *[six(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], "ticks", "volume")

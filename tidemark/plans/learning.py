@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio, six
 from tidemark.functions.windows import by_ticker, rolling
+from tidemark.operators import evolution as E
 from tidemark.operators import factors as A
 from tidemark.operators import learning as L
+from tidemark.operators import regimes as H
 from tidemark.operators import relational as R
+from tidemark.operators import xsec as X
 from tidemark.operators.backtest import index_level
 from tidemark.operators.state import online_regime
 from tidemark.plans.registry import query
@@ -44,9 +47,15 @@ def x20_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def x18_hidden_regimes(spark: SparkSession, d: str) -> DataFrame:
-    """Two Gaussian regimes of a ticker's returns."""
-    out = L.hidden_regimes(V.returns(spark, d).where("ret IS NOT NULL"), "ret")
-    return out.select("ticker", *[six(F.col(c)).alias(c) for c in ("bull", "mean_bull", "mean_bear", "multiplier")])
+    """Two Gaussian regimes of a ticker's returns: the last day's state on the most probable path."""
+    out = H.regime_paths(V.returns(spark, d), "ret")
+    return R.latest(out, ["ticker"], "date").select("ticker", "regime", *[six(F.col(c)).alias(c) for c in ("bull", "mean_bull", "mean_bear", "multiplier")])
+
+
+@query(None)
+def x18_regime_path(spark: SparkSession, d: str) -> DataFrame:
+    """The decoded regime and the probability of the better one, for each of a ticker's last 252 returns."""
+    return H.regime_paths(V.returns(spark, d), "ret").select("ticker", "date", "regime", six(F.col("bull")).alias("bull"))
 
 
 _OLS = f"""{_PANEL}, mo AS (SELECT as_of, count(*) AS n, avg(mom) AS my, avg(vsm) AS ma, avg(bab) AS mb, var_pop(vsm) AS va, var_pop(bab) AS vb, var_pop(mom) AS vy, covar_pop(vsm, bab) AS ab, covar_pop(vsm, mom) AS ay, covar_pop(bab, mom) AS by_ FROM panel GROUP BY 1),
@@ -184,10 +193,13 @@ def x23_market_risk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def b21_genetic_search(spark: SparkSession, d: str) -> DataFrame:
-    """The least distance of two weights from the mean and spread of returns: a known optimum, found by generations."""
-    m = V.returns(spark, d).agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s")).first()
-    best, fit = L.genetic(spark, lambda p: -(F.pow(p[0] - m["m"], F.lit(2)) + F.pow(p[1] - m["s"], F.lit(2))), [(-0.1, 0.1), (0.0, 0.2)])
-    return spark.createDataFrame([(best[0], best[1], fit)], "x double, y double, fitness double")
+    """The factor weights of best yearly ratio over the monthly returns that the factors earned; every generation's individuals."""
+    z = ["vsm", "bab", "mom"]
+    rows = panel(spark, d).select("as_of", "ticker", *[X.z_score(c, "as_of").alias(c) for c in z])
+    ends = R.latest(V.bars(spark, d).withColumn("as_of", F.last_day("date")), ["ticker", "as_of"], "date")
+    after = ends.select("ticker", "as_of", (F.lead("close").over(Window.partitionBy("ticker").orderBy("as_of")) / F.col("close") - 1).alias("target"))
+    out = E.evolved(E.factor_returns(rows.join(after, ["as_of", "ticker"]), "as_of", z, "target"), [(-1.0, 1.0)] * 3)
+    return out.select("generation", "k", *[six(F.get("genes", F.lit(j))).alias(c) for j, c in enumerate(z)], six(F.col("fitness")).alias("fitness"))
 
 
 _SPANS = (20, 60, 120)
