@@ -194,7 +194,7 @@ def padding(ends, lengths, counts):
 @pytest.mark.parametrize("seed", range(8))
 def test_boundaries_are_optimal(seed):
     rng = np.random.default_rng(seed)
-    lengths = np.sort(rng.choice(np.arange(1, 60), rng.integers(1, 11), replace=False))
+    lengths = np.sort(rng.choice(np.arange(1, 60 if seed % 2 else 30_000), rng.integers(1, 11), replace=False))
     counts = rng.integers(1, 30, len(lengths))
     for buckets in (1, 2, 3, 4):
         ends = packing.boundaries(lengths, counts, buckets)

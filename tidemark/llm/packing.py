@@ -1,10 +1,12 @@
 """Packing into optimal length buckets and token-budget batches.
 
-The global histogram of lengths (exact up to ``EXACT``, then 64 bins an octave, so
-its size is bounded whatever the data) goes to the driver, where dynamic programming
-chooses the bucket boundaries of least padding: with lengths in order, the cost of
+The global histogram of lengths goes to the driver: d different lengths sum up to
+d^2 / 2 words or more, so d is at most the root of twice the corpus's words (some
+10^4 for texts of up to 20,000 words, and below 7 million rows of two numbers for
+100 TB whatever the texts). There dynamic programming chooses the bucket boundaries
+of least padding over all lengths that occur: with lengths in order, the cost of
 ending a bucket at i is a line in L_i, so the best previous boundary is found on a
-convex hull and each further bucket takes one pass. Boundaries are lengths that occur.
+convex hull and each further bucket takes one pass.
 A bucket's texts are dealt into shards of about ``SHARD`` batches by a hash, and each
 shard is cut into batches whose padded size keeps the token budget. No task ever holds
 a bucket, and only a shard's last batch may be part full.
@@ -25,7 +27,7 @@ from pyspark.sql import Window
 
 from tidemark.shared import written
 
-BUCKETS, BUDGET, EXACT, SHARD = 16, 16_384, 4096, 64
+BUCKETS, BUDGET, SHARD = 16, 16_384, 64
 
 
 def n_words(text: Column) -> Column:
@@ -33,11 +35,6 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _bin(n: Column) -> Column:
-    """The length itself up to EXACT, then 64 bins for each doubling."""
-    return F.when(n <= EXACT, n).otherwise(F.lit(EXACT) + F.floor(64 * F.log2(n / F.lit(float(EXACT)))) + 1).cast("long")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """At most ``buckets`` ends of buckets, of ``lengths`` in rising order, that make the least padding.
 
@@ -49,7 +46,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     size = [int(x) for x in lengths]
     total = [0, *np.cumsum(counts).tolist()]
     best = [size[j] * total[j + 1] for j in range(m)]  # one bucket
-    choice = [[-1] * m]
+    choice = [np.full(m, -1, np.int32)]
     for _ in range(1, min(buckets, m)):
         hull: list[int] = []  # previous ends i whose line best[i] + L (C_j - C_i) is least for some L
         now, back, at = [0] * m, [-1] * m, 0
@@ -74,14 +71,14 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
                 else:
                     break
             hull.append(j)
-        choice.append(back)
+        choice.append(np.array(back, np.int32))
         best = now
     ends, j, k = [], m - 1, len(choice) - 1
     while j >= 0:
         while choice[k][j] == -2:
             k -= 1
         ends.append(size[j])
-        j = choice[k][j]
+        j = int(choice[k][j])
         k -= 1
     return ends[::-1]
 
@@ -91,10 +88,11 @@ def packed(docs: DataFrame, tokens: Column | None = None, buckets: int = BUCKETS
     size = (n_words(F.col("text")) if tokens is None else tokens).alias("n_tokens")
     rows = written(docs.select("doc_id", size, F.monotonically_increasing_id().alias("rid")), "lengths")
     place = F.greatest(F.col("n_tokens"), F.lit(1))
-    shown = rows.groupBy(_bin(place).alias("bin")).agg(F.count("*").alias("n"), F.max(place).alias("length"), F.sum(place).alias("total")).toPandas().sort_values("length")
-    ends = boundaries(shown["length"].to_numpy(), shown["n"].to_numpy(), buckets)
-    which, least = np.searchsorted(ends, shown["length"].to_numpy()), [max(1, budget // e) for e in ends]
-    many = np.bincount(which, shown["n"].to_numpy(), len(ends)) if ends else []
+    shown = rows.groupBy(place.alias("length")).agg(F.count("*").alias("n")).toArrow().sort_by("length")
+    lengths, counts = (shown.column(c).to_numpy() for c in ("length", "n"))
+    ends = boundaries(lengths, counts, buckets)
+    which, least = np.searchsorted(ends, lengths), [max(1, budget // e) for e in ends]
+    many = np.bincount(which, counts, len(ends)) if ends else []
     shards = [max(1, int(m // (c * SHARD))) for m, c in zip(many, least, strict=True)]
     bucket, length, room, shard = (F.lit(0), *(F.lit(0).cast("long"),) * 3)
     for k in reversed(range(len(ends))):  # from the longest down: the first end that holds the text wins
