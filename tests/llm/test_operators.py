@@ -252,7 +252,6 @@ def test_join_against_brute_force(documents, awkward, size, percent):
 @pytest.mark.parametrize(("low", "high"), [(3, 7), (1, 9)])
 def test_join_of_cells_and_their_regions(spark, monkeypatch, low, high):
     """Copies of one text with edits near the bound, many of them in common: cells are joined by the differences from their pivots."""
-    monkeypatch.setattr(jaccard_join, "SMALL", 2)
     monkeypatch.setattr(jaccard_join, "LARGE", 2)
     monkeypatch.setattr(jaccard_join, "DEPTH", 2)
     reached = []
@@ -300,7 +299,6 @@ def _mosaics(rng):
 @pytest.mark.parametrize(("make", "which"), [(_centred, 0), (_mosaics, 1)])
 def test_join_of_several_pivots(spark, monkeypatch, make, which):
     """Regions with several Voronoi cells, with sets replicated to other cells (0) and sets far from all pivots (1)."""
-    monkeypatch.setattr(jaccard_join, "SMALL", 2)
     cells = []
     own = JaccardJoin._cells
 
@@ -318,7 +316,7 @@ def test_join_of_several_pivots(spark, monkeypatch, make, which):
 
 
 def test_join_of_large_regions(spark):
-    """Edited copies of one text, and texts that share a passage: regions beyond SMALL and LARGE."""
+    """Edited copies of one text, and texts that share a passage: regions beyond LARGE."""
     rng = np.random.default_rng(3)
     passage = [f"p{k}" for k in range(60)]
     rows = [(0, " ".join(passage))]

@@ -23,7 +23,8 @@ equal sets are one class, so copies never meet again. r is the greatest distance
   pivot leave open, are the regions of the next level. Sets far from all pivots of a first region
   share a second shingle of their windows if they are within r: that cuts it into regions of the
   next level. Those of ``LARGE`` sets at most are joined pair by pair, larger ones have pivots of their own.
-  After ``DEPTH`` levels what is left is compared pair by pair.
+  After ``DEPTH`` levels what is left is compared pair by pair, regions beyond ``LARGE`` in blocks: a pair of blocks
+  is a task's key, so no task holds a region.
 
 Nothing is dropped or capped, so components are exact (up to hash collisions of
 about n^2 / 2^52 within a text). Groups of near copies are measured against a few
@@ -50,9 +51,9 @@ from tidemark.llm.components import components
 from tidemark.llm.words import Words, each, joined, mixed, slices, texts, words
 from tidemark.shared import bucketed, checkpointed, dropped, fitting, written
 
-#: Buckets of the tables of words and of shingles (2 and 8 MB); the most classes of a region without pivots on the first
-#: level and on others, pivots of a larger one, levels; buckets of the table of sets, shingles of pivots broadcast at most (8 MB).
-WORD_BITS, SHINGLE_BITS, SMALL, LARGE, PIVOTS, DEPTH, SET_BUCKETS, MOST_SHINGLES = 21, 23, 8, 256, 4, 3, 64, 1_000_000
+#: Buckets of the tables of words and of shingles (2 and 8 MB); the most sets of a cell's region without pivots and of a
+#: block, pivots of a larger region, levels; shingles of pivots broadcast at most (8 MB).
+WORD_BITS, SHINGLE_BITS, LARGE, PIVOTS, DEPTH, MOST_SHINGLES = 21, 23, 256, 4, 3, 1_000_000
 #: Buckets sent together, and the place of the word class in an ordered shingle.
 _CUT, _WORD_AT = 1 << 16, 51
 
@@ -189,7 +190,7 @@ class JaccardJoin:
 
     def _window(self):
         percent = self.percent
-        # the shingles of the window: n - ceil(percent n / 100) + 1, one more that tells pairs apart in _apart
+        # the shingles of the window: n - ceil(percent n / 100) + 1, and one more for _second
         return lambda n: min(n, n - -(-percent * n // 100) + 2)
 
     def _sizes_fit(self, n: Column, m: Column) -> Column:
@@ -207,12 +208,10 @@ class JaccardJoin:
         reps = written(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("cid")), "jaccard-classes")
         held = rows.join(fitting(reps.select("cid")), F.col("rid") == F.col("cid")).select("cid", F.col("n").cast("int").alias("n"), "own")
 
-        regions = self._regions(held)
-        close = checkpointed(self._apart(self._pairs(regions.where(F.col("k") <= SMALL)), held))
-        large = regions.where(F.col("k") > SMALL)
-        sets = self._needed_sets(docs, rows, close.select("cid").union(close.select("pivot")).union(large.select("cid")), order)
+        regions = large = self._regions(held)
+        sets = self._needed_sets(docs, rows, large.select("cid"), order)
         order.destroy()
-        links, pairs = [], [close]
+        links, pairs, done = [], [], [sets, regions, reps]
         for level in range(DEPTH):
             if large.isEmpty():
                 break
@@ -223,15 +222,18 @@ class JaccardJoin:
             parts = parts.union(self._second(far, held) if level == 0 else far.select(parts.columns))
             sizes = written(parts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-sizes")
             parts = written(parts.join(sizes, "key"), "jaccard-parts")
+            done += [sizes, parts]
             pairs.append(self._pairs(parts if level == DEPTH - 1 else parts.where(F.col("k") <= LARGE)))
             large = parts.where(F.col("k") > LARGE).withColumn("f", F.xxhash64("cid", F.lit(level)))
-        pairs = pairs[0] if len(pairs) == 1 else self._unlinked(_union(pairs).distinct(), _union(links))
+        if not links:  # no two classes show the same shingle
+            links.append(regions.select("cid", F.col("cid").alias("pivot")))
+        pairs = self._unlinked(_union(pairs).distinct(), _union(links)) if pairs else links[0]
         links.append(self._measured(pairs, sets, whole=False).where("linked").select("cid", "pivot"))
         labels = components(_union(links).toDF("a", "b"))
         named = reps.join(labels, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cid"))
         ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
         out = written(named.join(ids, "comp").select("sig", "comp", "component_id"), "jaccard-components")
-        for table in (sets, regions, reps):
+        for table in done:
             dropped(table)
         return rows, out
 
@@ -265,42 +267,32 @@ class JaccardJoin:
         return (h >= F.lit(2 << 57)) & (F.shiftright(h, _WORD_AT).bitwiseAND(F.lit(63)) > 1)
 
     def _pairs(self, rows: DataFrame) -> DataFrame:
-        """cid, pivot: the pairs of each region, by sizes and by the shingles that can follow the key in both differences."""
+        """cid, pivot: the pairs of each region, by sizes and by the shingles that can follow the key in both differences.
+
+        A region beyond LARGE is cut into blocks, and each row sent once for every block that its own meets;
+        rows of one block meet where it meets itself.
+        """
+        blocks = F.ceil(F.col("k") / LARGE).cast("int")
+        rows = rows.withColumn("b", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("key", "cid", "n", "d", "rest", "home", "linked", "b", F.least("b", "to").alias("i"), F.greatest("b", "to").alias("j"))
         x, y = rows.alias("x"), rows.alias("y")
         apart = F.col("x.d") + F.col("y.d") - 2 * F.least("x.rest", "y.rest")
-        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.home") | F.col("y.home")) & ~(F.col("x.linked") & F.col("y.linked"))
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & ((F.col("x.b") != F.col("y.b")) | (F.col("x.i") == F.col("x.j")))
+        on &= (F.col("x.cid") < F.col("y.cid")) & (F.col("x.home") | F.col("y.home")) & ~(F.col("x.linked") & F.col("y.linked"))
         return checkpointed(x.join(y, on & self._fit(F.col("x.n"), F.col("y.n"), apart)).select("x.cid", F.col("y.cid").alias("pivot")).distinct())
 
-    def _apart(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
-        """Pairs less those whose windows differ by more than sets within r can.
-
-        Up to the lesser of the windows' ends both sets are known; what only one holds there belongs to the
-        symmetric difference, which for sets within r is at most r / (2 - r) of the sum of sizes.
-        """
-        first = held.select("cid", F.col("n").alias("nx"), F.col("own").alias("x"))
-        second = held.select(F.col("cid").alias("pivot"), F.col("n").alias("ny"), F.col("own").alias("y"))
-        some = pairs.select("pivot").distinct()
-        rows = first.join(fitting(pairs), "cid").join(second.join(fitting(checkpointed(some)), "pivot", "left_semi"), "pivot")
-        whole = lambda own, n: F.size(own) == n  # noqa: E731  a set that ends within its window is known to the end
-        end = F.least(F.when(~whole("x", F.col("nx")), F.element_at("x", -1)), F.when(~whole("y", F.col("ny")), F.element_at("y", -1)))
-        known = lambda own: F.when(F.col("end").isNull(), F.col(own)).otherwise(F.filter(own, lambda v: v <= F.col("end")))
-        rows = rows.withColumn("end", end).withColumns({"x": known("x"), "y": known("y")})
-        differ = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
-        # 100 both >= percent (sum - both), both = (sum - difference) / 2
-        fits = 100 * (F.col("nx") + F.col("ny") - differ) >= self.percent * (F.col("nx") + F.col("ny") + differ)
-        return rows.where(fits).select("cid", "pivot")
-
     def _needed_sets(self, docs: DataFrame, rows: DataFrame, need: DataFrame, order) -> DataFrame:
         """cid and own, the whole set, of the classes that may be measured, from one text each: a table bucketed by cid.
 
-        Pairs are joined to it; only the pairs are shuffled.
+        Pairs are joined to it; only the pairs are shuffled. It has as many buckets as shuffles have partitions.
         """
+        buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         need = checkpointed(rows.select("rid", "doc_id", "sig").join(need.distinct(), F.col("rid") == F.col("cid")).select("cid", "sig", F.col("doc_id").alias("rep")))
         ids = checkpointed(need.select("rep").distinct())
         some = docs.select("doc_id", "text").join(fitting(ids), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         sets = _sets(some, [], self.size, order, lambda n: n).where("n > 0").select("sig", "own")
-        one = sets.join(fitting(need.select("sig", "cid")), "sig").select("cid", "own").repartition(SET_BUCKETS, "cid").dropDuplicates(["cid"])
-        return bucketed(one, "jaccard_sets", SET_BUCKETS, "cid")
+        one = sets.join(fitting(need.select("sig", "cid")), "sig").select("cid", "own").repartition(buckets, "cid").dropDuplicates(["cid"])
+        return bucketed(one, "jaccard_sets", buckets, "cid")
 
     def _measured(self, pairs: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
         """cid, pivot, n, m, both (shingles of both) and linked, of distinct pairs; ``whole``: and e, the difference of the two, and d, its size.
