@@ -190,7 +190,7 @@ class JaccardJoin:
 
     def _window(self):
         percent = self.percent
-        # the shingles of the window: n - ceil(percent n / 100) + 1, and one more for _second
+        # the shingles of the window: n - ceil(percent n / 100) + 1, and one more for _apart and _second
         return lambda n: min(n, n - -(-percent * n // 100) + 2)
 
     def _sizes_fit(self, n: Column, m: Column) -> Column:
@@ -208,10 +208,12 @@ class JaccardJoin:
         reps = written(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("cid")), "jaccard-classes")
         held = rows.join(fitting(reps.select("cid")), F.col("rid") == F.col("cid")).select("cid", F.col("n").cast("int").alias("n"), "own")
 
-        regions = large = self._regions(held)
-        sets = self._needed_sets(docs, rows, large.select("cid"), order)
+        regions = self._regions(held)
+        # of two classes one is the other's pivot and there is nothing else to meet: only what may be within r is measured
+        two, large = checkpointed(self._apart(self._pairs(regions.where("k = 2")), held)), regions.where("k > 2")
+        sets = self._needed_sets(docs, rows, two.select("cid").union(two.select("pivot")).union(large.select("cid")), order)
         order.destroy()
-        links, pairs, done = [], [], [sets, regions, reps]
+        links, pairs, done = [], [two], [sets, regions, reps]
         for level in range(DEPTH):
             if large.isEmpty():
                 break
@@ -225,9 +227,7 @@ class JaccardJoin:
             done += [sizes, parts]
             pairs.append(self._pairs(parts if level == DEPTH - 1 else parts.where(F.col("k") <= LARGE)))
             large = parts.where(F.col("k") > LARGE).withColumn("f", F.xxhash64("cid", F.lit(level)))
-        if not links:  # no two classes show the same shingle
-            links.append(regions.select("cid", F.col("cid").alias("pivot")))
-        pairs = self._unlinked(_union(pairs).distinct(), _union(links)) if pairs else links[0]
+        pairs = self._unlinked(_union(pairs).distinct(), _union(links)) if links else two
         links.append(self._measured(pairs, sets, whole=False).where("linked").select("cid", "pivot"))
         labels = components(_union(links).toDF("a", "b"))
         named = reps.join(labels, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -281,6 +281,25 @@ class JaccardJoin:
         on &= (F.col("x.cid") < F.col("y.cid")) & (F.col("x.home") | F.col("y.home")) & ~(F.col("x.linked") & F.col("y.linked"))
         return checkpointed(x.join(y, on & self._fit(F.col("x.n"), F.col("y.n"), apart)).select("x.cid", F.col("y.cid").alias("pivot")).distinct())
 
+    def _apart(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """Pairs less those whose windows differ by more than sets within r can.
+
+        Up to the lesser of the windows' ends both sets are known; what only one holds there belongs to the
+        symmetric difference, which for sets within r is at most r / (2 - r) of the sum of sizes.
+        """
+        first = held.select("cid", F.col("n").alias("nx"), F.col("own").alias("x"))
+        second = held.select(F.col("cid").alias("pivot"), F.col("n").alias("ny"), F.col("own").alias("y"))
+        some = pairs.select("pivot").distinct()
+        rows = first.join(fitting(pairs), "cid").join(second.join(fitting(checkpointed(some)), "pivot", "left_semi"), "pivot")
+        whole = lambda own, n: F.size(own) == n  # noqa: E731  a set that ends within its window is known to the end
+        end = F.least(F.when(~whole("x", F.col("nx")), F.element_at("x", -1)), F.when(~whole("y", F.col("ny")), F.element_at("y", -1)))
+        known = lambda own: F.when(F.col("end").isNull(), F.col(own)).otherwise(F.filter(own, lambda v: v <= F.col("end")))
+        rows = rows.withColumn("end", end).withColumns({"x": known("x"), "y": known("y")})
+        differ = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
+        # 100 both >= percent (sum - both), both = (sum - difference) / 2
+        fits = 100 * (F.col("nx") + F.col("ny") - differ) >= self.percent * (F.col("nx") + F.col("ny") + differ)
+        return rows.where(fits).select("cid", "pivot")
+
     def _needed_sets(self, docs: DataFrame, rows: DataFrame, need: DataFrame, order) -> DataFrame:
         """cid and own, the whole set, of the classes that may be measured, from one text each: a table bucketed by cid.
 
