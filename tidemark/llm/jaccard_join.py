@@ -314,7 +314,7 @@ class JaccardJoin:
         return bucketed(one, "jaccard_sets", buckets, "cid")
 
     def _measured(self, pairs: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
-        """cid, pivot, n, m, both (shingles of both) and linked, of distinct pairs; ``whole``: and e, the difference of the two, and d, its size.
+        """cid, pivot, n, m, both (shingles of both) and linked, of distinct pairs; ``whole``: and e, the difference of the two (null beyond 3r), and d, its size.
 
         e is without the shingles that no other text can have. Written, so that e is only read where it is needed.
         """
@@ -326,6 +326,7 @@ class JaccardJoin:
         found = found.withColumn("linked", 100 * F.col("both") >= self.percent * (F.col("n") + F.col("m") - F.col("both")))
         if whole:
             e = F.concat(F.filter(F.array_except("x", "y"), self._shown), F.array_except("y", "x"))
+            e = F.when(self._distance() <= 3 * self._r(), e)  # beyond that a set is in no cell of the pivot
             found = found.withColumns({"d": F.col("n") + F.col("m") - 2 * F.col("both"), "e": e}).drop("x", "y")
         out = written(found, "jaccard-measured")
         dropped(pivots)
@@ -336,16 +337,26 @@ class JaccardJoin:
         return 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
 
     def _against_pivots(self, rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """What _measured says of each class and each pivot of its regions, the pivots themselves among them; and key and pivot."""
-        drawn = checkpointed(rows.groupBy("key").agg(F.max(F.struct("f", "cid")).alias("x")).select("key", F.col("x.cid").alias("pivot")))
-        first = self._measured(rows.join(drawn, "key").select("cid", "pivot").distinct(), sets, whole=True)
-        beyond = first.where(self._distance() > 2 * self._r()).select("cid", "pivot")
-        beyond = rows.select("key", "cid").join(drawn, "key").join(beyond, ["cid", "pivot"])
-        draws = [F.max(F.struct(F.xxhash64("cid", F.lit(k)).alias("x"), "cid"))["cid"] for k in range(1, PIVOTS)]
-        more = checkpointed(beyond.groupBy("key").agg(F.array_distinct(F.array(*draws)).alias("pivots")).select("key", F.explode("pivots").alias("pivot")))
+        """What _measured says of each class and each pivot of its regions that are 3r apart at most by their sizes, the pivots themselves among them; and key, pivot and m.
+
+        Sets whose sizes put them farther apart are in no cell of each other and need no measure.
+        """
+
+        def near(pairs: DataFrame) -> DataFrame:
+            return pairs.where(F.least("n", "m") >= (1 - 3 * self._r()) * F.greatest("n", "m")).select("cid", "pivot").distinct()
+
+        own = F.struct("f", "cid", "n")
+        drawn = checkpointed(rows.groupBy("key").agg(F.max(own).alias("x")).select("key", F.col("x.cid").alias("pivot"), F.col("x.n").alias("m")))
+        met = rows.select("key", "cid", "n").join(drawn, "key")
+        first = self._measured(near(met), sets, whole=True)
+        away = first.select("cid", "pivot", self._distance().alias("away"))
+        beyond = met.join(away, ["cid", "pivot"], "left").where(F.coalesce("away", F.lit(1.0)) > 2 * self._r())
+        draws = [F.max(F.struct(F.xxhash64("cid", F.lit(k)).alias("x"), "cid", "n")) for k in range(1, PIVOTS)]
+        more = beyond.groupBy("key").agg(F.array_distinct(F.transform(F.array(*draws), lambda x: F.struct(x["cid"].alias("pivot"), x["n"].alias("m")))).alias("p"))
+        more = checkpointed(more.select("key", F.inline("p")))
         if more.isEmpty():
             return first, drawn
-        pairs = rows.join(more, "key").select("cid", "pivot").distinct().join(first.select("cid", "pivot"), ["cid", "pivot"], "left_anti")
+        pairs = near(rows.select("key", "cid", "n").join(more, "key")).join(first.select("cid", "pivot"), ["cid", "pivot"], "left_anti")
         return first.unionByName(self._measured(pairs, sets, whole=True)), drawn.union(more)
 
     def _r(self) -> float:
@@ -355,7 +366,7 @@ class JaccardJoin:
         """pivot, cid, home: the classes of each pivot's cell; and the rows of the regions whose class is over 2r from all pivots there."""
         d = measured.select("cid", "pivot", self._distance().alias("away"))
         # one row for each class of a region: its distances from all pivots there
-        at = rows.select("key", "cid").join(pivots, "key").join(d, ["cid", "pivot"])
+        at = rows.select("key", "cid").join(pivots.select("key", "pivot"), "key").join(d, ["cid", "pivot"], "left").withColumn("away", F.coalesce("away", F.lit(1.0)))
         at = checkpointed(at.groupBy("key", "cid").agg(F.min("away").alias("least"), F.collect_set(F.struct("pivot", "away")).alias("all")))
         away, near = F.col("to.away"), F.col("least") <= 2 * self._r()
         inside = at.select("cid", "least", F.explode("all").alias("to")).where(away <= F.least(F.col("least") + 2 * self._r(), F.lit(3 * self._r())))
