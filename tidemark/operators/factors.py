@@ -195,14 +195,16 @@ def triple_barrier(rows: DataFrame, horizon: int = 20, up: float = 2.0, down: fl
     )
 
 
-def propagated(edges: DataFrame, signal: DataFrame, rounds: int = 2, decay: float = 0.5) -> DataFrame:
-    """ticker, value: a signal spread over a graph, each round adding decay^(k + 1) times the neighbours' weighted mean.
+def propagated(edges: DataFrame, signal: DataFrame, rounds: int = 2, decay: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """by, ticker, value: a signal spread over a graph, each round adding decay^(k + 1) times the neighbours' weighted mean.
 
     edges: ticker, other, weight in both directions; neighbours outside the signal's universe don't count.
+    ``by`` names columns of the signal, such as its date: each of their values is a signal of its own over the same graph.
     """
-    now = signal.select("ticker", "value")
+    keys = [*(by or []), "ticker"]
+    now = signal.select(*keys, "value")
     for k in range(rounds):
-        seen = edges.join(now.select(F.col("ticker").alias("other"), F.col("value").alias("v")), "other")
-        mean = seen.groupBy("ticker").agg(F.try_divide(F.sum(F.col("weight") * F.col("v")), F.sum("weight")).alias("m"))
-        now = now.join(mean, "ticker", "left").select("ticker", (F.col("value") + decay ** (k + 1) * F.coalesce("m", F.lit(0.0))).alias("value"))
+        seen = edges.join(now.select(*keys[:-1], F.col("ticker").alias("other"), F.col("value").alias("v")), "other")
+        mean = seen.groupBy(*keys).agg(F.try_divide(F.sum(F.col("weight") * F.col("v")), F.sum("weight")).alias("m"))
+        now = now.join(mean, keys, "left").select(*keys, (F.col("value") + decay ** (k + 1) * F.coalesce("m", F.lit(0.0))).alias("value"))
     return now

@@ -50,6 +50,51 @@ def shape_functions(rows: DataFrame, y: str, features: list[str], bins: int = 20
     return out.withColumn("prediction", mean + sum((F.col(f"f_{c}") for c in features), F.lit(0.0))), shapes
 
 
+def ridge(rows: DataFrame, y: str, features: list[str], alpha: float = 0.0) -> tuple[dict[str, float], float]:
+    """Weights of ``features`` and intercept of least squares for y with ``alpha`` times the squared weights added, from one aggregation of second moments.
+
+    Rows with a null among the columns are left out. Where the moments have no inverse (a feature that
+    is constant, or another's multiple) alpha is 1. No rows give 0s.
+    """
+    names = [*features, y]
+    known = rows.na.drop(subset=names)
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k:]]
+    told = known.agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)], *[F.avg(c).alias(f"m{k}") for k, c in enumerate(names)]).first()
+    cov = np.zeros((len(names), len(names)))
+    for j, (a, b) in enumerate(pairs):
+        cov[names.index(a), names.index(b)] = cov[names.index(b), names.index(a)] = (told[f"c{j}"] or 0.0) * told["n"]
+    xx, xy = cov[:-1, :-1], cov[:-1, -1]
+    if not alpha and np.linalg.matrix_rank(xx, hermitian=True) < len(features):
+        alpha = 1.0
+    weights = np.linalg.solve(xx + alpha * np.eye(len(features)), xy) if features else np.zeros(0)
+    means = np.array([told[f"m{k}"] or 0.0 for k in range(len(names))], float)
+    return dict(zip(features, weights.tolist(), strict=True)), float(means[-1] - weights @ means[:-1])
+
+
+def residual_alpha(rows: DataFrame, y: str, factors: list[str], features: list[str], alpha: float = 1.0, train: Column | None = None, **trees) -> tuple[DataFrame, dict]:
+    """rows with linear, residual_alpha and total; and weights, intercept, linear_r2, residual_r2 and overlap.
+
+    The first stage explains y by ``factors`` (ridge), the second what that leaves by boosted trees over
+    ``features``; both learn from rows where ``train`` holds. ``overlap`` is the size of the correlation of the two
+    stages' predictions over those rows. Null factors give a null linear score; rows with a null y take no part in learning.
+    """
+    from tidemark.operators import boosting
+
+    learnt = rows if train is None else rows.where(train)
+    weights, intercept = ridge(learnt, y, factors, alpha)
+    linear = sum((F.lit(w) * F.col(c) for c, w in weights.items()), F.lit(intercept))
+    model = boosting.fit(learnt.withColumn("_rest", F.col(y) - linear), "_rest", features, **trees)
+    out = boosting.predicted(rows.withColumn("linear", linear), model, "residual_alpha").withColumn("total", F.col("linear") + F.col("residual_alpha"))
+    told = (out if train is None else out.where(train)).na.drop(subset=[y, "linear"])
+    rest, left = F.col(y) - F.col("linear"), F.col(y) - F.col("total")
+    r = told.agg(
+        (1 - ratio(F.avg(rest * rest), F.var_pop(y))).alias("linear_r2"), (1 - ratio(F.avg(left * left), F.var_pop(rest))).alias("residual_r2"),
+        F.stddev_pop("linear").alias("s1"), F.stddev_pop("residual_alpha").alias("s2"), F.corr("linear", "residual_alpha").alias("overlap"),
+    ).first()
+    flat = min(r["s1"] or 0.0, r["s2"] or 0.0) < 1e-10
+    return out, {"weights": weights, "intercept": intercept, "linear_r2": r["linear_r2"], "residual_r2": r["residual_r2"], "overlap": 0.0 if flat else abs(r["overlap"])}
+
+
 def orthogonalised(rows: DataFrame, y: str, features: list[str], factors: list[str], most: float = 0.05, steps: int = 1000, rate: float = 0.1) -> tuple[DataFrame, dict]:
     """rows with alpha, a linear score of ``features`` for ``y`` whose correlation with each factor is below ``most``; and its weights and how it was found.
 

@@ -129,3 +129,25 @@ def complete(weights: dict[str, float]) -> bool:
 def confidence(sharpe: Column) -> Column:
     """What a model's Sharpe ratio multiplies positions by: half at 0, at most 1.2; 1 where it isn't known."""
     return F.coalesce(F.greatest(F.lit(0.5), F.least(F.lit(1.2), 0.5 + 0.5 * sharpe)), F.lit(1.0))
+
+
+#: The groups of an attribution and the names of metadata that stand for each, the first one there counts; a score from which a position's conviction is high, and medium.
+GROUPS = {"value": ("upside", "valuation_composite"), "momentum": ("vsm",), "quality": ("qmj", "roe"), "low_risk": ("bab",), "sentiment": ("revisions", "sentiment")}
+HIGH, MEDIUM = 2.0, 1.0
+
+
+def attributed(targets: DataFrame, signals: DataFrame) -> DataFrame:
+    """date, a column for each of GROUPS, high, medium, low: the targets' weighted means of what their signals' metadata (JSON) say, by date, and how many positions have which conviction.
+
+    Weights are shares of all targets of the date, with or without a signal; a name that is not in the
+    metadata, or no number, counts 0. A position without a signal has a score of 0. Dates whose weights add up to 0 get 0.
+    """
+    own = signals.select("date", "ticker", "score", F.from_json("metadata", "map<string,string>").alias("said"))
+    rows = targets.select("date", "ticker", "weight").join(own, ["date", "ticker"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+    def mean(names: tuple[str, ...]) -> Column:
+        said = F.coalesce(*[F.try_element_at("said", F.lit(n)).try_cast("double") for n in names], F.lit(0.0))
+        return F.coalesce(F.try_divide(F.sum(F.col("weight") * said), F.sum("weight")), F.lit(0.0))
+
+    counts = {"high": F.col("score") >= HIGH, "medium": (F.col("score") >= MEDIUM) & (F.col("score") < HIGH), "low": F.col("score") < MEDIUM}
+    return rows.groupBy("date").agg(*[mean(n).alias(g) for g, n in GROUPS.items()], *[F.count_if(c).alias(k) for k, c in counts.items()])

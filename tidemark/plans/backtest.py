@@ -105,6 +105,7 @@ def b02_selection(spark: SparkSession, d: str) -> DataFrame:
 nx AS (SELECT a.as_of, sum(a.weight * (b.close / a.close - 1)) AS gross FROM h a JOIN px b ON a.ticker = b.ticker AND b.as_of = last_day(a.as_of + 1) GROUP BY 1),
 tv AS (SELECT as_of, 0.5 * sum(abs(w)) AS turnover FROM (SELECT coalesce(a.as_of, last_day(b.as_of + 1)) AS as_of, coalesce(a.weight, 0) - coalesce(b.weight, 0) AS w FROM held a FULL JOIN held b ON a.ticker = b.ticker AND a.as_of = last_day(b.as_of + 1)) GROUP BY 1)
 SELECT as_of, CAST(bps AS INTEGER) AS bps, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(gross - turnover * 2 * bps / 10000, 6) AS net FROM nx JOIN tv USING (as_of), (SELECT unnest([0, 10, 20]) AS bps)""")
+@V.bars_once
 def b05_factor_backtest(spark: SparkSession, d: str) -> DataFrame:
     """Each month's selection, its return to the next month's end, turnover and net under three costs."""
     held = B.selected(scores(spark, d), "as_of", "score").select("as_of", "ticker", "weight")
@@ -212,6 +213,7 @@ def p13_impact_and_slippage(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT max(w) AS w, coalesce(string_agg(CASE WHEN w > 0.25 THEN sector END, ',' ORDER BY sector), '') AS v FROM (SELECT sector, sum(weight) AS w FROM l GROUP BY 1)),
 bt AS (SELECT sum(weight * -bab) AS w FROM l JOIN panel USING (as_of, ticker))
 SELECT 'max_weight' AS rule, w <= 0.055 AS passed, round(w, 6) AS worst, coalesce(v, '') AS violators FROM m UNION ALL SELECT 'sector', w <= 0.25, round(w, 6), v FROM s UNION ALL SELECT 'beta', w BETWEEN 0.5 AND 1.5, round(w, 6), '' FROM bt""")
+@V.bars_once
 def p08_constraint_checks(spark: SparkSession, d: str) -> DataFrame:
     held = B.selected(scores(spark, d), "as_of", "score")
     last = held.join(F.broadcast(held.agg(F.max("as_of").alias("as_of"))), "as_of").join(panel(spark, d).select("as_of", "ticker", (-F.col("bab")).alias("beta")), ["as_of", "ticker"])

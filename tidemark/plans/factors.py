@@ -223,10 +223,16 @@ def _flow_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("*", A.money_flow_index().alias("mfi"), A.obv_z().alias("obv_z"), A.obv_trend()[0].alias("obv_slope"))
 
 
+def _flow_ends(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the last year's rows of each ticker, of which the last is right: a year's frame is only summed there."""
+    rows = recent(A.with_flows(V.returns(spark, d)).withColumn("mfi", A.money_flow_index()), A.YEAR)
+    return rows.select("*", A.obv_z().alias("obv_z"), A.obv_trend()[0].alias("obv_slope"))
+
+
 @query(_sql_last(f"WITH {V.RETS}, {_FLOWS} SELECT ticker, date, mfi, obv, obv_z, obv_slope FROM mfi", "mfi", "obv", "obv_z", "obv_slope"))
 def f28_money_flow(spark: SparkSession, d: str) -> DataFrame:
     """F28-F30."""
-    return _last(_flow_rows(spark, d), "mfi", "obv", "obv_z", "obv_slope")
+    return _last(_flow_ends(spark, d), "mfi", "obv", "obv_z", "obv_slope")
 
 
 @query(f"""WITH {V.RETS}, {_FLOWS} SELECT ticker, date, CASE WHEN mfi < 20 THEN 'oversold' WHEN mfi > 80 THEN 'overbought' ELSE 'neutral' END AS class,
@@ -260,7 +266,7 @@ def f34_money_flow_score(spark: SparkSession, d: str) -> DataFrame:
     rows = _flow_rows(spark, d)
     signed = F.when(F.col("kind") == "bullish", six(F.col("confidence"))).otherwise(-six(F.col("confidence")))
     div = A.divergences(A.swings(rows), "mfi").groupBy("ticker").agg(F.sum(signed).alias("div"))
-    last = rows.groupBy("ticker").agg(F.max_by("mfi", "date").alias("mfi"), F.max_by("obv_z", "date").alias("obv_z"))
+    last = _flow_ends(spark, d).groupBy("ticker").agg(F.max_by("mfi", "date").alias("mfi"), F.max_by("obv_z", "date").alias("obv_z"))
     score = 0.25 * (F.col("mfi") - 50) / 50 + 0.25 * F.col("obv_z") / 5 + 0.5 * F.coalesce("div", F.lit(0.0))
     return last.join(div, "ticker", "left").select("ticker", F.round(clip(score, -1.0, 1.0), 5).alias("score"))
 
@@ -300,7 +306,7 @@ def f38_mansfield(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.operators.backtest import index_level
 
     rows = rets.select("ticker", "date", "close").join(index_level(V.market(rets), "mkt"), "date")
-    return _last(A.with_mansfield(rows), "mansfield", "slope5")
+    return _last(A.with_mansfield(recent(rows, A.YEAR + 6)), "mansfield", "slope5")
 
 
 @query(f"""WITH {V.RETS}, v AS (SELECT *, CASE WHEN count(volume) OVER {_n(20)} >= 5 THEN coalesce((volume - avg(volume) OVER {_n(20)}) / nullif(stddev_samp(volume) OVER {_n(20)}, 0), 0) ELSE 0 END AS z,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, finite, interp, norm_pdf, ratio, six
-from tidemark.functions.windows import change, rolling
+from tidemark.functions.windows import change, recent, rolling
 from tidemark.operators import factors as A
 from tidemark.operators import relational as R
 from tidemark.operators import scoring as S
@@ -97,6 +97,7 @@ def x11_weighted_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH q AS ({SQL['h11_sector_quadrants']}), m AS ({SQL['f34_money_flow_score']}), {V.SECURITY}
 SELECT ticker, sector, round(0.4 * coalesce(q.score, 0) + 0.6 * coalesce(m.score, 0), 6)::DOUBLE AS flow FROM security LEFT JOIN q USING (sector) LEFT JOIN m USING (ticker)""")
+@V.bars_once
 def f36_capital_flow(spark: SparkSession, d: str) -> DataFrame:
     """the sector's quadrant at 0.4 and the ticker's money flow at 0.6; 0 for what isn't there."""
     sectors = factors.h11_sector_quadrants(spark, d).select("sector", F.col("score").alias("q"))
@@ -121,14 +122,15 @@ _TOTAL = " + ".join(f"{S.CARD[c]} * coalesce({c}, 0)" for c in _KNOWN)
 
 @query(f"""WITH {_CARD_PARTS}, t AS (SELECT *, round(({_TOTAL}) / nullif({_SHARE}, 0), 6) AS s, {_SHARE} AS c FROM p)
 SELECT ticker, coalesce(s, 0)::DOUBLE AS score, CASE WHEN coalesce(s, 0) > {S.BUY} THEN 'buy' WHEN coalesce(s, 0) < {S.SELL} THEN 'sell' ELSE 'hold' END AS signal, round(c, 6)::DOUBLE AS confidence, round(50 * rsl_rank + 50, 4)::DOUBLE AS percentile FROM t""")
+@V.bars_once
 def f40_scorecard(spark: SparkSession, d: str) -> DataFrame:
     """quadrant, strength, its trend and the volume's pattern, weighted over those there are; earnings are reserved, so their weight is never there."""
     bars = V.bars(spark, d)
-    strength = R.latest(bars.select("ticker", "date", A.levy().alias("rsl")), ["ticker"], "date").select("ticker", "rsl")
+    strength = R.latest(recent(bars, 130).select("ticker", "date", A.levy().alias("rsl")), ["ticker"], "date").select("ticker", "rsl")
     trend = factors.f38_mansfield(spark, d)
     kind = F.when(F.col("mansfield").isNull() | F.col("slope5").isNull(), F.lit(None)).when((F.col("mansfield") > 0) & (F.col("slope5") > 0), "breakout")
     kind = kind.when(F.col("slope5") > 0, "improving").when(F.col("mansfield") > 0, "weakening").otherwise("lagging")
-    volume = R.latest(factors.f39_volume_structure(spark, d).select("ticker", "date", "pattern"), ["ticker"], "date").select("ticker", "pattern")
+    volume = R.latest(recent(V.returns(spark, d), 20).select("ticker", "date", A.volume_structure()[1].alias("pattern")), ["ticker"], "date").select("ticker", "pattern")
     sectors = factors.h11_sector_quadrants(spark, d).select("sector", "quadrant")
     rows = strength.join(V.security(spark, d).select("ticker", "sector"), "ticker").join(F.broadcast(sectors), "sector", "left")
     rows = rows.join(trend.select("ticker", kind.alias("kind")), "ticker", "left").join(volume, "ticker", "left")
@@ -213,6 +215,7 @@ SELECT ticker, regime, base, score, CAST(row_number() OVER (ORDER BY score DESC,
 
 
 @query(_RANKING)
+@V.bars_once
 def x14_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Nine cleaned terms under the regime's weights, with a learnt score (what neighbours pass on) at 0.4, ranked without ties."""
     rows = X.cleaned(ranking(spark, d), ["as_of"], "sector", _COLUMNS)
@@ -233,6 +236,7 @@ def p07_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH f AS ({SQL['f14_fundamental_scores']}), p AS ({SQL['b06_performance']}), r AS ({SQL['f27_valuation_composite']}) SELECT ticker, quality, value, growth, composite, yield_spread, vol, sharpe, max_drawdown FROM f LEFT JOIN p USING (ticker) LEFT JOIN r USING (ticker)""")
+@V.bars_once
 def h26_combined_analysis(spark: SparkSession, d: str) -> DataFrame:
     """Scores, valuation and risk of a company in one row."""
     rows = valuation.f14_fundamental_scores(spark, d).join(backtest.b06_performance(spark, d), "ticker", "left").join(valuation.f27_valuation_composite(spark, d), "ticker", "left")

@@ -16,6 +16,7 @@ from tidemark.operators import optimiser as O
 from tidemark.operators import plugins as G
 from tidemark.operators import relational as R
 from tidemark.operators import xsec as X
+from tidemark.operators.state import online_regime
 from tidemark.plans.backtest import _SELECTED, scores
 from tidemark.plans.registry import query
 from tidemark.plans.xsec import panel
@@ -92,6 +93,7 @@ STRATEGY = [
 
 
 @query(None)
+@V.bars_once
 def x09_configured_strategy(spark: SparkSession, d: str) -> DataFrame:
     """X09, X10, SC20, H29, UD2 and UD3: a configuration's factors score names, its optimiser weighs the best, its risk checks judge the book; each row of it with what came of it."""
     rets = V.returns(spark, d)
@@ -172,3 +174,39 @@ def l07_orthogonal_alpha(spark: SparkSession, d: str) -> DataFrame:
     held = checkpointed(R.latest(rows.na.drop().withColumn("as_of", F.last_day("date")), ["ticker", "as_of"], "date"))
     out, _ = L.orthogonalised(held, "target", ["m12", "m6", "levy", "illiquid"], ["bab", "vol"])
     return out.select("as_of", "ticker", F.round("alpha", 8).alias("alpha"), *[F.round(c, 8).alias(c) for c in ("bab", "vol")])
+
+
+@query(None)
+def l04_two_stages(spark: SparkSession, d: str) -> DataFrame:
+    """L04's two stages and L08's fallback: next month's return by ridge on momentum and beta, what that leaves by constrained trees on trend and scaled momentum; learnt on the first seven tenths of months."""
+    rows = _samples(spark, d)
+    cut = rows.agg(F.percentile_approx(F.unix_date("as_of"), 0.7)).first()[0]
+    out, _ = L.residual_alpha(rows, "target", ["mom", "beta"], ["levy", "vsm"], train=F.unix_date("as_of") <= (cut or 0), rounds=8, depth=3)
+    return out.select("as_of", "ticker", six(F.col("target")).alias("target"), *[F.round(c, 8).alias(c) for c in ("linear", "residual_alpha", "total")])
+
+
+@query(None)
+@V.bars_once
+def h30_assembled(spark: SparkSession, d: str) -> DataFrame:
+    """A traditional score blended with what a configuration's learnt signals say of the same name.
+
+    Residual alpha, constrained trees and supply-chain momentum, each standardised by month, are averaged over those
+    that a name has and count 0.4 where over a tenth of the month's names have any. A regime below even odds scales them down.
+    """
+    rows, model = _trees(spark, d)
+    cut = rows.agg(F.percentile_approx(F.unix_date("as_of"), 0.7)).first()[0]
+    both, _ = L.residual_alpha(T.predicted(rows, model, "gbm"), "target", ["mom", "beta"], ["levy", "vsm"], train=F.unix_date("as_of") <= (cut or 0), rounds=4, depth=2)
+    ends = checkpointed(both.select("as_of", "ticker", "mom", "vsm", "beta", "gbm", F.col("residual_alpha").alias("residual")))
+    edges = checkpointed(R.both_ways(V.edges(spark, d)))
+    linked = A.propagated(edges, ends.select("as_of", "ticker", F.col("mom").alias("value")), by=["as_of"])
+    ends = ends.join(linked.select("as_of", "ticker", F.col("value").alias("supply_chain")), ["as_of", "ticker"], "left")
+    regime = online_regime(V.market(V.returns(spark, d)).withColumn("ticker", F.lit(0)), "mkt").select("bull")
+    signals = ("residual", "gbm", "supply_chain")
+    z = ends.select("as_of", "ticker", *[F.when(F.col(c).isNotNull(), X.z_score(c, "as_of")).alias(c) for c in (*signals, "mom", "vsm", "beta")])
+    known = sum((F.col(c).isNotNull().cast("int") for c in signals), F.lit(0))
+    learnt = F.try_divide(sum((F.coalesce(c, F.lit(0.0)) for c in signals), F.lit(0.0)), known)
+    z = z.withColumns({"base": (F.coalesce("mom", F.lit(0.0)) + F.coalesce("vsm", F.lit(0.0)) - F.coalesce("beta", F.lit(0.0))) / 3, "learnt": learnt})
+    covered = F.avg((known > 0).cast("double")).over(whole("as_of"))
+    out = z.withColumn("covered", covered).join(F.broadcast(regime))
+    share = F.when((F.col("covered") > 0.1) & F.col("learnt").isNotNull(), 0.4).otherwise(0.0) * F.least(F.lit(1.0), 2 * F.col("bull"))
+    return out.select("as_of", "ticker", six(F.col("base")).alias("base"), six(F.col("learnt")).alias("learnt"), six((1 - share) * F.col("base") + share * F.coalesce("learnt", F.lit(0.0))).alias("blended"))

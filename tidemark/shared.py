@@ -58,6 +58,12 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether there is a folder, wherever Spark can read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, in files that all executors share and Spark cleans up."""
     shared_dir(df.sparkSession)

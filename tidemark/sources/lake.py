@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.shared import checkpointed, exists
+
 #: Columns that a signal must have.
 SIGNAL = ("ticker", "date", "model_name", "score", "rank")
 
@@ -54,6 +56,46 @@ def experiment_id(config: DataFrame) -> DataFrame:
     return config.withColumn("id", F.substring(F.md5(F.to_json(F.struct(*sorted(config.columns)))), 1, 6))
 
 
+RUN = "run_id string, created string, config string, config_hash string, metrics string, metadata string"
+
+
+def save_experiments(runs: DataFrame, path: str, on: str, **tables: DataFrame) -> None:
+    """Add experiments of the day ``on``: their configurations, metrics and metadata (JSON), and tables that have the runs' key ``run``.
+
+    A run's id is the day and the first six digits of the md5 of its configuration. Where that is taken, ``_1``
+    is added, then ``_2`` to that, and so on, also within ``runs``. Each table is written once for all runs, by run_id.
+    """
+    spark = runs.sparkSession
+    base = F.concat(F.lit(f"{on}_"), F.substring("config_hash", 1, 6))
+    rows = runs.withColumn("config_hash", F.md5("config")).withColumn("base", base)
+    taken = _runs(spark, path).select(F.regexp_extract("run_id", "^([0-9-]+_[0-9a-f]{6})", 1).alias("base")).groupBy("base").agg(F.count("*").alias("taken"))
+    place = F.row_number().over(Window.partitionBy("base").orderBy("run")) - 1 + F.coalesce("taken", F.lit(0))
+    rows = rows.join(taken, "base", "left").withColumn("k", place)
+    suffix = F.when(F.col("k") > 0, F.concat(F.lit("_"), F.array_join(F.sequence(F.lit(1), F.col("k")), "_"))).otherwise("")
+    given = [F.col(c) if c in runs.columns else F.lit(None).cast("string").alias(c) for c in ("metrics", "metadata")]
+    # written first: what follows must not number the runs again
+    named = checkpointed(rows.select("run", F.concat("base", suffix).alias("run_id"), F.lit(on).alias("created"), "config", "config_hash", *given))
+    for name, table in tables.items():
+        table.join(named.select("run", "run_id"), "run").drop("run").repartition("run_id").write.mode("append").partitionBy("run_id").parquet(f"{path.rstrip('/')}/{name}")
+    named.drop("run").write.mode("append").json(f"{path.rstrip('/')}/runs")  # last: only whole experiments are listed
+
+
+def _runs(spark: SparkSession, path: str) -> DataFrame:
+    at = f"{path.rstrip('/')}/runs"
+    return spark.read.schema(RUN).json(at) if exists(spark, at) else spark.createDataFrame([], RUN)
+
+
+def experiments(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
+    """The n newest experiments."""
+    return _runs(spark, path).orderBy(F.desc("run_id")).limit(n)
+
+
+def experiment_rows(spark: SparkSession, path: str, name: str, run_id: str | None = None) -> DataFrame:
+    """A table of the experiments, of one run (by its partition) or of all."""
+    rows = spark.read.option("recursiveFileLookup", "false").parquet(f"{path.rstrip('/')}/{name}").withColumn("run_id", F.col("run_id").cast("string"))
+    return rows if run_id is None else rows.where(F.col("run_id") == run_id)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """bytes and sha256 of each file under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -85,7 +127,7 @@ def dates(spark: SparkSession, path: str) -> DataFrame:
 def write_fundamentals(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Fundamentals by year of their period; ``overwrite`` replaces the years that are written."""
     rows = rows.withColumn("year", F.year("period"))
-    rows.repartition("year").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    rows.repartition("year", F.pmod(F.xxhash64("ticker"), F.lit(8))).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
 def write_snapshot(features: DataFrame, path: str, date: str, **metadata: str) -> None:

@@ -6,10 +6,18 @@ shipments by supplier and day: prices are retail prices, spread by tax and disco
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import change
+from tidemark.shared import checkpointed
+
+#: Bars with their returns that the parts of a query share, while it is put together.
+_SHARED: ContextVar[dict[str, DataFrame] | None] = ContextVar("shared bars", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +25,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bars_once(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``plan`` with all its bars and returns read from one checkpointed table.
+
+    Bars lie by ticker in order of date, so windows over them neither shuffle nor sort, whatever number of
+    factors a plan is made of. A plan made inside another takes the outer one's table.
+    """
+
+    @wraps(plan)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if _SHARED.get() is not None:
+            return plan(spark, sf_dir)
+        token = _SHARED.set({})
+        try:
+            return plan(spark, sf_dir)
+        finally:
+            _SHARED.reset(token)
+
+    return run
+
+
+def _held(name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """What ``made`` gives, checkpointed at first where bars are shared."""
+    shared = _SHARED.get()
+    if shared is None:
+        return made()
+    if name not in shared:
+        shared[name] = checkpointed(made())
+    return shared[name]
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, date, open, high, low, close, adj_close, volume."""
+    return _bars(spark, sf_dir) if _SHARED.get() is None else returns(spark, sf_dir).drop("ret")
+
+
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey")
     return rows.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(
@@ -33,7 +75,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with ret, the return on the bar before (null at a ticker's first)."""
-    return bars(spark, sf_dir).withColumn("ret", change(F.col("close")))
+    return _held(f"returns {sf_dir}", lambda: _bars(spark, sf_dir).withColumn("ret", change(F.col("close"))))
 
 
 def market(rets: DataFrame) -> DataFrame:
