@@ -159,6 +159,19 @@ def calendar(first: str, last: str, holidays: list[str] | None = None) -> Column
     return F.filter(days, lambda x: (F.weekday(x) < 5) & ~F.array_contains(off, x))
 
 
+def trading(day: Column, holidays: list[str] | None = None) -> Column:
+    """Whether a day is a weekday and no holiday."""
+    off = F.array(*[F.lit(h).cast("date") for h in holidays or []]).cast("array<date>")
+    return (F.weekday(day) < 5) & ~F.array_contains(off, day)
+
+
+def neighbours(day: Column, holidays: list[str] | None = None, reach: int = 10) -> tuple[Column, Column]:
+    """The trading days before and after a day, sought among ``reach`` days; the day beside it where there is none."""
+    before = F.filter(F.sequence(F.date_sub(day, reach), F.date_sub(day, 1)), lambda x: trading(x, holidays))
+    after = F.filter(F.sequence(F.date_add(day, 1), F.date_add(day, reach)), lambda x: trading(x, holidays))
+    return F.coalesce(F.array_max(before), F.date_sub(day, 1)), F.coalesce(F.array_min(after), F.date_add(day, 1))
+
+
 def outdated(bars: DataFrame, today: str, most: int = 30) -> DataFrame:
     """ticker, last_date, gap_days, fetch_from: where to fetch from; a gap of over ``most`` days starts 60 days back."""
     last = bars.groupBy("ticker").agg(F.max("date").alias("last_date"))

@@ -95,13 +95,19 @@ def v10_repaired(spark: SparkSession, d: str) -> DataFrame:
     return Q.repaired(rows, Q.with_actions(Q.row_issues(rows))).groupBy("ticker").agg(F.count("*").alias("bars"), F.round(F.sum("close"), 4).alias("closes"))
 
 
-@query("""WITH c AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '1998-01-01', DATE '1998-12-31', INTERVAL 1 DAY) t(d)), o AS (SELECT date FROM c WHERE isodow(date) <= 5 AND date NOT IN (DATE '1998-01-01', DATE '1998-07-03', DATE '1998-12-25'))
-SELECT date, lag(date) OVER (ORDER BY date) AS previous, lead(date) OVER (ORDER BY date) AS following FROM o""")
+_HOLIDAYS = ["1998-01-01", "1998-07-03", "1998-12-25"]
+_OFF = ", ".join(f"DATE '{h}'" for h in _HOLIDAYS)
+_OPEN = f"lambda x: isodow(x) <= 5 AND CAST(x AS DATE) NOT IN ({_OFF})"
+
+
+@query(f"""WITH {V.BARS}, dy AS (SELECT date, count(*) AS bars FROM bars GROUP BY 1) SELECT date, bars, isodow(date) <= 5 AND date NOT IN ({_OFF}) AS trading,
+CAST(coalesce(list_max(list_filter(generate_series(date - INTERVAL 10 DAY, date - INTERVAL 1 DAY, INTERVAL 1 DAY), {_OPEN})), date - INTERVAL 1 DAY) AS DATE) AS previous,
+CAST(coalesce(list_min(list_filter(generate_series(date + INTERVAL 1 DAY, date + INTERVAL 10 DAY, INTERVAL 1 DAY), {_OPEN})), date + INTERVAL 1 DAY) AS DATE) AS following FROM dy""")
 def v13_calendar(spark: SparkSession, d: str) -> DataFrame:
-    """A year of trading days: an array of a few hundred dates, so neighbours come from the array itself."""
-    days = Q.calendar("1998-01-01", "1998-12-31", ["1998-01-01", "1998-07-03", "1998-12-25"])
-    rows = spark.range(1).select(days.alias("days"))
-    return rows.select(F.posexplode("days").alias("k", "date"), "days").select("date", F.get("days", F.col("k") - 1).alias("previous"), F.get("days", F.col("k") + 1).alias("following"))
+    """For each day that has bars, whether it is a trading day, and the trading days beside it."""
+    before, after = Q.neighbours(F.col("date"), _HOLIDAYS)
+    days = V.bars(spark, d).groupBy("date").agg(F.count("*").alias("bars"))
+    return days.select("date", "bars", Q.trading(F.col("date"), _HOLIDAYS).alias("trading"), before.alias("previous"), after.alias("following"))
 
 
 @query(f"""WITH {V.BARS} SELECT ticker, max(date) AS last_date, CAST(DATE '2001-11-10' - 1 - max(date) AS INTEGER) AS gap_days,

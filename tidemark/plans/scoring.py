@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, finite, interp, norm_pdf, ratio, six
-from tidemark.functions.windows import change, recent, rolling
+from tidemark.functions.windows import by_ticker, change, recent, rolling
 from tidemark.operators import factors as A
 from tidemark.operators import relational as R
 from tidemark.operators import scoring as S
@@ -61,13 +61,16 @@ def x08_registered_features(spark: SparkSession, d: str) -> DataFrame:
     return last.select("ticker", "date", *[six(F.col(c)).alias(c) for c in ("vol_20", "over_sma", "steady_trend", "short_interest")])
 
 
-@query("""WITH RECURSIVE n AS (SELECT * FROM (VALUES ('vol_20', 'volatility', 20), ('ret_1', 'momentum', 2), ('sma_20', 'trend', 20), ('over_sma', 'trend', 20), ('steady_trend', 'trend', 20), ('short_interest', 'alternative', 1)) t(name, category, lookback)),
+@query(f"""WITH RECURSIVE {V.BARS}, hs AS (SELECT row_number() OVER ({_W}) AS k FROM bars), n AS (SELECT * FROM (VALUES ('vol_20', 'volatility', 20), ('ret_1', 'momentum', 2), ('sma_20', 'trend', 20), ('over_sma', 'trend', 20), ('steady_trend', 'trend', 20), ('short_interest', 'alternative', 1)) t(name, category, lookback)),
 e AS (SELECT * FROM (VALUES ('vol_20', 'ret_1'), ('over_sma', 'sma_20'), ('steady_trend', 'over_sma'), ('steady_trend', 'vol_20')) t(name, needs)),
 r AS (SELECT name, 0 AS level FROM n UNION ALL SELECT e.name, r.level + 1 FROM e JOIN r ON e.needs = r.name)
-SELECT name, any_value(category) AS category, any_value(lookback)::INTEGER AS lookback, max(level)::INTEGER AS level FROM n JOIN r USING (name) GROUP BY 1""")
+SELECT name, any_value(category) AS category, any_value(lookback)::INTEGER AS lookback, max(level)::INTEGER AS level, (SELECT count(*) FROM hs WHERE k >= any_value(lookback)) AS bars FROM n JOIN r USING (name) GROUP BY 1""")
 def t06_feature_levels(spark: SparkSession, d: str) -> DataFrame:
-    """The features' catalogue with the level at which each is computed."""
-    return FEATURES.catalogue(spark)
+    """The features' catalogue with the level at which each is computed, and how many bars have the history that it looks back on."""
+    known = FEATURES.catalogue(spark)
+    spans = [r["lookback"] for r in known.select("lookback").distinct().collect()]
+    counts = V.bars(spark, d).select(F.row_number().over(by_ticker()).alias("k")).agg(*[F.count_if(F.col("k") >= n).alias(str(n)) for n in spans])
+    return known.join(F.broadcast(counts.unpivot([], [str(n) for n in spans], "span", "bars")), F.col("lookback") == F.col("span").cast("int")).drop("span")
 
 
 _WEIGHTS = (
@@ -81,10 +84,22 @@ _WEIGHTS = (
 )
 
 
-@query(f"WITH {_WEIGHTS} SELECT regime, factor, category, round(weight::DOUBLE, 6) AS weight FROM w")
+def _months(spark: SparkSession, d: str) -> DataFrame:
+    """regime, months: how many month ends of the panel are in which regime."""
+    mean = panel(spark, d).groupBy("as_of").agg(F.avg("mom").alias("mean"))
+    return mean.groupBy(F.when(F.col("mean") > 0.02, "Bull").when(F.col("mean") < -0.02, "Bear").when(F.col("mean").isNull(), "Unknown").otherwise("Transition").alias("regime")).agg(F.count("*").alias("months"))
+
+
+_MONTHS = f"""{_PANEL}, mn AS (SELECT CASE WHEN avg(mom) > 0.02 THEN 'Bull' WHEN avg(mom) < -0.02 THEN 'Bear' WHEN avg(mom) IS NULL THEN 'Unknown' ELSE 'Transition' END AS regime FROM panel GROUP BY as_of),
+mt AS (SELECT regime, count(*) AS months FROM mn GROUP BY 1)"""
+
+
+@query(f"WITH {_WEIGHTS}, ms AS (WITH {_MONTHS} SELECT regime, months FROM mt) SELECT w.regime, factor, category, round(weight::DOUBLE, 6) AS weight, coalesce(months, 0) AS months FROM w LEFT JOIN ms ON ms.regime = CASE w.regime WHEN 'Neutral' THEN 'Transition' ELSE w.regime END")
 def x11_factor_weights(spark: SparkSession, d: str) -> DataFrame:
-    """X11: quality at the user's weight, volatility switched off, under each regime."""
-    return S.effective_weights(spark, {"quality": 1.2}, ("volatility",)).withColumn("weight", six(F.col("weight")))
+    """X11: quality at the user's weight, volatility switched off, under each regime, with the months that they apply to."""
+    weights = S.effective_weights(spark, {"quality": 1.2}, ("volatility",)).withColumn("weight", six(F.col("weight")))
+    months = _months(spark, d).withColumn("regime", F.when(F.col("regime") == "Transition", "Neutral").otherwise(F.col("regime")))
+    return weights.join(F.broadcast(months), "regime", "left").fillna(0, ["months"])  # four rows
 
 
 @query(f"""WITH {_WEIGHTS}, s AS ({SQL['f14_fundamental_scores']}), l AS (SELECT ticker, 'quality' AS factor, quality AS value FROM s UNION ALL SELECT ticker, 'value', value FROM s)
@@ -145,15 +160,17 @@ def f40_scorecard(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ticker", "score", signal.alias("signal"), six(share).alias("confidence"), F.round("percentile", 4).alias("percentile"))
 
 
-@query(f"""SELECT 'scorecard' AS weights, {len(S.CARD)} AS n, true AS complete UNION ALL SELECT 'Bull', 9, {str(S.complete(X.REGIME_WEIGHTS['Bull'])).lower()} UNION ALL SELECT 'Bear', 9, {str(S.complete(X.REGIME_WEIGHTS['Bear'])).lower()}
-UNION ALL SELECT 'Transition', 9, {str(S.complete(X.REGIME_WEIGHTS['Transition'])).lower()} UNION ALL SELECT 'Unknown', 9, {str(S.complete(X.REGIME_WEIGHTS['Unknown'])).lower()}""")
+@query(f"""WITH {_MONTHS}, t AS (SELECT 'scorecard' AS weights, {len(S.CARD)} AS n, true AS complete {' '.join(f"UNION ALL SELECT '{r}', {len(w)}, {str(S.complete(w)).lower()}" for r, w in X.REGIME_WEIGHTS.items())})
+SELECT weights, n, complete, coalesce(CASE WHEN weights = 'scorecard' THEN (SELECT sum(months)::BIGINT FROM mt) ELSE months END, 0) AS months FROM t LEFT JOIN mt ON regime = weights""")
 def h12_complete_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Which tables of weights add up to 1."""
+    """Which tables of weights add up to 1, with the months that they apply to."""
     tables = {"scorecard": S.CARD, **X.REGIME_WEIGHTS}
     sizes = [(n, len(t), list(t.values())) for n, t in tables.items()]
     rows = spark.createDataFrame(sizes, "weights string, n int, w array<double>")
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
-    return rows.select("weights", "n", (F.abs(total - 1) < 0.001).alias("complete"))
+    months = _months(spark, d).withColumn("weights", F.explode(F.array("regime", F.lit("scorecard")))).groupBy("weights").agg(F.sum("months").alias("months"))
+    rows = rows.join(F.broadcast(months), "weights", "left")  # five rows
+    return rows.select("weights", "n", (F.abs(total - 1) < 0.001).alias("complete"), F.coalesce("months", F.lit(0)).alias("months"))
 
 
 #: A ranking's terms: the factor's column, its weight's name, and whether it is cleaned before.
