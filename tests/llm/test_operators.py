@@ -334,6 +334,27 @@ def test_join_of_large_regions(spark):
         assert got == by_brute_force(rows, size, percent)
 
 
+def test_texts_with_shingles_of_their_own_are_in_no_region(spark, monkeypatch):
+    """With tables that tell no shingle from another, texts that share a sentence in ten meet no longer: each has enough of its own."""
+    monkeypatch.setattr(jaccard_join, "frequency_classes", lambda *_: np.full((1 << jaccard_join.WORD_BITS) + (1 << jaccard_join.SHINGLE_BITS), 5, np.uint8))
+    met = []
+    own = JaccardJoin._regions
+
+    def spied(*a):
+        regions, shown = own(*a)
+        met.extend(r.cid for r in regions.select("cid").distinct().collect())
+        return regions, shown
+
+    monkeypatch.setattr(JaccardJoin, "_regions", spied)
+    passage = [f"p{j}" for j in range(10)]
+    rows = [(k, " ".join(passage + [f"t{k}x{j}" for j in range(90)])) for k in range(40)]
+    rows += [(40 + k, f"{rows[k][1]} more") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in JaccardJoin(3, 80).joined(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == by_brute_force(rows, 3, 80)
+    assert len(met) == 6
+
+
 def test_one_of_each_group_stays(awkward):
     kept = without_near_copies(awkward)
     assert kept.columns == awkward.columns

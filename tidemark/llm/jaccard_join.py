@@ -7,8 +7,11 @@ equal sets are one class, so copies never meet again. r is the greatest distance
 
 * Regions. Most sets are at distance 1 from each other, where no pivot tells them apart. A set
   within r of one with n shingles lacks at most ``n - ceil((1 - r) n)`` of them, so two such
-  sets have one of the first ``n - ceil((1 - r) n) + 1`` of each in common. Sets that show the
-  same such shingle are a region; sets that share none are over r apart. Regions of one class
+  sets have j of the first ``n - ceil((1 - r) n) + j`` of each in common: their windows. How many
+  classes show a shingle is counted exactly, and each class gives up the most frequent of its window,
+  two fewer than any two such windows share: the rarest of what they share stays in both. So texts that have
+  shingles of their own leave the join here, however coarse the tables are for the corpus. Sets that show
+  the same shingle are a region; sets that share none are over r apart. Regions of one class
   end here, those of ``SMALL`` classes at most are joined pair by pair.
 * Pivots and Voronoi cells. In a larger region sets are drawn as pivots: one (the set whose
   rarest shingle is the most frequent: an original has no shingles of its own, its edited copies
@@ -21,7 +24,7 @@ equal sets are one class, so copies never meet again. r is the greatest distance
 * Recursion. In a cell a set is known by its difference from the pivot, and the differences are
   sets again: those that share one of their rarest elements, as many as the distances from the
   pivot leave open, are the regions of the next level. Sets far from all pivots of a first region
-  share a second shingle of their windows if they are within r: that cuts it into regions of the
+  share a second shingle of those they show if they are within r: that cuts it into regions of the
   next level. Those of ``LARGE`` sets at most are joined pair by pair, larger ones have pivots of their own.
   After ``DEPTH`` levels what is left is compared pair by pair.
 
@@ -189,8 +192,12 @@ class JaccardJoin:
 
     def _window(self):
         percent = self.percent
-        # the shingles of the window: n - ceil(percent n / 100) + 1, one more that tells pairs apart in _apart
-        return lambda n: min(n, n - -(-percent * n // 100) + 2)
+        # two windows within r share two shingles more than the larger set gives up, or all that the sets share
+        return lambda n: min(n, n - -(-percent * n // 100) + n * 100 // percent * (100 - percent) // 200 + 2)
+
+    def _given_up(self) -> str:
+        """How many of its window's shingles a set of n gives up: half of what sets within r of it may lack."""
+        return f"cast(n * {100 - self.percent} div 200 as int)"
 
     def _sizes_fit(self, n: Column, m: Column) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
@@ -207,7 +214,7 @@ class JaccardJoin:
         reps = written(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("cid")), "jaccard-classes")
         held = rows.join(fitting(reps.select("cid")), F.col("rid") == F.col("cid")).select("cid", F.col("n").cast("int").alias("n"), "own")
 
-        regions = self._regions(held)
+        regions, shown = self._regions(held)
         close = checkpointed(self._apart(self._pairs(regions.where(F.col("k") <= SMALL)), held))
         large = regions.where(F.col("k") > SMALL)
         sets = self._needed_sets(docs, rows, close.select("cid").union(close.select("pivot")).union(large.select("cid")), order)
@@ -220,18 +227,21 @@ class JaccardJoin:
             links.append(measured.where("linked AND cid <> pivot").select("cid", "pivot"))
             cells, far = self._cells(large, measured, pivots)
             parts = self._parts(cells, measured)
-            parts = parts.union(self._second(far, held) if level == 0 else far.select(parts.columns))
+            parts = parts.union(self._second(far, shown) if level == 0 else far.select(parts.columns))
             sizes = written(parts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-sizes")
             parts = written(parts.join(sizes, "key"), "jaccard-parts")
             pairs.append(self._pairs(parts if level == DEPTH - 1 else parts.where(F.col("k") <= LARGE)))
             large = parts.where(F.col("k") > LARGE).withColumn("f", F.xxhash64("cid", F.lit(level)))
-        pairs = pairs[0] if len(pairs) == 1 else self._unlinked(_union(pairs).distinct(), _union(links))
+        if len(pairs) > 1:
+            others = self._unlinked(_union(pairs[1:]).distinct(), _union(links))
+            pairs = [self._unlinked(close, _union(links)), self._apart(checkpointed(others), held)]
+        pairs = _union(pairs).distinct()
         links.append(self._measured(pairs, sets, whole=False).where("linked").select("cid", "pivot"))
         labels = components(_union(links).toDF("a", "b"))
         named = reps.join(labels, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cid"))
         ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
         out = written(named.join(ids, "comp").select("sig", "comp", "component_id"), "jaccard-components")
-        for table in (sets, regions, reps):
+        for table in (sets, regions, shown, reps):
             dropped(table)
         return rows, out
 
@@ -245,20 +255,32 @@ class JaccardJoin:
         """Whether sets of n and m shingles with ``apart`` known in their symmetric difference may be within r."""
         return self._sizes_fit(n, m) & (100 * (n + m - apart) >= self.percent * (n + m + apart))
 
-    def _regions(self, held: DataFrame) -> DataFrame:
-        """key (a shingle), cid, n, d, rest, home, linked, f (the first shingle), k: the windows of each class, where k > 1 classes show the same.
+    def _regions(self, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """key (a shingle), p, cid, n, d, rest, home, linked, f, k: what each class shows, where k > 1 classes show the same; and cid with all it shows.
 
-        The pivot of the first level is the empty set: d is n, and ``rest`` the shingles from the key on. A shingle that occurs once in all texts (class 1), or with a word that does, is no other text's.
+        The pivot of the first level is the empty set: d is n. f is higher the fewer shingles of its own a class has, p the
+        key's place among those shown. A shingle that occurs once in all texts (class 1), or with a word that does, is no other text's.
         """
-        # the last of own, if there is one more, serves _apart alone
-        window = F.expr(f"slice(own, 1, cast(n - (n * {self.percent} + 99) div 100 + 1 as int))")
-        windows = held.select("cid", "n", F.col("own")[0].alias("f"), F.posexplode(window).alias("p", "key")).where(self._shown(F.col("key")))
-        # written, so that the join below reads two exchanges and Spark splits a shingle that very many classes show
+        size = self._window_size()
+        windows = held.select("cid", "n", F.explode("own").alias("key")).where(self._shown(F.col("key")))
+        # written, so that the joins below read two exchanges and Spark splits a shingle that very many classes show
         shared = written(windows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-shared")
-        rows = windows.join(shared, "key").select("key", "cid", "n", F.col("n").alias("d"), (F.col("n") - F.col("p")).alias("rest"), F.lit(True).alias("home"), F.lit(False).alias("linked"), "f", "k")
+        own = windows.join(shared, "key").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("k", "key"))).alias("own"))
+        # the shingles of one class alone are its rarest: all that is given up is among the others
+        own = own.select("cid", "n", (F.size("own") - F.expr(size)).cast("long").alias("f"), F.expr(f"slice(own.key, 1, greatest(0, size(own) - {self._given_up()}))").alias("own"))
+        shown = written(own.where("size(own) > 1"), "jaccard-shown")
+        # two sets within r show two shingles in common, of which the last of either is at most the second
+        rows = shown.select("cid", "n", "f", F.posexplode(F.expr("slice(own, 1, size(own) - 1)")).alias("p", "key"))
+        sizes = written(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-sizes")
+        rows = rows.join(sizes, "key").select("key", "p", "cid", "n", F.col("n").alias("d"), F.col("n").alias("rest"), F.lit(True).alias("home"), F.lit(False).alias("linked"), "f", "k")
         out = written(rows, "jaccard-regions")
-        dropped(shared)
-        return out
+        for table in (shared, sizes):
+            dropped(table)
+        return out, shown
+
+    def _window_size(self) -> str:
+        p = self.percent
+        return f"least(n, n - (n * {p} + 99) div 100 + (n * 100 div {p}) * {100 - p} div 200 + 2)"
 
     @staticmethod
     def _shown(h: Column) -> Column:
@@ -303,7 +325,7 @@ class JaccardJoin:
         return bucketed(one, "jaccard_sets", SET_BUCKETS, "cid")
 
     def _measured(self, pairs: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
-        """cid, pivot, n, m, both (shingles of both) and linked, of distinct pairs; ``whole``: and e, the difference of the two, and d, its size.
+        """cid, pivot, n, m, both (shingles of both) and linked, of distinct pairs; ``whole``: and e, the difference of the two (null beyond 3r), and d, its size.
 
         e is without the shingles that no other text can have. Written, so that e is only read where it is needed.
         """
@@ -315,6 +337,7 @@ class JaccardJoin:
         found = found.withColumn("linked", 100 * F.col("both") >= self.percent * (F.col("n") + F.col("m") - F.col("both")))
         if whole:
             e = F.concat(F.filter(F.array_except("x", "y"), self._shown), F.array_except("y", "x"))
+            e = F.when(self._distance() <= 3 * self._r(), e)  # beyond that a set is in no cell of the pivot
             found = found.withColumns({"d": F.col("n") + F.col("m") - 2 * F.col("both"), "e": e}).drop("x", "y")
         out = written(found, "jaccard-measured")
         dropped(pivots)
@@ -325,16 +348,26 @@ class JaccardJoin:
         return 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
 
     def _against_pivots(self, rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """What _measured says of each class and each pivot of its regions, the pivots themselves among them; and key and pivot."""
-        drawn = checkpointed(rows.groupBy("key").agg(F.max(F.struct("f", "cid")).alias("x")).select("key", F.col("x.cid").alias("pivot")))
-        first = self._measured(rows.join(drawn, "key").select("cid", "pivot").distinct(), sets, whole=True)
-        beyond = first.where(self._distance() > 2 * self._r()).select("cid", "pivot")
-        beyond = rows.select("key", "cid").join(drawn, "key").join(beyond, ["cid", "pivot"])
-        draws = [F.max(F.struct(F.xxhash64("cid", F.lit(k)).alias("x"), "cid"))["cid"] for k in range(1, PIVOTS)]
-        more = checkpointed(beyond.groupBy("key").agg(F.array_distinct(F.array(*draws)).alias("pivots")).select("key", F.explode("pivots").alias("pivot")))
+        """What _measured says of each class and each pivot of its regions that are 3r apart at most by their sizes, the pivots themselves among them; and key, pivot and m.
+
+        Sets whose sizes put them farther apart are in no cell of each other and need no measure.
+        """
+
+        def near(pairs: DataFrame) -> DataFrame:
+            return pairs.where(F.least("n", "m") >= (1 - 3 * self._r()) * F.greatest("n", "m")).select("cid", "pivot").distinct()
+
+        own = F.struct("f", "cid", "n")
+        drawn = checkpointed(rows.groupBy("key").agg(F.max(own).alias("x")).select("key", F.col("x.cid").alias("pivot"), F.col("x.n").alias("m")))
+        met = rows.select("key", "cid", "n").join(drawn, "key")
+        first = self._measured(near(met), sets, whole=True)
+        away = first.select("cid", "pivot", self._distance().alias("away"))
+        beyond = met.join(away, ["cid", "pivot"], "left").where(F.coalesce("away", F.lit(1.0)) > 2 * self._r())
+        draws = [F.max(F.struct(F.xxhash64("cid", F.lit(k)).alias("x"), "cid", "n")) for k in range(1, PIVOTS)]
+        more = beyond.groupBy("key").agg(F.array_distinct(F.transform(F.array(*draws), lambda x: F.struct(x["cid"].alias("pivot"), x["n"].alias("m")))).alias("p"))
+        more = checkpointed(more.select("key", F.inline("p")))
         if more.isEmpty():
             return first, drawn
-        pairs = rows.join(more, "key").select("cid", "pivot").distinct().join(first.select("cid", "pivot"), ["cid", "pivot"], "left_anti")
+        pairs = near(rows.select("key", "cid", "n").join(more, "key")).join(first.select("cid", "pivot"), ["cid", "pivot"], "left_anti")
         return first.unionByName(self._measured(pairs, sets, whole=True)), drawn.union(more)
 
     def _r(self) -> float:
@@ -344,18 +377,18 @@ class JaccardJoin:
         """pivot, cid, home: the classes of each pivot's cell; and the rows of the regions whose class is over 2r from all pivots there."""
         d = measured.select("cid", "pivot", self._distance().alias("away"))
         # one row for each class of a region: its distances from all pivots there
-        at = rows.select("key", "cid").join(pivots, "key").join(d, ["cid", "pivot"])
+        at = rows.select("key", "cid").join(pivots.select("key", "pivot"), "key").join(d, ["cid", "pivot"], "left").withColumn("away", F.coalesce("away", F.lit(1.0)))
         at = checkpointed(at.groupBy("key", "cid").agg(F.min("away").alias("least"), F.collect_set(F.struct("pivot", "away")).alias("all")))
         away, near = F.col("to.away"), F.col("least") <= 2 * self._r()
         inside = at.select("cid", "least", F.explode("all").alias("to")).where(away <= F.least(F.col("least") + 2 * self._r(), F.lit(3 * self._r())))
         cells = inside.groupBy(F.col("to.pivot").alias("pivot"), "cid").agg(F.max((away == F.col("least")) & near).alias("home"))
         return cells, rows.join(at.where(~near).select("key", "cid"), ["key", "cid"])
 
-    def _second(self, far: DataFrame, held: DataFrame) -> DataFrame:
-        """Rows of first regions cut by the second shingle that sets within r have in common, one beyond the window at most."""
-        own = far.select("key", "cid", "n", "d", "rest").join(held.select("cid", "own"), "cid")
-        own = own.select("key", "cid", "n", "d", "rest", F.posexplode("own").alias("q", "e")).where((F.col("q") > F.col("d") - F.col("rest")) & self._shown(F.col("e")))
-        return own.select(F.xxhash64("key", "e").alias("key"), "cid", "n", "d", (F.col("n") - F.col("q") + 1).alias("rest"), F.lit(True).alias("home"), F.lit(False).alias("linked"))
+    def _second(self, far: DataFrame, shown: DataFrame) -> DataFrame:
+        """Rows of first regions cut by the second shingle that sets within r show in common."""
+        own = far.select("key", "p", "cid", "n", "d").join(shown.select("cid", "own"), "cid")
+        own = own.select("key", "p", "cid", "n", "d", F.posexplode("own").alias("q", "e")).where("q > p")
+        return own.select(F.xxhash64("key", "e").alias("key"), "cid", "n", "d", F.col("n").alias("rest"), F.lit(True).alias("home"), F.lit(False).alias("linked"))
 
     def _parts(self, cells: DataFrame, measured: DataFrame) -> DataFrame:
         """key (of a pivot and a shingle), cid, n, d, rest, home, linked: the regions of differences in each cell.
