@@ -39,6 +39,42 @@ def change(x: Column, n: int = 1) -> Column:
     return F.try_divide(x, F.lag(x, n).over(by_ticker())) - 1
 
 
+class Rolling:
+    """Values about each row of a ticker, as windows."""
+
+    def now(self, c: str) -> Column:
+        """A column of the row."""
+        return F.col(c)
+
+    def before(self, c: str, n: int) -> Column:
+        """A column n rows before."""
+        return F.lag(c, n).over(by_ticker())
+
+    def over(self, n: int, f: Callable[..., Column], *xs: Column | str) -> Column:
+        """f of the row and the n - 1 before it."""
+        return f(*xs).over(last_n(n))
+
+    def rolling(self, f: Callable[[Column], Column], x: Column, n: int) -> Column:
+        """f over the last n rows, null where fewer have a value."""
+        return F.when(self.over(n, F.count, x) >= n, self.over(n, f, x))
+
+
+class Ending(Rolling):
+    """The same about a ticker's last row alone, as aggregates of rows that :func:`placed` gives: each row is added once, where a frame is summed anew for every row."""
+
+    def now(self, c: str) -> Column:
+        return self.before(c, 0)
+
+    def before(self, c: str, n: int) -> Column:
+        return F.max(F.when(F.col("place") == n + 1, F.col(c)))
+
+    def over(self, n: int, f: Callable[..., Column], *xs: Column | str) -> Column:
+        return f(*[F.when(F.col("place") <= n, F.col(x) if isinstance(x, str) else x) for x in xs])
+
+
+ROLLING, ENDING = Rolling(), Ending()
+
+
 def filled(x: Column) -> Column:
     """x or its last value before."""
     return F.last(x, ignorenulls=True).over(so_far())
@@ -61,7 +97,12 @@ def rolled(rows: DataFrame, wide: int, **sums: Column) -> DataFrame:
     return running.select("*", *[(F.col(f"_{k}") - before[k]).alias(k) for k in sums]).drop(*[f"_{k}" for k in sums])
 
 
+def placed(rows: DataFrame, n: int) -> DataFrame:
+    """The last n rows of each ticker with their place, 1 for the last."""
+    latest = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
+    return rows.withColumn("place", latest).where(F.col("place") <= n)
+
+
 def recent(rows: DataFrame, n: int) -> DataFrame:
     """The last n rows of each ticker."""
-    latest = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
-    return rows.withColumn("_k", latest).where(F.col("_k") <= n).drop("_k")
+    return placed(rows, n).drop("place")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, interp, ratio
-from tidemark.functions.windows import by_ticker, change, last_n, rolling, so_far, whole
+from tidemark.functions.windows import ROLLING, Rolling, by_ticker, last_n, rolling, so_far, whole
 
 YEAR = 252
 
@@ -15,63 +15,64 @@ def _lag(c: str, n: int) -> Column:
     return F.lag(c, n).over(by_ticker())
 
 
-def high_momentum() -> Column:
+def _moved(at: Rolling, n: int) -> Column:
+    return F.try_divide(at.now("close"), at.before("close", n)) - 1
+
+
+def high_momentum(at: Rolling = ROLLING) -> Column:
     """Close against the highest close of 252 rows: 70 % scores 0, 100 % scores 100."""
-    return interp(ratio(F.col("close"), rolling(F.max, F.col("close"), YEAR)), 0.70, 1.0)
+    return interp(ratio(at.now("close"), at.rolling(F.max, F.col("close"), YEAR)), 0.70, 1.0)
 
 
-def vol_scaled_momentum() -> Column:
+def vol_scaled_momentum(at: Rolling = ROLLING) -> Column:
     """252-row change over annualised volatility; 0 where there is less history."""
-    return F.coalesce(ratio(change(F.col("close"), YEAR), rolling(F.stddev_samp, F.col("ret"), YEAR) * YEAR**0.5), F.lit(0.0))
+    return F.coalesce(ratio(_moved(at, YEAR), at.rolling(F.stddev_samp, F.col("ret"), YEAR) * YEAR**0.5), F.lit(0.0))
 
 
-def vol_targeted_momentum() -> Column:
+def vol_targeted_momentum(at: Rolling = ROLLING) -> Column:
     """12-1 momentum at a 12 % volatility target, volatility of the last 60 returns (population)."""
-    momentum = ratio(_lag("close", 20), _lag("close", 251)) - 1
-    vol = F.stddev_pop("ret").over(last_n(60)) * YEAR**0.5
-    return F.when(F.count("close").over(last_n(253)) >= 253, momentum * ratio(F.lit(0.12), vol))
+    vol = at.over(60, F.stddev_pop, "ret") * YEAR**0.5
+    return F.when(at.over(253, F.count, "close") >= 253, momentum_12m(at) * ratio(F.lit(0.12), vol))
 
 
-def vol_scaled_total() -> Column:
+def vol_scaled_total(at: Rolling = ROLLING) -> Column:
     """Compounded return of 252 rows over annualised volatility."""
-    total = F.exp(F.sum(F.ln(1 + F.col("ret"))).over(last_n(YEAR))) - 1
-    return F.when(F.count("ret").over(last_n(YEAR)) >= YEAR, ratio(total, F.stddev_samp("ret").over(last_n(YEAR)) * YEAR**0.5))
+    total = F.exp(at.over(YEAR, F.sum, F.ln(1 + F.col("ret")))) - 1
+    return F.when(at.over(YEAR, F.count, "ret") >= YEAR, ratio(total, at.over(YEAR, F.stddev_samp, "ret") * YEAR**0.5))
 
 
-def betting_against_beta(mixed: bool = False) -> Column:
+def betting_against_beta(mixed: bool = False, at: Rolling = ROLLING) -> Column:
     """Minus beta over 252 rows of ret and mkt; ``mixed`` divides a sample covariance by a population variance."""
-    w = last_n(YEAR)
-    var = F.var_pop("mkt").over(w) if mixed else F.var_samp("mkt").over(w)
-    return F.when(F.count("ret").over(w) >= 200, -ratio(F.covar_samp("ret", "mkt").over(w), var))
+    var = at.over(YEAR, F.var_pop if mixed else F.var_samp, "mkt")
+    return F.when(at.over(YEAR, F.count, "ret") >= 200, -ratio(at.over(YEAR, F.covar_samp, "ret", "mkt"), var))
 
 
-def momentum_difference() -> Column:
+def momentum_difference(at: Rolling = ROLLING) -> Column:
     """12-month less 1-month return."""
-    return (ratio(F.col("close"), _lag("close", 251)) - 1) - (ratio(F.col("close"), _lag("close", 20)) - 1)
+    return (ratio(at.now("close"), at.before("close", 251)) - 1) - (ratio(at.now("close"), at.before("close", 20)) - 1)
 
 
-def momentum_12m() -> Column:
-    return ratio(_lag("close", 20), _lag("close", 251)) - 1
+def momentum_12m(at: Rolling = ROLLING) -> Column:
+    return ratio(at.before("close", 20), at.before("close", 251)) - 1
 
 
-def momentum_6m() -> Column:
-    return ratio(F.col("close"), _lag("close", 125)) - 1
+def momentum_6m(at: Rolling = ROLLING) -> Column:
+    return ratio(at.now("close"), at.before("close", 125)) - 1
 
 
-def volatility_60d() -> Column:
-    return rolling(F.stddev_samp, F.col("ret"), 59) * YEAR**0.5
+def volatility_60d(at: Rolling = ROLLING) -> Column:
+    return at.rolling(F.stddev_samp, F.col("ret"), 59) * YEAR**0.5
 
 
-def idiosyncratic_vol() -> Column:
+def idiosyncratic_vol(at: Rolling = ROLLING) -> Column:
     """Minus the annualised spread of the residuals of ret on mkt, last 21 rows: sqrt(var (1 - corr^2))."""
-    w = last_n(21)
-    rest = F.var_pop("ret").over(w) * (1 - F.pow(F.corr("ret", "mkt").over(w), 2))
-    return F.when(F.count("ret").over(w) >= 21, -F.sqrt(F.greatest(rest, F.lit(0.0))) * YEAR**0.5)
+    rest = at.over(21, F.var_pop, "ret") * (1 - F.pow(at.over(21, F.corr, "ret", "mkt"), 2))
+    return F.when(at.over(21, F.count, "ret") >= 21, -F.sqrt(F.greatest(rest, F.lit(0.0))) * YEAR**0.5)
 
 
-def amihud() -> Column:
+def amihud(at: Rolling = ROLLING) -> Column:
     """Mean absolute return a unit of turnover, last 21 rows, times 1e6."""
-    return 1e6 * F.avg(ratio(F.abs("ret"), F.col("close") * F.col("volume"))).over(last_n(21))
+    return 1e6 * at.over(21, F.avg, ratio(F.abs("ret"), F.col("close") * F.col("volume")))
 
 
 def obv() -> Column:
@@ -79,17 +80,16 @@ def obv() -> Column:
     return F.sum(F.when(F.col("ret").isNull(), 0.0).otherwise(F.sign("ret") * F.col("volume"))).over(so_far())
 
 
-def obv_z() -> Column:
+def obv_z(at: Rolling = ROLLING) -> Column:
     """On-balance volume (column obv) against its last 252 rows (20 at least), within 5 deviations."""
-    w = last_n(YEAR)
-    z = ratio(F.col("obv") - F.avg("obv").over(w), F.stddev_samp("obv").over(w))
-    return F.when(F.count("obv").over(w) >= 20, clip(F.coalesce(z, F.lit(0.0)), -5.0, 5.0)).otherwise(0.0)
+    z = ratio(at.now("obv") - at.over(YEAR, F.avg, "obv"), at.over(YEAR, F.stddev_samp, "obv"))
+    return F.when(at.over(YEAR, F.count, "obv") >= 20, clip(F.coalesce(z, F.lit(0.0)), -5.0, 5.0)).otherwise(0.0)
 
 
-def obv_trend(band: float = 0.01) -> tuple[Column, Column]:
+def obv_trend(band: float = 0.01, at: Rolling = ROLLING) -> tuple[Column, Column]:
     """Least-squares slope of the last 20 values over their mean size, and its class."""
-    w = last_n(20)
-    slope = F.when(F.count("obv").over(w) >= 20, ratio(F.covar_pop("k", "obv").over(w), F.var_pop("k").over(w)) / F.nullif(F.avg(F.abs("obv")).over(w), F.lit(0.0)))
+    size = at.over(20, F.avg, F.abs("obv"))
+    slope = F.when(at.over(20, F.count, "obv") >= 20, ratio(at.over(20, F.covar_pop, "k", "obv"), at.over(20, F.var_pop, "k")) / F.nullif(size, F.lit(0.0)))
     return slope, F.when(slope > band, "rising").when(slope < -band, "falling").otherwise("flat")
 
 
@@ -133,9 +133,9 @@ def divergences(found: DataFrame, indicator: str) -> DataFrame:
     return kinds[0].union(kinds[1])
 
 
-def levy(n: int = 130) -> Column:
+def levy(n: int = 130, at: Rolling = ROLLING) -> Column:
     """Close over its mean of n rows."""
-    return ratio(F.col("close"), rolling(F.avg, F.col("close"), n))
+    return ratio(at.now("close"), at.rolling(F.avg, F.col("close"), n))
 
 
 def with_mansfield(rows: DataFrame, n: int = YEAR) -> DataFrame:

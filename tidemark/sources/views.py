@@ -61,9 +61,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+    # dealt out by ticker before they are grouped, as few lines share a ticker and day: windows over bars then neither shuffle nor sort again
+    rows = lines.withColumns({"ticker": F.col("l_suppkey"), "date": F.to_date("l_shipdate")}).repartition("ticker")
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey")
-    return rows.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(
+    return rows.groupBy("ticker", "date").agg(
         F.min_by("p_retailprice", key).alias("open"),
         F.max(F.col("p_retailprice") * (1 + F.col("l_tax"))).alias("high"),
         F.min(F.col("p_retailprice") * (1 - F.col("l_discount"))).alias("low"),
