@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio
 from tidemark.functions.windows import by_ticker, last_n, so_far, whole
+from tidemark.shared import checkpointed
 
 #: The columns of a bar, and what is done about each kind of issue.
 REQUIRED = ("ticker", "date", "open", "high", "low", "close", "adj_close", "volume")
@@ -114,12 +115,14 @@ def filled_in(bars: DataFrame, issues: DataFrame) -> DataFrame:
     rows = bars.join(taken, ["ticker", "date"], "left").withColumn("_drop", F.coalesce(F.exists("_taken", lambda x: x["action"] == "drop"), F.lit(False)))
     order, back = by_ticker(), F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
     rows = rows.withColumn("_inner", (F.row_number().over(order) > 1) & (back > 1))
-    out = rows.columns
-    for c in ("open", "high", "low", "close"):
+    prices = ("open", "high", "low", "close")
+    holes = {}
+    for c in prices:
         about = [i for i, columns in CONCERNS.items() if c in columns and i != "price_not_positive"]
         of = F.exists("_taken", lambda x: (x["action"] == "interpolate") & (x["issue"].isin(about) | ((x["issue"] == "price_not_positive") & (F.coalesce(F.col(c), F.lit(0.0)) <= 0))))  # noqa: B023
-        rows = rows.withColumn("_was", F.col(c)).withColumn(c, F.when(F.coalesce(of, F.lit(False)) & F.col("_inner") & ~F.col("_drop"), F.lit(None).cast("double")).otherwise(F.col(c)))
-        rows = interpolated(rows, c).withColumn(c, F.coalesce(F.col(c), F.col("_was"))).select(out)
+        holes[c] = F.when(F.coalesce(of, F.lit(False)) & F.col("_inner") & ~F.col("_drop"), F.lit(None).cast("double")).otherwise(F.col(c))
+    rows = rows.withColumns({f"_was_{c}": F.col(c) for c in prices}).withColumns(holes)
+    rows = interpolated(rows, *prices).withColumns({c: F.coalesce(F.col(c), F.col(f"_was_{c}")) for c in prices})
     wanted = F.coalesce(F.exists("_taken", lambda x: (x["action"] == "ffill") & (x["issue"] == "volume_not_positive")), F.lit(False))
     rows = rows.withColumn("volume", F.when(wanted & ~F.col("_drop") & F.col("volume").isNull(), F.last("volume", ignorenulls=True).over(so_far())).otherwise(F.col("volume")))
     return rows.where(~F.col("_drop")).select(bars.columns)
@@ -134,22 +137,28 @@ def caught_up(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of ``fetched`` to append, and ticker, status, added, dropped: checked as a backfill, repaired, failures kept apart, in one pass for all tickers."""
     fit = fit_for_store(fetched)
     sound = fetched.join(fit.where("NOT failed"), "ticker", "left_semi")
-    clean = repaired(sound, with_actions(row_issues(sound).union(spike_issues(sound))))
+    clean = checkpointed(repaired(sound, with_actions(row_issues(sound).union(spike_issues(sound)))))  # stored and counted
     added = clean.groupBy("ticker").agg(F.count("*").alias("added"))
     rows = fetched.groupBy("ticker").agg(F.count("*").alias("rows")).join(fit, "ticker").join(added, "ticker", "left").na.fill(0, ["added"])
     dropped = F.when(F.col("failed"), F.lit(0)).otherwise(F.col("rows") - F.col("added"))
     return clean, rows.select("ticker", F.when(F.col("failed"), "failed").otherwise("updated").alias("status"), "added", dropped.alias("dropped"))
 
 
-def interpolated(rows: DataFrame, value: str) -> DataFrame:
-    """Nulls between two values on the line between them by row; before the first and after the last stay null."""
-    after = by_ticker().rowsBetween(0, Window.unboundedFollowing)
-    place = F.row_number().over(by_ticker())
-    rows = rows.withColumn("_k", place)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("_k").alias("k")))
-    rows = rows.withColumns({"_a": F.last(known, ignorenulls=True).over(so_far()), "_b": F.first(known, ignorenulls=True).over(after)})
-    line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * ratio(F.col("_k") - F.col("_a.k"), F.col("_b.k") - F.col("_a.k"))
-    return rows.withColumn(value, F.coalesce(F.col(value), line)).drop("_k", "_a", "_b")
+def interpolated(rows: DataFrame, *values: str) -> DataFrame:
+    """Nulls between two values on the line between them by row; before the first and after the last stay null.
+
+    The next value is the last one in the opposite order: a frame to the end would be read anew for every row.
+    """
+    after = Window.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_k", F.row_number().over(by_ticker()))
+    known = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("v"), F.col("_k").alias("k"))) for v in values}
+    rows = rows.withColumns({f"_a_{v}": F.last(x, ignorenulls=True).over(so_far()) for v, x in known.items()})
+    rows = rows.withColumns({f"_b_{v}": F.last(x, ignorenulls=True).over(after) for v, x in known.items()})
+    for v in values:
+        a, b = F.col(f"_a_{v}"), F.col(f"_b_{v}")
+        line = a["v"] + (b["v"] - a["v"]) * ratio(F.col("_k") - a["k"], b["k"] - a["k"])
+        rows = rows.withColumn(v, F.coalesce(F.col(v), line))
+    return rows.drop("_k", *[f"_{x}_{v}" for v in values for x in "ab"])
 
 
 def calendar(first: str, last: str, holidays: list[str] | None = None) -> Column:

@@ -144,6 +144,7 @@ MENDED = {"price_not_positive": "interpolate", "low_gt_close": "interpolate", "v
 @query(f"""WITH {_FAULTY.replace('THEN 0.0 ELSE volume END', 'THEN 0.0 WHEN k % 97 = 29 THEN NULL ELSE volume END')}, {_ISSUES}, bad AS (SELECT DISTINCT ticker, date FROM issues WHERE issue NOT IN ('price_not_positive', 'low_gt_close', 'volume_not_positive')),
 m AS (SELECT ticker, date, CASE WHEN close <= 0 THEN coalesce((lag(close) OVER w + lead(close) OVER w) / 2, close) ELSE close END AS close, CASE WHEN close <= 0 THEN coalesce((lag(low) OVER w + lead(low) OVER w) / 2, low) ELSE low END AS low,
 coalesce(volume, lag(volume) OVER w) AS volume FROM faulty WINDOW w AS ({_W})) SELECT ticker, count(*) AS bars, round(sum(close), 4) AS closes, round(sum(low), 4) AS lows, sum(volume) AS volumes FROM m ANTI JOIN bad USING (ticker, date) GROUP BY 1""")
+@V.bars_once
 def v10_mended(spark: SparkSession, d: str) -> DataFrame:
     """V10 under a policy that interpolates prices and carries volumes on, as a checksum a ticker."""
     rows = faulty(spark, d).withColumn("volume", F.when(F.col("k") % 97 != 29, F.col("volume")))
@@ -156,14 +157,16 @@ def v10_mended(spark: SparkSession, d: str) -> DataFrame:
 bad AS (SELECT ticker, date FROM issues UNION SELECT ticker, date FROM spikes WHERE issue = 'confirmed_spike'), a AS (SELECT ticker, count(*) AS added FROM fetched ANTI JOIN bad USING (ticker, date) GROUP BY 1),
 f AS (SELECT ticker, count(*) AS n FROM faulty WHERE date >= DATE '2000-01-01' GROUP BY 1), h AS (SELECT ticker, count(*) AS held FROM bars WHERE date < DATE '2000-01-01' GROUP BY 1)
 SELECT ticker, CASE WHEN ticker % 10 = 4 THEN 'failed' ELSE 'updated' END AS status, coalesce(added, 0) AS added, CASE WHEN ticker % 10 = 4 THEN 0 ELSE n - coalesce(added, 0) END AS dropped, coalesce(held, 0) + coalesce(added, 0) AS stored FROM f LEFT JOIN a USING (ticker) LEFT JOIN h USING (ticker)""")
+@V.bars_once
 def v15_caught_up(spark: SparkSession, d: str) -> DataFrame:
     """Two years fetched, of which some tickers come without prices; what passes is appended to the stored bars."""
-    from tidemark.shared import shared_dir
+    from tidemark.shared import checkpointed, shared_dir
     from tidemark.sources import lake
 
     store = f"{shared_dir(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
     lake.write_bars(V.bars(spark, d).where("date < '2000-01-01'"), store)
     fetched = faulty(spark, d).where("date >= '2000-01-01'").withColumn("close", F.when(F.col("ticker") % 10 != 4, F.col("close"))).drop("k")
+    fetched = checkpointed(fetched)
     clean, report = Q.caught_up(fetched)
     lake.write_bars(clean, store)
     stored = spark.read.parquet(store).groupBy("ticker").agg(F.count("*").alias("stored"))
