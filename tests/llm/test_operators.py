@@ -249,6 +249,14 @@ def test_join_against_brute_force(documents, awkward, size, percent):
         assert got == by_brute_force(rows, size, percent)
 
 
+def test_cells_count_no_shingle_that_only_linked_or_only_foreign_sets_hold(spark):
+    cells = spark.createDataFrame([(1, 10, True), (1, 11, True), (1, 12, False), (1, 13, False)], "pivot long, cid long, home boolean")
+    sets = [(10, True, [5, 6, 7, 8]), (11, True, [5, 6, 7, 8]), (12, False, [7, 8, 20, 21]), (13, False, [20, 21, 22, 23])]
+    measured = spark.createDataFrame([(c, 1, 20, 4, linked, e) for c, linked, e in sets], "cid long, pivot long, n long, d long, linked boolean, e array<long>")
+    got = Counter(r.cid for r in JaccardJoin(3, 80)._parts(cells, measured).collect())
+    assert got == {10: 1, 11: 1, 12: 2}  # 5 and 6 are linked sets' alone, 20 and 21 are sets' of other cells
+
+
 @pytest.mark.parametrize(("low", "high"), [(3, 7), (1, 9)])
 def test_join_of_cells_and_their_regions(spark, monkeypatch, low, high):
     """Copies of one text with edits near the bound, many of them in common: cells are joined by the differences from their pivots."""

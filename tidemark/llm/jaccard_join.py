@@ -51,11 +51,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.words import Words, each, joined, mixed, slices, texts, words
-from tidemark.shared import bucketed, checkpointed, dropped, fitting, written
+from tidemark.shared import bucketed, checkpointed, counted, dropped, fitted, fitting, written
 
 #: Buckets of the tables of words and of shingles (2 and 8 MB); the most classes of a region without pivots on the first
 #: level and on others, pivots of a larger one, levels; buckets of the table of sets, shingles of pivots broadcast at most (8 MB).
 WORD_BITS, SHINGLE_BITS, SMALL, LARGE, PIVOTS, DEPTH, SET_BUCKETS, MOST_SHINGLES = 21, 23, 8, 256, 4, 3, 64, 1_000_000
+#: Rows of a list that is broadcast at most: the driver holds each one several times over while it builds it.
+MOST_ROWS = 20_000
 #: Buckets sent together, and the place of the word class in an ordered shingle.
 _CUT, _WORD_AT = 1 << 16, 51
 
@@ -212,7 +214,7 @@ class JaccardJoin:
         numbered = docs.select("doc_id", "text", (F.monotonically_increasing_id() if rid is None else rid).alias("rid"))
         rows = written(_sets(numbered, ["doc_id", "rid"], self.size, order, self._window()), "jaccard-rows")
         reps = written(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("cid")), "jaccard-classes")
-        held = rows.join(fitting(reps.select("cid")), F.col("rid") == F.col("cid")).select("cid", F.col("n").cast("int").alias("n"), "own")
+        held = rows.join(fitting(reps.select("cid"), MOST_ROWS), F.col("rid") == F.col("cid")).select("cid", F.col("n").cast("int").alias("n"), "own")
 
         regions, shown = self._regions(held)
         close = checkpointed(self._apart(self._pairs(regions.where(F.col("k") <= SMALL)), held))
@@ -301,8 +303,8 @@ class JaccardJoin:
         """
         first = held.select("cid", F.col("n").alias("nx"), F.col("own").alias("x"))
         second = held.select(F.col("cid").alias("pivot"), F.col("n").alias("ny"), F.col("own").alias("y"))
-        some = pairs.select("pivot").distinct()
-        rows = first.join(fitting(pairs), "cid").join(second.join(fitting(checkpointed(some)), "pivot", "left_semi"), "pivot")
+        some = fitted(pairs.select("pivot").distinct(), MOST_ROWS)
+        rows = first.join(fitting(pairs, MOST_ROWS), "cid").join(second.join(some, "pivot", "left_semi"), "pivot")
         whole = lambda own, n: F.size(own) == n  # noqa: E731  a set that ends within its window is known to the end
         end = F.least(F.when(~whole("x", F.col("nx")), F.element_at("x", -1)), F.when(~whole("y", F.col("ny")), F.element_at("y", -1)))
         known = lambda own: F.when(F.col("end").isNull(), F.col(own)).otherwise(F.filter(own, lambda v: v <= F.col("end")))
@@ -318,10 +320,10 @@ class JaccardJoin:
         Pairs are joined to it; only the pairs are shuffled.
         """
         need = checkpointed(rows.select("rid", "doc_id", "sig").join(need.distinct(), F.col("rid") == F.col("cid")).select("cid", "sig", F.col("doc_id").alias("rep")))
-        ids = checkpointed(need.select("rep").distinct())
-        some = docs.select("doc_id", "text").join(fitting(ids), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        ids = fitted(need.select("rep").distinct(), MOST_ROWS)
+        some = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         sets = _sets(some, [], self.size, order, lambda n: n).where("n > 0").select("sig", "own")
-        one = sets.join(fitting(need.select("sig", "cid")), "sig").select("cid", "own").repartition(SET_BUCKETS, "cid").dropDuplicates(["cid"])
+        one = sets.join(fitting(need.select("sig", "cid"), MOST_ROWS), "sig").select("cid", "own").repartition(SET_BUCKETS, "cid").dropDuplicates(["cid"])
         return bucketed(one, "jaccard_sets", SET_BUCKETS, "cid")
 
     def _measured(self, pairs: DataFrame, sets: DataFrame, whole: bool) -> DataFrame:
@@ -330,7 +332,7 @@ class JaccardJoin:
         e is without the shingles that no other text can have. Written, so that e is only read where it is needed.
         """
         pairs = checkpointed(pairs)
-        pivots = written(sets.join(fitting(checkpointed(pairs.select("pivot").distinct())), F.col("cid") == F.col("pivot"), "left_semi").select(F.col("cid").alias("pivot"), F.col("own").alias("y")), "jaccard-pivots")
+        pivots = written(sets.join(fitted(pairs.select("pivot").distinct(), MOST_ROWS), F.col("cid") == F.col("pivot"), "left_semi").select(F.col("cid").alias("pivot"), F.col("own").alias("y")), "jaccard-pivots")
         small = pivots.agg(F.coalesce(F.sum(F.size("y")), F.lit(0))).first()[0] <= MOST_SHINGLES
         found = pairs.join(sets.select("cid", F.col("own").alias("x")), "cid").join(F.broadcast(pivots) if small else pivots, "pivot")
         found = found.select("cid", "pivot", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), F.size(F.array_intersect("x", "y")).cast("long").alias("both"), *["x", "y"] * whole)
@@ -364,8 +366,8 @@ class JaccardJoin:
         beyond = met.join(away, ["cid", "pivot"], "left").where(F.coalesce("away", F.lit(1.0)) > 2 * self._r())
         draws = [F.max(F.struct(F.xxhash64("cid", F.lit(k)).alias("x"), "cid", "n")) for k in range(1, PIVOTS)]
         more = beyond.groupBy("key").agg(F.array_distinct(F.transform(F.array(*draws), lambda x: F.struct(x["cid"].alias("pivot"), x["n"].alias("m")))).alias("p"))
-        more = checkpointed(more.select("key", F.inline("p")))
-        if more.isEmpty():
+        more, (some,) = counted(more.select("key", F.inline("p")))
+        if not some:
             return first, drawn
         pairs = near(rows.select("key", "cid", "n").join(more, "key")).join(first.select("cid", "pivot"), ["cid", "pivot"], "left_anti")
         return first.unionByName(self._measured(pairs, sets, whole=True)), drawn.union(more)
@@ -397,15 +399,17 @@ class JaccardJoin:
         o is 0 and x and y are within r, both are within r of the pivot and linked through it; any other pair shares a
         shingle of its differences. Sets linked to the pivot pair with the others alone, whose d is ``far`` at least, and
         d_y >= d_x - |x ^ y|: so o has a lower bound, and only the rarest shingles of a difference that such a
-        bound leaves open are shown; ``rest`` is how many can follow in common.
+        bound leaves open are shown; ``rest`` is how many can follow in common. Shingles that only linked sets or only
+        sets from other cells hold can be shared by no such pair and are not counted.
         """
         rows = checkpointed(measured.select("cid", "pivot", "n", "d", "linked", "e").join(cells, ["cid", "pivot"]))
         group = rows.groupBy("pivot").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("far"), F.max("n").alias("most")).where("far is not null")
-        rows = rows.join(fitting(checkpointed(group)), "pivot")
+        rows = rows.join(fitted(group, MOST_ROWS), "pivot")
         rows = rows.withColumn("t", F.expr(f"(n + least(most, n * 100 div {self.percent})) * {100 - self.percent} div {100 + self.percent}"))
         rows = rows.withColumn("need", F.greatest(F.lit(1), F.expr("if(linked, (d + far - t + 1) div 2, d - t)"))).where("size(e) >= need")
         each = checkpointed(rows.select("pivot", "cid", "n", "d", "need", "home", "linked", F.explode("e").alias("e")))
-        often = checkpointed(each.groupBy("pivot", "e").agg(F.count("*").alias("k")).where("k > 1"))
+        # a pair that is looked for has one set that isn't linked and one at home: it shares no shingle that only others hold
+        often = checkpointed(each.groupBy("pivot", "e").agg(F.count("*").alias("k"), F.every("linked").alias("idle"), F.bool_or("home").alias("near")).where("k > 1 AND near AND NOT idle").select("pivot", "e", "k"))
         own = each.join(often, ["pivot", "e"]).groupBy("pivot", "cid", "n", "d", "need", "home", "linked").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("own"))
         own = own.withColumn("s", F.size("own")).where("s >= need").withColumn("own", F.expr("slice(own, 1, cast(s - need + 1 as int))"))
         return own.select("pivot", "cid", "n", "d", "home", "linked", "s", F.posexplode("own").alias("p", "o")).select(
@@ -437,6 +441,6 @@ def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> Da
     firsts = named.groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("at"), F.count("*").alias("k"))
     firsts = firsts.join(classes.select("sig", "comp"), "sig")
     stay = firsts.groupBy("comp").agg(F.min(F.struct("at.doc_id", "sig", "at.rid")).alias("first"), F.sum("k").alias("k")).where("k > 1")
-    some = fitting(checkpointed(classes.select("sig", "comp").join(stay, "comp").select("sig", F.col("first.rid").alias("stays"))))
-    gone = fitting(checkpointed(named.join(some, "sig").where("rid <> stays").select(F.col("rid").alias("gone"))))
+    some = fitted(classes.select("sig", "comp").join(stay, "comp").select("sig", F.col("first.rid").alias("stays")), MOST_ROWS)
+    gone = fitted(named.join(some, "sig").where("rid <> stays").select(F.col("rid").alias("gone")), MOST_ROWS)
     return held.join(gone, F.col("place") == F.col("gone"), "left_anti").select("row.*")

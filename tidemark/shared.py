@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 MOST_BROADCAST = 250_000
 
 
+def counted(df: DataFrame, *more: Column) -> tuple[DataFrame, tuple]:
+    """``df`` checkpointed; its rows and what ``more`` sums up, taken as it is written instead of by a query more."""
+    seen = Observation()
+    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n0"), *[c.alias(f"n{k}") for k, c in enumerate(more, 1)]))
+    return out, tuple(seen.get[f"n{k}"] for k in range(len(more) + 1))
+
+
 def fitting(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """``df``, a written or checkpointed table of short rows, to be broadcast if it has ``most`` rows at most; else joined by shuffle."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def fitted(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` checkpointed, to be joined as :func:`fitting` says."""
+    out, (rows,) = counted(df)
+    return F.broadcast(out) if rows <= most else out
