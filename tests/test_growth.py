@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,26 @@ def test_orthogonal_alpha_sums_no_long_frames(spark, monkeypatch):
     monkeypatch.setattr(strategy, "checkpointed", lambda df: told.append(plan(df)) or df)
     QUERIES["l07_orthogonal_alpha"](spark, SF)
     assert told and not any(f in t for t in told for f in ("covar_samp", "stddev_samp", "var_samp", "avg(close"))
+
+
+def test_transcripts_make_no_row_for_a_word(spark, capsys):
+    """Chunks of 400 words, as a plain loop scores them, are rows of two numbers; a doc_id's rows are one text."""
+    from tidemark.operators import valuation as N
+
+    rng = np.random.default_rng(3)
+    some = ["Beats", "loss", "the", "", "Low\nER", "ups", *("x" * k for k in range(1, 9))]
+    texts = [" ".join(rng.choice(some, n)) for n in (0, 1, 399, 400, 401, 1300)]
+    rows = [*enumerate(texts), (6, None), (7, ""), (1, texts[5]), (None, "up")]
+    parts = {}
+    for i, text in rows:
+        words = [] if text is None else text.split(" ")
+        for k in range(0, len(words), 400):
+            parts.setdefault((i, k), []).append(" ".join(words[k : k + 400]).lower())
+    want = {}
+    for (i, _), chunk in parts.items():
+        up, down = (sum(any(w in t for t in chunk) for w in words) for words in (N.LIFT, N.LOWER))
+        want.setdefault(i, []).append((up - down) / (up + down + 1))
+    out = N.transcript_sentiment(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.chunks, round(r.sentiment, 9)) for r in out.collect()} == {i: (len(x), round(sum(x) / len(x), 9)) for i, x in want.items()}
+    out.explain()
+    assert "collect_list" not in capsys.readouterr().out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,6 +175,25 @@ def sentiment(news: DataFrame, most: int = 10) -> DataFrame:
 
 def transcript_sentiment(docs: DataFrame, words: int = 400) -> DataFrame:
     """doc_id, chunks, sentiment: the mean score of a text's chunks of 400 words."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("k", "word"))
-    parts = rows.groupBy("doc_id", F.floor(F.col("k") / words).alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("text"))
-    return parts.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.avg(headline_score(F.col("text"))).alias("sentiment"))
+    found = F.posexplode(F.flatten(F.transform(F.array(F.split("text", " ")), lambda w: _chunks(w, words, _found))))
+    parts = docs.where("text IS NOT NULL").select("doc_id", found.alias("chunk", "found"))
+    # the chunks of rows with one doc_id are read as one text's
+    parts = parts.groupBy("doc_id", "chunk").agg(*[F.bit_or(f"found.{c}").alias(c) for c in ("up", "down")])
+    up, down = F.bit_count("up"), F.bit_count("down")
+    return parts.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.avg((up - down) / (up + down + 1)).alias("sentiment"))
+
+
+def _chunks(w: Column, words: int, told: Callable[[Column], Column]) -> Column:
+    """What ``told`` says of each ``words`` words of an array, in order, without a row or a shuffle for any word."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / words).cast("int")), lambda k: told(F.array_join(F.slice(w, k * words + 1, words), " ")))
+
+
+def _found(text: Column) -> Column:
+    """The lifting and the lowering words that a text holds anywhere, a bit each."""
+
+    def held(low: Column, words: tuple[str, ...]) -> Column:
+        each = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(1 << k).cast("long").alias("bit")) for k, w in enumerate(words)])
+        return F.aggregate(each, F.lit(0).cast("long"), lambda bits, x: F.when(low.contains(x["w"]), bits.bitwiseOR(x["bit"])).otherwise(bits))
+
+    # an array of one, so that the text is put together and lowered once, not for every word
+    return F.element_at(F.transform(F.array(F.lower(text)), lambda low: F.struct(held(low, LIFT).alias("up"), held(low, LOWER).alias("down"))), 1)
