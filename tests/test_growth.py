@@ -108,3 +108,10 @@ def test_transcripts_make_no_row_for_a_word(spark, capsys):
     assert {r.doc_id: (r.chunks, round(r.sentiment, 9)) for r in out.collect()} == {i: (len(x), round(sum(x) / len(x), 9)) for i, x in want.items()}
     out.explain()
     assert "collect_list" not in capsys.readouterr().out
+
+
+def test_divergences_read_what_swings_are_found_from_once(spark):
+    rows = spark.createDataFrame([(1, k, float(h), float(lo), float(i), h > 0, lo > 0) for k, (h, lo, i) in enumerate([(9, 0, 5), (0, 3, 2), (8, 2, 4), (9.5, 0, 3)])], "ticker int, date int, high double, low double, mfi double, swing_high boolean, swing_low boolean")
+    out = A.divergences(rows, "mfi")
+    assert {(r.ticker, r.kind, r.confidence) for r in out.collect()} == {(1, "bullish", 1.0), (1, "bearish", 1.0)}
+    assert plan(out).count("LogicalRDD") + plan(out).count("LocalRelation") == 1

@@ -122,15 +122,14 @@ def swings(rows: DataFrame, reach: int = 5, size: float = 0.02) -> DataFrame:
 
 def divergences(found: DataFrame, indicator: str) -> DataFrame:
     """ticker, kind, confidence: the last two swing lows (highs) where price and indicator part ways."""
-    kinds = []
-    for kind, flag, price in (("bullish", "swing_low", "low"), ("bearish", "swing_high", "high")):
-        last = found.where(flag).select("ticker", "date", F.col(price).alias("p"), F.col(indicator).alias("i"))
-        last = last.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).where("n <= 2")
-        two = last.groupBy("ticker").agg(*[F.max(F.when(F.col("n") == k, F.col(c))).alias(f"{c}{k}") for c in "pi" for k in (1, 2)])
-        dp, di = ratio(F.col("p1") - F.col("p2"), F.abs("p2")), ratio(F.col("i1") - F.col("i2"), F.abs("i2"))
-        parts = (dp < 0) & (di > 0) if kind == "bullish" else (dp > 0) & (di < 0)
-        kinds.append(two.where(parts).select("ticker", F.lit(kind).alias("kind"), F.least(F.lit(1.0), (F.abs(dp) + F.abs(di)) / 0.1).alias("confidence")))
-    return kinds[0].union(kinds[1])
+    sides = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(flag).alias("found"), F.col(price).alias("p")) for kind, flag, price in (("bullish", "swing_low", "low"), ("bearish", "swing_high", "high"))])
+    # one pass over the swings for both kinds: what they are found from is worked out once
+    last = found.select("ticker", "date", F.col(indicator).alias("i"), F.inline(sides)).where("found")
+    last = last.withColumn("n", F.row_number().over(Window.partitionBy("ticker", "kind").orderBy(F.desc("date")))).where("n <= 2")
+    two = last.groupBy("ticker", "kind").agg(*[F.max(F.when(F.col("n") == k, F.col(c))).alias(f"{c}{k}") for c in "pi" for k in (1, 2)])
+    dp, di = ratio(F.col("p1") - F.col("p2"), F.abs("p2")), ratio(F.col("i1") - F.col("i2"), F.abs("i2"))
+    parts = F.when(F.col("kind") == "bullish", (dp < 0) & (di > 0)).otherwise((dp > 0) & (di < 0))
+    return two.where(parts).select("ticker", "kind", F.least(F.lit(1.0), (F.abs(dp) + F.abs(di)) / 0.1).alias("confidence"))
 
 
 def levy(n: int = 130, at: Rolling = ROLLING) -> Column:
