@@ -72,7 +72,38 @@ class Ending(Rolling):
         return f(*[F.when(F.col("place") <= n, F.col(x) if isinstance(x, str) else x) for x in xs])
 
 
-ROLLING, ENDING = Rolling(), Ending()
+class Running(Rolling):
+    """The same as differences of a ticker's running sums: each row is added once, where a frame is summed anew for every row. What is no sum is read from the frame."""
+
+    def over(self, n: int, f: Callable[..., Column], *xs: Column | str) -> Column:
+        cols = [F.col(x) if isinstance(x, str) else x for x in xs]
+        there = cols[0].isNotNull()
+        for x in cols[1:]:
+            there = there & x.isNotNull()
+
+        def total(x: Column) -> Column:
+            x = F.when(there, x)
+            return F.coalesce(F.sum(x).over(so_far()), F.lit(0.0)) - F.coalesce(F.sum(x).over(by_ticker().rowsBetween(Window.unboundedPreceding, -n)), F.lit(0.0))
+
+        k = total(F.lit(1.0))
+        if f is F.count:
+            return k
+        if f is F.sum:
+            return F.when(k > 0, total(cols[0]))
+        if f is F.avg:
+            return F.try_divide(total(cols[0]), k)
+        if f in (F.var_pop, F.var_samp, F.stddev_pop, F.stddev_samp):
+            x = cols[0].cast("double")
+            rest = F.greatest(total(x * x) - F.try_divide(total(x) * total(x), k), F.lit(0.0))
+            var = F.try_divide(rest, k if f in (F.var_pop, F.stddev_pop) else k - 1)
+            return var if f in (F.var_pop, F.var_samp) else F.sqrt(var)
+        if f in (F.covar_pop, F.covar_samp):
+            x, y = (c.cast("double") for c in cols)
+            return F.try_divide(total(x * y) - F.try_divide(total(x) * total(y), k), k if f is F.covar_pop else k - 1)
+        return super().over(n, f, *xs)
+
+
+ROLLING, ENDING, RUNNING = Rolling(), Ending(), Running()
 
 
 def filled(x: Column) -> Column:
@@ -97,6 +128,16 @@ def rolled(rows: DataFrame, wide: int, **sums: Column) -> DataFrame:
     return running.select("*", *[(F.col(f"_{k}") - before[k]).alias(k) for k in sums]).drop(*[f"_{k}" for k in sums])
 
 
+def month_ends(rows: DataFrame) -> DataFrame:
+    """Each ticker's last row of a month, with as_of, the month's last day.
+
+    Read off the ticker's next row, so rows that lie by ticker in order of date are neither shuffled nor sorted.
+    """
+    rows = rows.withColumn("as_of", F.last_day("date"))
+    more, then = F.lead(F.lit(1)).over(by_ticker()), F.lead("as_of").over(by_ticker())
+    return rows.withColumn("_last", more.isNull() | ~F.col("as_of").eqNullSafe(then)).where("_last").drop("_last")
+
+
 def placed(rows: DataFrame, n: int) -> DataFrame:
     """The last n rows of each ticker with their place, 1 for the last."""
     latest = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))

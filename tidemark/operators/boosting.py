@@ -1,9 +1,10 @@
 """Boosted trees under constraints, grown from aggregates; and what each feature adds to a prediction.
 
-Rows are binned once. A level of a tree is one aggregation of residuals by node, feature
-and bin: a table whose size the tree's shape bounds, whatever the rows. Splits are chosen
-from it on the driver; predictions and residuals are column expressions over the trees'
-arrays, so rows never leave the executors.
+Rows are binned once, and rows with equal bins are one cell from then on: a tree can't tell them
+apart, and squared error needs no more of them than their number and the sum of what is left. A level
+of a tree is one aggregation of the cells by node, feature and bin: a table whose size the tree's shape bounds,
+whatever the rows. Splits are chosen from it on the driver; predictions and residuals are column
+expressions over the trees' arrays, so rows never leave the executors.
 """
 
 from __future__ import annotations
@@ -65,20 +66,20 @@ def _literal(values: list, kind: str) -> Column:
 
 def _node(tree: Tree, levels: int, bins: Column) -> Column:
     """The node that a row is in after ``levels``; it stays where a node does not split."""
-    feature, cut = _literal(tree.feature, "int"), _literal(tree.cut, "int")
-    if not levels:
-        return F.lit(0)
+    return _ends(tree, levels, bins, list(range(len(tree.feature))))
 
-    def below(at: Column, _: Column) -> Column:
-        f = F.get(feature, at)
-        return F.when(f < 0, at).otherwise(2 * at + 1 + (F.get(bins, f) > F.get(cut, at)).cast("int"))
 
-    return F.aggregate(_literal(list(range(levels)), "int"), F.lit(0), below)
+def _ends(tree: Tree, levels: int, bins: Column, values: list, at: int = 0) -> Column:
+    """What ``values`` gives for the node that a row is in ``levels`` below ``at``: a compiled CASE for each split, no lambda over the levels."""
+    if not levels or tree.feature[at] < 0:
+        return F.lit(values[at])
+    left, right = (_ends(tree, levels - 1, bins, values, child) for child in (2 * at + 1, 2 * at + 2))
+    return F.when(F.get(bins, F.lit(tree.feature[at])) > tree.cut[at], right).otherwise(left)
 
 
 def output(tree: Tree, bins: Column) -> Column:
     """The value of the node that a row ends in."""
-    return F.get(_literal(tree.value, "double"), _node(tree, tree.depth, bins))
+    return _ends(tree, tree.depth, bins, [float(v) for v in tree.value])
 
 
 def _split(sums: np.ndarray, counts: np.ndarray, allowed: set[int], signs: list[int], low: float, high: float, least: int, ridge: float) -> tuple | None:
@@ -124,7 +125,8 @@ def fit(
     signs = [(monotone or {}).get(f, 0) for f in features]
     named = groups or [features]
     places = [{features.index(f) for f in g if f in features} for g in named] + [{k} for k, f in enumerate(features) if not any(f in g for g in named)]
-    held = written(known.select(binned(model).alias("bins"), (F.col(y) - model.base).cast("double").alias("rest")), "boosted")
+    each = known.select(binned(model).alias("bins"), (F.col(y) - model.base).cast("double").alias("rest"))
+    held = written(each.groupBy("bins").agg(F.sum("rest").alias("rest"), F.count(F.lit(1)).alias("n")), "boosted")
     table = held
     width = max(len(e) for e in model.edges) + 1
     size = 2 ** (depth + 1) - 1
@@ -133,8 +135,8 @@ def fit(
         bounds, paths = {0: (-math.inf, math.inf)}, {0: set()}
         for level in range(depth):
             at = _node(tree, level, F.col("bins"))
-            each = held.select(at.alias("node"), "rest", F.posexplode("bins").alias("feature", "bin"))
-            found = each.where(F.col("node") >= 2**level - 1).groupBy("node", "feature", "bin").agg(F.sum("rest").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+            each = held.select(at.alias("node"), "rest", "n", F.posexplode("bins").alias("feature", "bin"))
+            found = each.where(F.col("node") >= 2**level - 1).groupBy("node", "feature", "bin").agg(F.sum("rest").alias("s"), F.sum("n").alias("n")).collect()
             sums, counts = {}, {}
             for r in found:
                 sums.setdefault(r["node"], np.zeros((len(features), width)))[r["feature"], r["bin"]] = r["s"]
@@ -162,7 +164,7 @@ def fit(
             break
         tree.value = [v * rate for v in tree.value]
         model.trees.append(tree)
-        held = held.withColumn("rest", F.col("rest") - output(tree, F.col("bins")))
+        held = held.withColumn("rest", F.col("rest") - F.col("n") * output(tree, F.col("bins")))
         if turn % KEEP == KEEP - 1 and turn + 1 < rounds:
             before, table = table, written(held, "boosted")
             held = table

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, interp, ratio
 from tidemark.functions.windows import ROLLING, Rolling, by_ticker, last_n, rolling, so_far, whole
+from tidemark.shared import checkpointed
 
 YEAR = 252
 
@@ -202,8 +205,42 @@ def propagated(edges: DataFrame, signal: DataFrame, rounds: int = 2, decay: floa
     """
     keys = [*(by or []), "ticker"]
     now = signal.select(*keys, "value")
+    if by:
+        return _propagated_by(edges, now, rounds, decay, by)
     for k in range(rounds):
         seen = edges.join(now.select(*keys[:-1], F.col("ticker").alias("other"), F.col("value").alias("v")), "other")
         mean = seen.groupBy(*keys).agg(F.try_divide(F.sum(F.col("weight") * F.col("v")), F.sum("weight")).alias("m"))
         now = now.join(mean, keys, "left").select(*keys, (F.col("value") + decay ** (k + 1) * F.coalesce("m", F.lit(0.0))).alias("value"))
     return now
+
+
+#: Values of ``by`` that one edge carries together.
+BLOCK = 12
+
+
+def _propagated_by(edges: DataFrame, now: DataFrame, rounds: int, decay: float, by: list[str]) -> DataFrame:
+    """:func:`propagated` for many signals over one graph: an edge is met once for ``BLOCK`` of them, not once for each.
+
+    The values of ``by`` are numbered; a name's signals lie side by side, with how many rows each has.
+    """
+    place = F.row_number().over(Window.orderBy(*by)) - 1  # over the distinct values of by alone
+    places = now.select(*by).na.drop().distinct().select(*by, F.floor(place / BLOCK).cast("int").alias("block"), (place % BLOCK).alias("at"))
+    rows = checkpointed(now.join(F.broadcast(places), by, "left"))
+    each = range(BLOCK)
+
+    def told(name: str, f: Callable[[Column], Column]) -> list[Column]:
+        return [f(F.col("at") == j).alias(f"{name}{j}") for j in each]
+
+    # the sum of a name's values, how many rows it has, and how many with a value
+    sides = [*told("v", lambda at: F.sum(F.when(at, F.col("value")))), *told("n", F.count_if), *told("c", lambda at: F.count(F.when(at, F.col("value"))))]
+    wide = rows.where("block IS NOT NULL").groupBy("ticker", "block").agg(*sides).withColumns({f"a{j}": F.lit(0.0) for j in each})
+    for k in range(rounds):
+        wide = checkpointed(wide)
+        seen = edges.join(wide.select(F.col("ticker").alias("other"), "block", *[f"{c}{j}" for c in "vn" for j in each]), "other")
+        sums = [F.try_divide(F.sum(F.col("weight") * F.col(f"v{j}")), F.sum(F.col("weight") * F.col(f"n{j}"))).alias(f"m{j}") for j in each]
+        wide = wide.join(seen.groupBy("ticker", "block").agg(*sums), ["ticker", "block"], "left")
+        more = [decay ** (k + 1) * F.coalesce(f"m{j}", F.lit(0.0)) for j in each]
+        wide = wide.select("ticker", "block", *[(F.col(f"v{j}") + F.col(f"c{j}") * m).alias(f"v{j}") for j, m in enumerate(more)], *[f"{c}{j}" for c in "nc" for j in each], *[(F.col(f"a{j}") + m).alias(f"a{j}") for j, m in enumerate(more)])
+    added = wide.select("ticker", "block", F.array(*[f"a{j}" for j in each]).alias("added"))
+    out = rows.join(added, ["ticker", "block"], "left")
+    return out.select(*by, "ticker", (F.col("value") + F.coalesce(F.get("added", F.col("at")), F.lit(0.0))).alias("value"))

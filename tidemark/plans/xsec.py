@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio, six
-from tidemark.functions.windows import rank_share, rolled, whole
+from tidemark.functions.windows import month_ends, rank_share, rolled, whole
 from tidemark.operators import factors as A
 from tidemark.operators import relational as R
 from tidemark.operators import xsec as X
@@ -26,13 +26,13 @@ panel AS (SELECT as_of, ticker, sector, round(vsm, 8) AS vsm, round(bab, 8) AS b
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """as_of (month end), ticker, sector, vsm, bab, mom: every rebalance date at once, in one pass over the bars."""
     rets = V.returns(spark, d).where("ret IS NOT NULL")
-    rows = rets.join(V.market(rets), "date").withColumn("mom", A.momentum_difference())
+    rows = rets.join(F.broadcast(V.market(rets)), "date").withColumn("mom", A.momentum_difference())  # a row a day
     ret, mkt = F.col("ret"), F.col("mkt")
     rows = rolled(rows, 252, n=F.lit(1.0), r=ret, rr=ret * ret, m=mkt, mm=mkt * mkt, rm=ret * mkt, logs=F.ln(1 + ret))
     cov, var, own = (F.col(c) - F.col(a) * F.col(b) / F.col("n") for c, a, b in (("rm", "r", "m"), ("mm", "m", "m"), ("rr", "r", "r")))
     vsm = ratio(F.exp("logs") - 1, F.sqrt(F.greatest(own, F.lit(0.0)) / (F.col("n") - 1) * 252))
-    rows = rows.where("n >= 252 AND mom IS NOT NULL").select("ticker", "date", "mom", vsm.alias("vsm"), (-ratio(cov, var)).alias("bab"))
-    last = rows.groupBy(F.last_day("date").alias("as_of"), "ticker").agg(*[F.round(F.max_by(c, "date"), 8).alias(c) for c in ("vsm", "bab", "mom")])
+    last = month_ends(rows.where("n >= 252 AND mom IS NOT NULL"))
+    last = last.select("as_of", "ticker", *[F.round(x, 8).alias(c) for c, x in (("vsm", vsm), ("bab", -ratio(cov, var)), ("mom", F.col("mom")))])
     return last.join(V.security(spark, d).select("ticker", "sector"), "ticker").select("as_of", "ticker", "sector", "vsm", "bab", "mom")
 
 

@@ -70,6 +70,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def laid_out(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed with how its rows lie: by an adaptive plan the table would not know its partitioning and order, and each window would shuffle and sort it."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 #: Rows of a few numbers each that may be broadcast: some 10 MB at most.
 MOST_BROADCAST = 250_000
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import change
-from tidemark.shared import checkpointed
+from tidemark.shared import laid_out
 
 #: Bars with their returns that the parts of a query share, while it is put together.
 _SHARED: ContextVar[dict[str, DataFrame] | None] = ContextVar("shared bars", default=None)
@@ -51,7 +51,7 @@ def _held(name: str, made: Callable[[], DataFrame]) -> DataFrame:
     if shared is None:
         return made()
     if name not in shared:
-        shared[name] = checkpointed(made())
+        shared[name] = laid_out(made())
     return shared[name]
 
 
@@ -62,6 +62,8 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+    if _SHARED.get() is not None:  # windows by ticker follow: lines are dealt out by it once, not by ticker and day first
+        rows = rows.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "p_retailprice", "l_tax", "l_discount", "l_quantity").repartition("l_suppkey")
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey")
     return rows.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(
         F.min_by("p_retailprice", key).alias("open"),
