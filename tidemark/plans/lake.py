@@ -12,7 +12,7 @@ from tidemark.functions.exprs import six
 from tidemark.plans import backtest, learning  # noqa: F401 (their SQL is read here)
 from tidemark.plans.registry import SQL, query
 from tidemark.plans.xsec import _PANEL, panel
-from tidemark.shared import shared_dir
+from tidemark.shared import checkpointed, shared_dir
 from tidemark.sources import lake
 from tidemark.sources import views as V
 from tidemark.streaming import regimes as G
@@ -176,11 +176,13 @@ def sc25_store_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_PANEL}, c AS (SELECT as_of AS snapshot_date, count(DISTINCT ticker) AS universe_size, sum(mom) AS mom FROM panel WHERE as_of IN (DATE '1998-12-31', DATE '1999-12-31') GROUP BY 1) SELECT snapshot_date, universe_size, 3 AS feature_count, round(mom, 6) AS mom FROM c""")
+@V.bars_once
 def sc14_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """SK05 and SC14: two dates' universe and features as snapshots, listed and read again."""
     from functools import reduce
 
-    path, rows, days = _path(spark, "snapshots"), panel(spark, d), ("1998-12-31", "1999-12-31")
+    path, days = _path(spark, "snapshots"), ("1998-12-31", "1999-12-31")
+    rows = checkpointed(panel(spark, d).where(F.col("as_of").isin(*[F.lit(day).cast("date") for day in days])))  # one panel for both dates
     for day in days:
         lake.write_snapshot(rows.where(F.col("as_of") == day).select("ticker", "mom", "vsm"), path, day, source="panel")
     read = [lake.read_snapshot(spark, path, day).agg(F.sum("mom").alias("mom")).withColumn("snapshot_date", F.lit(day).cast("date")) for day in days]
