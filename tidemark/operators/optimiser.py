@@ -47,14 +47,15 @@ def chosen(signals: DataFrame, dates: DataFrame, models: tuple[str, ...], top: i
 def histories(universes: DataFrame, bars: DataFrame, days: int = DAYS) -> DataFrame:
     """universes (as_of, ticker, ...) with closes: each name's (date, close) of the ``days`` up to as_of, in order; of a day's closes the greatest.
 
-    A bar meets the dates of its own month and of those that ``days`` can reach, by month and ticker.
+    A date meets the bars of the months that ``days`` reach back to, by month and ticker: dates have few names, so bars are read once as they are.
     """
 
     def month(d: str) -> Column:
         return F.year(d) * 12 + F.month(d)
 
-    near = bars.where("close IS NOT NULL").select("ticker", F.col("date").alias("_date"), "close", F.explode(F.sequence(month("date"), month("date") + days // 28 + 1)).alias("_month"))
-    wanted = universes.select("as_of", "ticker", month("as_of").alias("_month")).distinct()
+    near = bars.where("close IS NOT NULL").select("ticker", F.col("date").alias("_date"), "close", month("date").alias("_month"))
+    wanted = universes.select("as_of", "ticker").distinct()
+    wanted = wanted.select("as_of", "ticker", F.explode(F.sequence(month(F.date_sub("as_of", days)), month("as_of"))).alias("_month"))
     met = wanted.join(near, ["ticker", "_month"]).where((F.col("_date") <= F.col("as_of")) & (F.col("_date") > F.date_sub("as_of", days)))
     daily = met.groupBy("as_of", "ticker", "_date").agg(F.max("close").alias("close"))
     closes = daily.groupBy("as_of", "ticker").agg(F.array_sort(F.collect_list(F.struct(F.col("_date").alias("date"), "close"))).alias("closes"))

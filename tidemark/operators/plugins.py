@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import Rolling
 from tidemark.operators import factors as A
 from tidemark.operators import portfolio as P
 
@@ -225,9 +226,15 @@ def told(spark: SparkSession, config: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(r[0], r[1], 1.0 if r[3] is None else float(r[3]), why) for r, _, why in resolved(config)], "kind string, name string, weight double, status string")
 
 
-def factors(config: list[tuple]) -> dict[str, tuple[float, Column]]:
-    """The weight and column, f_<name>, of each factor that a configuration switches on; a null weight counts as 1."""
-    return {f"f_{r[1]}": (1.0 if r[3] is None else float(r[3]), f) for r, f, _ in resolved(config) if f is not None and r[0] == "factor"}
+def factors(config: list[tuple], at: Rolling | None = None) -> dict[str, tuple[float, Column]]:
+    """The weight and column, f_<name>, of each factor that a configuration switches on; a null weight counts as 1. ``at``: how factors that can choose read a ticker's rows."""
+    found = {}
+    for row, f, _ in resolved(config):
+        if f is not None and row[0] == "factor":
+            if at is not None and "at" in FACTORS.accepts(row[1]):
+                f = FACTORS.get(row[1], **{**json.loads(row[2] or "{}"), "at": at})
+            found[f"f_{row[1]}"] = (1.0 if row[3] is None else float(row[3]), f)
+    return found
 
 
 def blended(rows: DataFrame, config: list[tuple], by: str, z: Callable[[str, str], Column]) -> DataFrame:
