@@ -182,18 +182,28 @@ def relative_rotation(pairs: DataFrame, n: int = 14) -> DataFrame:
     return rows.select("sector", "date", "ratio", "momentum", "quadrant", F.lag("quadrant").over(w).alias("before"), score.alias("score"))
 
 
-def triple_barrier(rows: DataFrame, horizon: int = 20, up: float = 2.0, down: float = 2.0, span: int = 20) -> DataFrame:
-    """ticker, date, label, touched, ret: which barrier the next ``horizon`` closes touch first (1 gain, -1 loss, 0 none).
+def triple_barrier(rows: DataFrame, horizon: int = 20, up: float = 2.0, down: float = 2.0, span: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """ticker, date, label, touched, ret: which barrier the next ``horizon`` closes touch first (1 gain, -1 loss, 0 none); and the columns to ``keep``.
 
-    Barriers lie at multiples of the last ``span`` returns' spread; on a tie the loss wins.
+    Barriers lie at multiples of the last ``span`` returns' spread; on a tie the loss wins. Each close ahead
+    is a column, so no list is made for a row.
     """
-    ahead = by_ticker().rowsBetween(1, horizon)
-    out = rows.withColumns({"vol": rolling(F.stddev_samp, F.col("ret"), span), "ahead": F.collect_list(F.struct("date", "close")).over(ahead)})
-    out = out.where("vol IS NOT NULL").withColumn("hit", F.get(F.filter("ahead", lambda x: F.abs(x["close"] / F.col("close") - 1) >= F.lit(up) * F.col("vol")) if up == down else F.filter("ahead", lambda x: (x["close"] / F.col("close") - 1 >= up * F.col("vol")) | (x["close"] / F.col("close") - 1 <= -down * F.col("vol"))), 0))
-    end = F.coalesce(F.col("hit"), F.element_at("ahead", -1))
-    return out.where(F.size("ahead") > 0).select(
-        "ticker", "date", F.when(F.col("hit").isNull(), 0).otherwise(F.sign(F.col("hit.close") - F.col("close")).cast("int")).alias("label"),
-        F.col("hit.date").alias("touched"), (end["close"] / F.col("close") - 1).alias("ret"),
+    w, close = by_ticker(), F.col("close")
+    steps = range(1, horizon + 1)
+    last = F.last(F.struct("date", "close")).over(w.rowsBetween(1, horizon))
+    ahead = {f"_c{j}": F.lead("close", j).over(w) for j in steps} | {f"_d{j}": F.lead("date", j).over(w) for j in steps}
+    out = rows.withColumns({"vol": rolling(F.stddev_samp, F.col("ret"), span), "_any": F.lead(F.lit(1)).over(w), "_end": last, **ahead}).where("vol IS NOT NULL AND _any IS NOT NULL")
+
+    def touches(j: int) -> Column:
+        move = F.col(f"_c{j}") / close - 1
+        return F.abs(move) >= F.lit(up) * F.col("vol") if up == down else (move >= up * F.col("vol")) | (move <= -down * F.col("vol"))
+
+    out = out.withColumn("_hit", F.coalesce(*[F.when(touches(j), F.lit(j)) for j in steps]))
+    at = F.coalesce(*[F.when(F.col("_hit") == j, F.col(f"_c{j}")) for j in steps])
+    end = F.when(F.col("_hit").isNull(), F.col("_end.close")).otherwise(at)
+    return out.select(
+        "ticker", "date", *keep, F.when(F.col("_hit").isNull(), 0).otherwise(F.sign(at - close).cast("int")).alias("label"),
+        F.coalesce(*[F.when(F.col("_hit") == j, F.col(f"_d{j}")) for j in steps]).alias("touched"), (end / close - 1).alias("ret"),
     )
 
 

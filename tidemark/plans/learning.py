@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio, six
-from tidemark.functions.windows import by_ticker, rolling
+from tidemark.functions.windows import RUNNING, by_ticker, rolling
 from tidemark.operators import evolution as E
 from tidemark.operators import factors as A
 from tidemark.operators import learning as L
@@ -88,6 +88,7 @@ def l06_shape_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(None)
+@V.bars_once
 def l02_meta_labels(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees on triple-barrier labels, fitted on the first seven tenths of days and scored on the rest; 40 days between are purged, so no label of one overlaps the other."""
     from pyspark.ml.classification import GBTClassifier
@@ -97,8 +98,10 @@ def l02_meta_labels(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.shared import checkpointed
 
     rets = V.returns(spark, d)
-    rows = rets.select("ticker", "date", A.momentum_6m().alias("m6"), A.volatility_60d().alias("v60"), A.amihud().alias("illiquid"), A.levy().alias("levy")).na.drop()
-    rows = rows.join(A.triple_barrier(rets).select("ticker", "date", (F.col("label") > 0).cast("double").alias("label")), ["ticker", "date"])
+    known = ("m6", "v60", "illiquid", "levy")
+    rows = rets.select("*", A.momentum_6m(RUNNING).alias("m6"), A.volatility_60d(RUNNING).alias("v60"), A.amihud(RUNNING).alias("illiquid"), A.levy(at=RUNNING).alias("levy"))
+    # labels beside the factors of the same row: no join of all days with themselves
+    rows = A.triple_barrier(rows, keep=known).select("ticker", "date", *known, (F.col("label") > 0).cast("double").alias("label")).na.drop()
     rows = checkpointed(VectorAssembler(inputCols=["m6", "v60", "illiquid", "levy"], outputCol="features").transform(rows).select("ticker", "date", "label", "features"))
     first = rows.agg(F.date_from_unix_date(F.percentile_approx(F.unix_date("date"), 0.7)).alias("d")).first()["d"]
     day = F.lit(first).cast("date")
