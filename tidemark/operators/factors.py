@@ -198,12 +198,12 @@ def triple_barrier(rows: DataFrame, horizon: int = 20, up: float = 2.0, down: fl
         move = F.col(f"_c{j}") / close - 1
         return F.abs(move) >= F.lit(up) * F.col("vol") if up == down else (move >= up * F.col("vol")) | (move <= -down * F.col("vol"))
 
-    out = out.withColumn("_hit", F.coalesce(*[F.when(touches(j), F.lit(j)) for j in steps]))
-    at = F.coalesce(*[F.when(F.col("_hit") == j, F.col(f"_c{j}")) for j in steps])
-    end = F.when(F.col("_hit").isNull(), F.col("_end.close")).otherwise(at)
+    def hit(c: str) -> Column:  # a barrier is touched by closes there are, so none is null where one is touched
+        return F.coalesce(*[F.when(touches(j), F.col(f"_{c}{j}")) for j in steps])
+
     return out.select(
-        "ticker", "date", *keep, F.when(F.col("_hit").isNull(), 0).otherwise(F.sign(at - close).cast("int")).alias("label"),
-        F.coalesce(*[F.when(F.col("_hit") == j, F.col(f"_d{j}")) for j in steps]).alias("touched"), (end / close - 1).alias("ret"),
+        "ticker", "date", *keep, F.coalesce(F.sign(hit("c") - close).cast("int"), F.lit(0)).alias("label"),
+        hit("d").alias("touched"), (F.coalesce(hit("c"), F.col("_end.close")) / close - 1).alias("ret"),
     )
 
 
