@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, interp, ratio
 from tidemark.functions.windows import ROLLING, Rolling, by_ticker, last_n, rolling, so_far, whole
-from tidemark.shared import checkpointed
+from tidemark.shared import checkpointed, laid_out
 
 YEAR = 252
 
@@ -226,12 +230,83 @@ def propagated(edges: DataFrame, signal: DataFrame, rounds: int = 2, decay: floa
 
 #: Values of ``by`` that one edge carries together.
 BLOCK = 12
+#: A graph of n names is cut into cells by sqrt(n / NAMES) groups of names on either side, ``GROUPS`` at least.
+NAMES, GROUPS = 1600, 4
+#: Edges whose values a task multiplies at once: they stay in its cache.
+AT_ONCE = 8192
+
+
+def _packed(edges: DataFrame, groups: int, kind: str) -> DataFrame:
+    """cell, tickers, others and, as bytes, the first edge of each ticker, each edge's place among others and its weight: a row a cell, edges met twice added up."""
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        weight = rows["weight"].fill_null(0.0).to_numpy()
+        names, ticker = np.unique(rows["ticker"].to_numpy(), return_inverse=True)
+        others, at = np.unique(rows["other"].to_numpy(), return_inverse=True)
+        place = ticker.astype(np.int64) * len(others) + at
+        if (weight == weight[0]).all():  # numbers alone sort much faster than weights in their order
+            place.sort()
+        else:
+            order = place.argsort()
+            place, weight = place[order], weight[order]
+        new = np.flatnonzero(np.diff(place, prepend=-1))
+        place, weight = place[new], np.add.reduceat(weight, new)
+        first = np.searchsorted(place, np.arange(len(names)) * len(others)).astype(np.int64)
+        held = [zlib.compress(x.tobytes(), 1) for x in (first, (place % len(others)).astype(np.int32), weight)]
+        return pa.table({"cell": [key[0]], "tickers": pa.array([names]), "others": pa.array([others]), **{n: [b] for n, b in zip(("first", "at", "weight"), held, strict=True)}})
+
+    def group(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(groups))
+
+    ids = edges.na.drop(subset=["ticker", "other"]).select(F.col("ticker").cast(kind).alias("ticker"), F.col("other").cast(kind).alias("other"), F.col("weight").cast("double").alias("weight"))
+    cells = ids.select((group("ticker") * groups + group("other")).cast("int").alias("cell"), "ticker", "other", "weight")
+    out = cells.groupBy("cell").applyInArrow(pack, f"cell int, tickers array<{kind}>, others array<{kind}>, first binary, at binary, weight binary")
+    return laid_out(out.repartition("cell"))
+
+
+def _met(packed: DataFrame, wide: DataFrame, groups: int, columns: list[str]) -> DataFrame:
+    """ticker, block and s_<column>: for each cell that a ticker is in, what its neighbours there have of the columns, times the edges' weights; null counts as 0."""
+    kind = wide.schema["ticker"].dataType.simpleString()
+    out = ["ticker", "block", *[f"s_{c}" for c in columns]]
+    schema = f"ticker {kind}, block int, {', '.join(f'{c} double' for c in out[2:])}"
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        for k in range(left.num_rows if right.num_rows else 0):
+            tickers, others = left["tickers"][k].values, left["others"][k].values.to_numpy(zero_copy_only=False)
+            first, at, weight = (np.frombuffer(zlib.decompress(left[c][k].as_py()), t) for c, t in (("first", np.int64), ("at", np.int32), ("weight", np.float64)))
+            ends = np.append(first[1:], len(at))
+            ids, blocks = right["ticker"].to_numpy(), right["block"].to_numpy()
+            place = np.searchsorted(others, ids)
+            there = others[np.minimum(place, len(others) - 1)] == ids
+            told = np.column_stack([right[c].cast(pa.float64()).fill_null(0.0).to_numpy() for c in columns])
+            for block in np.unique(blocks):
+                mine = there & (blocks == block)
+                values, sums = np.zeros((len(others), len(columns))), np.empty((len(first), len(columns)))
+                values[place[mine]] = told[mine]
+                a = 0
+                while a < len(first):
+                    b = max(a + 1, int(np.searchsorted(ends, first[a] + AT_ONCE, "right")))
+                    of = slice(first[a], ends[b - 1])
+                    each = np.take(values, at[of], axis=0)
+                    each *= weight[of, None]
+                    sums[a:b] = np.add.reduceat(each, first[a:b] - first[a], axis=0)
+                    a = b
+                found.append(pa.table([tickers, pa.array(np.full(len(first), block, np.int32)), *map(pa.array, sums.T)], out))
+        return pa.concat_tables(found) if found else pa.table([pa.array([], t) for t in (right.schema.field("ticker").type, pa.int32(), *[pa.float64()] * len(columns))], out)
+
+    group = F.pmod(F.xxhash64("ticker"), F.lit(groups))
+    asked = wide.where("ticker IS NOT NULL").select(F.explode(F.expr(f"sequence(0, {groups - 1})")).alias("_of"), group.alias("_group"), "ticker", "block", *columns)
+    asked = asked.select((F.col("_of") * groups + F.col("_group")).cast("int").alias("cell"), "ticker", "block", *columns)
+    return packed.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(meet, schema)
 
 
 def _propagated_by(edges: DataFrame, now: DataFrame, rounds: int, decay: float, by: list[str]) -> DataFrame:
     """:func:`propagated` for many signals over one graph: an edge is met once for ``BLOCK`` of them, not once for each.
 
-    The values of ``by`` are numbered; a name's signals lie side by side, with how many rows each has.
+    The values of ``by`` are numbered; a name's signals lie side by side, with how many rows each has. Edges
+    lie in cells by a group of names on either side, from which one row a name and block comes back, so what
+    is shuffled grows with names and groups, not with edges and signals; edges move once.
     """
     place = F.row_number().over(Window.orderBy(*by)) - 1  # over the distinct values of by alone
     places = now.select(*by).na.drop().distinct().select(*by, F.floor(place / BLOCK).cast("int").alias("block"), (place % BLOCK).alias("at"))
@@ -244,10 +319,14 @@ def _propagated_by(edges: DataFrame, now: DataFrame, rounds: int, decay: float,
     # the sum of a name's values, how many rows it has, and how many with a value
     sides = [*told("v", lambda at: F.sum(F.when(at, F.col("value")))), *told("n", F.count_if), *told("c", lambda at: F.count(F.when(at, F.col("value"))))]
     wide = rows.where("block IS NOT NULL").groupBy("ticker", "block").agg(*sides).withColumns({f"a{j}": F.lit(0.0) for j in each})
+    packed = None
     for k in range(rounds):
         wide = checkpointed(wide)
-        seen = edges.join(wide.select(F.col("ticker").alias("other"), "block", *[f"{c}{j}" for c in "vn" for j in each]), "other")
-        sums = [F.try_divide(F.sum(F.col("weight") * F.col(f"v{j}")), F.sum(F.col("weight") * F.col(f"n{j}"))).alias(f"m{j}") for j in each]
+        if packed is None:
+            groups = max(GROUPS, math.ceil((wide.select("ticker").distinct().count() / NAMES) ** 0.5))
+            packed = _packed(edges, groups, wide.schema["ticker"].dataType.simpleString())
+        seen = _met(packed, wide, groups, [f"{c}{j}" for c in "vn" for j in each])
+        sums = [F.try_divide(F.sum(f"s_v{j}"), F.sum(f"s_n{j}")).alias(f"m{j}") for j in each]
         wide = wide.join(seen.groupBy("ticker", "block").agg(*sums), ["ticker", "block"], "left")
         more = [decay ** (k + 1) * F.coalesce(f"m{j}", F.lit(0.0)) for j in each]
         wide = wide.select("ticker", "block", *[(F.col(f"v{j}") + F.col(f"c{j}") * m).alias(f"v{j}") for j, m in enumerate(more)], *[f"{c}{j}" for c in "nc" for j in each], *[(F.col(f"a{j}") + m).alias(f"a{j}") for j, m in enumerate(more)])

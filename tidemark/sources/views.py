@@ -18,6 +18,8 @@ from tidemark.shared import laid_out
 
 #: Bars with their returns that the parts of a query share, while it is put together.
 _SHARED: ContextVar[dict[str, DataFrame] | None] = ContextVar("shared bars", default=None)
+#: Columns that they have, if not all.
+_COLUMNS: ContextVar[tuple[str, ...] | None] = ContextVar("columns of shared bars", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +47,30 @@ def bars_once(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
+def closes_once(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """:func:`bars_once` for a plan that reads no more than ticker, date, close and ret: the table has these four."""
+    once = bars_once(plan)
+
+    @wraps(plan)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if _SHARED.get() is not None:
+            return plan(spark, sf_dir)
+        token = _COLUMNS.set(("ticker", "date", "close", "ret"))
+        try:
+            return once(spark, sf_dir)
+        finally:
+            _COLUMNS.reset(token)
+
+    return run
+
+
 def _held(name: str, made: Callable[[], DataFrame]) -> DataFrame:
     """What ``made`` gives, checkpointed at first where bars are shared."""
     shared = _SHARED.get()
     if shared is None:
         return made()
     if name not in shared:
-        shared[name] = laid_out(made())
+        shared[name] = laid_out(made().select(*(_COLUMNS.get() or ("*",))))
     return shared[name]
 
 
@@ -116,6 +135,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(F.col("l_suppkey").alias("supplier"), "customer").agg(F.count("*").cast("double").alias("weight"))
 
 
+def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker, other, weight (1): two suppliers in one order, from both ends, a row for each order: what :func:`edges` counts.
+
+    Lines move once, by order; pairs are neither shuffled nor held.
+    """
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()
+    both = pairs.join(pairs.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey").where("l_suppkey <> other")
+    return both.select(F.col("l_suppkey").alias("ticker"), "other", F.lit(1.0).alias("weight"))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, ts, price, event_id."""
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), "event_id")
